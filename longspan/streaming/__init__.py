@@ -1,0 +1 @@
+"""The panels are batch tables; no operator here is a stream."""
