@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, langid, mixing, url_filter
 from .shared import table
 
 
@@ -22,8 +22,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_mix_sources, op3_url_filter, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op10_exact_dedup)
     return {f.__name__: f for f in ops}
 
 

@@ -58,3 +58,28 @@ def unit_hash(*parts: Column) -> Column:
     """A value in [0, 1) from the first 48 bits of the md5 of the joined parts."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def text_bytes(column):
+    """UTF-8 bytes (uint8) and row offsets (int64) of an Arrow string column; null counts as empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    if not len(column):
+        return data[:0], np.zeros(1, np.int64)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def row_blocks(offsets, max_bytes: int):
+    """Ranges of whole rows of about ``max_bytes`` together; a longer row is alone."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = lo + 1
+        while hi < n and offsets[hi + 1] - offsets[lo] <= max_bytes:
+            hi += 1
+        yield lo, hi
+        lo = hi
