@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, url_filter
+from . import bpe, exact_dedup, langid, mixing, url_filter
 from .shared import table
 
 
@@ -26,8 +26,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op10_exact_dedup)
     return {f.__name__: f for f in ops}
 
 
