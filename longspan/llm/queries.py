@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, url_filter
+from . import bpe, exact_dedup, langid, mixing, toxicity, url_filter
 from .shared import table
 
 
@@ -30,8 +30,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op8_toxicity, op10_exact_dedup)
     return {f.__name__: f for f in ops}
 
 

@@ -83,3 +83,69 @@ def row_blocks(offsets, max_bytes: int):
             hi += 1
         yield lo, hi
         lo = hi
+
+
+class SpanHash:
+    """64-bit hashes of any spans of a byte array, equal for equal bytes wherever they stand.
+
+    Prefix sums of a polynomial modulo 2**64 give a span's value, the inverse
+    powers move it to position zero, and a finaliser mixes its bits.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    _powers: tuple = ()
+
+    def __init__(self, data):
+        import numpy as np
+
+        n = len(data) + 1
+        if not SpanHash._powers or len(SpanHash._powers[0]) < n:
+            size = max(n, 1 << 21)
+            up, down = np.full(size, self.BASE, np.uint64), np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            SpanHash._powers = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        self.down = SpanHash._powers[1]
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * SpanHash._powers[0][: n - 1], out=self.sums[1:])
+
+    def __call__(self, start, end, seed: int = 0):
+        import numpy as np
+
+        x = (self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))
+        return mix64(x)
+
+
+def mix64(x):
+    """A bijection of 64-bit values that spreads every bit."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def lower_table():
+    """Byte table that lower-cases A-Z."""
+    import numpy as np
+
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
+
+
+def word_spans(data, offsets):
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each row, and the first word of each row (one more at the end)."""
+    import numpy as np
+
+    inside = np.ones(256, bool)
+    inside[list(ASCII_SPACE.encode())] = False
+    word = inside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.append(False, word[:-1]) if len(word) else word
+    starts = np.flatnonzero(word & (~before | edge[:-1]))
+    after = np.append(word[1:], False) if len(word) else word
+    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
