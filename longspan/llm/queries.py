@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, toxicity, url_filter, webp
+from . import bpe, exact_dedup, langid, mixing, near_dedup, toxicity, url_filter, webp
 from .shared import table
 
 
@@ -38,8 +38,12 @@ def op6_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op6_media_webp, op8_toxicity, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op6_media_webp, op8_toxicity, op9_near_dedup, op10_exact_dedup)
     return {f.__name__: f for f in ops}
 
 
