@@ -10,10 +10,15 @@
    very many texts retain (a common passage) come last in that order and are
    posted only by texts that consist of little else.
 3. Candidates never are all pairs of a list.  First every member is compared
-   with the first member of its lists, which joins groups of near copies in
-   linear work.  Then, in lists that still hold several components, members
-   outside the list's largest component are compared with those of others.
-   Members of one component need no comparison, so no link is lost.
+   with the first member of its lists, which joins most near copies in linear
+   work.  Then components get a centre, and texts that resemble a large
+   component's centre join its group, linked or not.  Within a group, all share
+   most of the centre, so for members x and m with centre c
+   ``|x & m| <= min(|x & c|, |m & c|) + |(x - c) & (m - c)|``: only pairs that this
+   bound lets pass are compared, found by set size and by inverted lists of what
+   a text has beyond the centre.  Members of one list but of different groups and
+   components are compared directly.  Pairs within a component need no
+   comparison, so no link between different components is lost.
 4. The sketch of the union estimates the similarity and discards what cannot
    pass; the exact similarity of the full sets, taken from both texts, decides.
 """
@@ -130,35 +135,53 @@ def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataF
     exact = F.size("both") / (F.col("n_a") + F.col("n_b") - F.size("both"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     hits = F.size(F.filter("both", lambda x: x <= F.element_at("union", -1)))
-    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).withColumn("union", union)
+    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(whole | (F.size("both") >= settings.need)).withColumn("union", union)
     e = e.withColumn("estimate", F.when(whole, exact).otherwise(hits / F.size("union")))
     least = F.when(whole, settings.percent / 100 - 1e-9).otherwise(settings.need / k)
     return e.where(F.col("estimate") >= least).select("a", "b", "estimate")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, from both whole texts."""
+def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, beyond: bool = False) -> DataFrame:
+    """a, b, n_a, n_b, both (size of the intersection) from both whole texts; with ``beyond``, also what b has beyond a."""
     pairs = materialize(pairs.select("a", "b"), "near-pairs")
     wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    kind, words, percent = pairs.schema["a"].dataType.simpleString(), settings.words, settings.percent
+    kind, words = pairs.schema["a"].dataType.simpleString(), settings.words
 
     def run(batches):
         for batch in batches:
             (da, oa), (db, ob) = text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))
-            ok = np.zeros(batch.num_rows, bool)
             for lo, hi in row_blocks(oa + ob, 1 << 20):
                 x, fx = shingle_sets(da[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo], words)
                 y, fy = shingle_sets(db[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo], words)
+                both, rest = np.zeros(hi - lo, np.int64), []
                 for i in range(hi - lo):
                     p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                    inter = len(p) + len(q) - len(np.union1d(p, q))
-                    ok[lo + i] = inter > 0 and 100 * inter >= percent * (len(p) + len(q) - inter)
-            keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
+                    if not len(p):
+                        rest.append(q)
+                        continue
+                    shared = p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q
+                    both[i] = shared.sum()
+                    rest.append(q[~shared])
+                out = [batch.column(c).slice(lo, hi - lo) for c in ("a", "b")] + [pa.array(np.diff(fx).astype(np.int64)), pa.array(np.diff(fy).astype(np.int64)), pa.array(both)]
+                names = ["a", "b", "n_a", "n_b", "both"]
+                if beyond:
+                    edges = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rest).view(np.int64))))
+                    names.append("beyond")
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+def similar(settings: Settings) -> Column:
+    return (F.col("both") > 0) & (F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * settings.percent)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity, written once."""
+    return materialize(compared(pairs, docs, settings).where(similar(settings)).select("a", "b"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,17 +215,59 @@ def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def cross_pairs(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of different components in a list, one of them outside its largest component."""
-    rows = posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = materialize(rows, "near-lists")
-    sizes = rows.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
-    lists = sizes.groupBy("value").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+def groups_of(posted: DataFrame, labels: DataFrame, links: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """rep, centre: the centre of the largest component that a text belongs to or resembles.
+
+    A component's centre is its member with most links.  A text meets the largest
+    component of each of its lists, and joins the group if the sketches do not
+    rule out that it resembles the centre.
+    """
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    centres = labels.join(degree, "node", "left").groupBy("component").agg(
+        F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("centre"), F.count(F.lit(1)).alias("size")
+    )
+    own = materialize(labels.join(centres, "component").select(F.col("node").alias("rep"), "centre", "size"), "near-centres")
+    main = posted.join(own, "rep").groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"))
+    met = posted.join(main, "value").select("rep", "main.centre", "main.size").distinct()
+    met = met.join(own.select("rep", F.col("centre").alias("own_centre"), F.col("size").alias("own_size")), "rep", "left")
+    met = materialize(met.where("own_size IS NULL OR (centre <> own_centre AND size > own_size)").where("rep <> centre").select("rep", "centre", "size"), "near-met")
+    like = estimated(met.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, settings).select(F.col("a").alias("centre"), F.col("b").alias("rep"))
+    like = like.join(met.distinct(), ["centre", "rep"]).select("rep", "centre", "size")
+    return own.unionByName(like).groupBy("rep").agg(F.max(F.struct("size", "centre")).alias("best")).select("rep", "best.centre")
+
+
+def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one group and different components that the bound by the centre lets pass.
+
+    ``members``: centre, rep, n, both (shared with the centre), beyond, component,
+    inside (in the centre's own component).  One of a pair is not inside.
+    """
+    # |x & m| >= wanted(n_x + n_m)
+    wanted = lambda n: n * percent / (100 + percent) - 1e-9
+    out = members.where("NOT inside").select("centre", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"), F.col("beyond").alias("beyond_x"))
+    least = members.groupBy("centre").agg(F.min("n").alias("least"))
+    limit = F.floor(F.col("both_x") * (100 + percent) / percent + 1e-9) - F.col("n_x")
+    sized = out.drop("beyond_x").join(least, "centre").withColumn("limit", limit).where("limit >= least")
+    sized = sized.withColumn("n", F.explode(F.sequence("least", F.least("limit", F.floor(F.col("n_x") * 100 / percent)))))
+    by_size = sized.join(members.select("centre", "n", "rep", "both", "component"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n"))))
+    left = out.select("centre", "x", "n_x", "both_x", "c_x", F.explode("beyond_x").alias("value"))
+    right = members.select("centre", "rep", "n", "both", "component", F.explode("beyond").alias("value"))
+    shared = left.join(right, ["centre", "value"]).where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent))
+    shared = shared.groupBy("x", "rep").agg(F.count(F.lit(1)).alias("more"), *[F.first(c).alias(c) for c in ("n_x", "both_x", "n", "both")])
+    shared = shared.where(F.least("both_x", "both") + F.col("more") >= wanted(F.col("n_x") + F.col("n")))
+    return by_size.select("x", "rep").unionByName(shared.select("x", "rep")).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def direct_pairs(posted: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list, of different groups and components; one is outside the list's largest group."""
+    rows = posted.join(groups, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = materialize(rows.select("value", "rep", "n", F.coalesce("centre", "rep").alias("centre"), F.coalesce("component", "rep").alias("component")), "near-lists")
+    sizes = rows.groupBy("value", "centre").agg(F.count(F.lit(1)).alias("size"))
+    lists = sizes.groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("main.centre").alias("main"))
     mixed = rows.join(lists, "value")
-    minor = mixed.where("component <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    pairs = minor.join(mixed, "value").where((F.col("component") != F.col("c_x")) & could_match(F.col("n"), F.col("n_x"), percent))
-    # two minor members meet twice; the larger of each pair is dropped at once
-    pairs = pairs.where((F.col("component") == F.col("main")) | (F.col("x") < F.col("rep")))
+    minor = mixed.where("centre <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("centre").alias("g_x"))
+    pairs = minor.join(mixed, "value").where((F.col("component") != F.col("c_x")) & (F.col("centre") != F.col("g_x")) & could_match(F.col("n"), F.col("n_x"), percent))
+    pairs = pairs.where((F.col("centre") == F.col("main")) | (F.col("x") < F.col("rep")))  # two minor members meet twice
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
@@ -211,9 +276,18 @@ def links_of(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFra
     posted = materialize(postings(classes, settings), "postings")
     star = estimated(star_pairs(posted, settings.percent), classes, settings)
     best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-    first = materialize(confirmed(best, docs, settings), "near-links")
-    cross = estimated(cross_pairs(posted, components(first), settings.percent), classes, settings)
-    return first.unionByName(materialize(confirmed(cross, docs, settings), "near-links"))
+    links = confirmed(best, docs, settings)
+    labels = materialize(components(links), "near-labels")
+    groups = materialize(groups_of(posted, labels, links, classes, settings), "near-groups")
+    to_centre = materialize(compared(groups.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")), docs, settings, beyond=True), "near-beyond")
+    links = materialize(links.unionByName(to_centre.where(similar(settings)).select("a", "b")), "near-links")
+    labels = materialize(components(links), "near-labels")
+    component = labels.select(F.col("node").alias("rep"), "component")
+    members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.col("n_b").alias("n"), "both", "beyond").join(component, "rep", "left")
+    members = members.join(component.withColumnsRenamed({"rep": "centre", "component": "main"}), "centre", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = materialize(members.withColumn("inside", F.col("component") == F.coalesce("main", "centre")).drop("main"), "near-members")
+    cross = bounded_pairs(members, settings.percent).unionByName(direct_pairs(posted, groups, labels, settings.percent)).distinct()
+    return links.unionByName(confirmed(estimated(cross, classes, settings), docs, settings))
 
 
 def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
