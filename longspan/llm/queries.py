@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, toxicity, url_filter, webp
+from . import bpe, exact_dedup, langid, line_dedup, lm_score, mixing, near_dedup, toxicity, url_filter, webp
 from .shared import table
 
 
@@ -46,8 +46,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op6_media_webp, op7_line_dedup, op8_toxicity, op9_near_dedup, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op5_lm_score, op6_media_webp, op7_line_dedup, op8_toxicity, op9_near_dedup, op10_exact_dedup)
     return {f.__name__: f for f in ops}
 
 
