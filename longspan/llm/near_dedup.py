@@ -125,9 +125,9 @@ def could_match(n_a: Column, n_b: Column, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """a, b, estimate of the pairs that the union's sketch cannot rule out."""
-    k = settings.k
+def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings, loose: bool = False) -> DataFrame:
+    """a, b, estimate of the pairs that the union's sketch cannot rule out; ``loose``: with half of what a link needs."""
+    k, part = settings.k, 0.5 if loose else 1.0
     a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = F.array_intersect("s_a", "s_b")
@@ -135,9 +135,9 @@ def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataF
     exact = F.size("both") / (F.col("n_a") + F.col("n_b") - F.size("both"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     hits = F.size(F.filter("both", lambda x: x <= F.element_at("union", -1)))
-    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(whole | (F.size("both") >= settings.need)).withColumn("union", union)
+    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(whole | (F.size("both") >= settings.need * part)).withColumn("union", union)
     e = e.withColumn("estimate", F.when(whole, exact).otherwise(hits / F.size("union")))
-    least = F.when(whole, settings.percent / 100 - 1e-9).otherwise(settings.need / k)
+    least = F.when(whole, settings.percent / 100 * part - 1e-9).otherwise(settings.need / k * part)
     return e.where(F.col("estimate") >= least).select("a", "b", "estimate")
 
 
@@ -231,7 +231,7 @@ def groups_of(posted: DataFrame, labels: DataFrame, links: DataFrame, classes: D
     met = posted.join(main, "value").select("rep", "main.centre", "main.size").distinct()
     met = met.join(own.select("rep", F.col("centre").alias("own_centre"), F.col("size").alias("own_size")), "rep", "left")
     met = materialize(met.where("own_size IS NULL OR (centre <> own_centre AND size > own_size)").where("rep <> centre").select("rep", "centre", "size"), "near-met")
-    like = estimated(met.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, settings).select(F.col("a").alias("centre"), F.col("b").alias("rep"))
+    like = estimated(met.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, settings, loose=True).select(F.col("a").alias("centre"), F.col("b").alias("rep"))
     like = like.join(met.distinct(), ["centre", "rep"]).select("rep", "centre", "size")
     return own.unionByName(like).groupBy("rep").agg(F.max(F.struct("size", "centre")).alias("best")).select("rep", "best.centre")
 
@@ -259,15 +259,23 @@ def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def direct_pairs(posted: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list, of different groups and components; one is outside the list's largest group."""
+    """(a, b) of one list, of different groups and components; one is outside the list's largest group.
+
+    Rows carry all values that their text posts (fewer than k), so that a pair is
+    made in one list only: that of the smallest value of both.
+    """
     rows = posted.join(groups, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     rows = materialize(rows.select("value", "rep", "n", F.coalesce("centre", "rep").alias("centre"), F.coalesce("component", "rep").alias("component")), "near-lists")
     sizes = rows.groupBy("value", "centre").agg(F.count(F.lit(1)).alias("size"))
     lists = sizes.groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("main.centre").alias("main"))
     mixed = rows.join(lists, "value")
-    minor = mixed.where("centre <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("centre").alias("g_x"))
-    pairs = minor.join(mixed, "value").where((F.col("component") != F.col("c_x")) & (F.col("centre") != F.col("g_x")) & could_match(F.col("n"), F.col("n_x"), percent))
-    pairs = pairs.where((F.col("centre") == F.col("main")) | (F.col("x") < F.col("rep")))  # two minor members meet twice
+    own = mixed.groupBy("rep").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    mixed = materialize(mixed.join(own, "rep"), "near-mixed")
+    minor = mixed.where("centre <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("centre").alias("g_x"), F.col("values").alias("values_x"))
+    other = (F.col("component") != F.col("c_x")) & (F.col("centre") != F.col("g_x")) & could_match(F.col("n"), F.col("n_x"), percent)
+    once = (F.col("centre") == F.col("main")) | (F.col("x") < F.col("rep"))  # two minor members meet twice
+    first = F.array_min(F.array_intersect("values", "values_x")) == minor["value"]
+    pairs = minor.join(mixed, (minor["value"] == mixed["value"]) & other & once & first)
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
