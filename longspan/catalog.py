@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from longspan.queries import base, windows
+from longspan.queries.windows import flagship_weekly_panel as flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["flagship", "oracle_sql", "queries", "windows"]
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
