@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EPS = 1e-12
 
@@ -63,12 +64,12 @@ def skill(error: Column, base: Column, floor: float | None = None) -> Column:
     return 1 - error / clip(base, floor)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def probit(p: pd.Series) -> pd.Series:
     normal = NormalDist()
     return p.map(lambda v: normal.inv_cdf(v) if 0 < v < 1 else None, na_action="ignore")

@@ -96,10 +96,10 @@ def bin_of(c: Column, edges: Column) -> Column:
 
 
 def entropy_of(df: DataFrame, state: str, by: list[str], divisor: Column) -> DataFrame:
-    """Entropy of the states' shares in natural logs over ``divisor`` (a column of ``by``, or a constant)."""
-    counts = df.groupBy(*by, state).agg(F.count(F.lit(1)).alias("_n"))
+    """Entropy of the states' shares in natural logs over ``divisor``, which is constant within a group."""
+    counts = df.groupBy(*by, state).agg(F.count(F.lit(1)).alias("_n"), F.first(divisor).alias("_d"))
     share = F.col("_n") / F.sum("_n").over(Window.partitionBy(*by))
-    return counts.withColumn("_p", share).groupBy(*by).agg((F.abs(-F.sum(F.col("_p") * F.log("_p"))) / F.first(divisor)).alias("entropy"), F.sum("_n").alias("n"))
+    return counts.withColumn("_p", share).groupBy(*by).agg((F.abs(-F.sum(F.col("_p") * F.log("_p"))) / F.first("_d")).alias("entropy"), F.sum("_n").alias("n"))
 
 
 def binned_entropy(df: DataFrame, value: str, by: list[str], edges_by: list[str], parts: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def novel_lengths(states: np.ndarray) -> np.ndarray:
@@ -32,7 +33,7 @@ def lz_rate(states: list | None, n_states: int = 5, least: int = 20, cap: float
     return float(min(n * math.log(n) / novel_lengths(np.asarray(states)).sum() / math.log(n_states), cap))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lz_entropy(states: pd.Series) -> pd.Series:
     """Entropy rate of each sequence from match lengths, over log(5), at most 1.5; null below 20 states."""
     return states.map(lz_rate, na_action="ignore").astype(float)

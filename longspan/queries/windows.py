@@ -154,7 +154,7 @@ def win17_win18_adjusted_p(spark, d):
 
 
 @query(f"""WITH {WEEKS}, g AS (SELECT cohort, date, sum(qty_sum) AS total FROM weeks GROUP BY ALL), c AS (SELECT cohort, date, sum(total) OVER (PARTITION BY cohort ORDER BY date) AS reached_sum, lag(date) OVER (PARTITION BY cohort ORDER BY date) AS below FROM g)
-SELECT cohort, arg_min(below, date) AS below, min(date) AS reached FROM c WHERE reached_sum >= 1000 GROUP BY ALL""")
+SELECT cohort, arg_min_null(below, date) AS below, min(date) AS reached FROM c WHERE reached_sum >= 1000 GROUP BY ALL""")
 def win19_first_crossing(spark, d):
     g = panels.supplier_weeks(spark, d).groupBy("cohort", "date").agg(F.sum("qty_sum").alias("total"))
     g = g.withColumn("reached_sum", F.sum("total").over(Window.partitionBy("cohort").orderBy("date")))
