@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_blocks, text_bytes
+from .shared import in_batches, row_blocks, text_bytes
 
 # classes of characters
 LETTER, S_T_M_D, PAIR, NUMBER, OTHER, APOSTROPHE, SPACE_IN, SPACE_LAST, WHITE_IN, WHITE_LAST = range(10)
@@ -33,8 +33,8 @@ STATES = 8
 #: The characters of \s in the splitting pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces kept in a worker's cache before it starts anew.
-CACHE_PIECES = 500_000
-BLOCK_BYTES = 1 << 20
+CACHE_PIECES = 200_000
+BLOCK_BYTES = 1 << 18
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:
@@ -314,7 +314,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded)
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -332,7 +332,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             back, at = code.decode(ids.flatten().to_numpy(), place.flatten().to_numpy().astype(np.int64), first)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(back)]).cast(pa.binary())], ["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, decoded binary")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, row_blocks, text_bytes, unit_hash
+from .shared import crc_mod, in_batches, row_blocks, text_bytes, unit_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, learn=None) -> DataFrame:
             lang = names[np.where(known, best, -1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

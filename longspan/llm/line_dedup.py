@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHash, broadcast_if_small, materialize, mix64, row_blocks, text_bytes, word_spans
+from .shared import broadcast_if_small, in_batches, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
 
 #: Words of a matching run that is removed, of the chunks that make a region worth comparing, and of one chunk.
 MIN_WORDS, MIN_CHUNK_WORDS, LEAST_WORDS = 40, 8, 5
@@ -83,12 +83,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in row_blocks(offsets, 1 << 20):
+            for lo, hi in row_blocks(offsets, 1 << 18):
                 row, pos, n, words, key = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, *[pa.array(x.astype(np.int32)) for x in (pos, n, words)]], ["key", "doc_id", "pos", "n", "words"])
 
-    return rows.mapInArrow(run, f"key long, doc_id {kind}, pos int, n int, words int")
+    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int, n int, words int")
 
 
 def regions(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
             (da, oa), (db, ob) = text_bytes(batch.column("text")), text_bytes(batch.column("first_text"))
             diagonals = batch.column("diagonals")
             out = []
-            for lo, hi in row_blocks(oa + ob, 1 << 20):
+            for lo, hi in row_blocks(oa + ob, 1 << 18):
                 later, early = da[oa[lo] : oa[hi]], db[ob[lo] : ob[hi]]
                 x, y = Lines(later, oa[lo : hi + 1] - oa[lo]), Lines(early, ob[lo : hi + 1] - ob[lo])
                 chars = np.concatenate([[0], np.cumsum((later & 0xC0) != 0x80)])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHash, broadcast_if_small, lower_table, materialize, mix64, row_blocks, text_bytes, word_spans
+from .shared import broadcast_if_small, in_batches, lower_table, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
 
 LOSS = 1e-7
 
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in row_blocks(offsets, 1 << 20):
+            for lo, hi in row_blocks(offsets, 1 << 18):
                 s, first = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
                 n = np.diff(first)
                 keys = [blake2b(s[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first, first[1:])]
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, kept.sum()).astype(np.int32)), pa.array((values ^ np.uint64(1 << 63)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sketch array<long>")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sketch array<long>")
 
 
 def postings(classes: DataFrame, settings: Settings) -> DataFrame:
@@ -152,7 +152,7 @@ def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, beyond: bool
     def run(batches):
         for batch in batches:
             (da, oa), (db, ob) = text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))
-            for lo, hi in row_blocks(oa + ob, 1 << 20):
+            for lo, hi in row_blocks(oa + ob, 1 << 18):
                 x, fx = shingle_sets(da[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo], words)
                 y, fy = shingle_sets(db[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo], words)
                 both, rest = np.zeros(hi - lo, np.int64), []
@@ -172,7 +172,7 @@ def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, beyond: bool
                     names.append("beyond")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
+    return in_batches(rows.select("a", "b", "text_a", "text_b")).mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
 
 
 def similar(settings: Settings) -> Column:

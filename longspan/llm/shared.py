@@ -17,6 +17,18 @@ BROADCAST_ROWS = 1_000_000
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of BATCH_ROWS rows at most from now on in its session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,7 +112,7 @@ class SpanHash:
 
         n = len(data) + 1
         if not SpanHash._powers or len(SpanHash._powers[0]) < n:
-            size = max(n, 1 << 21)
+            size = max(n, 1 << 18)
             up, down = np.full(size, self.BASE, np.uint64), np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             SpanHash._powers = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))

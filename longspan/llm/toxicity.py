@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SpanHash, lower_table, row_blocks, text_bytes, unit_hash
+from .shared import in_batches, lower_table, row_blocks, SpanHash, text_bytes, unit_hash
 
-BITS = 22
+BITS = 20
 PREFIXES = (4, 5, 6)
 #: Bound of the training sample: rows with, and rows without, the last category.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 2000
 #: Most features of one model, and rows of its category that a feature needs.
 FEATURES, LEAST_SHARE = 600, 0.01
 FOLDS = 4
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in row_blocks(offsets, 1 << 20):
+            for lo, hi in row_blocks(offsets, 1 << 18):
                 row, feature = distinct(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 first = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(first), pa.array(feature.astype(np.int32)))
@@ -176,8 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     got = got.sort_by([("doc_id", "ascending"), ("copy_of", "ascending")]).combine_chunks()
     y = np.column_stack([got.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ys])
     lists = got.column("features").chunk(0) if got.column("features").num_chunks else got.column("features").combine_chunks()
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    feature = lists.flatten().to_numpy()
+    often = np.bincount(feature, minlength=1 << BITS) >= 3  # no model uses rarer ones
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))[often[feature]]
+    feature = feature[often[feature]]
     copy_of = got.column("copy_of").to_numpy()
     _, single = np.unique(copy_of, return_index=True)  # copies of a text count once
     place = np.full(len(y), -1)
@@ -211,11 +213,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_ro
                 wanted = np.zeros(1 << BITS, bool)
                 for model in chain.models:
                     wanted[model.chosen] = True
-                for lo, hi in row_blocks(offsets, 1 << 20):
+                for lo, hi in row_blocks(offsets, 1 << 18):
                     row, feature = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     used = wanted[feature]
                     p[lo:hi] = chain.predict(hi - lo, *distinct(row[used], feature[used]))
             rejected = (p[:, -1] >= chain.threshold) & (np.diff(offsets) > 0) if chain is not None else np.zeros(n, bool)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(p[:, i]) for i in range(len(names))], pa.array(rejected)], ["doc_id", *[f"p_{c}" for c in names], "rejected"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'p_{c} double' for c in names)}, rejected boolean")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, {', '.join(f'p_{c} double' for c in names)}, rejected boolean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_blocks, text_bytes
+from .shared import in_batches, row_blocks, text_bytes
 
 #: Payloads are padded to whole rows of this many samples.
 ROW = 576
@@ -75,8 +75,7 @@ class PrefixCode:
         used = np.flatnonzero(lengths)
         self.only = int(used[0]) if len(used) == 1 else None
         if self.only is not None or not len(used):
-            self.only = self.only or 0
-            self.width, self.symbol, self.bits = 0, np.array([self.only]), np.array([0])
+            self.only, self.width = self.only or 0, 0
             return
         sizes = lengths[used].astype(np.int64)
         self.width = int(sizes.max())
@@ -88,6 +87,12 @@ class PrefixCode:
         self.bits = lengths[self.symbol].astype(np.uint8)
         self.lists = None
 
+    @classmethod
+    def of_one(cls, symbol: int) -> "PrefixCode":
+        out = cls.__new__(cls)
+        out.only, out.width = symbol, 0
+        return out
+
     def read(self, bits: "BitReader") -> int:
         if self.width == 0:
             return self.only
@@ -115,12 +120,15 @@ class BitReader:
 
 
 def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
-    lengths = np.zeros(alphabet, np.uint8)
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
+        if len(set(symbols)) == 1:
+            return PrefixCode.of_one(symbols[0])
+        lengths = np.zeros(alphabet, np.uint8)
         lengths[symbols] = 1
         return PrefixCode(lengths)
+    lengths = np.zeros(alphabet, np.uint8)
     small = np.zeros(19, np.uint8)
     for i in range(4 + bits.read(4)):
         small[LENGTH_ORDER[i]] = bits.read(3)
@@ -462,6 +470,14 @@ class BitWriter:
         return out.astype("<u4").tobytes()[:n_bytes]
 
 
+NO_BITS = np.zeros(256, np.uint32)
+
+
+def put_one(bits: BitWriter, symbol: int) -> None:
+    for value, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+        bits.put(value, n)
+
+
 def put_code(bits: BitWriter, lengths: np.ndarray) -> None:
     """A prefix code: in the simple form for up to two byte symbols, else by run-length coded lengths."""
     used = np.flatnonzero(lengths).tolist()
@@ -523,6 +539,8 @@ def put_code(bits: BitWriter, lengths: np.ndarray) -> None:
 def prefix_symbol(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol, extra bits and their number for lengths or distance codes from 1."""
     v = np.asarray(values, np.int64) - 1
+    if not len(v):
+        return v, v, v
     high = np.maximum(np.floor(np.log2(np.maximum(v, 1))).astype(np.int64), 1)
     second = v >> (high - 1) & 1
     few = v < 4
@@ -558,13 +576,17 @@ def put_pixels(bits: BitWriter, pixels: np.ndarray, main: bool, copies: list[tup
     green = green[at]
     plain = not cache_bits and bool(((pixels ^ pixels[0]) & np.uint32(0xFFFF00FF) == 0).all())
     channel = lambda rows: [(pixels[rows] >> k & 255).astype(np.int64) for k in (16, 0, 24)]
-    begin = np.array([c[0] for c in copies], np.int64)
-    length_symbol, length_extra, length_bits = prefix_symbol(np.array([c[1] for c in copies], np.int64))
-    far_symbol, far_extra, far_bits = prefix_symbol(np.array([c[2] for c in copies], np.int64))
+    begin, lengths, far = np.array(copies, np.int64).reshape(-1, 3).T
+    length_symbol, length_extra, length_bits = prefix_symbol(lengths)
+    far_symbol, far_extra, far_bits = prefix_symbol(far)
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     drawn = [np.concatenate([green, 256 + length_symbol]), *channel(at[:1] if plain else full), far_symbol]
     tables = []
     for n, symbols in zip(sizes, drawn):
+        if len(symbols) < 2 and (not len(symbols) or symbols[0] < 256):  # takes no bits
+            put_one(bits, int(symbols[0]) if len(symbols) else 0)
+            tables.append((NO_BITS, NO_BITS))
+            continue
         lengths = code_lengths(np.bincount(symbols, minlength=n))
         if np.count_nonzero(lengths) == 1 and lengths[256:].any():
             lengths[0] = 1  # the simple form holds byte symbols only
@@ -698,7 +720,7 @@ def store(docs: DataFrame) -> DataFrame:
                     media.append(encode_samples(np.append(part, np.full(fill, 255, np.uint8)), width))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def describe(samples: np.ndarray, width: int, height: int) -> str:
@@ -738,7 +760,7 @@ def read(media: DataFrame) -> DataFrame:
                 more = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([c.slice(first, at - first) for c in batch.columns] + more, [*batch.schema.names, "width", "height", "samples", "feature"])
 
-    return media.mapInArrow(run, f"{schema}, width int, height int, samples binary, feature string")
+    return in_batches(media).mapInArrow(run, f"{schema}, width int, height int, samples binary, feature string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
