@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from longspan.queries import base, metrics, windows
+from longspan.queries import base, metrics, robust, windows
 from longspan.queries.windows import flagship_weekly_panel as flagship
 
-__all__ = ["flagship", "oracle_sql", "metrics", "queries", "windows"]
+__all__ = ["flagship", "oracle_sql", "metrics", "queries", "robust", "windows"]
 
 
 def queries():
