@@ -244,18 +244,23 @@ def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
     """
     # |x & m| >= wanted(n_x + n_m)
     wanted = lambda n: n * percent / (100 + percent) - 1e-9
-    out = members.where("NOT inside").select("centre", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"), F.col("beyond").alias("beyond_x"))
+    out = members.where("NOT inside").select("centre", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"))
     least = members.groupBy("centre").agg(F.min("n").alias("least"))
     limit = F.floor(F.col("both_x") * (100 + percent) / percent + 1e-9) - F.col("n_x")
-    sized = out.drop("beyond_x").join(least, "centre").withColumn("limit", limit).where("limit >= least")
+    sized = out.join(least, "centre").withColumn("limit", limit).where("limit >= least")
     sized = sized.withColumn("n", F.explode(F.sequence("least", F.least("limit", F.floor(F.col("n_x") * 100 / percent)))))
     by_size = sized.join(members.select("centre", "n", "rep", "both", "component"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n"))))
-    left = out.select("centre", "x", "n_x", "both_x", "c_x", F.explode("beyond_x").alias("value"))
-    right = members.select("centre", "rep", "n", "both", "component", F.explode("beyond").alias("value"))
-    shared = left.join(right, ["centre", "value"]).where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent))
-    shared = shared.groupBy("x", "rep").agg(F.count(F.lit(1)).alias("more"), *[F.first(c).alias(c) for c in ("n_x", "both_x", "n", "both")])
-    shared = shared.where(F.least("both_x", "both") + F.col("more") >= wanted(F.col("n_x") + F.col("n")))
-    return by_size.select("x", "rep").unionByName(shared.select("x", "rep")).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    # a member needs this many values beyond the centre in common with any partner, and posts its rarest accordingly
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("both"))
+    every = members.select("centre", "rep", "inside", F.explode("beyond").alias("value"))
+    shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.bool_and("inside").alias("linked")).where("df > 1 AND NOT linked").drop("linked")
+    lists = every.join(shared, ["centre", "value"]).groupBy("centre", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
+    rows = members.join(lists, ["centre", "rep"]).withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
+    rows = rows.select("centre", "rep", "n", "component", "inside", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("*", "v.value")
+    left = rows.where("NOT inside").select("centre", "value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    by_value = left.join(rows.select("centre", "value", "rep", "n", "component", "inside"), ["centre", "value"])
+    by_value = by_value.where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & (F.col("inside") | (F.col("x") < F.col("rep"))))
+    return by_size.select("x", "rep").unionByName(by_value.select("x", "rep")).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def direct_pairs(posted: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
