@@ -76,16 +76,20 @@ def halves(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def stability(c: DataFrame, measure: str) -> DataFrame:
-    """Split-half correlation of a composite: as it is, centred in cohorts, and beyond spread or entropy."""
-    pairs = halves(c, ["regime", "scope", "cohort", "unit"], [measure, "variability", "entropy"])
+    """Split-half correlation of a composite: as it is, centred in cohorts, and beyond spread or entropy.
+
+    All residuals are columns of one table, so the panel is read and shuffled once.
+    """
     by = ["regime", "scope"]
-    out = metrics.pearson(pairs, f"{measure}_early", f"{measure}_late", by).withColumn("kind", F.lit("raw"))
+    rows = halves(c, [*by, "cohort", "unit"], [measure, "variability", "entropy"])
+    columns = {"raw": (f"{measure}_early", f"{measure}_late")}
     for kind, controls in (("cohort", []), ("sd", ["variability"]), ("sd_entropy", ["variability", "entropy"])):
-        r = pairs
+        columns[kind] = (f"_{kind}_early", f"_{kind}_late")
         for h in ("early", "late"):
-            r = linear.residual(r, f"{measure}_{h}", [f"{x}_{h}" for x in controls], by, "cohort", f"_r_{h}")
-        out = out.unionByName(metrics.pearson(r, "_r_early", "_r_late", by).withColumn("kind", F.lit(kind)))
-    return out
+            rows = linear.residual(rows, f"{measure}_{h}", [f"{x}_{h}" for x in controls], by, "cohort", f"_{kind}_{h}")
+    known = lambda x, y: F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())
+    parts = [F.struct(F.lit(k).alias("kind"), known(x, y).alias("n"), metrics.pearson_of(F.col(x), F.col(y), 5).alias("r")) for k, (x, y) in columns.items()]
+    return rows.groupBy(*by).agg(F.array(*parts).alias("p")).select(*by, F.inline("p"))
 
 
 def profiles(m: DataFrame, value: str, targets: list[str], least: int) -> DataFrame:
