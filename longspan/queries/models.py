@@ -109,7 +109,7 @@ def inf17_inf18_gat08_typology(spark, d):
     p = p.select("cohort", "unit", fill("early"), fill("late")).coalesce(4).persist()
     out = None
     for held in [r["cohort"] for r in p.select("cohort").distinct().orderBy("cohort").collect()]:
-        centroids = cluster.spherical_kmeans(p.where(F.col("cohort") != held), "early", 2, restarts=2, iterations=30)
+        centroids = cluster.spherical_kmeans(p.where(F.col("cohort") != held), "early", 2, restarts=2, iterations=10)
         a = cluster.assign(cluster.assign(p.where(F.col("cohort") == held), "early", centroids, "e"), "late", centroids, "l")
         fold = a.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("e") == F.col("l")).cast("double")).alias("accuracy"), F.least(F.avg((F.col("e") == 0).cast("double")), F.avg((F.col("e") == 1).cast("double"))).alias("least_share"))
         fold = fold.join(F.broadcast(metrics.adjusted_rand(a, "e", "l", [])), F.lit(True)).withColumn("held_out", F.lit(held)).withColumn("succeeds", (F.col("ari") > 0.2) & (F.col("least_share") >= 0.1))

@@ -101,14 +101,14 @@ def _resid(value: str, controls: list[str], src: str, by: str, out: str) -> str:
       SELECT *, sum(c1 * c1) OVER {g} AS uu, sum(c2 * c2) OVER {g} AS vv, sum(c1 * c2) OVER {g} AS uv, sum(c1 * c0) OVER {g} AS uy, sum(c2 * c0) OVER {g} AS vy FROM (SELECT *, {c} FROM {src})))"""
 
 
-USED = "used AS (SELECT * FROM m WHERE history_skill_z IS NOT NULL AND observed_sd_z IS NOT NULL AND observed_entropy_z IS NOT NULL)"
+USED = "used AS (SELECT * FROM m WHERE history_skill_z IS NOT NULL AND observed_sd_z IS NOT NULL AND observed_entropy_z IS NOT NULL QUALIFY count(*) OVER (PARTITION BY regime, target, half) >= 10)"
 
 
 @query(f"""WITH {METRICS}, {USED}, {_resid('history_skill_z', ['observed_sd_z', 'observed_entropy_z'], 'used', 'regime, target, half', 'rr')}
-SELECT regime, cohort, unit, target, half, round((resid - avg(resid) OVER w) / stddev_pop(resid) OVER w, 5) AS residual_z FROM rr WINDOW w AS (PARTITION BY regime, target, half)""")
+SELECT regime, cohort, unit, target, half, round((resid - avg(resid) OVER w) / stddev_pop(resid) OVER w, 5) + 0e0 AS residual_z FROM rr WINDOW w AS (PARTITION BY regime, target, half)""")
 def mdl09_inf22_residual_z(spark, d):
     m = robustness.residual_z(_metrics(spark, d), "history_skill_z", ["observed_sd_z", "observed_entropy_z"], "residual_z")
-    return m.where("residual_z IS NOT NULL").select(*KEY, F.round("residual_z", 5).alias("residual_z"))
+    return m.where("residual_z IS NOT NULL").select(*KEY, (F.round("residual_z", 5) + 0.0).alias("residual_z"))  # no negative zero
 
 
 HALVES = """wide AS (SELECT regime, scope, cohort, unit, max(forecastability) FILTER (half = 'early') AS fe, max(forecastability) FILTER (half = 'late') AS fl, max(variability) FILTER (half = 'early') AS ve, max(variability) FILTER (half = 'late') AS vl,
