@@ -26,6 +26,8 @@ TRAIN_ROWS = 2000
 #: Most features of one model, and rows of its category that a feature needs.
 FEATURES, LEAST_SHARE = 600, 0.01
 FOLDS = 4
+#: Share of rejected training texts that must be right, out of fold; a chain that cannot reach it rejects nothing.
+LEAST_PRECISION = 0.9
 
 #: Categories of the labels table in the order of the chain; the last decides.
 CATEGORIES: tuple[tuple[str, Column | str], ...] = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -143,8 +145,10 @@ def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, y: np.ndar
     last, p = y[:, -1], before[:, -1]
     grid = np.round(np.arange(0.1, 0.91, 0.05), 2)
     f1 = np.array([2 * ((p >= t) & last).sum() / max(1, (p >= t).sum() + last.sum()) for t in grid])
+    right = np.array([((p >= t) & last).sum() / max(1, (p >= t).sum()) for t in grid])
+    f1[right < LEAST_PRECISION] = 0
     best = grid[f1 >= f1.max() - 1e-12]
-    chain.threshold = float(best[len(best) // 2])
+    chain.threshold = float(best[len(best) // 2]) if f1.max() > 0 else 2.0
     return chain
 
 
@@ -193,7 +197,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_ro
     """doc_id, p_<category> for each category, rejected: one row per input row.
 
     A text is rejected if the probability of the last category reaches the
-    threshold that served out-of-fold predictions best.  Null and empty texts
+    threshold that served out-of-fold predictions best; if none was right often
+    enough, no text is.  Null and empty texts
     have no features and are never rejected, and nothing is if there are no
     labels for any text.  Labels of several rows for one doc_id count if any
     does; a null label counts as not.  Repeated rows get equal results; an empty
