@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, in_batches, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
 
 #: Words of a matching run that is removed, of the chunks that make a region worth comparing, and of one chunk.
-MIN_WORDS, MIN_CHUNK_WORDS, LEAST_WORDS = 40, 8, 5
+MIN_WORDS, MIN_CHUNK_WORDS, LEAST_WORDS = 40, 15, 5
 FOLD_AFTER = b".,;:!?|"
 
 
@@ -49,14 +49,14 @@ class Lines:
         self.first = np.searchsorted(begin_word, first)
 
     def chunks(self) -> tuple[np.ndarray, ...]:
-        """Text, first line, lines, words and key of every chunk of several lines.
+        """Text, first line, lines, words, key and kind (which bit) of every chunk of several lines.
 
         Two bits of the rolling hash choose boundaries on their own, so that a
         passage of a few lines still holds a whole chunk of one kind or the other.
         """
         n = len(self.hash)
         if not n:
-            return (np.zeros(0, np.int64),) * 5
+            return (np.zeros(0, np.int64),) * 6
         rolled = mix64(self.hash[:-1] * np.uint64(3) + self.hash[1:])
         total = np.concatenate([[0], np.cumsum(self.words)])
         spans, found = SpanHash(self.hash), []
@@ -71,12 +71,12 @@ class Lines:
             several = (b - a > 1) & (words >= LEAST_WORDS)
             a, b = a[several], b[several]
             row = np.searchsorted(self.first, a, side="right") - 1
-            found.append((row, a - self.first[row], b - a, words[several], spans(a, b, 7 + bit).view(np.int64)))
+            found.append((row, a - self.first[row], b - a, words[several], spans(a, b, 7 + bit).view(np.int64), np.full(len(a), bit)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos, n, words of all chunks of several lines."""
+    """key, doc_id, pos, n, words, kind of all chunks of several lines."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -84,11 +84,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in row_blocks(offsets, 1 << 18):
-                row, pos, n, words, key = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
+                row, pos, n, words, key, chosen = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, *[pa.array(x.astype(np.int32)) for x in (pos, n, words)]], ["key", "doc_id", "pos", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids, *[pa.array(x.astype(np.int32)) for x in (pos, n, words, chosen)]], ["key", "doc_id", "pos", "n", "words", "kind"])
 
-    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int, n int, words int")
+    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int, n int, words int, kind int")
 
 
 def regions(docs: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def regions(docs: DataFrame) -> DataFrame:
     occ = occurrences(docs)
     first = occ.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     later = occ.join(first, "key").where("NOT (doc_id = first_doc AND pos = first_pos)")
-    lined = later.groupBy("doc_id", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.col("n")).alias("high"), F.sum("words").alias("words"))
-    lined = lined.where(F.col("words") >= MIN_CHUNK_WORDS)
+    lined = later.groupBy("doc_id", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.col("n")).alias("high"), *[F.sum(F.when(F.col("kind") == k, F.col("words"))).alias(f"words{k}") for k in (0, 1)])
+    lined = lined.where(F.greatest("words0", "words1") >= MIN_CHUNK_WORDS)  # of the same words in chunks of both kinds, one count
     return lined.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the shorter text has chunks, at most
 
 
