@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from longspan.queries import base, metrics, models, robust, sources, windows
+from longspan.queries import attach, base, metrics, models, robust, sources, windows
 from longspan.queries.windows import flagship_weekly_panel as flagship
 
-__all__ = ["flagship", "oracle_sql", "metrics", "models", "queries", "robust", "sources", "windows"]
+__all__ = ["attach", "flagship", "oracle_sql", "metrics", "models", "queries", "robust", "sources", "windows"]
 
 
 def queries():
