@@ -208,11 +208,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+#: Sets under this size may be compared after meeting in one list; larger ones must meet in two.
+SMALL_SET = 12
+
+
+def met_twice(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Distinct pairs that met in two lists, or in one with a small set (``n``).
+
+    Only steps that later ones make up for may use this: texts that share one rare
+    value alone are seldom alike, and what is left out here is compared directly.
+    """
+    return pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n")).where(f"lists > 1 OR n < {SMALL_SET}").select(*columns)
+
+
 def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every member of a list with the list's first member."""
+    """(a, b): members of lists with the list's first member."""
     first = posted.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = posted.join(first, "value").where((F.col("rep") != F.col("first.rep")) & could_match(F.col("n"), F.col("first.n"), percent))
-    return pairs.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    return met_twice(pairs.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), "n"), "a", "b")
 
 
 def groups_of(posted: DataFrame, labels: DataFrame, links: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -228,7 +241,7 @@ def groups_of(posted: DataFrame, labels: DataFrame, links: DataFrame, classes: D
     )
     own = materialize(labels.join(centres, "component").select(F.col("node").alias("rep"), "centre", "size"), "near-centres")
     main = posted.join(own, "rep").groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"))
-    met = posted.join(main, "value").select("rep", "main.centre", "main.size").distinct()
+    met = met_twice(posted.join(main, "value").select("rep", "main.centre", "main.size", "n"), "rep", "centre", "size")
     met = met.join(own.select("rep", F.col("centre").alias("own_centre"), F.col("size").alias("own_size")), "rep", "left")
     met = materialize(met.where("own_size IS NULL OR (centre <> own_centre AND size > own_size)").where("rep <> centre").select("rep", "centre", "size"), "near-met")
     like = estimated(met.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, settings, loose=True).select(F.col("a").alias("centre"), F.col("b").alias("rep"))
