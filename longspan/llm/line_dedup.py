@@ -1,16 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by winnowed runs of words.
 
 Lines are cut at line breaks and folded after punctuation or after a word chosen
-by its hash, so a passage inside a line has lines of its own.  A rolling hash
-over the hashes of two neighbouring lines decides where a chunk ends: boundaries
-depend on nearby content only and survive any shift.
-Chunks of several lines are counted over all documents.  A repeated chunk is
-aligned with its first occurrence (smallest doc_id, then position); occurrences
+by its hash, so a passage inside a line has lines of its own.  A word counts with
+the space that follows it inside its line.
+Of every WINDOW neighbouring runs of GRAM words the one with the smallest hash is
+posted, so any two places that agree in MIN_WORDS words post a common run of
+them, wherever the passage starts and however it is punctuated.  A repeated run
+is aligned with its first occurrence (smallest doc_id, then position); occurrences
 on one diagonal of two documents are one candidate region.  Both whole texts are
-then compared, lines first and bytes next, the match grows to its full extent
-beyond the chunks, and a matching run of enough words is removed from the later
-place.  Every removed line has an equal one at an earlier place, so the first
-copy of everything stays.
+then compared, hashes first and bytes next, the match grows to its full extent
+beyond the posted runs, and its lines are removed from the later place if they
+have enough words.  Every removed line has an equal one at an earlier place, so
+the first copy of everything stays.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, in_batches, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
 
-#: Words of a matching run that is removed, of the chunks that make a region worth comparing, and of one chunk.
-MIN_WORDS, MIN_CHUNK_WORDS, LEAST_WORDS = 40, 15, 5
+#: Words of a matching run that is removed, of a posted run, and neighbouring runs of which one is posted.
+#: A passage of MIN_WORDS words agrees in one less with the space behind them, and GRAM + WINDOW - 1 words share a post.
+MIN_WORDS, GRAM, WINDOW = 40, 20, 20
 FOLD_AFTER = b".,;:!?|"
 
 
 class Lines:
-    """Folded lines of a block of texts: byte span and hash of each, words, and the first line of each text."""
+    """Folded lines of a block of texts: byte span of each, and hash, line and text of each word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = word_spans(data, offsets)
@@ -42,41 +44,41 @@ class Lines:
             last |= stop[data[ends - 1]] | (h(starts, ends, 5) & np.uint64(15) == 0)
             last[first[1:][np.diff(first) > 0] - 1] = True
         end_word = np.flatnonzero(last)
-        begin_word = np.append(0, end_word[:-1] + 1) if len(end_word) else end_word
-        self.starts, self.ends = starts[begin_word], ends[end_word]
-        self.words = end_word - begin_word + 1
-        self.hash = h(self.starts, self.ends, 6)
-        self.first = np.searchsorted(begin_word, first)
+        self.begin_word = np.append(0, end_word[:-1] + 1) if len(end_word) else end_word
+        self.starts, self.ends = starts[self.begin_word], ends[end_word]
+        self.word_starts, self.word_ends, self.first_word = starts, ends, first
+        past = ends.copy()
+        past[:-1] = np.where(last[:-1], ends[:-1], starts[1:])
+        self.hash = h(starts, past, 6)
+
+    def whole_lines(self, a: int, b: int) -> tuple[int, int]:
+        """The first word and the one past the end of the whole lines among words ``a`` to ``b``."""
+        edges = np.append(self.begin_word, len(self.hash))
+        low, high = edges[np.searchsorted(edges, a)], edges[np.searchsorted(edges, b, side="right") - 1]
+        return int(low), int(max(low, high))
 
     def chunks(self) -> tuple[np.ndarray, ...]:
-        """Text, first line, lines, words, key and kind (which bit) of every chunk of several lines.
-
-        Two bits of the rolling hash choose boundaries on their own, so that a
-        passage of a few lines still holds a whole chunk of one kind or the other.
-        """
-        n = len(self.hash)
-        if not n:
+        """Text, first word, word past the end, first byte, key and byte past the end of every posted run of words."""
+        n = len(self.hash) - GRAM + 1
+        if n < WINDOW:
             return (np.zeros(0, np.int64),) * 6
-        rolled = mix64(self.hash[:-1] * np.uint64(3) + self.hash[1:])
-        total = np.concatenate([[0], np.cumsum(self.words)])
-        spans, found = SpanHash(self.hash), []
-        for bit in (0, 1):
-            edge = np.zeros(n + 1, bool)
-            edge[self.first] = True
-            edge[2:] |= (rolled >> np.uint64(bit) & np.uint64(1)) == 0
-            edge[n] = True
-            marks = np.flatnonzero(edge)
-            a, b = marks[:-1], marks[1:]
-            words = total[b] - total[a]
-            several = (b - a > 1) & (words >= LEAST_WORDS)
-            a, b = a[several], b[several]
-            row = np.searchsorted(self.first, a, side="right") - 1
-            found.append((row, a - self.first[row], b - a, words[several], spans(a, b, 7 + bit).view(np.int64), np.full(len(a), bit)))
-        return tuple(np.concatenate(x) for x in zip(*found))
+        at = np.arange(n)
+        grams = SpanHash(self.hash)(at, at + GRAM, 7)
+        least, width = grams, 1
+        while width < WINDOW:  # the smallest of a window, the last one of equals
+            step = min(width, WINDOW - width)
+            later = least[step:] <= least[: len(least) - step]
+            at = np.where(later, at[step:], at[: len(at) - step])
+            least = np.where(later, least[step:], least[: len(least) - step])
+            width += step
+        row = np.repeat(np.arange(len(self.first_word) - 1), np.diff(self.first_word))
+        at = np.unique(at[row[: len(at)] == row[GRAM + WINDOW - 2 :]])
+        pos = at - self.first_word[row[at]]
+        return row[at], pos, pos + GRAM, self.word_starts[at], grams[at].view(np.int64), self.word_ends[at + GRAM - 1]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos, n, words, kind of all chunks of several lines."""
+    """key, doc_id, pos of all posted runs of words."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -84,21 +86,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in row_blocks(offsets, 1 << 18):
-                row, pos, n, words, key, chosen = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
+                row, pos, _, _, key, _ = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, *[pa.array(x.astype(np.int32)) for x in (pos, n, words, chosen)]], ["key", "doc_id", "pos", "n", "words", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(pos.astype(np.int32))], ["key", "doc_id", "pos"])
 
-    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int, n int, words int, kind int")
+    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int")
 
 
 def regions(docs: DataFrame) -> DataFrame:
-    """doc_id, first_doc, diagonals: pairs of documents and where their chunks line up."""
+    """doc_id, first_doc, diagonals: pairs of documents and where their posted runs line up."""
     occ = occurrences(docs)
     first = occ.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     later = occ.join(first, "key").where("NOT (doc_id = first_doc AND pos = first_pos)")
-    lined = later.groupBy("doc_id", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.col("n")).alias("high"), *[F.sum(F.when(F.col("kind") == k, F.col("words"))).alias(f"words{k}") for k in (0, 1)])
-    lined = lined.where(F.greatest("words0", "words1") >= MIN_CHUNK_WORDS)  # of the same words in chunks of both kinds, one count
-    return lined.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the shorter text has chunks, at most
+    lined = later.groupBy("doc_id", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("low"), (F.max("pos") + GRAM).alias("high"))
+    return lined.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the later text has posted runs, at most
 
 
 def matching_runs(equal: np.ndarray) -> np.ndarray:
@@ -107,8 +108,12 @@ def matching_runs(equal: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
+def same_words(a: bytes, b: bytes) -> bool:
+    return a == b or a.split() == b.split()
+
+
 def removals(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, spans (begin, end in characters, ascending), n_lines, n_words."""
+    """doc_id, text_hash, spans (begin, end in characters, ascending)."""
     found = materialize(regions(docs), "line-regions")
     wanted = broadcast_if_small(found.select(F.explode(F.array("doc_id", "first_doc")).alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -126,8 +131,10 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
                 chars = np.concatenate([[0], np.cumsum((later & 0xC0) != 0x80)])
                 later, early = later.tobytes(), early.tobytes()
                 for i in range(hi - lo):
-                    hx, hy = x.hash[x.first[i] : x.first[i + 1]], y.hash[y.first[i] : y.first[i + 1]]
+                    u0, v0 = x.first_word[i], y.first_word[i]
+                    hx, hy = x.hash[u0 : x.first_word[i + 1]], y.hash[v0 : y.first_word[i + 1]]
                     base = chars[oa[lo + i] - oa[lo]]
+                    gone = np.zeros(len(hx), bool)
                     for d in diagonals[lo + i].as_py():
                         shift = d["shift"]
                         begin, end = max(0, shift), min(len(hx), len(hy) + shift)
@@ -136,22 +143,25 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
                         for a, b in matching_runs(hx[begin:end] == hy[begin - shift : end - shift]) + begin:
                             if b <= d["low"] or a >= d["high"]:
                                 continue
-                            u, v = x.first[i] + a, y.first[i] + a - shift
-                            words = int(x.words[u : u + b - a].sum())
-                            if words < min_words:
-                                continue
-                            if any(later[p:q] != early[r:s] for p, q, r, s in zip(x.starts[u : u + b - a], x.ends[u : u + b - a], y.starts[v : v + b - a], y.ends[v : v + b - a])):
+                            u, v = u0 + a, v0 + a - shift
+                            if b < end and later[x.word_starts[u0 + b] : x.word_ends[u0 + b]] == early[y.word_starts[v0 + b - shift] : y.word_ends[v0 + b - shift]]:
+                                b += 1  # a word that only differs in what follows it
+                            if b - a < min_words or not same_words(later[x.word_starts[u] : x.word_ends[u0 + b - 1]], early[y.word_starts[v] : y.word_ends[v0 + b - shift - 1]]):
                                 continue
-                            past = x.starts[u + b - a] if u + b - a < x.first[i + 1] else oa[lo + i + 1] - oa[lo]
-                            out.append((lo + i, int(chars[x.starts[u]] - base), int(chars[past] - base), int(b - a), words))
+                            whole = x.whole_lines(u, u0 + b)
+                            if whole[1] - whole[0] >= min_words:
+                                gone[whole[0] - u0 : whole[1] - u0] = True
+                    for a, b in matching_runs(gone):
+                        past = x.word_starts[u0 + b] if u0 + b < x.first_word[i + 1] else oa[lo + i + 1] - oa[lo]
+                        out.append((lo + i, int(chars[x.word_starts[u0 + a]] - base), int(chars[past] - base)))
             at = pa.array([r[0] for r in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *[pa.array([r[j] for r in out], pa.int32()) for j in (1, 2, 3, 4)]],
-                ["doc_id", "text_hash", "begin", "end", "lines", "words"],
+                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *[pa.array([r[j] for r in out], pa.int32()) for j in (1, 2)]],
+                ["doc_id", "text_hash", "begin", "end"],
             )
 
-    spans = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int, lines int, words int")
-    return spans.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum("lines").alias("lines"), F.sum("words").alias("words"))
+    spans = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int")
+    return spans.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -151,6 +151,24 @@ def test_boundaries_survive_a_shift():
     assert len(first & second) >= 0.7 * len(first)
 
 
+def planted(rng, sizes):
+    """Pairs of texts (2 i, 2 i + 1) that share a passage of so many words, which starts and stands anywhere."""
+    rows = []
+    for i, size in enumerate(sizes):
+        source, at = text(rng, 12).split(), rng.randrange(16)
+        for d in (2 * i, 2 * i + 1):
+            around = text(rng, 8).split()
+            place = rng.randrange(len(around))
+            rows.append((d, " ".join(around[:place] + source[at : at + size] + around[place:])))
+    return rows
+
+
+def test_every_planted_passage_is_a_candidate(spark):
+    rows = planted(random.Random(31), [n for n in range(51, 71) for _ in range(8)])
+    found = line_dedup.regions(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc").collect()
+    assert {(r["doc_id"], r["first_doc"]) for r in found} == {(d, d - 1) for d, _ in rows if d % 2}
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
