@@ -9,9 +9,10 @@ them, wherever the passage starts and however it is punctuated.  A repeated run
 is aligned with its first occurrence (smallest doc_id, then position); occurrences
 on one diagonal of two documents are one candidate region.  Both whole texts are
 then compared, hashes first and bytes next, the match grows to its full extent
-beyond the posted runs, and its lines are removed from the later place if they
-have enough words.  Every removed line has an equal one at an earlier place, so
-the first copy of everything stays.
+beyond the posted runs word by word, and if it has enough words, its lines are
+removed from the later place.  The parts of lines at its ends go with them only
+where they make up more than half of it or are long enough themselves.  All that
+is removed stands at an earlier place too, so the first copy of everything stays.
 """
 
 from __future__ import annotations
@@ -51,11 +52,16 @@ class Lines:
         past[:-1] = np.where(last[:-1], ends[:-1], starts[1:])
         self.hash = h(starts, past, 6)
 
-    def whole_lines(self, a: int, b: int) -> tuple[int, int]:
-        """The first word and the one past the end of the whole lines among words ``a`` to ``b``."""
+    def removable(self, a: int, b: int, min_words: int) -> list[tuple[int, int]]:
+        """What goes of a matching run of words: its whole lines, and the parts of lines at its ends where they are long.
+
+        The run goes as it is if less than half of it are whole lines.
+        """
         edges = np.append(self.begin_word, len(self.hash))
-        low, high = edges[np.searchsorted(edges, a)], edges[np.searchsorted(edges, b, side="right") - 1]
-        return int(low), int(max(low, high))
+        low, high = int(edges[np.searchsorted(edges, a)]), int(edges[np.searchsorted(edges, b, side="right") - 1])
+        if 2 * (high - low) < b - a:
+            return [(a, b)]
+        return [(low, high), *[(p, q) for p, q in ((a, low), (high, b)) if q - p >= min_words]]
 
     def chunks(self) -> tuple[np.ndarray, ...]:
         """Text, first word, word past the end, first byte, key and byte past the end of every posted run of words."""
@@ -135,22 +141,26 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
                     hx, hy = x.hash[u0 : x.first_word[i + 1]], y.hash[v0 : y.first_word[i + 1]]
                     base = chars[oa[lo + i] - oa[lo]]
                     gone = np.zeros(len(hx), bool)
-                    for d in diagonals[lo + i].as_py():
+                    same = lambda w, s: later[x.word_starts[u0 + w] : x.word_ends[u0 + w]] == early[y.word_starts[v0 + w - s] : y.word_ends[v0 + w - s]]  # noqa: B023, E731
+                    found = (0, 0)
+                    for d in sorted(diagonals[lo + i].as_py(), key=lambda d: d["shift"]):
                         shift = d["shift"]
                         begin, end = max(0, shift), min(len(hx), len(hy) + shift)
                         if end <= begin:
                             continue
-                        for a, b in matching_runs(hx[begin:end] == hy[begin - shift : end - shift]) + begin:
-                            if b <= d["low"] or a >= d["high"]:
-                                continue
+                        if found[0] <= d["low"] and d["high"] <= found[1] and (found[0] <= begin or not same(found[0] - 1, shift)) and (found[1] >= end or not same(found[1], shift)):
+                            continue  # the match ends inside what goes already, as for the many diagonals of one word over and over
+                        runs = matching_runs(hx[begin:end] == hy[begin - shift : end - shift]) + begin
+                        runs = runs[(runs[:, 1] > d["low"]) & (runs[:, 0] < d["high"]) & (runs[:, 1] - runs[:, 0] >= min_words - 1)]
+                        for a, b in runs.tolist():
                             u, v = u0 + a, v0 + a - shift
-                            if b < end and later[x.word_starts[u0 + b] : x.word_ends[u0 + b]] == early[y.word_starts[v0 + b - shift] : y.word_ends[v0 + b - shift]]:
+                            if b < end and same(b, shift):
                                 b += 1  # a word that only differs in what follows it
                             if b - a < min_words or not same_words(later[x.word_starts[u] : x.word_ends[u0 + b - 1]], early[y.word_starts[v] : y.word_ends[v0 + b - shift - 1]]):
                                 continue
-                            whole = x.whole_lines(u, u0 + b)
-                            if whole[1] - whole[0] >= min_words:
-                                gone[whole[0] - u0 : whole[1] - u0] = True
+                            for p, q in x.removable(u, u0 + b, min_words):
+                                gone[p - u0 : q - u0] = True
+                                found = (p - u0, q - u0) if q - p > found[1] - found[0] else found
                     for a, b in matching_runs(gone):
                         past = x.word_starts[u0 + b] if u0 + b < x.first_word[i + 1] else oa[lo + i + 1] - oa[lo]
                         out.append((lo + i, int(chars[x.word_starts[u0 + a]] - base), int(chars[past] - base)))

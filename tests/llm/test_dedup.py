@@ -169,6 +169,17 @@ def test_every_planted_passage_is_a_candidate(spark):
     assert {(r["doc_id"], r["first_doc"]) for r in found} == {(d, d - 1) for d, _ in rows if d % 2}
 
 
+@pytest.mark.parametrize("punctuation", [True, False])
+def test_passages_at_any_word_go(spark, punctuation):
+    rows = dict(planted(random.Random(32), [n for n in range(51, 71) for _ in range(8)]))
+    if not punctuation:
+        rows = {d: t.replace(".", "").lower() for d, t in rows.items()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert len(runs_of(rows, 51)) == 160 and not runs_of(got, 40)
+    assert all(got[d] == rows[d] for d in rows if d % 2 == 0)  # first copies stay
+    assert all(len(rows[d].split()) - len(got[d].split()) >= 25 for d in rows if d % 2)
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
