@@ -84,6 +84,17 @@ def bootstrap_auroc(wins: DataFrame, weights: DataFrame, cluster: str) -> DataFr
     return rows.groupBy("draw").agg(F.when(total > 0, F.sum(F.col("w_a") * F.col("w_b") * F.col("wins")) / F.nullif(total, F.lit(0.0))).alias("auroc"))
 
 
+def cluster_bootstrap_auroc(df: DataFrame, cluster: str, y: str, score: str, draws: int) -> DataFrame:
+    """draw, auroc: as ``bootstrap_auroc`` for any number of clusters, by one sort of the scores for each draw."""
+    of = lambda v: F.sum((F.col(y) == v).cast("long"))
+    cells = df.groupBy(cluster, score).agg(of(1).alias("p"), of(0).alias("n"))
+    rows = cells.join(cluster_weights(df.select(cluster).distinct(), cluster, draws), cluster)
+    rows = rows.groupBy("draw", score).agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("draw").orderBy(score))
+    sums = rows.withColumn("wins", F.col("p") * (upto - F.col("n") / 2)).groupBy("draw").agg(F.sum("wins").alias("wins"), (F.sum("p") * F.sum("n")).alias("pairs"))
+    return sums.select("draw", (F.col("wins") / F.nullif(F.col("pairs"), F.lit(0))).alias("auroc"))
+
+
 def detectable_r(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     """Smallest correlation that ``n`` pairs detect, by Fisher's transform."""
     return F.when(n > 3, F.tanh((probit(F.lit(1 - alpha / 2)) + probit(F.lit(power))) / F.sqrt(n - 3)))

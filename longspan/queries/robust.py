@@ -190,15 +190,21 @@ def inf02_jn22_cluster_bootstrap(spark, d):
     return resample.bootstrap_auroc(wins, weights, "cohort").select("draw", r6("auroc", "auroc"))
 
 
+@query()
+def inf02_jn22_trajectory_bootstrap(spark, d):
+    """All labelled weeks; trajectories are drawn."""
+    w = panels.labelled_weeks(spark, d).select(F.struct("cohort", "unit").alias("trajectory"), "label", "qty_sum")
+    return resample.cluster_bootstrap_auroc(w, "trajectory", "label", "qty_sum", 50).select("draw", r6("auroc", "auroc"))
+
+
 PERM = f"""people2 AS (SELECT cohort, unit, balance AS x, spent AS y FROM people WHERE spent IS NOT NULL AND unit % 5 = 0),
 r AS (SELECT draw, cohort, unit, x, y, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM people2, range(0, 40) t(draw)),
 p AS (SELECT a.draw, a.x, b.y FROM r a JOIN r b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
 null_r AS (SELECT draw, abs(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y))) AS r FROM p GROUP BY ALL), obs AS (SELECT abs(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y))) AS r FROM people2)"""
 
 
-@query(f"WITH {PEOPLE}, {PERM} SELECT round(any_value(obs.r), 6) AS observed, round(max(null_r.r), 6) AS largest_null, (count_if(null_r.r >= obs.r) + 1) / (count(*) + 1e0) AS p FROM null_r, obs")
-def inf04_max_statistic_permutation(spark, d):
-    p = panels.people(spark, d).where("spent IS NOT NULL AND unit % 5 = 0").select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
+def _max_statistic(people):
+    p = people.select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
     r = lambda: F.abs(metrics.pearson_of(F.col("x"), F.col("y"), 5))
     null = resample.permuted(p, ["y"], 40, "cohort", "unit").groupBy("draw").agg(r().alias("r"))
     seen = p.agg(r().alias("observed"))
@@ -206,6 +212,19 @@ def inf04_max_statistic_permutation(spark, d):
     return b.groupBy("observed").agg(r6(F.max("r"), "largest_null"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p")).withColumn("observed", r6("observed"))
 
 
+@query(f"WITH {PEOPLE}, {PERM} SELECT round(any_value(obs.r), 6) AS observed, round(max(null_r.r), 6) AS largest_null, (count_if(null_r.r >= obs.r) + 1) / (count(*) + 1e0) AS p FROM null_r, obs")
+def inf04_max_statistic_permutation(spark, d):
+    return _max_statistic(panels.people(spark, d).where("spent IS NOT NULL AND unit % 5 = 0"))
+
+
+ALL_PERM = PERM.replace(" AND unit % 5 = 0", "")
+
+
+@query(f"WITH {PEOPLE}, {ALL_PERM} SELECT round(any_value(obs.r), 6) AS observed, round(max(null_r.r), 6) AS largest_null, (count_if(null_r.r >= obs.r) + 1) / (count(*) + 1e0) AS p FROM null_r, obs")
+def inf04_max_statistic_of_all_units(spark, d):
+    return _max_statistic(panels.people(spark, d).where("spent IS NOT NULL"))
+
+
 @query(f"""WITH {LABELS}, k AS (SELECT *, rank() OVER (PARTITION BY cohort, unit ORDER BY mean_tax) + (count(*) OVER (PARTITION BY cohort, unit, mean_tax) - 1) / 2e0 AS rk FROM labelled),
 a AS (SELECT cohort, unit, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(rk * label) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) END AS auroc FROM k GROUP BY cohort, unit),
 u AS (SELECT unit, auroc, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM a WHERE auroc IS NOT NULL), s AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM u, range(0, 100) t(draw)), m AS (SELECT draw, avg(auroc) AS mean_auroc FROM s JOIN u USING (i) GROUP BY ALL)

@@ -191,3 +191,21 @@ def test_no_cohort_is_its_own_model(spark):
     out = splits.leave_one_out(series(spark, [1.0, 2.0]), [0, 1])
     assert {(r["held_out"], r["role"]) for r in out.collect()} == {(0, "test"), (1, "train")}
     assert Window is not None
+
+
+def test_trajectory_bootstrap_reads_every_week(spark, sf_dir):
+    from longspan import catalog
+    from longspan.plans import panels
+
+    w = [((r["cohort"], r["unit"]), r["label"], r["qty_sum"]) for r in panels.labelled_weeks(spark, sf_dir).collect()]
+    names = sorted({t for t, _, _ in w})
+    got = {r["draw"]: r["auroc"] for r in catalog.queries()["inf02_jn22_trajectory_bootstrap"](spark, sf_dir).collect()}
+    assert len(got) == 50 and len(names) > 5
+    import hashlib
+
+    for draw in (0, 1, 49):
+        drawn = [names[int(hashlib.md5(f"{draw}|{i}".encode()).hexdigest()[:12], 16) % len(names)] for i in range(len(names))]
+        rows = [(y, x) for t in drawn for u, y, x in w if u == t]
+        pos, neg = [x for y, x in rows if y == 1], [x for y, x in rows if y == 0]
+        want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+        assert abs(got[draw] - want) < 1e-6
