@@ -55,13 +55,25 @@ def jn18_direct_variability(spark, d):
     return panels.people(spark, d).select("unit", "cohort").join(v, "unit", "left").select("unit", "cohort", r6("click", "sd_click"), r6("view", "sd_view"))
 
 
-@query(f"""WITH {LABELS}, p AS (SELECT cohort, unit, date, mean_tax * 5 AS p_positive FROM weeks WHERE unit % 3 = 0) SELECT p.cohort, p.unit, p.date, label, p_positive FROM p LEFT JOIN labelled l ON l.cohort = p.cohort AND l.unit = p.unit AND l.date = p.date""")
-def jn19_predictions_to_labels(spark, d):
+PREDICTED = f"""WITH {LABELS}, p AS (SELECT cohort, unit, date, mean_tax * 5 AS p_positive FROM weeks WHERE unit % 3 = 0) SELECT p.cohort, p.unit, p.date, label, p_positive FROM p LEFT JOIN labelled l ON l.cohort = p.cohort AND l.unit = p.unit AND l.date = p.date"""
+
+
+def _predictions(spark, d, weeks):
     """Keys are the trajectory and the day; the label comes from one side only."""
-    p = panels.supplier_weeks(spark, d).where("unit % 3 = 0").select("cohort", "unit", "date", (F.col("mean_tax") * 5).alias("p_positive"))
+    p = weeks.select("cohort", "unit", "date", (F.col("mean_tax") * 5).alias("p_positive"))
     return p.join(panels.labelled_weeks(spark, d).select("cohort", "unit", "date", "label"), ["cohort", "unit", "date"], "left")
 
 
+@query(PREDICTED)
+def jn19_predictions_to_labels(spark, d):
+    return _predictions(spark, d, panels.supplier_weeks(spark, d).where("unit % 3 = 0"))
+
+
+@query(PREDICTED.replace(" WHERE unit % 3 = 0", ""))
+def jn19_predictions_to_labels_of_all_units(spark, d):
+    return _predictions(spark, d, panels.supplier_weeks(spark, d))
+
+
 @query()
 def inf23_many_controls(spark, d):
     """What forecastability keeps beyond five controls, by the pseudo-inverse of summed products."""

@@ -144,13 +144,22 @@ def val03_to_val05_checked_join(spark, d):
     return validate.require_rows(n, out).select("n_nationkey", "r_name")
 
 
-@query(f"WITH {DAYS} SELECT target, cohort FROM (SELECT DISTINCT target FROM days WHERE unit % 9 = 1), (SELECT DISTINCT cohort FROM days WHERE unit % 9 = 1) EXCEPT SELECT target, cohort FROM days WHERE unit % 9 = 1 AND NOT (target = 'click' AND cohort = 1)")
+GRID = f"WITH {DAYS} SELECT target, cohort FROM (SELECT DISTINCT target FROM days WHERE unit % 9 = 1), (SELECT DISTINCT cohort FROM days WHERE unit % 9 = 1) EXCEPT SELECT target, cohort FROM days WHERE unit % 9 = 1 AND NOT (target = 'click' AND cohort = 1)"
+
+
+@query(GRID)
 def val06_missing_grid_cells(spark, d):
     u = panels.user_days(spark, d).where("unit % 9 = 1")
     kept = u.where("NOT (target = 'click' AND cohort = 1)")
     return validate.missing_cells(kept, "target", "cohort")
 
 
+@query(GRID.replace(" WHERE unit % 9 = 1 AND", " WHERE").replace(" WHERE unit % 9 = 1", ""))
+def val06_missing_grid_cells_of_all_units(spark, d):
+    kept = panels.user_days(spark, d).where("NOT (target = 'click' AND cohort = 1)")
+    return validate.missing_cells(kept, "target", "cohort")
+
+
 @query("SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 def val07_unmapped(spark, d):
     mapping = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "c_mktsegment string")
