@@ -5,8 +5,8 @@ share, one shuffle adds the counts up.  The most frequent words are the output
 vocabulary of a GRU, whose softmax is factored into classes; any other word is
 "unknown" to the network times its smoothed share of all such words, so the
 probability covers every text.  Truncated backpropagation in numpy first fits the
-network on a bounded sample of whole texts and then, in parallel, on a span of
-every training text; the tasks' weights are averaged by their tokens.
+network on a bounded sample of whole texts and then, in parallel, on every word
+and end of every training text; the tasks' weights are averaged by their tokens.
 
 Scoring runs texts side by side in lanes, window by window.  The state goes from
 one window to the next and starts anew with each text, so the result is the
@@ -31,8 +31,8 @@ HIDDEN, CLASSES, PER_CLASS = 32, 32, 32
 WINDOW, LANES = 64, 256
 #: Words whose counts are sent to all tasks, and slots of the table that holds them there.
 COMMON, SLOT_BITS = 130_000, 20
-#: Bound of the first, single-machine fit: texts; the second fit takes SPAN words of every training text.
-WARM_DOCS, SPAN, SPAN_CHARS = 800, 32, 320
+#: Bound of the first, single-machine fit: texts; the second fit takes every training text whole, so many bytes side by side.
+WARM_DOCS, FIT_BYTES, FIT_WINDOW = 800, 1 << 20, 32
 #: Groups over which the tasks' weights are summed before the driver adds them up.
 SUM_GROUPS = 32
 END_HASH = 1  # no word has this hash but by a chance of 2**-64
@@ -308,27 +308,18 @@ def warm_fit(docs: DataFrame, counts: Counts, n_train: int, epochs: int = 2) ->
 
 
 def spread_fit(docs: DataFrame, counts: Counts, net: Gru) -> Gru:
-    """The second fit: every task goes on from the first one over a span of each of its training texts."""
-    start = (F.floor(unit_hash(F.lit("span"), F.col("doc_id")) * F.greatest(F.lit(1), F.length("text") - SPAN_CHARS)) + 1).cast("int")
-    spans = docs.where("text IS NOT NULL").select(F.substring("text", start, F.lit(SPAN_CHARS)).alias("span"))
+    """The second fit: every task goes on from the first one over all windows of its training texts, ends included."""
     weights, kept = net.flat(), (counts.all_n, counts.all_v, counts.words[:4096], counts.n[:4096])
 
     def run(batches):
         own, table, seen = Gru.of(weights), Counts(*kept), 0
         table.build()
         for batch in batches:
-            data, offsets = text_bytes(batch.column("span"))
-            for lo in range(0, len(offsets) - 1, 2048):
-                hi = min(lo + 2048, len(offsets) - 1)
+            data, offsets = text_bytes(batch.column("text"))
+            for lo, hi in row_blocks(offsets, FIT_BYTES):
                 words, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                ids = table.look_up(words)[0]
-                # the words at a span's ends may be cut, and its end is not the text's: neither is learned
-                sizes = np.clip(np.diff(first) - 3, 0, SPAN)
-                at = np.repeat(first[:-1] + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                if len(at):
-                    edges = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])
-                    fit_block(own, ids[at], edges, 0.002, 64, SPAN)
-                    seen += len(at)
+                fit_block(own, table.look_up(words)[0], first, 0.002, 64, FIT_WINDOW)
+                seen += len(words)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()])], ["part", "seen", "weights"])
 
@@ -341,7 +332,7 @@ def spread_fit(docs: DataFrame, counts: Counts, net: Gru) -> Gru:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()])], ["seen", "weights"])
 
-    each = spans.mapInArrow(run, "part int, seen long, weights binary")
+    each = in_batches(docs.select(F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(run, "part int, seen long, weights binary")
     sums = each.repartition(SUM_GROUPS, "part").select("seen", "weights").mapInArrow(add, "seen long, weights binary").collect()
     if not sums:
         return net

@@ -9,13 +9,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from longspan.llm import bpe, langid, lm_score, toxicity, webp
-from longspan.llm.shared import SpanHash, word_spans
+from longspan.llm.shared import SpanHash, text_bytes, word_spans
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import clashing, empty_docs, ids, odd_docs, odd_rows
 
@@ -292,3 +294,15 @@ def test_span_hashes_do_not_depend_on_place():
     assert h[0] == h[1] != h[2]
     starts, ends, first = word_spans(*batch(["a b", "", "c\td e "]))
     assert first.tolist() == [0, 2, 2, 4] and len(starts) == len(ends) == 4
+
+
+def test_second_fit_learns_first_words_and_ends(spark):
+    rows = [(i, "opening " + " ".join(["kaban lodor mifil"] * 6) + " closing") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    table = lm_score.count_words(docs).orderBy(F.desc("n"), "word").toArrow()
+    counts = lm_score.Counts(sum(table.column("n").to_pylist()), table.num_rows, table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy())
+    counts.build()
+    words, first = lm_score.tokens(*text_bytes(pa.array([rows[0][1]])))
+    token_ids = counts.look_up(words)[0]
+    before, after = (lm_score.score_block(net, token_ids, first) for net in (lm_score.Gru(), lm_score.spread_fit(docs, counts, lm_score.Gru())))
+    assert all(after[i] > before[i] + 0.2 for i in (0, -2, -1)), (before, after)
