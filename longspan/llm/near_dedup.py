@@ -1,26 +1,28 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
 1. Every whole text becomes its set of distinct word shingles; the sketch keeps
-   the ``k`` smallest hash values.  Texts with one and the same set are a class
-   and go on as one representative.
+   the ``k`` smallest hash values.  Texts with one and the same set are a class,
+   which goes on as one node with a number of its own.
 2. Inverted lists of retained values generate candidates.  Two sets with the
    wanted similarity share at least ``need`` retained values (all but one pair in
    ten million by the binomial bound, all pairs of sets no larger than a sketch),
    so each sketch posts only its rarest ``size - need + 1`` values.  Values that
    very many texts retain (a common passage) come last in that order and are
    posted only by texts that consist of little else.
-3. Candidates never are all pairs of a list.  First every member is compared
-   with the first member of its lists, which joins most near copies in linear
-   work.  Then components get a centre, and texts that resemble a large
-   component's centre join its group, linked or not.  Within a group, all share
-   most of the centre, so for members x and m with centre c
+3. Candidates never are all pairs of a list, linked or not.  First every member
+   is compared with the first member of its lists, which joins most near copies
+   in linear work.  Lists of up to LIST members then give their pairs of
+   different components.  A longer list gets a centre: that of the component with
+   most members there, or else its smallest set.  Every member is compared with
+   the centre, and for members x and m with centre c
    ``|x & m| <= min(|x & c|, |m & c|) + |(x - c) & (m - c)|``: only pairs that this
    bound lets pass are compared, found by set size and by inverted lists of what
-   a text has beyond the centre.  Members of one list but of different groups and
-   components are compared directly.  Pairs within a component need no
-   comparison, so no link between different components is lost.
+   a text has beyond the centre.  Pairs within a component need no comparison, so
+   no link between different components is lost.
 4. The sketch of the union estimates the similarity and discards what cannot
    pass; the exact similarity of the full sets, taken from both texts, decides.
+   Texts of a pair are joined by salted keys, so a centre with very many members
+   is spread over tasks.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, in_batches, lower_table, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
+from .shared import broadcast_if_small, in_batches, lower_table, materialize, mix64, row_blocks, SpanHash, text_bytes, with_texts, word_spans
 
-LOSS = 1e-7
+#: Chance that a pair of large sets at the limit is missed, and members up to which all pairs of a list are candidates.
+LOSS, LIST = 1e-7, 32
 
 
 @dataclass(frozen=True)
@@ -85,8 +88,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set), sketch (ascending)."""
-    rows = docs.select("doc_id", "text")
+    """doc_id, text_hash, n_shingles, set_key (a digest of the whole set), sketch (ascending)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     k, words = settings.k, settings.words
 
@@ -103,51 +106,53 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 at = np.cumsum(kept) - kept
                 values = s[np.repeat(first[:-1] - at, kept) + np.arange(int(kept.sum()))]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, kept.sum()).astype(np.int32)), pa.array((values ^ np.uint64(1 << 63)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), lists], ["doc_id", "text_hash", "n_shingles", "set_key", "sketch"])
 
-    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sketch array<long>")
+    return in_batches(rows).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """rep, n, value: the rarest values of each sketch among those that two sketches retain."""
-    every = classes.select("rep", F.explode("sketch").alias("value"))
+    """node, n, value: the rarest values of each sketch among those that two sketches retain."""
+    every = classes.select("node", F.explode("sketch").alias("value"))
     shared = every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = every.join(shared, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # at most k of a rep
+    lists = every.join(shared, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # at most k of a node
     n, k = F.col("n"), settings.k
     size = F.least(n, F.lit(k))
     need = F.when(n * 100 <= k * settings.percent, F.ceil(n * settings.percent / 100)).otherwise(settings.need)
     take = (size - need + 1) - (size - F.size("values"))  # values of one sketch only come first and link nothing
-    rows = classes.select("rep", "n").join(lists, "rep").withColumn("take", take.cast("int")).where("take > 0")
-    return rows.select("rep", "n", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("rep", "n", F.col("v.value").alias("value"))
+    rows = classes.select("node", "n").join(lists, "node").withColumn("take", take.cast("int")).where("take > 0")
+    return rows.select("node", "n", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("node", "n", F.col("v.value").alias("value"))
 
 
 def could_match(n_a: Column, n_b: Column, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings, loose: bool = False) -> DataFrame:
-    """a, b, estimate of the pairs that the union's sketch cannot rule out; ``loose``: with half of what a link needs."""
-    k, part = settings.k, 0.5 if loose else 1.0
-    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """a, b, estimate of the pairs that the union's sketch cannot rule out."""
+    k = settings.k
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = F.array_intersect("s_a", "s_b")
     whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     exact = F.size("both") / (F.col("n_a") + F.col("n_b") - F.size("both"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     hits = F.size(F.filter("both", lambda x: x <= F.element_at("union", -1)))
-    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(whole | (F.size("both") >= settings.need * part)).withColumn("union", union)
+    e = pairs.join(a, "a").join(b, "b").withColumn("both", both).where(whole | (F.size("both") >= settings.need)).withColumn("union", union)
     e = e.withColumn("estimate", F.when(whole, exact).otherwise(hits / F.size("union")))
-    least = F.when(whole, settings.percent / 100 * part - 1e-9).otherwise(settings.need / k * part)
+    least = F.when(whole, settings.percent / 100 - 1e-9).otherwise(settings.need / k)
     return e.where(F.col("estimate") >= least).select("a", "b", "estimate")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, beyond: bool = False) -> DataFrame:
+def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, beyond: bool = False) -> DataFrame:
     """a, b, n_a, n_b, both (size of the intersection) from both whole texts; with ``beyond``, also what b has beyond a."""
     pairs = materialize(pairs.select("a", "b"), "near-pairs")
-    wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    kind, words = pairs.schema["a"].dataType.simpleString(), settings.words
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    places = materialize(classes.join(broadcast_if_small(wanted), "node", "left_semi").select("node", "rep.doc_id", "rep.text_hash"), "near-places")
+    ours = docs.select("doc_id", "text").join(broadcast_if_small(places), "doc_id").where(F.xxhash64("text") == F.col("text_hash"))
+    texts = materialize(ours.dropDuplicates(["node"]).select("node", "text"), "near-texts")  # repeated rows are equal
+    rows = with_texts(pairs, texts, {"a": "text_a", "b": "text_b"})
+    words = settings.words
 
     def run(batches):
         for batch in batches:
@@ -172,16 +177,16 @@ def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, beyond: bool
                     names.append("beyond")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return in_batches(rows.select("a", "b", "text_a", "text_b")).mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
+    return in_batches(rows.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
 
 
 def similar(settings: Settings) -> Column:
     return (F.col("both") > 0) & (F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * settings.percent)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity, written once."""
-    return materialize(compared(pairs, docs, settings).where(similar(settings)).select("a", "b"), "near-links")
+    return materialize(compared(pairs, classes, docs, settings).where(similar(settings)).select("a", "b"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,97 +228,91 @@ def met_twice(pairs: DataFrame, *columns: str) -> DataFrame:
 
 def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of lists with the list's first member."""
-    first = posted.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = posted.join(first, "value").where((F.col("rep") != F.col("first.rep")) & could_match(F.col("n"), F.col("first.n"), percent))
-    return met_twice(pairs.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), "n"), "a", "b")
+    first = posted.groupBy("value").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pairs = posted.join(first, "value").where((F.col("node") != F.col("first.node")) & could_match(F.col("n"), F.col("first.n"), percent))
+    return met_twice(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n"), "a", "b")
 
 
-def groups_of(posted: DataFrame, labels: DataFrame, links: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """rep, centre: the centre of the largest component that a text belongs to or resembles.
+def short_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components in lists of up to LIST members."""
+    lists = rows.join(sizes.where(F.col("size").between(2, LIST) & (F.col("low") < F.col("high"))).select("value"), "value")
+    left = lists.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    right = lists.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    other = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & could_match(F.col("n_a"), F.col("n_b"), percent)
+    return left.join(right, "value").where(other).select("a", "b").distinct()
 
-    A component's centre is its member with most links.  A text meets the largest
-    component of each of its lists, and joins the group if the sketches do not
-    rule out that it resembles the centre.
+
+def centred(rows: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
+    """centre, node of each member of a list with more than LIST members and several components.
+
+    The centre of the component with most members of the list serves where that is
+    a quarter of the list, and else the list's smallest set.  A component's centre
+    is its member with most links.
     """
-    degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    centres = labels.join(degree, "node", "left").groupBy("component").agg(
-        F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("centre"), F.count(F.lit(1)).alias("size")
-    )
-    own = materialize(labels.join(centres, "component").select(F.col("node").alias("rep"), "centre", "size"), "near-centres")
-    main = posted.join(own, "rep").groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"))
-    met = met_twice(posted.join(main, "value").select("rep", "main.centre", "main.size", "n"), "rep", "centre", "size")
-    met = met.join(own.select("rep", F.col("centre").alias("own_centre"), F.col("size").alias("own_size")), "rep", "left")
-    met = materialize(met.where("own_size IS NULL OR (centre <> own_centre AND size > own_size)").where("rep <> centre").select("rep", "centre", "size"), "near-met")
-    like = estimated(met.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, settings, loose=True).select(F.col("a").alias("centre"), F.col("b").alias("rep"))
-    like = like.join(met.distinct(), ["centre", "rep"]).select("rep", "centre", "size")
-    return own.unionByName(like).groupBy("rep").agg(F.max(F.struct("size", "centre")).alias("best")).select("rep", "best.centre")
+    long = rows.join(sizes.where((F.col("size") > LIST) & (F.col("low") < F.col("high"))).select("value", "size", "smallest"), "value")
+    parts = long.groupBy("value", "component").agg(F.count(F.lit(1)).alias("part"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
+    main = parts.groupBy("value").agg(F.max(F.struct("part", "component")).alias("main"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    best = degree.join(rows.select("node", "component").distinct(), "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("best"))
+    main = main.select("value", "smallest", F.when((F.col("main.part") > 1) & (F.col("main.part") * 4 >= F.col("size")), F.col("main.component")).alias("component"))
+    lists = main.join(best, "component", "left").select("value", F.coalesce("best.node", "smallest.node").alias("centre"))
+    return rows.select("value", "node").join(materialize(lists, "near-long"), "value").where("node <> centre").select("centre", "node").distinct()
 
 
 def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one group and different components that the bound by the centre lets pass.
+    """(a, b) of one centre and different components that the bound by the centre lets pass.
 
-    ``members``: centre, rep, n, both (shared with the centre), beyond, component,
-    inside (in the centre's own component).  One of a pair is not inside.
+    ``members``: centre, node, n, both (shared with the centre), beyond, component,
+    inside (in the centre's own component).
     """
     # |x & m| >= wanted(n_x + n_m)
     wanted = lambda n: n * percent / (100 + percent) - 1e-9
-    out = members.where("NOT inside").select("centre", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"))
+    out = members.where("NOT inside").select("centre", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"))
     least = members.groupBy("centre").agg(F.min("n").alias("least"))
     limit = F.floor(F.col("both_x") * (100 + percent) / percent + 1e-9) - F.col("n_x")
     sized = out.join(least, "centre").withColumn("limit", limit).where("limit >= least")
     sized = sized.withColumn("n", F.explode(F.sequence("least", F.least("limit", F.floor(F.col("n_x") * 100 / percent)))))
-    by_size = sized.join(members.select("centre", "n", "rep", "both", "component"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n"))))
+    by_size = sized.join(members.select("centre", "n", "node", "both", "component"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n"))))
     # a member needs this many values beyond the centre in common with any partner, and posts its rarest accordingly
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("both"))
-    every = members.select("centre", "rep", "inside", F.explode("beyond").alias("value"))
-    shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.bool_and("inside").alias("linked")).where("df > 1 AND NOT linked").drop("linked")
-    lists = every.join(shared, ["centre", "value"]).groupBy("centre", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
-    rows = members.join(lists, ["centre", "rep"]).withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
-    rows = rows.select("centre", "rep", "n", "component", "inside", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("*", "v.value")
-    left = rows.where("NOT inside").select("centre", "value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    by_value = left.join(rows.select("centre", "value", "rep", "n", "component", "inside"), ["centre", "value"])
-    by_value = by_value.where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & (F.col("inside") | (F.col("x") < F.col("rep"))))
-    return by_size.select("x", "rep").unionByName(by_value.select("x", "rep")).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-
-
-def direct_pairs(posted: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list, of different groups and components; one is outside the list's largest group.
-
-    Rows carry all values that their text posts (fewer than k), so that a pair is
-    made in one list only: that of the smallest value of both.
-    """
-    rows = posted.join(groups, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = materialize(rows.select("value", "rep", "n", F.coalesce("centre", "rep").alias("centre"), F.coalesce("component", "rep").alias("component")), "near-lists")
-    sizes = rows.groupBy("value", "centre").agg(F.count(F.lit(1)).alias("size"))
-    lists = sizes.groupBy("value").agg(F.max(F.struct("size", "centre")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("main.centre").alias("main"))
-    mixed = rows.join(lists, "value")
-    own = mixed.groupBy("rep").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    mixed = materialize(mixed.join(own, "rep"), "near-mixed")
-    minor = mixed.where("centre <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("centre").alias("g_x"), F.col("values").alias("values_x"))
-    other = (F.col("component") != F.col("c_x")) & (F.col("centre") != F.col("g_x")) & could_match(F.col("n"), F.col("n_x"), percent)
-    once = (F.col("centre") == F.col("main")) | (F.col("x") < F.col("rep"))  # two minor members meet twice
-    first = F.array_min(F.array_intersect("values", "values_x")) == minor["value"]
-    pairs = minor.join(mixed, (minor["value"] == mixed["value"]) & other & once & first)
-    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-
-
-def links_of(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) between class representatives whose components are those of all links."""
+    every = members.select("centre", "node", "component", F.explode("beyond").alias("value"))
+    shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    lists = every.join(shared, ["centre", "value"]).groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
+    rows = members.join(lists, ["centre", "node"]).withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
+    rows = rows.select("centre", "node", "n", "component", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("*", "v.value").drop("v")
+    rows = materialize(rows, "near-beyond-lists")
+    # one of a pair is not of the component with most members of the list
+    parts = rows.groupBy("centre", "value", "component").agg(F.count(F.lit(1)).alias("part"))
+    mains = parts.groupBy("centre", "value").agg(F.max(F.struct("part", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = rows.join(mains.select("centre", "value", F.col("main.component").alias("main")), ["centre", "value"])
+    left = mixed.where("component <> main").select("centre", "value", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    by_value = left.join(mixed, ["centre", "value"])
+    by_value = by_value.where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("node"))))
+    return by_size.select("x", "node").unionByName(by_value.select("x", "node")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def links_of(classes: DataFrame, given: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all links, with the ``given`` ones among them."""
     posted = materialize(postings(classes, settings), "postings")
     star = estimated(star_pairs(posted, settings.percent), classes, settings)
     best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-    links = confirmed(best, docs, settings)
-    labels = materialize(components(links), "near-labels")
-    groups = materialize(groups_of(posted, labels, links, classes, settings), "near-groups")
-    to_centre = materialize(compared(groups.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")), docs, settings, beyond=True), "near-beyond")
+    links = materialize(confirmed(best, classes, docs, settings).unionByName(given), "near-links")
+
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        labels = materialize(components(links), "near-labels")
+        rows = materialize(posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-lists")
+        sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("n", "node")).alias("smallest"))
+        return labels, rows, materialize(sizes.where("size > 1 AND low < high"), "near-sizes")
+
+    _, rows, sizes = labelled(links)
+    to_centre = materialize(compared(centred(rows, sizes, links).select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, docs, settings, beyond=True), "near-beyond")
     links = materialize(links.unionByName(to_centre.where(similar(settings)).select("a", "b")), "near-links")
-    labels = materialize(components(links), "near-labels")
-    component = labels.select(F.col("node").alias("rep"), "component")
-    members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.col("n_b").alias("n"), "both", "beyond").join(component, "rep", "left")
-    members = members.join(component.withColumnsRenamed({"rep": "centre", "component": "main"}), "centre", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels, rows, sizes = labelled(links)
+    members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("n_b").alias("n"), "both", "beyond").join(labels, "node", "left")
+    members = members.join(labels.withColumnsRenamed({"node": "centre", "component": "main"}), "centre", "left").withColumn("component", F.coalesce("component", "node"))
     members = materialize(members.withColumn("inside", F.col("component") == F.coalesce("main", "centre")).drop("main"), "near-members")
-    cross = bounded_pairs(members, settings.percent).unionByName(direct_pairs(posted, groups, labels, settings.percent)).distinct()
-    return links.unionByName(confirmed(estimated(cross, classes, settings), docs, settings))
+    cross = bounded_pairs(members, settings.percent).unionByName(short_pairs(rows, sizes, settings.percent)).distinct()
+    return links.unionByName(confirmed(estimated(cross, classes, settings), classes, docs, settings))
 
 
 def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -322,20 +321,27 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A-Z are lower-cased and words are runs of other than the six ASCII white
     space characters.  A text with fewer words than a shingle has one shingle;
     null, empty and white-space texts have none, are linked with nothing and
-    kept.  Repeated rows of one doc_id are one node: they share its component
-    and the links of each of its texts' classes.  A null doc_id is never linked
-    and is kept.  An empty table gives an empty result; further columns are
-    ignored.
+    kept.  Texts of any length are taken whole; a task holds a block of them.
+    Repeated rows of one doc_id are one document: they share its component and
+    the links of each of its texts' classes.  A null doc_id is never linked and is
+    kept.  An empty table gives an empty result; further columns are ignored.
+
+    Shingles are told apart by 64-bit values, sets by 128-bit digests of these: of
+    two sets with n shingles together, some two different shingles are taken for
+    one with a chance of about n * n / 2**65, except in texts made to collide.
     """
     sets = materialize(sketches(docs, settings), "sketches")
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
-        known.groupBy("set_key", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).select("set_key", "rep", "n", "sketch"),
-        "classes",
-    )
-    labels = materialize(components(links_of(classes, docs, settings)), "near-components")
-    member = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    known = known.join(member, "set_key")
+    classes = known.groupBy("set_key", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    known = materialize(known.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key").drop("set_key"), "near-nodes")
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    given = known.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct()
+    labels = materialize(components(links_of(classes, given, docs, settings)), "near-components")
+    ids = classes.select("node", F.col("rep.doc_id").alias("doc_id")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    member = materialize(ids.select("node", "component").join(least, "component").select("node", "component_id"), "near-members")
+    known = known.join(member, "node")
     rest = sets.where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id"]
     out = known.select(*columns).unionByName(rest.select(*columns))

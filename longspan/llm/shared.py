@@ -61,6 +61,32 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Pairs of one key that go to one task, beside the key's text.
+SALT_ROWS = 256
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``pairs`` with the texts of the nodes in the columns ``names``; ``texts``: node, text, one row each.
+
+    A key in more than SALT_ROWS pairs is dealt over several tasks, and its text
+    goes to each of these.  ``pairs`` should be a written table, it is read again.
+    """
+    parts = {}
+    for key in names:
+        times = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > SALT_ROWS)
+        parts[key] = broadcast_if_small(materialize(times.select(key, F.ceil(F.col("times") / SALT_ROWS).cast("int").alias("parts")), "hot"))
+    rows = pairs
+    for key in names:
+        other = next(k for k in names if k != key)
+        salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), "parts")).cast("int")
+        rows = rows.join(parts[key], key, "left").withColumn(f"salt_{key}", salt).drop("parts")
+    for key, name in names.items():
+        copies = texts.withColumnRenamed("node", key).join(parts[key], key, "left")
+        copies = copies.withColumn(f"salt_{key}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+        rows = rows.join(copies.select(key, f"salt_{key}", F.col("text").alias(name)), [key, f"salt_{key}"])
+    return rows.drop(*[f"salt_{key}" for key in names])
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; a null value counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

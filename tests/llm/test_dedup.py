@@ -76,6 +76,52 @@ def test_near_dedup_of_groups_near_the_limit(spark, k):
     assert near(df, k=k) == brute_near(rows)
 
 
+def test_texts_of_one_doc_id_link_each_for_itself(spark):
+    rng = random.Random(8)
+    a, b = text(rng, 12), text(rng, 12)
+    rows = [(1, a), (1, b), (2, a + " kaban"), (3, b + " kaban"), (7, text(rng, 12)), (9, b), (9, text(rng, 12))]
+    got = near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_near(rows) and {c for d, _, c, _ in got if d in (1, 2, 3, 9)} == {1}
+
+
+def candidates(spark, monkeypatch, rows):
+    """Pairs whose whole texts were compared, and the result."""
+    pairs, compared = [], near_dedup.compared
+
+    def counted(found, *args, **kwargs):
+        found = near_dedup.materialize(found, "counted")
+        pairs.append(found.count())
+        return compared(found, *args, **kwargs)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    out = near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    monkeypatch.undo()
+    return sum(pairs), out
+
+
+def test_candidates_of_a_common_passage_grow_in_proportion(spark, monkeypatch):
+    counts = []
+    for n in (100, 200, 400):
+        rng = random.Random(17)
+        passage = text(rng, 8)
+        rows = [(i, passage + " " + text(rng, 8)) for i in range(n)]
+        number, got = candidates(spark, monkeypatch, rows)
+        assert all(kept for *_, kept in got)
+        counts.append(number)
+    assert counts[2] <= 2.6 * counts[1] and counts[1] <= 2.6 * counts[0] and counts[2] <= 12 * 400
+
+
+def test_large_clusters_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(19)
+    passage = text(rng, 8)
+    texts = [t for _ in range(2) for t in copies(rng, passage + " " + text(rng, 9), 80, 2)]
+    texts += [passage + " " + text(rng, 7) for _ in range(60)] + copies(rng, passage + " " + text(rng, 2), 80, 1)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    number, got = candidates(spark, monkeypatch, rows)
+    assert got == brute_near(rows) and number <= 12 * len(rows)
+
+
 def test_binomial_bound():
     s = near_dedup.Settings()
     assert s.need == 19 and near_dedup.Settings(k=64).need == 29
