@@ -10,17 +10,20 @@
    very many texts retain (a common passage) come last in that order and are
    posted only by texts that consist of little else.
 3. Candidates never are all pairs of a list, linked or not.  First every member
-   is compared with the first member of its lists, which joins most near copies
-   in linear work.  Lists of up to LIST members then give their pairs of
-   different components.  A longer list gets a centre: that of the component with
-   most members there, or else its smallest set.  Every member is compared with
-   the centre, and for members x and m with centre c
-   ``|x & m| <= min(|x & c|, |m & c|) + |(x - c) & (m - c)|``: only pairs that this
-   bound lets pass are compared, found by set size and by inverted lists of what
-   a text has beyond the centre.  Pairs within a component need no comparison, so
-   no link between different components is lost.
-4. The sketch of the union estimates the similarity and discards what cannot
-   pass; the exact similarity of the full sets, taken from both texts, decides.
+   is compared with the member of most weight of its lists (the one most of whose
+   values are frequent), which joins most near copies in linear work.  The lists
+   are then split by size of the sets.  Those of up to LIST members give their
+   pairs of different components.  A longer list gets a centre: of the component
+   with most members there, or else the smallest set.  Every member is compared
+   with the centre and keeps what it lacks of it and has beyond it.  For members
+   x and m with centre c ``|x & m| <= min(|x & c|, |m & c|) + |(x - c) & (m - c)|``,
+   so only texts that share enough beyond the centre are candidates, found by
+   inverted lists and sieved by bitmaps, and what they lack in common tells the exact size of ``x & m``
+   without another look at the texts.  Pairs within a component need no
+   comparison, so no link between different components is lost.
+4. For all other pairs the sketch of the union estimates the similarity and
+   discards what cannot pass; the exact similarity of the full sets, taken from
+   both texts, decides.
    Texts of a pair are joined by salted keys, so a centre with very many members
    is spread over tasks.
 """
@@ -112,7 +115,11 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """node, n, value: the rarest values of each sketch among those that two sketches retain."""
+    """node, n, weight, value: the rarest values of each sketch among those that two sketches retain.
+
+    The weight is high for a text most of whose values very many sketches retain,
+    such as the one that other texts are copies of.
+    """
     every = classes.select("node", F.explode("sketch").alias("value"))
     shared = every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = every.join(shared, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # at most k of a node
@@ -120,8 +127,9 @@ def postings(classes: DataFrame, settings: Settings) -> DataFrame:
     size = F.least(n, F.lit(k))
     need = F.when(n * 100 <= k * settings.percent, F.ceil(n * settings.percent / 100)).otherwise(settings.need)
     take = (size - need + 1) - (size - F.size("values"))  # values of one sketch only come first and link nothing
-    rows = classes.select("node", "n").join(lists, "node").withColumn("take", take.cast("int")).where("take > 0")
-    return rows.select("node", "n", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("node", "n", F.col("v.value").alias("value"))
+    weight = F.aggregate("values", F.lit(0).cast("long"), lambda total, v: total + v["df"]) / size
+    rows = classes.select("node", "n").join(lists, "node").withColumn("take", take.cast("int")).where("take > 0").withColumn("weight", weight)
+    return rows.select("node", "n", "weight", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("node", "n", "weight", F.col("v.value").alias("value"))
 
 
 def could_match(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -145,7 +153,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataF
 
 
 def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, beyond: bool = False) -> DataFrame:
-    """a, b, n_a, n_b, both (size of the intersection) from both whole texts; with ``beyond``, also what b has beyond a."""
+    """a, b, n_a, n_b, both (size of the intersection) from both whole texts; with ``beyond``, also what b has beyond a, and lacks of it."""
     pairs = materialize(pairs.select("a", "b"), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = materialize(classes.join(broadcast_if_small(wanted), "node", "left_semi").select("node", "rep.doc_id", "rep.text_hash"), "near-places")
@@ -160,24 +168,23 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Se
             for lo, hi in row_blocks(oa + ob, 1 << 18):
                 x, fx = shingle_sets(da[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo], words)
                 y, fy = shingle_sets(db[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo], words)
-                both, rest = np.zeros(hi - lo, np.int64), []
+                both, rest, gone = np.zeros(hi - lo, np.int64), [], []
                 for i in range(hi - lo):
                     p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                    if not len(p):
-                        rest.append(q)
-                        continue
-                    shared = p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q
-                    both[i] = shared.sum()
-                    rest.append(q[~shared])
+                    inside = p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q if len(p) else np.zeros(len(q), bool)
+                    both[i] = inside.sum()
+                    if beyond:
+                        rest.append(q[~inside])
+                        gone.append(np.setdiff1d(p, q, assume_unique=True))
                 out = [batch.column(c).slice(lo, hi - lo) for c in ("a", "b")] + [pa.array(np.diff(fx).astype(np.int64)), pa.array(np.diff(fy).astype(np.int64)), pa.array(both)]
                 names = ["a", "b", "n_a", "n_b", "both"]
-                if beyond:
-                    edges = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rest).view(np.int64))))
-                    names.append("beyond")
+                for name, parts in (("beyond", rest), ("missing", gone)) if beyond else ():
+                    edges = np.concatenate([[0], np.cumsum([len(r) for r in parts])]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts).view(np.int64))))
+                    names.append(name)
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return in_batches(rows.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", beyond array<long>" * beyond)
+    return in_batches(rows.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", beyond array<long>, missing array<long>" * beyond)
 
 
 def similar(settings: Settings) -> Column:
@@ -227,12 +234,18 @@ def met_twice(pairs: DataFrame, *columns: str) -> DataFrame:
 
 
 def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of lists with the list's first member."""
-    first = posted.groupBy("value").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """(a, b): members of lists with the list's member of most weight."""
+    first = posted.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = posted.join(first, "value").where((F.col("node") != F.col("first.node")) & could_match(F.col("n"), F.col("first.n"), percent))
     return met_twice(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n"), "a", "b")
 
 
+def by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with lists split by size: each member is in two, and any two similar ones meet in one."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100.5 / percent))).cast("int")
+    return rows.withColumn("value", F.explode(F.array(F.xxhash64("value", step), F.xxhash64("value", step + 1))))
+
+
 def short_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components in lists of up to LIST members."""
     lists = rows.join(sizes.where(F.col("size").between(2, LIST) & (F.col("low") < F.col("high"))).select("value"), "value")
@@ -245,50 +258,80 @@ def short_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def centred(rows: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
     """centre, node of each member of a list with more than LIST members and several components.
 
-    The centre of the component with most members of the list serves where that is
-    a quarter of the list, and else the list's smallest set.  A component's centre
-    is its member with most links.
+    The member with most links of the list's largest component serves where that
+    is a quarter of the list, and else the smallest set.
     """
-    long = rows.join(sizes.where((F.col("size") > LIST) & (F.col("low") < F.col("high"))).select("value", "size", "smallest"), "value")
-    parts = long.groupBy("value", "component").agg(F.count(F.lit(1)).alias("part"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
-    main = parts.groupBy("value").agg(F.max(F.struct("part", "component")).alias("main"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    best = degree.join(rows.select("node", "component").distinct(), "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("best"))
-    main = main.select("value", "smallest", F.when((F.col("main.part") > 1) & (F.col("main.part") * 4 >= F.col("size")), F.col("main.component")).alias("component"))
-    lists = main.join(best, "component", "left").select("value", F.coalesce("best.node", "smallest.node").alias("centre"))
-    return rows.select("value", "node").join(materialize(lists, "near-long"), "value").where("node <> centre").select("centre", "node").distinct()
+    long = rows.join(sizes.where((F.col("size") > LIST) & (F.col("low") < F.col("high"))).select("value", "size", "smallest"), "value")
+    long = materialize(long.join(degree, "node", "left"), "near-long")
+    parts = long.groupBy("value", "component").agg(F.count(F.lit(1)).alias("part"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("best"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
+    main = parts.groupBy("value").agg(F.max(F.struct("part", "best")).alias("main"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
+    centre = F.when((F.col("main.part") > 1) & (F.col("main.part") * 4 >= F.col("size")), F.col("main.best.node")).otherwise(F.col("smallest.node"))
+    return long.select("value", "node").join(materialize(main.select("value", centre.alias("centre")), "near-centres"), "value").where("node <> centre").select("centre", "node").distinct()
+
 
+#: 64-bit words of a bitmap of differences from a centre.
+BIT_WORDS = 8
 
-def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one centre and different components that the bound by the centre lets pass.
 
-    ``members``: centre, node, n, both (shared with the centre), beyond, component,
-    inside (in the centre's own component).
+def bitmap(values: Column) -> Column:
+    """Which of 64 * BIT_WORDS remainders occur among the values."""
+    word = lambda w: F.aggregate(
+        F.filter(values, lambda v: F.pmod(F.shiftright(v, 6), F.lit(BIT_WORDS)) == w),
+        F.lit(0).cast("long"),
+        lambda bits, v: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(64)).cast("int"))),
+    )
+    return F.array(*[word(w) for w in range(BIT_WORDS)])
+
+
+def bits_set(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda n, word: n + F.bit_count(word))
+
+
+def bounded_links(members: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of members of one centre and different components.
+
+    ``members``: centre, node, n, n_c (of the centre), both (shared with the
+    centre), beyond, missing, component, inside (in the centre's own component).
     """
     # |x & m| >= wanted(n_x + n_m)
     wanted = lambda n: n * percent / (100 + percent) - 1e-9
-    out = members.where("NOT inside").select("centre", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"))
-    least = members.groupBy("centre").agg(F.min("n").alias("least"))
+    members = members.withColumn("bits", bitmap(F.concat("beyond", "missing")))
+    members = materialize(members.withColumn("excess", F.size("beyond") + F.size("missing") - bits_set(F.col("bits"))), "near-members")
+    light = members.select("centre", "node", "n", "n_c", "both", "component", "inside", "bits", "excess", "component", "inside", F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.05))).alias("scale"))
+    least = light.groupBy("centre").agg(F.min("n").alias("least"))
+    scales = light.groupBy("centre", F.col("scale")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x = lambda rows: rows.select(*[c for c in rows.columns if c in ("centre", "value", "scale", "main")], F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"), F.col("bits").alias("bits_x"), F.col("excess").alias("excess_x"))
+    # pairs whose shares of the centre may be enough: x is not inside
     limit = F.floor(F.col("both_x") * (100 + percent) / percent + 1e-9) - F.col("n_x")
-    sized = out.join(least, "centre").withColumn("limit", limit).where("limit >= least")
+    sized = x(light.where("NOT inside").drop("scale")).join(least, "centre").withColumn("limit", limit).where("limit >= least")
     sized = sized.withColumn("n", F.explode(F.sequence("least", F.least("limit", F.floor(F.col("n_x") * 100 / percent)))))
-    by_size = sized.join(members.select("centre", "n", "node", "both", "component"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n"))))
-    # a member needs this many values beyond the centre in common with any partner, and posts its rarest accordingly
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("both"))
+    enough = sized.join(light.drop("inside", "scale", "bits", "excess"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n")))).select("centre", "x", "node")
+    # others share values beyond the centre: the one with the lesser share of the centre probes with its rarest, as it needs
+    # so many in common with a text of some size
     every = members.select("centre", "node", "component", F.explode("beyond").alias("value"))
     shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    lists = every.join(shared, ["centre", "value"]).groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
-    rows = members.join(lists, ["centre", "node"]).withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
-    rows = rows.select("centre", "node", "n", "component", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("v")).select("*", "v.value").drop("v")
-    rows = materialize(rows, "near-beyond-lists")
-    # one of a pair is not of the component with most members of the list
-    parts = rows.groupBy("centre", "value", "component").agg(F.count(F.lit(1)).alias("part"))
-    mains = parts.groupBy("centre", "value").agg(F.max(F.struct("part", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = rows.join(mains.select("centre", "value", F.col("main.component").alias("main")), ["centre", "value"])
-    left = mixed.where("component <> main").select("centre", "value", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    by_value = left.join(mixed, ["centre", "value"])
-    by_value = by_value.where((F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("node"))))
-    return by_size.select("x", "node").unionByName(by_value.select("x", "node")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    held = materialize(every.join(shared.select("centre", "value", "df"), ["centre", "value"]), "near-held")
+    parts = held.groupBy("centre", "value", "component").agg(F.count(F.lit(1)).alias("part"))
+    mains = parts.groupBy("centre", "value").agg(F.max(F.struct("part", "component")).alias("main")).select("centre", "value", F.col("main.component").alias("main"))
+    index = materialize(held.join(light.drop("component", "inside"), ["centre", "node"]).join(mains, ["centre", "value"]), "near-index")
+    lists = held.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
+    need = F.greatest(F.lit(1), F.ceil(wanted(F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100 - 1e-9))) - F.col("both")))
+    probes = light.drop("scale").join(lists, ["centre", "node"]).join(scales, "centre").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+    probes = probes.withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
+    probes = x(probes.withColumn("value", F.explode(F.slice("values", F.lit(1), F.col("take"))["value"])).join(mains, ["centre", "value"]))
+    more = (F.col("both") > F.col("both_x")) | ((F.col("both") == F.col("both_x")) & (F.col("node") > F.col("x")))
+    other = (F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & more
+    # two texts have |x & m| = |x & c| + |m & c| - |c| + (differences in common), and the bitmaps bound the last
+    common = bits_set(F.zip_with("bits_x", "bits", lambda a, b: a.bitwiseAND(b))) + F.least("excess_x", "excess")
+    other &= common >= wanted(F.col("n_x") + F.col("n")) + F.col("n_c") - F.col("both_x") - F.col("both")
+    met = lambda left, right: left.join(right.drop("main"), ["centre", "value", "scale"]).where(other).select("centre", "x", "node")  # noqa: E731  never the main component with itself
+    found = met(probes.where("c_x <> main"), index).unionByName(met(probes.where("c_x = main"), index.where("component <> main")))
+    pairs = materialize(enough.unionByName(found).distinct(), "near-bounded")
+    whole = members.select("centre", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("beyond").alias("beyond_x"), F.col("missing").alias("missing_x"))
+    rows = pairs.join(whole, ["centre", "x"]).join(members.select("centre", "node", "n", "n_c", "both", "beyond", "missing"), ["centre", "node"])
+    common = F.col("both_x") + F.col("both") - F.col("n_c") + F.size(F.array_intersect("missing_x", "missing")) + F.size(F.array_intersect("beyond_x", "beyond"))
+    return rows.where(common * 100 >= (F.col("n_x") + F.col("n") - common) * percent).select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def links_of(classes: DataFrame, given: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
@@ -298,9 +341,11 @@ def links_of(classes: DataFrame, given: DataFrame, docs: DataFrame, settings: Se
     best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialize(confirmed(best, classes, docs, settings).unionByName(given), "near-links")
 
+    parted = materialize(by_size(posted.select("node", "n", "value"), settings.percent), "near-parted")
+
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         labels = materialize(components(links), "near-labels")
-        rows = materialize(posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-lists")
+        rows = materialize(parted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-lists")
         sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("n", "node")).alias("smallest"))
         return labels, rows, materialize(sizes.where("size > 1 AND low < high"), "near-sizes")
 
@@ -308,11 +353,11 @@ def links_of(classes: DataFrame, given: DataFrame, docs: DataFrame, settings: Se
     to_centre = materialize(compared(centred(rows, sizes, links).select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, docs, settings, beyond=True), "near-beyond")
     links = materialize(links.unionByName(to_centre.where(similar(settings)).select("a", "b")), "near-links")
     labels, rows, sizes = labelled(links)
-    members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("n_b").alias("n"), "both", "beyond").join(labels, "node", "left")
+    members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("n_a").alias("n_c"), F.col("n_b").alias("n"), "both", "beyond", "missing").join(labels, "node", "left")
     members = members.join(labels.withColumnsRenamed({"node": "centre", "component": "main"}), "centre", "left").withColumn("component", F.coalesce("component", "node"))
     members = materialize(members.withColumn("inside", F.col("component") == F.coalesce("main", "centre")).drop("main"), "near-members")
-    cross = bounded_pairs(members, settings.percent).unionByName(short_pairs(rows, sizes, settings.percent)).distinct()
-    return links.unionByName(confirmed(estimated(cross, classes, settings), classes, docs, settings))
+    short = estimated(short_pairs(rows, sizes, settings.percent), classes, settings)
+    return links.unionByName(bounded_links(members, settings.percent)).unionByName(confirmed(short, classes, docs, settings))
 
 
 def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
