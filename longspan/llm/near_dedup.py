@@ -13,8 +13,8 @@
    is compared with the member of most weight of its lists (the one most of whose
    values are frequent), which joins most near copies in linear work.  The lists
    are then split by size of the sets.  Those of up to LIST members give their
-   pairs of different components.  A longer list gets a centre: of the component
-   with most members there, or else the smallest set.  Every member is compared
+   pairs of different components.  A longer list gets a centre,
+   again a member of most weight.  Every member is compared
    with the centre and keeps what it lacks of it and has beyond it.  For members
    x and m with centre c ``|x & m| <= min(|x & c|, |m & c|) + |(x - c) & (m - c)|``,
    so only texts that share enough beyond the centre are candidates, found by
@@ -35,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, in_batches, lower_table, materialize, mix64, row_blocks, SpanHash, text_bytes, with_texts, word_spans
@@ -255,18 +255,17 @@ def short_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "value").where(other).select("a", "b").distinct()
 
 
-def centred(rows: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
+def centred(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """centre, node of each member of a list with more than LIST members and several components.
 
-    The member with most links of the list's largest component serves where that
-    is a quarter of the list, and else the smallest set.
+    The centre is the member of most weight, of the list's largest component where
+    that is a quarter of the list.
     """
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    long = rows.join(sizes.where((F.col("size") > LIST) & (F.col("low") < F.col("high"))).select("value", "size", "smallest"), "value")
-    long = materialize(long.join(degree, "node", "left"), "near-long")
-    parts = long.groupBy("value", "component").agg(F.count(F.lit(1)).alias("part"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("best"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
-    main = parts.groupBy("value").agg(F.max(F.struct("part", "best")).alias("main"), F.max("size").alias("size"), F.max("smallest").alias("smallest"))
-    centre = F.when((F.col("main.part") > 1) & (F.col("main.part") * 4 >= F.col("size")), F.col("main.best.node")).otherwise(F.col("smallest.node"))
+    long = rows.join(sizes.where((F.col("size") > LIST) & (F.col("low") < F.col("high"))).select("value", "size"), "value")
+    long = materialize(long.select("value", "size", "node", "component", "weight"), "near-long")
+    parts = long.groupBy("value", "size", "component").agg(F.count(F.lit(1)).alias("part"), F.max(F.struct("weight", "node")).alias("best"))
+    main = parts.groupBy("value").agg(F.max(F.struct("part", "best")).alias("main"), F.max("best").alias("best"), F.max("size").alias("size"))
+    centre = F.when((F.col("main.part") > 1) & (F.col("main.part") * 4 >= F.col("size")), F.col("main.best.node")).otherwise(F.col("best.node"))
     return long.select("value", "node").join(materialize(main.select("value", centre.alias("centre")), "near-centres"), "value").where("node <> centre").select("centre", "node").distinct()
 
 
@@ -298,7 +297,7 @@ def bounded_links(members: DataFrame, percent: int) -> DataFrame:
     wanted = lambda n: n * percent / (100 + percent) - 1e-9
     members = members.withColumn("bits", bitmap(F.concat("beyond", "missing")))
     members = materialize(members.withColumn("excess", F.size("beyond") + F.size("missing") - bits_set(F.col("bits"))), "near-members")
-    light = members.select("centre", "node", "n", "n_c", "both", "component", "inside", "bits", "excess", "component", "inside", F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.05))).alias("scale"))
+    light = members.select("centre", "node", "n", "n_c", "both", "component", "inside", "bits", "excess", F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.05))).alias("scale"))
     least = light.groupBy("centre").agg(F.min("n").alias("least"))
     scales = light.groupBy("centre", F.col("scale")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x = lambda rows: rows.select(*[c for c in rows.columns if c in ("centre", "value", "scale", "main")], F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("component").alias("c_x"), F.col("bits").alias("bits_x"), F.col("excess").alias("excess_x"))
@@ -309,23 +308,25 @@ def bounded_links(members: DataFrame, percent: int) -> DataFrame:
     enough = sized.join(light.drop("inside", "scale", "bits", "excess"), ["centre", "n"]).where((F.col("c_x") != F.col("component")) & (F.col("both") >= wanted(F.col("n_x") + F.col("n")))).select("centre", "x", "node")
     # others share values beyond the centre: the one with the lesser share of the centre probes with its rarest, as it needs
     # so many in common with a text of some size
+    # (values that the same texts hold count as one, with a weight)
     every = members.select("centre", "node", "component", F.explode("beyond").alias("value"))
-    shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    held = materialize(every.join(shared.select("centre", "value", "df"), ["centre", "value"]), "near-held")
+    holders = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"holders_{i}") for i in (1, 2)]
+    shared = every.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), *holders).where("low < high")
+    kinds = shared.groupBy("centre", "holders_1", "holders_2").agg(F.min("value").alias("value"), F.min("df").alias("df"), F.count(F.lit(1)).alias("weight"))
+    held = materialize(every.join(kinds.select("centre", "value", "df", "weight"), ["centre", "value"]), "near-held")
     parts = held.groupBy("centre", "value", "component").agg(F.count(F.lit(1)).alias("part"))
     mains = parts.groupBy("centre", "value").agg(F.max(F.struct("part", "component")).alias("main")).select("centre", "value", F.col("main.component").alias("main"))
-    index = materialize(held.join(light.drop("component", "inside"), ["centre", "node"]).join(mains, ["centre", "value"]), "near-index")
-    lists = held.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # a text's own values
+    after = Window.partitionBy("centre", "node").orderBy(F.desc("df"), F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)  # of a text's own values, the frequent first
+    index = held.withColumn("rest", F.sum("weight").over(after)).drop("component", "df", "weight").join(light.drop("inside"), ["centre", "node"])
+    index = materialize(index.join(mains, ["centre", "value"]), "near-index")
     need = F.greatest(F.lit(1), F.ceil(wanted(F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100 - 1e-9))) - F.col("both")))
-    probes = light.drop("scale").join(lists, ["centre", "node"]).join(scales, "centre").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-    probes = probes.withColumn("take", (F.size("values") - need + 1).cast("int")).where("take > 0")
-    probes = x(probes.withColumn("value", F.explode(F.slice("values", F.lit(1), F.col("take"))["value"])).join(mains, ["centre", "value"]))
+    probes = x(index.drop("scale").join(scales, "centre").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("rest") >= need)))
     more = (F.col("both") > F.col("both_x")) | ((F.col("both") == F.col("both_x")) & (F.col("node") > F.col("x")))
     other = (F.col("c_x") != F.col("component")) & could_match(F.col("n_x"), F.col("n"), percent) & more
     # two texts have |x & m| = |x & c| + |m & c| - |c| + (differences in common), and the bitmaps bound the last
     common = bits_set(F.zip_with("bits_x", "bits", lambda a, b: a.bitwiseAND(b))) + F.least("excess_x", "excess")
     other &= common >= wanted(F.col("n_x") + F.col("n")) + F.col("n_c") - F.col("both_x") - F.col("both")
-    met = lambda left, right: left.join(right.drop("main"), ["centre", "value", "scale"]).where(other).select("centre", "x", "node")  # noqa: E731  never the main component with itself
+    met = lambda left, right: left.join(right.drop("main", "rest"), ["centre", "value", "scale"]).where(other).select("centre", "x", "node")  # noqa: E731  never the main component with itself
     found = met(probes.where("c_x <> main"), index).unionByName(met(probes.where("c_x = main"), index.where("component <> main")))
     pairs = materialize(enough.unionByName(found).distinct(), "near-bounded")
     whole = members.select("centre", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("both").alias("both_x"), F.col("beyond").alias("beyond_x"), F.col("missing").alias("missing_x"))
@@ -341,16 +342,16 @@ def links_of(classes: DataFrame, given: DataFrame, docs: DataFrame, settings: Se
     best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialize(confirmed(best, classes, docs, settings).unionByName(given), "near-links")
 
-    parted = materialize(by_size(posted.select("node", "n", "value"), settings.percent), "near-parted")
+    parted = materialize(by_size(posted, settings.percent), "near-parted")
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         labels = materialize(components(links), "near-labels")
         rows = materialize(parted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-lists")
-        sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("n", "node")).alias("smallest"))
+        sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         return labels, rows, materialize(sizes.where("size > 1 AND low < high"), "near-sizes")
 
     _, rows, sizes = labelled(links)
-    to_centre = materialize(compared(centred(rows, sizes, links).select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, docs, settings, beyond=True), "near-beyond")
+    to_centre = materialize(compared(centred(rows, sizes).select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, docs, settings, beyond=True), "near-beyond")
     links = materialize(links.unionByName(to_centre.where(similar(settings)).select("a", "b")), "near-links")
     labels, rows, sizes = labelled(links)
     members = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("n_a").alias("n_c"), F.col("n_b").alias("n"), "both", "beyond", "missing").join(labels, "node", "left")
