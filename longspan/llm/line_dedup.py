@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, in_batches, materialize, mix64, row_blocks, SpanHash, text_bytes, word_spans
+from .shared import broadcast_if_small, in_batches, materialize, row_blocks, SpanHash, text_bytes, with_texts, word_spans
 
 #: Words of a matching run that is removed, of a posted run, and neighbouring runs of which one is posted.
 #: A passage of MIN_WORDS words agrees in one less with the space behind them, and GRAM + WINDOW - 1 words share a post.
 MIN_WORDS, GRAM, WINDOW = 40, 20, 20
+#: Cleaned texts whose spans, four for each on average, may be broadcast (about 40 MB).
+BROADCAST_CUTS = 250_000
 FOLD_AFTER = b".,;:!?|"
 
 
@@ -83,29 +85,34 @@ class Lines:
         return row[at], pos, pos + GRAM, self.word_starts[at], grams[at].view(np.int64), self.word_ends[at + GRAM - 1]
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """place (doc_id and hash of the text: repeated rows are one), text; without null doc_ids."""
+    return docs.where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("place"), "text")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos of all posted runs of words."""
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """key, place, pos of all posted runs of words."""
+    rows = places(docs)
+    kind = rows.schema["place"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in row_blocks(offsets, 1 << 18):
                 row, pos, _, _, key, _ = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).chunks()
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(pos.astype(np.int32))], ["key", "doc_id", "pos"])
+                at = batch.column("place").slice(lo, hi - lo).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key), at, pa.array(pos.astype(np.int32))], ["key", "place", "pos"])
 
-    return in_batches(rows).mapInArrow(run, f"key long, doc_id {kind}, pos int")
+    return in_batches(rows).mapInArrow(run, f"key long, place {kind}, pos int")
 
 
 def regions(docs: DataFrame) -> DataFrame:
-    """doc_id, first_doc, diagonals: pairs of documents and where their posted runs line up."""
-    occ = occurrences(docs)
-    first = occ.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    later = occ.join(first, "key").where("NOT (doc_id = first_doc AND pos = first_pos)")
-    lined = later.groupBy("doc_id", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("low"), (F.max("pos") + GRAM).alias("high"))
-    return lined.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the later text has posted runs, at most
+    """place, first_place, diagonals: pairs of texts and where their posted runs line up."""
+    occ = materialize(occurrences(docs), "line-posts")
+    first = occ.groupBy("key").agg(F.min(F.struct("place", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "first")
+    later = occ.join(first, "key").where(F.struct("place", "pos") != F.col("first"))
+    lined = later.groupBy("place", F.col("first.place").alias("first_place"), (F.col("pos") - F.col("first.pos")).alias("shift")).agg(F.min("pos").alias("low"), (F.max("pos") + GRAM).alias("high"))
+    return lined.groupBy("place", "first_place").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the later text has posted runs, at most
 
 
 def matching_runs(equal: np.ndarray) -> np.ndarray:
@@ -121,9 +128,9 @@ def same_words(a: bytes, b: bytes) -> bool:
 def removals(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text_hash, spans (begin, end in characters, ascending)."""
     found = materialize(regions(docs), "line-regions")
-    wanted = broadcast_if_small(found.select(F.explode(F.array("doc_id", "first_doc")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = found.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("first_text")), "first_doc")
+    wanted = broadcast_if_small(found.select(F.explode(F.array("place", "first_place")).alias("place")).distinct())
+    texts = materialize(places(docs).join(wanted, "place", "left_semi").dropDuplicates(["place"]), "line-texts")
+    rows = with_texts(found, texts.withColumnRenamed("place", "node"), {"place": "text", "first_place": "first_text"})
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -170,7 +177,7 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
                 ["doc_id", "text_hash", "begin", "end"],
             )
 
-    spans = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int")
+    spans = rows.select("place.doc_id", "place.text_hash", "text", "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int")
     return spans.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
@@ -179,14 +186,17 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Columns of these two names in the input are replaced.  Rows are never
     dropped: a text whose every line occurs earlier becomes empty.  A null text
-    stays null, and rows with a null doc_id are left as they are.  Repeated rows
-    of one doc_id with one text are one place and are cleaned alike; with
-    different texts, one of them is cleaned.  An empty table gives an empty
-    result.
+    stays null, and rows with a null doc_id are left as they are.  Texts of any
+    length are taken whole; a task holds a block of them, or one pair of texts.
+    Repeated rows of one doc_id with one text are one place and are cleaned alike;
+    different texts of one doc_id are places of their own, in the order of a hash.
+    An empty table gives an empty result.
     """
     docs = docs.drop("n_spans", "n_chars_removed")
     cuts = materialize(removals(docs, min_words), "line-cuts").select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "spans")
-    rows = docs.join(broadcast_if_small(cuts), (F.col("doc_id") == F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_hash")), "left")
+    size = cuts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("spans")).alias("spans")).first()
+    few = size["rows"] <= BROADCAST_CUTS and (size["spans"] or 0) <= 4 * BROADCAST_CUTS
+    rows = docs.join(F.broadcast(cuts) if few else cuts, (F.col("doc_id") == F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_hash")), "left")
     cleaned = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),

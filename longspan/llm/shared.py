@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are a few dozen bytes may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 #: The six ASCII characters that separate words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"

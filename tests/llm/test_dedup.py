@@ -186,6 +186,15 @@ def test_line_dedup_odd_cases(spark):
     assert line_dedup.line_dedup(empty_docs(spark)).count() == 0
 
 
+def test_each_text_of_a_doc_id_is_cleaned(spark):
+    rng = random.Random(6)
+    a, b = text(rng, 12), text(rng, 12)
+    rows = [(1, a), (1, b), (2, a + " kaban"), (3, b + " kaban"), (3, text(rng, 12))]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = {(r["doc_id"], r["text"]) for r in got}
+    assert len(got) == 5 and {(1, a), (1, b), rows[4]} <= left and {(2, "kaban"), (3, "kaban")} <= {(d, t.strip()) for d, t in left}
+
+
 def test_boundaries_survive_a_shift():
     import pyarrow as pa
 
@@ -211,8 +220,8 @@ def planted(rng, sizes):
 
 def test_every_planted_passage_is_a_candidate(spark):
     rows = planted(random.Random(31), [n for n in range(51, 71) for _ in range(8)])
-    found = line_dedup.regions(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc").collect()
-    assert {(r["doc_id"], r["first_doc"]) for r in found} == {(d, d - 1) for d, _ in rows if d % 2}
+    found = line_dedup.regions(spark.createDataFrame(rows, "doc_id long, text string")).select("place", "first_place").collect()
+    assert {(r["place"]["doc_id"], r["first_place"]["doc_id"]) for r in found} == {(d, d - 1) for d, _ in rows if d % 2}
 
 
 @pytest.mark.parametrize("punctuation", [True, False])
