@@ -48,6 +48,7 @@ class Lines:
             last[first[1:][np.diff(first) > 0] - 1] = True
         end_word = np.flatnonzero(last)
         self.begin_word = np.append(0, end_word[:-1] + 1) if len(end_word) else end_word
+        self.edges = np.append(self.begin_word, len(starts))
         self.starts, self.ends = starts[self.begin_word], ends[end_word]
         self.word_starts, self.word_ends, self.first_word = starts, ends, first
         past = ends.copy()
@@ -59,7 +60,7 @@ class Lines:
 
         The run goes as it is if less than half of it are whole lines.
         """
-        edges = np.append(self.begin_word, len(self.hash))
+        edges = self.edges
         low, high = int(edges[np.searchsorted(edges, a)]), int(edges[np.searchsorted(edges, b, side="right") - 1])
         if 2 * (high - low) < b - a:
             return [(a, b)]
@@ -110,9 +111,10 @@ def regions(docs: DataFrame) -> DataFrame:
     """place, first_place, diagonals: pairs of texts and where their posted runs line up."""
     occ = materialize(occurrences(docs), "line-posts")
     first = occ.groupBy("key").agg(F.min(F.struct("place", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "first")
+    first = materialize(first, "line-firsts")  # a plain side, so that a key with very many places can be split
     later = occ.join(first, "key").where(F.struct("place", "pos") != F.col("first"))
     lined = later.groupBy("place", F.col("first.place").alias("first_place"), (F.col("pos") - F.col("first.pos")).alias("shift")).agg(F.min("pos").alias("low"), (F.max("pos") + GRAM).alias("high"))
-    return lined.groupBy("place", "first_place").agg(F.collect_list(F.struct("shift", "low", "high")).alias("diagonals"))  # as many as the later text has posted runs, at most
+    return lined.groupBy("place", "first_place").agg(F.collect_list(F.struct(F.col("shift").cast("int").alias("shift"), "low", "high")).alias("diagonals"))  # as many as the later text has posted runs, at most
 
 
 def matching_runs(equal: np.ndarray) -> np.ndarray:
@@ -135,39 +137,49 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            (da, oa), (db, ob) = text_bytes(batch.column("text")), text_bytes(batch.column("first_text"))
-            diagonals = batch.column("diagonals")
+            firsts = batch.column("first_key").to_numpy()
+            new = np.append(True, firsts[1:] != firsts[:-1])[: len(firsts)]  # neighbours with one first text read it once
+            which = np.append(np.cumsum(new) - 1, new.sum())
+            (da, oa), (db, ob) = text_bytes(batch.column("text")), text_bytes(batch.column("first_text").take(pa.array(np.flatnonzero(new))))
+            edges = batch.column("diagonals").offsets.to_numpy()
+            shifts, lows, highs = (batch.column("diagonals").values.field(c).to_numpy() for c in ("shift", "low", "high"))
             out = []
-            for lo, hi in row_blocks(oa + ob, 1 << 18):
-                later, early = da[oa[lo] : oa[hi]], db[ob[lo] : ob[hi]]
-                x, y = Lines(later, oa[lo : hi + 1] - oa[lo]), Lines(early, ob[lo : hi + 1] - ob[lo])
+            for lo, hi in row_blocks(oa + ob[which], 1 << 18):
+                f0, f1 = which[lo], which[hi - 1] + 1
+                later, early = da[oa[lo] : oa[hi]], db[ob[f0] : ob[f1]]
+                x, y = Lines(later, oa[lo : hi + 1] - oa[lo]), Lines(early, ob[f0 : f1 + 1] - ob[f0])
                 chars = np.concatenate([[0], np.cumsum((later & 0xC0) != 0x80)])
                 later, early = later.tobytes(), early.tobytes()
                 for i in range(hi - lo):
-                    u0, v0 = x.first_word[i], y.first_word[i]
-                    hx, hy = x.hash[u0 : x.first_word[i + 1]], y.hash[v0 : y.first_word[i + 1]]
+                    u0, j = x.first_word[i], which[lo + i] - f0
+                    v0 = y.first_word[j]
+                    hx, hy = x.hash[u0 : x.first_word[i + 1]], y.hash[v0 : y.first_word[j + 1]]
                     base = chars[oa[lo + i] - oa[lo]]
-                    gone = np.zeros(len(hx), bool)
+                    gone, free = np.zeros(len(hx), bool), np.arange(len(hx))
                     same = lambda w, s: later[x.word_starts[u0 + w] : x.word_ends[u0 + w]] == early[y.word_starts[v0 + w - s] : y.word_ends[v0 + w - s]]  # noqa: B023, E731
-                    found = (0, 0)
-                    for d in sorted(diagonals[lo + i].as_py(), key=lambda d: d["shift"]):
-                        shift = d["shift"]
+                    mine = np.arange(edges[lo + i], edges[lo + i + 1])
+                    for d in mine[np.argsort(lows[mine] - highs[mine], kind="stable")].tolist():  # the long ones first
+                        if not len(free):
+                            break
+                        shift, low, high = int(shifts[d]), int(lows[d]), int(highs[d])
                         begin, end = max(0, shift), min(len(hx), len(hy) + shift)
                         if end <= begin:
                             continue
-                        if found[0] <= d["low"] and d["high"] <= found[1] and (found[0] <= begin or not same(found[0] - 1, shift)) and (found[1] >= end or not same(found[1], shift)):
+                        k = int(np.searchsorted(free, low))
+                        g0, g1 = int(free[k - 1]) + 1 if k else 0, int(free[k]) if k < len(free) else len(hx)
+                        if high <= g1 and (g0 <= begin or not same(g0 - 1, shift)) and (g1 >= end or not same(g1, shift)):
                             continue  # the match ends inside what goes already, as for the many diagonals of one word over and over
                         runs = matching_runs(hx[begin:end] == hy[begin - shift : end - shift]) + begin
-                        runs = runs[(runs[:, 1] > d["low"]) & (runs[:, 0] < d["high"]) & (runs[:, 1] - runs[:, 0] >= min_words - 1)]
+                        runs = runs[(runs[:, 1] > low) & (runs[:, 0] < high) & (runs[:, 1] - runs[:, 0] >= min_words - 1)]
                         for a, b in runs.tolist():
                             u, v = u0 + a, v0 + a - shift
                             if b < end and same(b, shift):
                                 b += 1  # a word that only differs in what follows it
-                            if b - a < min_words or not same_words(later[x.word_starts[u] : x.word_ends[u0 + b - 1]], early[y.word_starts[v] : y.word_ends[v0 + b - shift - 1]]):
+                            if b - a < min_words or gone[a:b].all() or not same_words(later[x.word_starts[u] : x.word_ends[u0 + b - 1]], early[y.word_starts[v] : y.word_ends[v0 + b - shift - 1]]):
                                 continue
                             for p, q in x.removable(u, u0 + b, min_words):
                                 gone[p - u0 : q - u0] = True
-                                found = (p - u0, q - u0) if q - p > found[1] - found[0] else found
+                            free = np.flatnonzero(~gone)
                     for a, b in matching_runs(gone):
                         past = x.word_starts[u0 + b] if u0 + b < x.first_word[i + 1] else oa[lo + i + 1] - oa[lo]
                         out.append((lo + i, int(chars[x.word_starts[u0 + a]] - base), int(chars[past] - base)))
@@ -177,7 +189,7 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
                 ["doc_id", "text_hash", "begin", "end"],
             )
 
-    spans = rows.select("place.doc_id", "place.text_hash", "text", "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int")
+    spans = rows.select("place.doc_id", "place.text_hash", "text", F.xxhash64("first_place").alias("first_key"), "first_text", "diagonals").mapInArrow(run, f"doc_id {kind}, text_hash long, begin int, end int")
     return spans.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
