@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .shared import crc_mod, in_batches, lower_table, materialize, row_blocks, SpanHash, text_bytes, unit_hash, word_spans
 
-HIDDEN, CLASSES, PER_CLASS = 32, 32, 32
+HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
 WINDOW, LANES = 64, 256
 #: Words whose counts are sent to all tasks, and slots of the table that holds them there.
 COMMON, SLOT_BITS = 130_000, 20
-#: Bound of the first, single-machine fit: texts; the second fit takes every training text whole, so many bytes side by side.
-WARM_DOCS, FIT_BYTES, FIT_WINDOW = 800, 1 << 20, 32
+#: Bound of the first, single-machine fit: texts; the second fit takes every training text whole, in windows of so many steps.
+WARM_DOCS, FIT_WINDOW, FIT_RATE = 800, 64, 0.003
+#: Bytes of text that are cut into words at once, and tokens of whole texts that run side by side (a longer text is alone).
+BLOCK_BYTES, GROUP_TOKENS = 1 << 20, 1 << 21
 #: Groups over which the tasks' weights are summed before the driver adds them up.
 SUM_GROUPS = 32
 END_HASH = 1  # no word has this hash but by a chance of 2**-64
@@ -125,12 +127,17 @@ class Counts:
 
 
 class Gru:
-    NAMES = ("x", "u", "wc", "bc", "ww", "bw")
+    """x: input weights of each word, u: recurrent weights (update, reset, new), wc, bc: classes, ww, bw: words in classes.
+
+    The unknown word has a class of its own, the last one, where it is sure.  The
+    gates are 0.5 + 0.5 * tanh, a logistic function of twice the argument.
+    """
 
     def __init__(self, weights: list[np.ndarray] | None = None, seed: int = 5):
         rng, h = np.random.default_rng(seed), HIDDEN
         make = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
-        self.p = weights or [make(CLASSES * PER_CLASS, 3 * h), make(h, 3 * h), make(h, CLASSES), np.zeros(CLASSES, np.float32), make(CLASSES, h, PER_CLASS), np.zeros((CLASSES, PER_CLASS), np.float32)]
+        zeros = lambda *s: np.zeros(s, np.float32)
+        self.p = weights or [make(CLASSES * PER_CLASS, 3 * h), make(h, 3 * h), make(h, CLASSES + 1), zeros(CLASSES + 1), make(CLASSES, h, PER_CLASS), zeros(CLASSES, PER_CLASS)]
         self.m, self.v, self.steps = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
 
     def flat(self) -> np.ndarray:
@@ -144,44 +151,58 @@ class Gru:
             at += a.size
         return out
 
-    def run(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def run(self, inputs: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """States after each of a window's steps (steps, lanes, hidden); an input of 1 starts a text anew."""
-        h = HIDDEN
-        x, u = self.p[0], self.p[1]
+        h, u = HIDDEN, self.p[1]
+        drive = self.p[0][inputs]
         states = np.empty((*inputs.shape, h), np.float32)
+        fresh = inputs == 1
+        if keep is not None:
+            keep |= {"old": np.empty_like(states), "gates": np.empty((*inputs.shape, 2 * h), np.float32), "new": np.empty_like(states), "part": np.empty_like(states)}
         for t in range(len(inputs)):
-            state = state * (inputs[t] != 1)[:, None]
-            a = x[inputs[t]]
+            if fresh[t].any():
+                state = np.where(fresh[t][:, None], np.float32(0), state)
             g = state @ u
-            gates = a[:, : 2 * h] + g[:, : 2 * h]
-            np.negative(gates, out=gates)
-            np.clip(gates, -30, 30, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
+            gates = drive[t, :, : 2 * h]
+            gates += g[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = drive[t, :, 2 * h :]
+            new += gates[:, h:] * g[:, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((state, z, r, new, g[:, 2 * h :]))
-            state = new + z * (state - new)
-            states[t] = state
+                keep["old"][t], keep["gates"][t], keep["new"][t], keep["part"][t] = state, gates, new, g[:, 2 * h :]
+            out = states[t]
+            np.subtract(state, new, out=out)
+            out *= gates[:, :h]
+            out += new
+            state = out
         return states
 
     def outputs(self, hidden: np.ndarray, targets: np.ndarray, grads: list | None = None):
         """Natural log-probabilities of targets; with ``grads``, also the gradient of the mean loss by the states."""
         _, _, wc, bc, ww, bw = self.p
         n = len(targets)
-        kind, word = targets // PER_CLASS, targets % PER_CLASS
-        s = hidden @ wc + bc
-        s -= s.max(axis=1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(axis=1)
-        logs = s[np.arange(n), kind] - np.log(total)
+        kind, word = np.where(targets == 0, CLASSES, targets // PER_CLASS).astype(np.int16), targets % PER_CLASS
         back = None
+
+        def layer(x, weights, bias, target):
+            s = x @ weights
+            s += bias
+            if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() > 60:  # states are within one; else no exponential overflows
+                s -= s.max(axis=1, keepdims=True)
+            at = np.arange(len(s))
+            got = s[at, target]
+            np.exp(s, out=s)
+            total = s.sum(axis=1)
+            if grads is not None:
+                s *= (1 / (total * n))[:, None]
+                s[at, target] -= np.float32(1 / n)
+            return got - np.log(total), s
+
+        logs, e = layer(hidden, wc, bc, kind)
         if grads is not None:
-            e /= total[:, None]
-            e[np.arange(n), kind] -= 1
-            e /= n
             back = e @ wc.T
             grads[2] += hidden.T @ e
             grads[3] += e.sum(axis=0)
@@ -191,26 +212,19 @@ class Gru:
             rows = order[marks[c] : marks[c + 1]]
             if not len(rows):
                 continue
-            hc = hidden[rows]
-            s = hc @ ww[c] + bw[c]
-            s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(axis=1)
-            at = np.arange(len(rows))
-            logs[rows] += s[at, word[rows]] - np.log(total)
+            hc, known = hidden[rows], int(c == 0)  # the first place of the first class is that of the unknown word
+            got, e = layer(hc, ww[c][:, known:], bw[c][known:], word[rows] - known)
+            logs[rows] += got
             if grads is not None:
-                e /= total[:, None]
-                e[at, word[rows]] -= 1
-                e /= n
-                back[rows] += e @ ww[c].T
-                grads[4][c] += hc.T @ e
-                grads[5][c] += e.sum(axis=0)
+                back[rows] += e @ ww[c][:, known:].T
+                grads[4][c][:, known:] += hc.T @ e
+                grads[5][c][known:] += e.sum(axis=0)
         return logs, back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One step of Adam on a window, gradients stopping at its start; the state after it and the mean loss."""
         h, u = HIDDEN, self.p[1]
-        keep: list = []
+        keep: dict = {}
         states = self.run(inputs, state, keep)
         grads = [np.zeros_like(a) for a in self.p]
         where = np.flatnonzero(live.reshape(-1))
@@ -218,17 +232,29 @@ class Gru:
         d_states = np.zeros_like(states).reshape(-1, h)
         d_states[where] = back
         d_states = d_states.reshape(states.shape)
-        d = np.zeros_like(state)
+        old, z, r, new, part = keep["old"], keep["gates"][..., :h], keep["gates"][..., h:], keep["new"], keep["part"]
+        # the factors of the gradient by the state that do not depend on later steps
+        to_new = (1 - z) * (1 - new * new)
+        to_gates = np.concatenate([(old - new) * z * (1 - z) * 2, to_new * part * r * (1 - r) * 2], axis=2)
+        d_drive, d_part = np.empty((*inputs.shape, 3 * h), np.float32), np.empty((*inputs.shape, 3 * h), np.float32)
+        fresh, ut, d = inputs == 1, np.ascontiguousarray(u.T), np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            old, z, r, new, gn = keep[t]
             d = d + d_states[t]
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (old - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            np.add.at(grads[0], inputs[t], np.concatenate([dz, dr, dn], axis=1))
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            grads[1] += old.T @ dg
-            d = (d * z + dg @ u.T) * (inputs[t] != 1)[:, None]
+            out = d_drive[t]
+            np.multiply(d, to_gates[t, :, :h], out=out[:, :h])
+            np.multiply(d, to_gates[t, :, h:], out=out[:, h : 2 * h])
+            np.multiply(d, to_new[t], out=out[:, 2 * h :])
+            dg = d_part[t]
+            dg[:, : 2 * h] = out[:, : 2 * h]
+            np.multiply(out[:, 2 * h :], r[t], out=dg[:, 2 * h :])
+            d = d * z[t] + dg @ ut
+            if fresh[t].any():
+                d[fresh[t]] = 0
+        grads[1] = old.reshape(-1, h).T @ d_part.reshape(-1, 3 * h)
+        flat = inputs.reshape(-1)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+        grads[0][flat[order][first]] = np.add.reduceat(d_drive.reshape(-1, 3 * h)[order], first, axis=0)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         self.steps += 1
         for a, g, m, v in zip(self.p, grads, self.m, self.v):
@@ -307,6 +333,24 @@ def warm_fit(docs: DataFrame, counts: Counts, n_train: int, epochs: int = 2) ->
     return net
 
 
+def in_groups(parts):
+    """Lists of (rows, ids, first token of each row) until they have GROUP_TOKENS tokens: texts of many rows fill all lanes."""
+    group, size = [], 0
+    for part in parts:
+        group.append(part)
+        size += len(part[1])
+        if size >= GROUP_TOKENS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def joined(group) -> tuple[np.ndarray, np.ndarray]:
+    first = np.cumsum(np.concatenate([[0], *[np.diff(f) for _, _, f in group]]))
+    return np.concatenate([ids for _, ids, _ in group]), first
+
+
 def spread_fit(docs: DataFrame, counts: Counts, net: Gru) -> Gru:
     """The second fit: every task goes on from the first one over all windows of its training texts, ends included."""
     weights, kept = net.flat(), (counts.all_n, counts.all_v, counts.words[:4096], counts.n[:4096])
@@ -314,12 +358,18 @@ def spread_fit(docs: DataFrame, counts: Counts, net: Gru) -> Gru:
     def run(batches):
         own, table, seen = Gru.of(weights), Counts(*kept), 0
         table.build()
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in row_blocks(offsets, FIT_BYTES):
-                words, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                fit_block(own, table.look_up(words)[0], first, 0.002, 64, FIT_WINDOW)
-                seen += len(words)
+
+        def parts():
+            for batch in batches:
+                data, offsets = text_bytes(batch.column("text"))
+                for lo, hi in row_blocks(offsets, BLOCK_BYTES):
+                    words, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    yield None, table.look_up(words)[0].astype(np.int16), first
+
+        for group in in_groups(parts()):
+            ids, first = joined(group)
+            fit_block(own, ids, first, FIT_RATE, LANES, FIT_WINDOW)
+            seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()])], ["part", "seen", "weights"])
 
@@ -346,7 +396,10 @@ def lm_score(docs: DataFrame, learn=None) -> DataFrame:
     7 is not 2) are learned from.  A null text counts as empty: it has one token,
     its end.  Repeated rows are scored alike and count as often as they occur.
     With nothing to learn from, the base is log10(1) a token and the network is an
-    untrained one.  An empty table gives an empty result; further columns are
+    untrained one.  The network's weights are an average over the tasks that read
+    the training texts, so ``score`` depends a little on how the table's files are
+    split; all other columns do not.  A text of any length is read whole, its words
+    one window after the other.  An empty table gives an empty result; further columns are
     ignored.
     """
     held_out = crc_mod("doc_id", 7) == 2
@@ -368,28 +421,37 @@ def lm_score(docs: DataFrame, learn=None) -> DataFrame:
         c.build()
         base_log, rest_log = np.log10(c.all_n + c.all_v + 1.0), np.log10(float(c.rest))
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in row_blocks(offsets, 1 << 21):
-                words, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                ids, hit, logs = c.look_up(words)
-                n = np.diff(first)
-                add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731  every text has a token
-                other = ids == 0
-                base = add(logs) - n * base_log
-                score = add(score_block(net, ids, first) + np.where(other, logs - rest_log, 0.0))
-                rare = words[~hit].view(np.int64)
-                edges = np.concatenate([[0], np.cumsum(add((~hit).astype(np.int64)))]).astype(np.int32)
-                size = hi - lo
+        kinds = pa.list_(pa.int64())
+
+        def parts():
+            for batch in batches:
+                data, offsets = text_bytes(batch.column("text"))
+                for lo, hi in row_blocks(offsets, BLOCK_BYTES):
+                    words, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    ids, hit, logs = c.look_up(words)
+                    n = np.diff(first)
+                    add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731  every text has a token
+                    extra = add(np.where(ids == 0, logs - rest_log, 0.0))
+                    edges = np.concatenate([[0], np.cumsum(add((~hit).astype(np.int64)))]).astype(np.int32)
+                    rare = pa.ListArray.from_arrays(pa.array(edges), pa.array(words[~hit].view(np.int64)), kinds)
+                    of_rows = [*[batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "held_out")], pa.array(n.astype(np.int64)), pa.array(add(hit.astype(np.int64))), pa.array(add(logs) - n * base_log), extra, rare]
+                    yield of_rows, ids.astype(np.int16), first
+
+        for group in in_groups(parts()):
+            ids, first = joined(group)
+            score, at = np.add.reduceat(score_block(net, ids, first), first[:-1]), 0
+            for of_rows, _, own in group:
+                size = len(own) - 1
+                *columns, extra, rare = of_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + size)), *[batch.column(x).slice(lo, size) for x in ("doc_id", "held_out")], pa.array(n.astype(np.int64)), pa.array(add(hit.astype(np.int64))), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare))],
+                    [pa.array(np.arange(uid, uid + size)), *columns, pa.array(score[at : at + size] + extra), rare],
                     ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
-                uid += size
+                uid, at = uid + size, at + size
 
     scored = materialize(in_batches(rows.select("doc_id", "held_out", "text")).mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "lm-scores")
-    rare = scored.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("times"))
-    more = rare.join(table, "word").groupBy("uid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
+    rare = scored.select("uid", F.explode("rare").alias("word"))
+    more = rare.join(table, "word").groupBy("uid").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"))
     out = scored.drop("rare").join(more, "uid", "left")
     extra = F.coalesce("more", F.lit(0.0))
     return out.select(
