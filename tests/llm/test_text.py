@@ -273,7 +273,7 @@ def test_gradient_of_the_network():
     moved = [m / 0.1 for m in net.m]  # the gradient, scaled to norm one at most
     net.p = [a.copy() for a in before]
     scale = None
-    for k, at in ((1, (3, 5)), (1, (7, 70)), (2, (1, 0)), (0, (int(x[0, 0]), 40))):
+    for k, at in ((1, (3, 5)), (1, (7, 2 * lm_score.HIDDEN + 6)), (2, (1, 0)), (0, (int(x[0, 0]), lm_score.HIDDEN + 8))):
         old = net.p[k][at]
         net.p[k][at] = old + 1e-2
         up = loss()
