@@ -12,7 +12,7 @@ rows and go through one ordinary shuffle of (digest, id, length).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -42,24 +42,16 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     d = materialize(digests(docs), "digests")
     frequent = d.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
-    winners = materialize(
-        d.join(F.broadcast(frequent), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(
-            F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
-            F.count(F.lit(1)).alias("group_size"),
-        )
-        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size"),
-        "winners",
-    )
+    best = [
+        F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
+        F.count(F.lit(1)).alias("group_size"),
+    ]
+    chosen = lambda rows: rows.groupBy("text_sha256").agg(*best).select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
+    winners = materialize(chosen(d.join(F.broadcast(frequent), "text_sha256")), "winners")
     hot = d.join(F.broadcast(winners), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = d.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "doc_id",
-        F.first("doc_id").over(group.orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))).alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-        "text_sha256",
-    )
+    # groups are reduced before the shuffle, and the join back may be split by size: no group has to fit in one task
+    others = d.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    rest = others.join(chosen(others), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
