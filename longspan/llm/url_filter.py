@@ -3,7 +3,9 @@
 A URL becomes a set of tokens (host, its labels and words, path words, file
 ending, query keys, fragment; numbers are left out).  Spark's FP-growth mines
 token combinations of labelled URLs together with the label itself; rules that
-conclude ``block`` are pruned by support, confidence, lift and redundancy.
+conclude ``block`` are pruned by support (a share and a least number of pages),
+confidence, lift, a lower bound of the confidence against the base rate, and
+redundancy; so labels that have nothing to do with the URLs give next to no rules.
 Rules match through an inverted index: each rule is posted under its rarest
 token only, and a posting counts if all tokens of the rule are there.  Matching
 runs once per distinct token set, of which there are far fewer than URLs.
@@ -90,14 +92,28 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", number.try_cast("long").alias("doc_id")).join(docs, "doc_id").select("page_id", "url", "bad")
 
 
-def mine(train: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame | None:
-    """Rules (items, anchor, confidence, support) that conclude ``block``; None without labels."""
+def lower_bound(share: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share seen in ``n`` cases."""
+    half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - half) / (1 + z * z / n)
+
+
+def mine(train: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.5, min_lift: float = 1.5, min_pages: int = 5, z: float = 3.5) -> DataFrame | None:
+    """Rules (items, anchor, confidence, support) that conclude ``block``; None without labels.
+
+    A rule holds on at least ``min_pages`` blocked pages and ``min_support`` of all
+    labelled ones, and Wilson's lower bound of its confidence (``z`` deviations)
+    lies above the share of blocked pages.
+    """
     sets = train.select(F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BLOCK)))).otherwise(tokens(F.col("url"))).alias("items")).where(F.size("items") > 0)
     sets = materialize(sets, "url-sets")
-    if sets.isEmpty():
+    n, bad = sets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BLOCK))).first()
+    if not n:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(sets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
+    pages = F.col("support") * n / F.col("confidence")  # with the rule's tokens, blocked or not
+    rules = rules.where((F.round(F.col("support") * n) >= min_pages) & (lower_bound(F.col("confidence"), pages, z) > bad / n))
     rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
     # a rule is redundant beside one with fewer tokens that is as sure: post subsets under each of their tokens
     posted = rules.select("items", "confidence", F.explode("items").alias("item"))
