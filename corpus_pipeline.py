@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept; ``run`` writes every stage's result to the shared folder and reads it back
 as the next one's input.
+
+All stages take rows as they are: a null text is an empty one, repeated rows are
+rows like others, texts of any length are taken whole, an empty table gives an
+empty one, and columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -22,31 +26,35 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go, all rows of such a doc_id; null texts and null doc_ids stay."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return _without(docs, materialize(scored.where("rejected").select("doc_id").distinct(), "toxic"))
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a text of which nothing is left goes with them."""
+    """Repeated chunks of lines go; a text of which nothing is left goes with them.
+
+    A text that was empty or null before stays.  Repeated rows of one doc_id and
+    text are one place, so both stay or go.
+    """
     out = line_dedup.line_dedup(docs).where("n_spans = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, with all its rows; texts without words are copies of none."""
     groups = near_dedup.near_dedup(docs)
     return _without(docs, materialize(groups.where("NOT kept").select("doc_id").distinct(), "near-copies"))
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources have equal shares, and shuffled."""
+    """Documents are repeated or left out so that sources have equal shares, and shuffled; a null source is one of them."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The contract's digests of every document's tokens."""
-    return bpe.digest(docs)
+    """Every document's token ids, their number and the digests of ids and decoded bytes."""
+    return bpe.digest(docs, with_ids=True)
 
 
 STAGES = [

@@ -335,12 +335,18 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return in_batches(rows).mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, derived from what ``encode`` returns."""
+def digest(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, derived from what ``encode`` returns; ``ids`` too if wanted.
+
+    One row per input row.  A null or empty text has no tokens and the digests of
+    nothing; repeated rows get equal digests; a text of any length is encoded
+    whole; an empty table gives an empty result; further columns are ignored.
+    """
     e = encode(docs, path, decoded=True)
     return e.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
