@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.hashing import draw_hash
 from longspan.functions.numeric import probit
 
+from .cluster import masked_cosine
 from .metrics import pearson_of
 
 
@@ -21,9 +21,21 @@ def interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``i`` (from 0) and ``n`` within groups."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    """Adds ``i`` (from 0) and ``n`` within groups.
+
+    Without groups the order is that of a 12-bit digest of ``order`` and then
+    ``order`` itself: rows are numbered within digests, and only the table of at
+    most 4096 digest sizes is summed in one place.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = df.withColumn("_digest", F.shiftright(draw_hash(*[F.col(c) for c in order]), 36))
+    sizes = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_digest")) - F.col("_size")
+    starts = sizes.select("_digest", before.alias("_start"), F.sum("_size").over(Window.partitionBy()).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("_digest").orderBy(*order)) - 1
+    return rows.join(F.broadcast(starts), "_digest").withColumn("i", F.col("_start") + nth).drop("_digest", "_start")
 
 
 def bootstrap_rows(df: DataFrame, draws: int, by: list[str], order: list[str]) -> DataFrame:
@@ -52,47 +64,30 @@ def permutation_p(null: DataFrame, statistic: str, observed: Column) -> DataFram
     return null.agg(((F.count_if(F.col(statistic) >= observed) + 1) / (F.count(statistic) + F.lit(1.0))).alias("p"))
 
 
-def pair_wins(df: DataFrame, cluster: str, y: str, score: str) -> DataFrame:
-    """For each pair of clusters: positives of one against negatives of the other, wins with ties half.
-
-    Clusters are few, so this table is small and carries every bootstrap of the area.
-    """
-    cells = df.groupBy(cluster, y, score).agg(F.count(F.lit(1)).alias("m"))
-    pos = cells.where(F.col(y) == 1).select(F.col(cluster).alias("a"), F.col(score).alias("s"), F.col("m").alias("m_a"))
-    neg = cells.where(F.col(y) == 0).select(F.col(cluster).alias("b"), F.col(score).alias("t"), F.col("m").alias("m_b"))
-    # a positive's wins against a cluster are counted from the cluster's sorted negatives
-    ranked = neg.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("t", "m_b"))).alias("negatives"))
-    wins = F.aggregate("negatives", F.lit(0.0), lambda acc, v: acc + v["m_b"] * F.when(F.col("s") > v["t"], 1.0).when(F.col("s") == v["t"], 0.5).otherwise(0.0))
-    size = F.aggregate("negatives", F.lit(0.0), lambda acc, v: acc + v["m_b"])
-    return pos.join(F.broadcast(ranked), F.lit(True)).groupBy("a", "b").agg(F.sum(F.col("m_a") * wins).alias("wins"), F.sum(F.col("m_a") * size).alias("pairs"))
-
-
-def cluster_weights(clusters: DataFrame, cluster: str, draws: int) -> DataFrame:
+def cluster_weights(clusters: DataFrame, cluster: list[str], draws: int) -> DataFrame:
     """How often each cluster is drawn, for every draw of as many clusters as there are."""
-    rows = numbered(clusters, [], [cluster])
+    rows = numbered(clusters, [], cluster)
     slots = rows.select("i", "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.select("draw", F.pmod(draw_hash(F.col("draw"), F.col("i")), F.col("n")).cast("int").alias("i"))
-    return picked.join(F.broadcast(rows.select("i", cluster)), "i").groupBy("draw", cluster).agg(F.count(F.lit(1)).alias("w"))
-
+    picked = slots.select("draw", F.pmod(draw_hash(F.col("draw"), F.col("i")), F.col("n")).alias("i"))
+    return picked.join(rows.select("i", *cluster), "i").groupBy("draw", *cluster).agg(F.count(F.lit(1)).alias("w"))
 
-def bootstrap_auroc(wins: DataFrame, weights: DataFrame, cluster: str) -> DataFrame:
-    """draw, auroc: the area with clusters weighted by how often they were drawn."""
-    w_a = weights.select("draw", F.col(cluster).alias("a"), F.col("w").alias("w_a"))
-    w_b = weights.select("draw", F.col(cluster).alias("b"), F.col("w").alias("w_b"))
-    rows = wins.join(w_a, "a").join(w_b, ["draw", "b"])
-    total = F.sum(F.col("w_a") * F.col("w_b") * F.col("pairs"))
-    return rows.groupBy("draw").agg(F.when(total > 0, F.sum(F.col("w_a") * F.col("w_b") * F.col("wins")) / F.nullif(total, F.lit(0.0))).alias("auroc"))
 
+def cluster_bootstrap_difference(df: DataFrame, cluster: list[str], y: str, score_a: str, score_b: str, draws: int) -> DataFrame:
+    """draw, auroc_a, auroc_b, difference: both areas over the same drawn clusters.
 
-def cluster_bootstrap_auroc(df: DataFrame, cluster: str, y: str, score: str, draws: int) -> DataFrame:
-    """draw, auroc: as ``bootstrap_auroc`` for any number of clusters, by one sort of the scores for each draw."""
+    Clusters carry their weights to the counts of each distinct score, whose running
+    sums give the wins (ties half); positives never meet negatives in a join.
+    """
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("score")) for k, c in (("a", score_a), ("b", score_b))]))
     of = lambda v: F.sum((F.col(y) == v).cast("long"))
-    cells = df.groupBy(cluster, score).agg(of(1).alias("p"), of(0).alias("n"))
-    rows = cells.join(cluster_weights(df.select(cluster).distinct(), cluster, draws), cluster)
-    rows = rows.groupBy("draw", score).agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("draw").orderBy(score))
-    sums = rows.withColumn("wins", F.col("p") * (upto - F.col("n") / 2)).groupBy("draw").agg(F.sum("wins").alias("wins"), (F.sum("p") * F.sum("n")).alias("pairs"))
-    return sums.select("draw", (F.col("wins") / F.nullif(F.col("pairs"), F.lit(0))).alias("auroc"))
+    cells = df.select(*cluster, y, both.alias("s")).select(*cluster, y, "s.*").groupBy(*cluster, "kind", "score").agg(of(1).alias("p"), of(0).alias("n"))
+    rows = cells.join(cluster_weights(df.select(*cluster).distinct(), cluster, draws), cluster)
+    rows = rows.groupBy("draw", "kind", "score").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("draw", "kind").orderBy("score"))
+    sums = rows.withColumn("wins", F.col("p") * (upto - F.col("n") / 2)).groupBy("draw", "kind").agg(F.sum("wins").alias("wins"), (F.sum("p") * F.sum("n")).alias("pairs"))
+    area = F.col("wins") / F.nullif(F.col("pairs"), F.lit(0))
+    at = lambda k: F.max(F.when(F.col("kind") == k, area)).alias(f"auroc_{k}")
+    return sums.groupBy("draw").agg(at("a"), at("b")).withColumn("difference", F.col("auroc_a") - F.col("auroc_b"))
 
 
 def detectable_r(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
@@ -100,62 +95,36 @@ def detectable_r(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     return F.when(n > 3, F.tanh((probit(F.lit(1 - alpha / 2)) + probit(F.lit(power))) / F.sqrt(n - 3)))
 
 
-def simulate_power(designs: DataFrame, areas: list[float], simulations: int, batch: int = 250, seed: int = 7) -> DataFrame:
-    """true_auc, mean_auc: mean area over groups of binormal scores in each simulation.
+def normal_draw(*parts: Column) -> Column:
+    """A standard normal number from the md5 of the parts joined with ``|`` (two uniforms, by Box and Muller)."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * math.pi * uniform(13))
 
-    ``designs`` (n_positive, n_negative, groups) is the observed design, grouped: it
-    has a row per distinct shape, and goes to the tasks as a constant.  Work is
-    split by area and batch of simulations.
-    """
-    shapes = [(r["n_positive"], r["n_negative"], r["groups"]) for r in designs.orderBy("n_positive", "n_negative").collect()]
-    spark = designs.sparkSession
-    jobs = [(float(a), b, min(batch, simulations - b)) for a in areas for b in range(0, simulations, batch)]
-    grid = spark.createDataFrame(jobs, "true_auc double, first int, size int")
-    grid = grid.withColumn("delta", F.lit(2.0**0.5) * probit(F.col("true_auc"))).repartition(min(len(jobs), 64), "true_auc", "first")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                rng = np.random.default_rng([seed, round(r.true_auc * 1e6), r.first])
-                total, groups = np.zeros(r.size), 0
-                for n_pos, n_neg, m in shapes:
-                    high = np.sort(rng.normal(r.delta, 1.0, (r.size, m, n_pos)), axis=2)
-                    low = rng.normal(0.0, 1.0, (r.size, m, n_neg))
-                    total += (high[..., None] > low[:, :, None, :]).mean(axis=(2, 3)).sum(axis=1)
-                    groups += m
-                yield pd.DataFrame({"true_auc": r.true_auc, "simulation": r.first + np.arange(r.size), "mean_auc": total / max(groups, 1)})
-
-    return grid.mapInPandas(run, "true_auc double, simulation long, mean_auc double")
-
-
-def permuted_profiles(pairs: DataFrame, draws: int, seed: int = 0, least: int = 4) -> DataFrame:
-    """draw, mean_cosine: late profiles dealt anew within cohorts, against the early ones.
-
-    ``pairs`` (cohort, unit, early, late) has one short vector a unit.  The two
-    matrices go to every task as a constant, and draws are dealt over tasks.
+
+def shift_of(area: float) -> float:
+    """How far apart two unit normals are whose area is ``area``."""
+    return math.sqrt(2.0) * NormalDist().inv_cdf(area)
+
+
+def simulate_power(designs: DataFrame, areas: list[float], simulations: int) -> DataFrame:
+    """true_auc, simulation, mean_auc: mean area over units with binormal scores.
+
+    ``designs`` (unit, n_positive, n_negative) has a row per unit.  Scores are hash
+    draws, the same for every area, to which positives add the area's shift; areas
+    come from running counts of negatives within (area, simulation, unit).
     """
-    rows = pairs.orderBy("cohort", "unit").toPandas()
-    as_matrix = lambda c: np.array([[np.nan if v is None else v for v in x] for x in rows[c]], float)
-    early, late = (as_matrix(c) if len(rows) else np.zeros((0, 1)) for c in ("early", "late"))
-    cohort = rows["cohort"].to_numpy()
-
-    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        known = np.isfinite(a) & np.isfinite(b)
-        p, q = np.where(known, a, 0.0), np.where(known, b, 0.0)
-        size = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-        good = (known.sum(axis=1) >= least) & (size > 1e-12)
-        return np.where(good, (p * q).sum(axis=1) / np.where(good, size, 1.0), np.nan)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for draw in frame["id"]:
-                rng, order = np.random.default_rng([seed, draw]), np.arange(len(late))
-                for c in np.unique(cohort):
-                    place = np.flatnonzero(cohort == c)
-                    order[place] = rng.permutation(place)
-                x = cosines(early, late[order])
-                out.append(float(np.nanmean(x)) if np.isfinite(x).any() else np.nan)
-            yield pd.DataFrame({"draw": frame["id"], "mean_cosine": out})
-
-    return pairs.sparkSession.range(0, draws, 1, 8).mapInPandas(run, "draw long, mean_cosine double")
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("true_auc"), F.lit(shift_of(a)).alias("shift")) for a in areas]))
+    rows = designs.where("n_positive > 0 AND n_negative > 0").withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_positive") + F.col("n_negative"))))
+    rows = rows.select("unit", "simulation", "n_positive", "n_negative", (F.col("k") <= F.col("n_positive")).cast("int").alias("is_positive"), normal_draw(F.col("simulation"), F.col("unit"), F.col("k")).alias("z"))
+    rows = rows.withColumn("g", grid).select("*", "g.*").withColumn("score", F.col("z") + F.col("is_positive") * F.col("shift"))
+    below = F.sum(1 - F.col("is_positive")).over(Window.partitionBy("true_auc", "simulation", "unit").orderBy("score"))
+    units = rows.withColumn("below", below).groupBy("true_auc", "simulation", "unit").agg((F.sum(F.col("is_positive") * F.col("below")) / F.first(F.col("n_positive") * F.col("n_negative"))).alias("auc"))
+    return units.groupBy("true_auc", "simulation").agg(F.avg("auc").alias("mean_auc"))
+
+
+def permuted_profiles(pairs: DataFrame, draws: int) -> DataFrame:
+    """draw, mean_cosine: late profiles dealt anew within cohorts, against the early ones (cohort, unit, early, late)."""
+    dealt = permuted(pairs, ["late"], draws, "cohort", "unit")
+    return dealt.groupBy("draw").agg(F.avg(masked_cosine(F.col("early"), F.col("late"))).alias("mean_cosine"))

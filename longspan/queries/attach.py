@@ -45,7 +45,7 @@ def jn16_inf22_training_moments(spark, d):
 @query(f"""WITH {METRICS}, s AS (SELECT cohort, unit, count(*) AS n_weeks, max(date) AS last_date FROM weeks GROUP BY ALL) SELECT regime, cohort, unit, target, half, n_obs, n_weeks, last_date FROM m LEFT JOIN s USING (cohort, unit)""")
 def jn17_sequences_many_to_one(spark, d):
     s = panels.supplier_weeks(spark, d).groupBy("cohort", "unit").agg(F.count(F.lit(1)).alias("n_weeks"), F.max("date").alias("last_date"))
-    return _metrics(spark, d).select(*KEY, "n_obs").join(F.broadcast(s), ["cohort", "unit"], "left")
+    return _metrics(spark, d).select(*KEY, "n_obs").join(s, ["cohort", "unit"], "left")
 
 
 @query(f"""WITH {DAYS}, v AS (SELECT unit, stddev_pop(n_events) FILTER (target = 'click') AS sd_click, stddev_pop(n_events) FILTER (target = 'view') AS sd_view FROM days GROUP BY ALL), {PEOPLE.strip()}
@@ -55,25 +55,13 @@ def jn18_direct_variability(spark, d):
     return panels.people(spark, d).select("unit", "cohort").join(v, "unit", "left").select("unit", "cohort", r6("click", "sd_click"), r6("view", "sd_view"))
 
 
-PREDICTED = f"""WITH {LABELS}, p AS (SELECT cohort, unit, date, mean_tax * 5 AS p_positive FROM weeks WHERE unit % 3 = 0) SELECT p.cohort, p.unit, p.date, label, p_positive FROM p LEFT JOIN labelled l ON l.cohort = p.cohort AND l.unit = p.unit AND l.date = p.date"""
-
-
-def _predictions(spark, d, weeks):
+@query(f"""WITH {LABELS}, p AS (SELECT cohort, unit, date, mean_tax * 5 AS p_positive FROM weeks) SELECT p.cohort, p.unit, p.date, label, p_positive FROM p LEFT JOIN labelled l ON l.cohort = p.cohort AND l.unit = p.unit AND l.date = p.date""")
+def jn19_predictions_to_labels(spark, d):
     """Keys are the trajectory and the day; the label comes from one side only."""
-    p = weeks.select("cohort", "unit", "date", (F.col("mean_tax") * 5).alias("p_positive"))
+    p = panels.supplier_weeks(spark, d).select("cohort", "unit", "date", (F.col("mean_tax") * 5).alias("p_positive"))
     return p.join(panels.labelled_weeks(spark, d).select("cohort", "unit", "date", "label"), ["cohort", "unit", "date"], "left")
 
 
-@query(PREDICTED)
-def jn19_predictions_to_labels(spark, d):
-    return _predictions(spark, d, panels.supplier_weeks(spark, d).where("unit % 3 = 0"))
-
-
-@query(PREDICTED.replace(" WHERE unit % 3 = 0", ""))
-def jn19_predictions_to_labels_of_all_units(spark, d):
-    return _predictions(spark, d, panels.supplier_weeks(spark, d))
-
-
 @query()
 def inf23_many_controls(spark, d):
     """What forecastability keeps beyond five controls, by the pseudo-inverse of summed products."""

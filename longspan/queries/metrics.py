@@ -278,7 +278,7 @@ def jn12_jn13_eligible_and_excluded(spark, d):
     w = panels.supplier_weeks(spark, d).select("cohort", "unit", "date")
     eligible = w.groupBy("cohort", "unit").count().where("count >= 250").select("cohort", "unit")
     repeats = w.select("cohort", "unit").distinct().where("unit % 7 = 0")
-    return w.join(eligible, ["cohort", "unit"], "left_semi").join(F.broadcast(repeats), ["cohort", "unit"], "left_anti")
+    return w.join(eligible, ["cohort", "unit"], "left_semi").join(repeats, ["cohort", "unit"], "left_anti")
 
 
 @query(f"""WITH {LONG}, p AS (SELECT a.target AS a, b.target AS b, a.value AS x, b.value AS y FROM series a JOIN series b ON a.cohort = b.cohort AND a.unit = b.unit AND a.date = b.date AND a.target < b.target)
@@ -350,14 +350,14 @@ def set01_union_of_columns(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("""SELECT 'intersect' AS kind, count(*) AS n FROM (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey < 40) UNION ALL
-SELECT 'difference', count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 12) UNION ALL SELECT 'union', count(*) FROM (SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer) UNION ALL
+@query("""SELECT 'intersect' AS kind, count(*) AS n FROM (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer) UNION ALL
+SELECT 'difference', count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < -900) UNION ALL SELECT 'union', count(*) FROM (SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer) UNION ALL
 SELECT 'distinct', count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)""")
 def set02_to_set04_set_operations(spark, d):
     s, c = panels.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), panels.table(spark, d, "customer")
     keys = lambda df: df.select(F.col("c_nationkey").alias("k"))
     count = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
-    parts = [count("intersect", s.intersect(keys(c.where("c_custkey < 40")))), count("difference", s.subtract(keys(c.where("c_custkey < 12")))), count("union", s.union(keys(c)).distinct()), count("distinct", c.select("c_nationkey", "c_mktsegment").distinct())]
+    parts = [count("intersect", s.intersect(keys(c))), count("difference", s.subtract(keys(c.where("c_acctbal < -900")))), count("union", s.union(keys(c)).distinct()), count("distinct", c.select("c_nationkey", "c_mktsegment").distinct())]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

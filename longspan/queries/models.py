@@ -8,7 +8,7 @@ from longspan.operators import cluster, linear, metrics, splits
 from longspan.operators.windows import Trajectory
 from longspan.plans import panels
 
-from .base import LABELS, PEOPLE, WEEKS, query, r6, rounded
+from .base import LABELS, PEOPLE, WEEKS, query, rounded
 
 T = Trajectory()
 
@@ -90,18 +90,9 @@ def mdl11_mdl13_agg39_spherical_kmeans(spark, d):
     return metrics.adjusted_rand(a, "cluster", "label", []).join(F.broadcast(s), F.lit(True))
 
 
-SILHOUETTE = """WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 60), p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS d FROM f a, f b WHERE a.vec_id <> b.vec_id),
-m AS (SELECT vec_id, la, lb, avg(d) AS d FROM p GROUP BY ALL), s AS (SELECT vec_id, max(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM m GROUP BY ALL) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s"""
-
-
-@query(SILHOUETTE)
+@query("""WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS d FROM f a, f b WHERE a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, la, lb, avg(d) AS d FROM p GROUP BY ALL), s AS (SELECT vec_id, max(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM m GROUP BY ALL) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
 def mdl13_exact_silhouette(spark, d):
-    e = panels.table(spark, d, "embeddings").where("vec_id < 60").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return rounded(cluster.exact_silhouette(e, "v", "vec_id", "label"))
-
-
-@query(SILHOUETTE.replace(" WHERE vec_id < 60", ""))
-def mdl13_exact_silhouette_of_all(spark, d):
     e = panels.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(cluster.exact_silhouette(e, "v", "vec_id", "label"))
 
@@ -136,5 +127,3 @@ def inf19_prior_model(spark, d):
     fit = linear.ridge(s, ["prior"], "returned_qty", ["cohort"], alpha=10.0).where("role = 'test'")
     return metrics.regression(fit, "returned_qty", "prediction", ["cohort"]).select("cohort", "n", F.round("r2", 5).alias("r2"))
 
-
-__all__ = ["r6"]

@@ -10,10 +10,12 @@ from longspan.operators import cluster, linear, metrics, resample
 from longspan.operators.sequence import lz_entropy
 from longspan.operators.windows import Trajectory
 from longspan.plans import panels, robustness
+from longspan.sources.workspace import written
 
 from .base import COMPOSITES, FORECASTS, LABELS, METRICS, PEOPLE, WEEKS, query, r6, rounded
 
 T = Trajectory()
+H = "('0x' || substr(md5({a} || '|' || {b}), 1, 12))::BIGINT"
 SCOPES = {"core": (["line_count", "qty_sum", "mean_discount", "mean_tax"], 3), "rich": (panels.TARGETS, 5)}
 KEY = ["regime", "cohort", "unit", "target", "half"]
 
@@ -133,7 +135,7 @@ def inf07_split_half_stability(spark, d):
 def inf08_without_repeat_units(spark, d):
     c = _composites(spark, d)
     repeats = c.select("cohort", "unit").distinct().where("unit % 7 = 0")
-    kept = robustness.halves(c.join(F.broadcast(repeats), ["cohort", "unit"], "left_anti"), ["regime", "scope", "cohort", "unit"], ["forecastability"])
+    kept = robustness.halves(c.join(repeats, ["cohort", "unit"], "left_anti"), ["regime", "scope", "cohort", "unit"], ["forecastability"])
     return metrics.pearson(kept, "forecastability_early", "forecastability_late", ["regime", "scope"]).select("regime", "scope", "n", F.round("r", 5).alias("r"))
 
 
@@ -150,15 +152,20 @@ def inf06_jn14_profile_cosine(spark, d):
     return _profiles(spark, d).select("regime", "cohort", "unit", r6(cluster.masked_cosine(F.col("early"), F.col("late")), "cosine"))
 
 
-@query()
+@query(f"""WITH {METRICS}, {PROFILES}, u AS (SELECT cohort, unit, cosine FROM cosines WHERE regime = 'fixed'), f AS (SELECT p.* FROM m p SEMI JOIN u USING (cohort, unit) WHERE regime = 'fixed' AND forecastability_raw_z IS NOT NULL),
+o AS (SELECT draw, cohort, unit, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM u, range(0, 500) t(draw)),
+d AS (SELECT a.draw, a.cohort, a.unit, b.unit AS other FROM o a JOIN o b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
+k AS (SELECT d.draw, d.cohort, d.unit, sum(e.forecastability_raw_z * l.forecastability_raw_z) / sqrt(sum(e.forecastability_raw_z ** 2) * sum(l.forecastability_raw_z ** 2)) AS c FROM d JOIN f e ON e.cohort = d.cohort AND e.unit = d.unit AND e.half = 'early' JOIN f l ON l.cohort = d.cohort AND l.unit = d.other AND l.half = 'late' AND l.target = e.target GROUP BY ALL HAVING count(*) >= 4),
+n AS (SELECT draw, avg(c) AS c FROM k GROUP BY ALL), s AS (SELECT avg(cosine) AS same, count(*) AS n FROM u)
+SELECT any_value(s.n) AS n, round(any_value(same), 6) AS same, round(avg(c), 6) AS null_mean, round(any_value(same) - avg(c), 6) AS delta, round((count_if(round(c, 9) >= round(same, 9)) + 1) / (count(c) + 1e0), 6) AS p FROM n, s""")
 def inf05_profile_permutation(spark, d):
     """Mean cosine, its null by dealing late profiles within cohorts, the difference and p."""
-    p = _profiles(spark, d).where("regime = 'fixed'").select("cohort", "unit", "early", "late")
+    p = written(_profiles(spark, d).where("regime = 'fixed'").select("cohort", "unit", "early", "late"), "profiles")
     same = p.agg(F.avg(cluster.masked_cosine(F.col("early"), F.col("late"))).alias("same"), F.count(F.lit(1)).alias("n"))
     null = resample.permuted_profiles(p, 500)
-    both = null.join(F.broadcast(same), F.lit(True))
-    hits = F.count_if(F.col("mean_cosine") >= F.col("same"))
-    return both.groupBy("same", "n").agg(F.avg("mean_cosine").alias("null_mean"), ((hits + 1) / (F.count("mean_cosine") + F.lit(1.0))).alias("p")).withColumn("delta", F.col("same") - F.col("null_mean"))
+    hits = F.count_if(F.round("mean_cosine", 9) >= F.round("same", 9))  # dealing may give a cohort its own order back
+    out = null.join(F.broadcast(same), F.lit(True)).groupBy("same", "n").agg(F.avg("mean_cosine").alias("null_mean"), ((hits + 1) / (F.count("mean_cosine") + F.lit(1.0))).alias("p"))
+    return rounded(out.withColumn("delta", F.col("same") - F.col("null_mean")))
 
 
 @query(f"""WITH {METRICS}, s AS (SELECT regime, target, half, forecastability_raw_z AS a, observed_sd_z AS b FROM m WHERE forecastability_raw_z IS NOT NULL) SELECT regime, target, half, count(*) AS n, {R.format(a='a', b='b')} AS r FROM s GROUP BY ALL""")
@@ -166,7 +173,6 @@ def inf13_variability_overlap(spark, d):
     return metrics.pearson(_metrics(spark, d), "forecastability_raw_z", "observed_sd_z", ["regime", "target", "half"]).select("regime", "target", "half", "n", F.round("r", 5).alias("r"))
 
 
-H = "('0x' || substr(md5({a} || '|' || {b}), 1, 12))::BIGINT"
 BOOT = f"""b AS (SELECT cohort, unit, balance AS x, s_acct AS y, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n
    FROM (SELECT cohort, unit, balance, spent AS s_acct FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL)),
 slots AS (SELECT cohort, draw, {H.format(a='draw', b='i')} % n AS i FROM b, range(0, 100) t(draw)),
@@ -179,55 +185,42 @@ def inf01_bootstrap_correlation(spark, d):
     return rounded(resample.bootstrap_correlation(p, "x", "y", 100, ["cohort"], ["unit"]))
 
 
-@query(f"""WITH {LABELS}, wins AS (SELECT p.cohort AS a, n.cohort AS b, sum(CASE WHEN p.qty_sum > n.qty_sum THEN 1e0 WHEN p.qty_sum = n.qty_sum THEN 5e-1 ELSE 0e0 END) AS wins, count(*)::DOUBLE AS pairs FROM labelled p, labelled n WHERE p.label = 1 AND n.label = 0 AND p.unit % 10 = 0 AND n.unit % 10 = 0 GROUP BY ALL),
-c AS (SELECT cohort, row_number() OVER (ORDER BY cohort) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cohort FROM labelled WHERE unit % 10 = 0)), s AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM c, range(0, 50) t(draw)),
-w AS (SELECT draw, cohort, count(*) AS w FROM s JOIN c USING (i) GROUP BY ALL)
-SELECT wa.draw::INT AS draw, round(sum(wa.w * wb.w * wins) / sum(wa.w * wb.w * pairs), 6) AS auroc FROM wins JOIN w wa ON wa.cohort = a JOIN w wb ON wb.cohort = b AND wb.draw = wa.draw GROUP BY ALL""")
+@query(f"""WITH {LABELS}, t AS (SELECT cohort, unit, row_number() OVER (ORDER BY substr(md5(cohort || '|' || unit), 1, 3), cohort, unit) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cohort, unit FROM labelled)),
+slots AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM t, range(0, 50) r(draw)), w AS (SELECT draw, cohort, unit, count(*) AS w FROM slots JOIN t USING (i) GROUP BY ALL),
+k AS (SELECT cohort, unit, label, 'a' AS kind, qty_sum AS score FROM labelled UNION ALL SELECT cohort, unit, label, 'b', mean_tax FROM labelled),
+c AS (SELECT draw, kind, score, sum(w * label)::DOUBLE AS p, sum(w * (1 - label))::DOUBLE AS n FROM k JOIN w USING (cohort, unit) GROUP BY ALL),
+v AS (SELECT draw, kind, p, n, p * (sum(n) OVER (PARTITION BY draw, kind ORDER BY score) - n / 2e0) AS wins FROM c), a AS (SELECT draw, kind, sum(wins) / nullif(sum(p) * sum(n), 0) AS auroc FROM v GROUP BY ALL)
+SELECT draw::INT AS draw, round(max(auroc) FILTER (kind = 'a'), 6) AS auroc_a, round(max(auroc) FILTER (kind = 'b'), 6) AS auroc_b, round(max(auroc) FILTER (kind = 'a') - max(auroc) FILTER (kind = 'b'), 6) AS difference FROM a GROUP BY ALL""")
 def inf02_jn22_cluster_bootstrap(spark, d):
-    w = panels.labelled_weeks(spark, d).where("unit % 10 = 0").select("cohort", "label", "qty_sum")
-    wins = resample.pair_wins(w, "cohort", "label", "qty_sum")
-    weights = resample.cluster_weights(w.select("cohort").distinct(), "cohort", 50)
-    return resample.bootstrap_auroc(wins, weights, "cohort").select("draw", r6("auroc", "auroc"))
-
-
-@query()
-def inf02_jn22_trajectory_bootstrap(spark, d):
-    """All labelled weeks; trajectories are drawn."""
-    w = panels.labelled_weeks(spark, d).select(F.struct("cohort", "unit").alias("trajectory"), "label", "qty_sum")
-    return resample.cluster_bootstrap_auroc(w, "trajectory", "label", "qty_sum", 50).select("draw", r6("auroc", "auroc"))
-
-
-PERM = f"""people2 AS (SELECT cohort, unit, balance AS x, spent AS y FROM people WHERE spent IS NOT NULL AND unit % 5 = 0),
-r AS (SELECT draw, cohort, unit, x, y, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM people2, range(0, 40) t(draw)),
-p AS (SELECT a.draw, a.x, b.y FROM r a JOIN r b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
-null_r AS (SELECT draw, abs(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y))) AS r FROM p GROUP BY ALL), obs AS (SELECT abs(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y))) AS r FROM people2)"""
+    """Areas of two scores and their paired difference over all labelled weeks; trajectories are drawn."""
+    w = panels.labelled_weeks(spark, d).select("cohort", "unit", "label", "qty_sum", "mean_tax")
+    return rounded(resample.cluster_bootstrap_difference(w, ["cohort", "unit"], "label", "qty_sum", "mean_tax", 50))
 
 
-def _max_statistic(people):
-    p = people.select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
-    r = lambda: F.abs(metrics.pearson_of(F.col("x"), F.col("y"), 5))
-    null = resample.permuted(p, ["y"], 40, "cohort", "unit").groupBy("draw").agg(r().alias("r"))
-    seen = p.agg(r().alias("observed"))
-    b = null.join(F.broadcast(seen), F.lit(True))
-    return b.groupBy("observed").agg(r6(F.max("r"), "largest_null"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p")).withColumn("observed", r6("observed"))
+OUTCOMES, CONSTRUCTS = ["balance", "spent"], ["n_orders", "n_closed"]
+TESTS = [(o, c) for o in OUTCOMES for c in CONSTRUCTS]
+ABS_R = "abs(covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})))"
+PERM = f"""known AS (SELECT cohort, unit, balance, spent, n_orders, n_closed FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL),
+r AS (SELECT draw, known.*, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM known, range(0, 40) t(draw)),
+dealt AS (SELECT a.draw, a.n_orders, a.n_closed, b.balance, b.spent FROM r a JOIN r b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
+null_r AS (SELECT draw, greatest({', '.join(ABS_R.format(a=o, b=c) for o, c in TESTS)}) AS r FROM dealt GROUP BY ALL),
+obs AS ({' UNION ALL '.join(f"SELECT '{o}' AS outcome, '{c}' AS construct, {ABS_R.format(a=o, b=c)} AS observed FROM known" for o, c in TESTS)})"""
 
 
-@query(f"WITH {PEOPLE}, {PERM} SELECT round(any_value(obs.r), 6) AS observed, round(max(null_r.r), 6) AS largest_null, (count_if(null_r.r >= obs.r) + 1) / (count(*) + 1e0) AS p FROM null_r, obs")
+@query(f"WITH {PEOPLE}, {PERM} SELECT outcome, construct, round(any_value(observed), 6) AS observed, round(max(r), 6) AS largest_null, round((count_if(r >= observed) + 1) / (count(*) + 1e0), 6) AS p FROM null_r, obs GROUP BY outcome, construct")
 def inf04_max_statistic_permutation(spark, d):
-    return _max_statistic(panels.people(spark, d).where("spent IS NOT NULL AND unit % 5 = 0"))
-
-
-ALL_PERM = PERM.replace(" AND unit % 5 = 0", "")
-
-
-@query(f"WITH {PEOPLE}, {ALL_PERM} SELECT round(any_value(obs.r), 6) AS observed, round(max(null_r.r), 6) AS largest_null, (count_if(null_r.r >= obs.r) + 1) / (count(*) + 1e0) AS p FROM null_r, obs")
-def inf04_max_statistic_of_all_units(spark, d):
-    return _max_statistic(panels.people(spark, d).where("spent IS NOT NULL"))
+    """Outcomes dealt anew within cohorts; every test's p is by the largest absolute correlation of all tests."""
+    p = panels.people(spark, d).select("cohort", "unit", *OUTCOMES, *CONSTRUCTS).dropna(subset=OUTCOMES)
+    r = lambda o, c: F.abs(metrics.pearson_of(F.col(o), F.col(c), 5))
+    null = resample.permuted(p, OUTCOMES, 40, "cohort", "unit").groupBy("draw").agg(F.greatest(*[r(o, c) for o, c in TESTS]).alias("r"))
+    seen = p.agg(F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(c).alias("construct"), r(o, c).alias("observed")) for o, c in TESTS]).alias("t")).select(F.inline("t"))
+    b = null.join(F.broadcast(seen), F.lit(True)).groupBy("outcome", "construct", "observed")
+    return rounded(b.agg(F.max("r").alias("largest_null"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p")))
 
 
 @query(f"""WITH {LABELS}, k AS (SELECT *, rank() OVER (PARTITION BY cohort, unit ORDER BY mean_tax) + (count(*) OVER (PARTITION BY cohort, unit, mean_tax) - 1) / 2e0 AS rk FROM labelled),
 a AS (SELECT cohort, unit, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(rk * label) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) END AS auroc FROM k GROUP BY cohort, unit),
-u AS (SELECT unit, auroc, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM a WHERE auroc IS NOT NULL), s AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM u, range(0, 100) t(draw)), m AS (SELECT draw, avg(auroc) AS mean_auroc FROM s JOIN u USING (i) GROUP BY ALL)
+u AS (SELECT unit, auroc, row_number() OVER (ORDER BY substr(md5(unit::VARCHAR), 1, 3), unit) - 1 AS i, count(*) OVER () AS n FROM a WHERE auroc IS NOT NULL), s AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM u, range(0, 100) t(draw)), m AS (SELECT draw, avg(auroc) AS mean_auroc FROM s JOIN u USING (i) GROUP BY ALL)
 SELECT count(*) AS n_draws, round(quantile_cont(mean_auroc, 0.025), 6) AS low, round(quantile_cont(mean_auroc, 0.975), 6) AS high, quantile_cont(mean_auroc, 0.025) > 5e-1 AND (SELECT avg(auroc) FROM u) >= 55e-2 AS passes FROM m""")
 def inf03_gat02_within_unit_auroc(spark, d):
     u = metrics.auroc(panels.labelled_weeks(spark, d), "label", "mean_tax", ["cohort", "unit"]).where("auroc IS NOT NULL").select("unit", "auroc")
@@ -243,14 +236,23 @@ def inf14_inf15_fisher(spark, d):
     return r.withColumn("p", fisher_p(F.col("r"), F.col("n"))).withColumn("detectable_r", resample.detectable_r(F.col("n")))
 
 
-@query()
+#: 21 true areas, from chance up by a hundredth.
+AREAS = [round(0.5 + i / 100, 2) for i in range(21)]
+
+
+@query(f"""WITH {LABELS}, n AS (SELECT unit, sum(label) AS np, count(*) - sum(label) AS nn FROM labelled GROUP BY ALL HAVING sum(label) > 0 AND sum(label) < count(*)), k AS (SELECT unit, np, nn, sim, unnest(range(1, (np + nn + 1)::BIGINT)) AS k FROM n, range(0, 20) t(sim)),
+h AS (SELECT *, md5(sim || '|' || unit || '|' || k) AS h FROM k), z AS (SELECT unit, np, nn, sim, (k <= np)::INT AS pos, sqrt(-2 * ln((('0x' || substr(h, 1, 12))::BIGINT + 5e-1) / 281474976710656e0)) * cos(2 * pi() * ((('0x' || substr(h, 13, 12))::BIGINT + 5e-1) / 281474976710656e0)) AS z FROM h),
+s AS (SELECT area, sim, unit, np, nn, pos, sum(1 - pos) OVER (PARTITION BY area, sim, unit ORDER BY z + pos * shift) AS below FROM z, (VALUES {', '.join(f'({a!r}e0, {resample.shift_of(a)!r}::DOUBLE)' for a in AREAS)}) g(area, shift)),
+u AS (SELECT area, sim, unit, sum(pos * below) / (any_value(np) * any_value(nn))::DOUBLE AS auc FROM s GROUP BY ALL), m AS (SELECT area, sim, round(avg(auc), 9) AS auc FROM u GROUP BY ALL), c AS (SELECT quantile_cont(auc, 0.975) AS critical FROM m WHERE area = 5e-1),
+p AS (SELECT area AS true_auc, count(*) AS n, round(avg((auc > critical)::INT), 6) AS power FROM m, c GROUP BY ALL) SELECT *, coalesce(true_auc = (SELECT min(true_auc) FROM p WHERE power >= 8e-1), false) AS first_detected FROM p""")
 def inf16_power_curve(spark, d):
-    """Share of simulated macro areas above the chance level's 97.5 % quantile, on a grid of true areas."""
-    n = panels.labelled_weeks(spark, d).groupBy("cohort", "unit").agg(F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative")).where("n_positive > 0 AND n_negative > 0")
-    designs = n.groupBy("n_positive", "n_negative").agg(F.count(F.lit(1)).alias("groups"))
-    sims = resample.simulate_power(designs, [0.5, 0.52, 0.54, 0.56], 200, 50)
+    """Share of 20 simulated macro areas above the chance level's 97.5 % quantile, and the first true area of 80 % power."""
+    n = panels.labelled_weeks(spark, d).groupBy("unit").agg(F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative"))
+    sims = written(resample.simulate_power(n, AREAS, 20).withColumn("mean_auc", F.round("mean_auc", 9)), "power")
     level = sims.where("true_auc = 0.5").agg(F.percentile("mean_auc", F.lit(0.975)).alias("critical"))
-    return sims.join(F.broadcast(level), F.lit(True)).groupBy("true_auc").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("mean_auc") > F.col("critical")).cast("double")).alias("power"))
+    power = sims.join(F.broadcast(level), F.lit(True)).groupBy("true_auc").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("mean_auc") > F.col("critical")).cast("double")), "power"))
+    first = power.agg(F.min(F.when(F.col("power") >= 0.8, F.col("true_auc"))).alias("first"))
+    return power.join(F.broadcast(first), F.lit(True)).select("true_auc", "n", "power", F.coalesce(F.col("true_auc") == F.col("first"), F.lit(False)).alias("first_detected"))
 
 
 @query(f"""WITH {PEOPLE}, p AS (SELECT cohort, balance, spent, n_closed FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL AND n_closed IS NOT NULL), z AS (SELECT cohort, balance AS fe, spent AS fl, n_closed AS ve FROM p),

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def folder(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="work-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` read back from files of its own, for plans that read it more than once; a lost executor costs no recomputation."""
+    path = f"{folder(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
