@@ -26,7 +26,7 @@ TRAIN_ROWS = 2000
 #: Most features of one model, and rows of its category that a feature needs.
 FEATURES, LEAST_SHARE = 600, 0.01
 FOLDS = 4
-#: Share of rejected training texts that must be right, out of fold; a chain that cannot reach it rejects nothing.
+#: Share of rejected texts that must be right, out of fold and weighted back to all labelled texts; a chain that cannot reach it rejects nothing.
 LEAST_PRECISION = 0.9
 
 #: Categories of the labels table in the order of the chain; the last decides.
@@ -124,8 +124,12 @@ class Chain:
         return out
 
 
-def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, y: np.ndarray, group: np.ndarray) -> Chain:
-    """``y``: rows x categories; ``group``: rows with equal values share a fold (copies of one text)."""
+def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, y: np.ndarray, group: np.ndarray, weight: np.ndarray | None = None) -> Chain:
+    """``y``: rows x categories; ``group``: rows with equal values share a fold (copies of one text).
+
+    ``weight``: how many labelled texts a row of the sample stands for; precision and F1
+    of the threshold use it, so that the threshold means the same at every size.
+    """
     n = len(y)
     chain, before, fold = Chain(names), np.zeros((n, 0)), group % FOLDS
     for k in range(len(names)):
@@ -143,9 +147,12 @@ def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, y: np.ndar
         before = np.column_stack([before, out])
     chain.out_of_fold = before
     last, p = y[:, -1], before[:, -1]
+    w = np.ones(n) if weight is None else weight
     grid = np.round(np.arange(0.1, 0.91, 0.05), 2)
-    f1 = np.array([2 * ((p >= t) & last).sum() / max(1, (p >= t).sum() + last.sum()) for t in grid])
-    right = np.array([((p >= t) & last).sum() / max(1, (p >= t).sum()) for t in grid])
+    hits = np.array([w[(p >= t) & last].sum() for t in grid])
+    taken = np.array([w[p >= t].sum() for t in grid])
+    f1 = 2 * hits / np.maximum(1, taken + w[last].sum())
+    right = hits / np.maximum(1, taken)
     f1[right < LEAST_PRECISION] = 0
     best = grid[f1 >= f1.max() - 1e-12]
     chain.threshold = float(best[len(best) // 2]) if f1.max() > 0 else 2.0
@@ -159,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*truth)
     last = f"y{len(names) - 1}"
     counts = {r[last]: r["count"] for r in known.groupBy(last).count().collect()}
-    share = F.when(F.col(last), min(1.0, train_rows / max(1, counts.get(True, 0)))).otherwise(min(1.0, train_rows / max(1, counts.get(False, 0))))
+    with_share, without_share = (min(1.0, train_rows / max(1, counts.get(v, 0))) for v in (True, False))
+    share = F.when(F.col(last), with_share).otherwise(without_share)
     chosen = known.where(unit_hash(F.lit("toxicity"), F.col("doc_id")) < share)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     ys = [f"y{i}" for i in range(len(names))]
@@ -190,7 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     place[np.sort(single)] = np.arange(len(single))
     mine = place[row] >= 0
     single = np.sort(single)
-    return fit_chain(names, place[row[mine]], feature[mine], y[single], copy_of[single])
+    weight = np.where(y[single, -1], 1 / with_share, 1 / without_share)
+    return fit_chain(names, place[row[mine]], feature[mine], y[single], copy_of[single], weight)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: int = TRAIN_ROWS) -> DataFrame:
