@@ -50,6 +50,31 @@ def zscore(c: Column, by: WindowSpec, constant: float | None = 0.0, sample: bool
     return F.when(c.isNotNull(), F.when(sd > EPS, (c - F.avg(c).over(by)) / sd).otherwise(fixed))
 
 
+def with_aggregates(df: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
+    """``df`` with aggregates of its groups joined back; a null key is a group of its own.
+
+    For few large groups: these are reduced before the shuffle and their table is joined,
+    where a window would gather each group in one task.  ``df`` is read twice.
+    """
+    if not by:
+        return df.join(F.broadcast(df.agg(*aggregates)), F.lit(True))
+    keys = [f"_by{i}" for i in range(len(by))]
+    sums = df.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(*aggregates)
+    same = F.lit(True)
+    for b, k in zip(by, keys):
+        same = same & F.col(b).eqNullSafe(F.col(k))
+    return df.join(sums, same).drop(*keys)
+
+
+def standardised(df: DataFrame, columns: dict[str, Column], by: list[str]) -> DataFrame:
+    """Adds z-scores within groups that are few and large, 0 where a group does not vary."""
+    moments = [f(c).alias(f"_{k}_{out}") for out, c in columns.items() for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    rows = with_aggregates(df, by, moments)
+    z = lambda out, c: F.when(F.col(f"_sd_{out}") > EPS, (c - F.col(f"_mean_{out}")) / F.nullif(F.col(f"_sd_{out}"), F.lit(0.0))).otherwise(F.lit(0.0))
+    rows = rows.withColumns({out: F.when(c.isNotNull(), z(out, c)) for out, c in columns.items()})
+    return rows.drop(*[f"_{k}_{out}" for out in columns for k in ("mean", "sd")])
+
+
 def average_rank(c: Column, by: list[str]) -> Column:
     """Rank with ties sharing their mean; null stays null and does not count."""
     order = Window.partitionBy(*by, c.isNull()).orderBy(c)

@@ -7,10 +7,10 @@ a group's rows never meet, only sums of products do.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspan.functions.numeric import EPS
+from longspan.functions.numeric import EPS, with_aggregates
 
 
 def _filled(df: DataFrame, features: list[str], by: list[str], train: Column) -> DataFrame:
@@ -52,41 +52,52 @@ def ridge(df: DataFrame, features: list[str], target: str, by: list[str], role:
     return scored.withColumn("prediction", dot).drop("_mean", "_beta")
 
 
-def residual(df: DataFrame, y: str, controls: list[str], by: list[str], factor: str | None, out: str) -> DataFrame:
-    """Adds ``out``: what a least-squares fit on a factor's levels and up to two controls leaves of ``y``.
+def residuals(df: DataFrame, specs: list[tuple[str, list[str], str]], by: list[str], factor: str | None) -> DataFrame:
+    """For each (y, controls, out) adds what a least-squares fit on a factor's levels and up to two controls leaves of y.
 
     By Frisch, Waugh and Lovell: centre everything within the factor's levels, then
     regress on the centred controls by closed form.  Rank deficiency (a control
     that does not vary within levels) drops that control, as a pseudo-inverse does.
+    Means and products are aggregates joined back, two for all of ``specs``.
     """
-    w = Window.partitionBy(*by, *([factor] if factor else []))
-    every = Window.partitionBy(*by)
-    used = F.lit(True)
-    for c in [y, *controls]:
-        used = used & F.col(c).isNotNull()
-    rows = df.withColumn("_used", used)
-    keep = lambda c: F.when(F.col("_used"), F.col(c))
-    for c in [y, *controls]:
-        rows = rows.withColumn(f"_c_{c}", keep(c) - F.avg(keep(c)).over(w))
-    dot = lambda a, b: F.sum(F.col(f"_c_{a}") * F.col(f"_c_{b}")).over(every)
-    left = F.col(f"_c_{y}")
-    if len(controls) == 1:
-        x = controls[0]
-        rows = rows.withColumn("_b0", F.when(dot(x, x) > EPS, dot(x, y) / F.nullif(dot(x, x), F.lit(0.0))).otherwise(0.0))
-        left = left - F.col("_b0") * F.col(f"_c_{x}")
-    elif len(controls) == 2:
-        u, v = controls
-        rows = rows.withColumn("_uu", dot(u, u)).withColumn("_vv", dot(v, v)).withColumn("_uv", dot(u, v)).withColumn("_uy", dot(u, y)).withColumn("_vy", dot(v, y))
-        det = F.col("_uu") * F.col("_vv") - F.col("_uv") * F.col("_uv")
-        solid = det > EPS * F.greatest(F.col("_uu") * F.col("_vv"), F.lit(EPS))
-        safe = F.nullif(det, F.lit(0.0))
-        one = F.when(F.col("_uu") > EPS, F.col("_uy") / F.nullif(F.col("_uu"), F.lit(0.0))).otherwise(0.0)
-        rows = rows.withColumn("_b0", F.when(solid, (F.col("_vv") * F.col("_uy") - F.col("_uv") * F.col("_vy")) / safe).otherwise(one))
-        rows = rows.withColumn("_b1", F.when(solid, (F.col("_uu") * F.col("_vy") - F.col("_uv") * F.col("_uy")) / safe).otherwise(0.0))
-        left = left - F.col("_b0") * F.col(f"_c_{u}") - F.col("_b1") * F.col(f"_c_{v}")
-    elif controls:
-        raise ValueError("two controls at most; use residual_wide for more")
-    return rows.withColumn(out, left).drop("_used", "_b0", "_b1", "_uu", "_vv", "_uv", "_uy", "_vy", *[f"_c_{c}" for c in [y, *controls]])
+    means, centred, sums = [], {}, []
+    for i, (y, controls, _) in enumerate(specs):
+        if len(controls) > 2:
+            raise ValueError("two controls at most; use residual_wide for more")
+        used = F.lit(True)
+        for c in [y, *controls]:
+            used = used & F.col(c).isNotNull()
+        for j, c in enumerate([y, *controls]):
+            means.append(F.avg(F.when(used, F.col(c))).alias(f"_m{i}_{j}"))
+            centred[f"_c{i}_{j}"] = F.when(used, F.col(c)) - F.col(f"_m{i}_{j}")
+        pairs = [(a, b) for a in range(len(controls) + 1) for b in range(max(a, 1), len(controls) + 1)]
+        sums += [F.sum(F.col(f"_c{i}_{a}") * F.col(f"_c{i}_{b}")).alias(f"_s{i}_{a}{b}") for a, b in pairs]
+    rows = with_aggregates(df, [*by, *([factor] if factor else [])], means).withColumns(centred)
+    if sums:
+        rows = with_aggregates(rows, by, sums)
+    out = {}
+    for i, (_, controls, name) in enumerate(specs):
+        s = lambda ab, i=i: F.col(f"_s{i}_{ab}")
+        c = [F.col(f"_c{i}_{j}") for j in range(len(controls) + 1)]
+        out[name] = c[0]
+        if controls:
+            alone = F.when(s("11") > EPS, s("01") / F.nullif(s("11"), F.lit(0.0))).otherwise(0.0)
+        if len(controls) == 1:
+            out[name] = c[0] - alone * c[1]
+        elif len(controls) == 2:
+            det = s("11") * s("22") - s("12") * s("12")
+            solid = det > EPS * F.greatest(s("11") * s("22"), F.lit(EPS))
+            safe = F.nullif(det, F.lit(0.0))
+            first = F.when(solid, (s("22") * s("01") - s("12") * s("02")) / safe).otherwise(alone)
+            second = F.when(solid, (s("11") * s("02") - s("12") * s("01")) / safe).otherwise(0.0)
+            out[name] = c[0] - first * c[1] - second * c[2]
+    kept = [x for x in df.columns if x not in out]
+    return rows.select(*kept, *[v.alias(k) for k, v in out.items()])
+
+
+def residual(df: DataFrame, y: str, controls: list[str], by: list[str], factor: str | None, out: str) -> DataFrame:
+    """The residual of one column; see ``residuals``."""
+    return residuals(df, [(y, controls, out)], by, factor)
 
 
 def residual_wide(df: DataFrame, y: str, controls: list[str], by: list[str], out: str) -> DataFrame:

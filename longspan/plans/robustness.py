@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.functions.numeric import log1p_clipped, skill, zscore
+from longspan.functions.numeric import log1p_clipped, skill, standardised, with_aggregates
 from longspan.operators import linear, metrics, splits
 from longspan.operators.windows import Trajectory
+from longspan.sources.workspace import written
 
 SERIES = Trajectory(keys=("cohort", "unit", "target"))
 HALF = ["regime", "cohort", "unit", "target", "half"]
@@ -31,28 +32,27 @@ def half_metrics(predictions: DataFrame, least: int = 10) -> DataFrame:
     """Errors, spread, entropy, skills and their z-scores for each trajectory, target and half.
 
     The scale of a target comes from all rows, before short halves are left out.
+    The forecasts, and the table of a row for each half, are written once, since scale,
+    entropy, z-scores and most plans that follow read them more than once.
     """
-    p = predictions.withColumn("e_h", F.abs(F.col("observed_log") - F.col("reg_history"))).withColumn("e_c", F.abs(F.col("observed_log") - F.col("reg_calendar")))
+    p = written(predictions.select(*HALF, "observed_log", "reg_history", "reg_calendar"), "predictions")
+    p = p.withColumn("e_h", F.abs(F.col("observed_log") - F.col("reg_history"))).withColumn("e_c", F.abs(F.col("observed_log") - F.col("reg_calendar")))
     m = p.groupBy(*HALF).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("e_h").alias("mae_history"), F.avg("e_c").alias("mae_calendar"), F.stddev_pop("observed_log").alias("observed_sd"))
     entropy = metrics.binned_entropy(p, "observed_log", HALF, ["regime", "target"]).select(*HALF, F.col("entropy").alias("observed_entropy"))
     scale = p.groupBy("regime", "target").agg(F.stddev_pop("observed_log").alias("target_scale"))
     m = m.where(F.col("n_obs") >= least).join(entropy, HALF).join(F.broadcast(scale), ["regime", "target"])
     m = m.withColumn("forecastability_raw", -F.col("mae_history") / F.nullif(F.col("target_scale"), F.lit(0.0))).withColumn("history_skill", skill(F.col("mae_history"), F.col("mae_calendar")))
-    by = Window.partitionBy("regime", "target", "half")
-    return m.withColumns({f"{c}_z": zscore(F.col(c), by) for c in ("forecastability_raw", "history_skill", "observed_sd", "observed_entropy")})
+    m = written(m, "half-metrics")
+    return standardised(m, {f"{c}_z": F.col(c) for c in ("forecastability_raw", "history_skill", "observed_sd", "observed_entropy")}, ["regime", "target", "half"])
 
 
 def residual_z(m: DataFrame, value: str, controls: list[str], out: str, least: int = 10) -> DataFrame:
     """What a value keeps beyond cohort and controls within (regime, target, half), as z-scores."""
     by = ["regime", "target", "half"]
-    w = Window.partitionBy(*by)
-    used = F.lit(True)
-    for c in [value, *controls]:
-        used = used & F.col(c).isNotNull()
-    r = linear.residual(m, value, controls, by, "cohort", "_residual")
-    kept = F.when(used & (F.count_if(used).over(w) >= least), F.col("_residual"))
-    r = r.withColumn("_residual", kept)
-    return r.withColumn(out, zscore(F.col("_residual"), w)).drop("_residual")
+    r = written(linear.residual(m, value, controls, by, "cohort", "_residual"), "residuals")  # null where a value or a control is
+    r = with_aggregates(r, by, [F.count("_residual").alias("_known")])
+    r = r.withColumn("_residual", F.when(F.col("_known") >= least, F.col("_residual")))
+    return standardised(r, {out: F.col("_residual")}, by).drop("_residual", "_known")
 
 
 def composites(m: DataFrame, scopes: dict[str, tuple[list[str], int]]) -> DataFrame:
@@ -75,18 +75,23 @@ def halves(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return out.where("_h = 2").drop("_h")
 
 
+def stability_pairs(c: DataFrame, measure: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """A row for each regime, scope and trajectory with both halves; the early and late column of each kind."""
+    rows = written(halves(c, ["regime", "scope", "cohort", "unit"], [measure, "variability", "entropy"]), "halves")
+    columns, specs = {"raw": (f"{measure}_early", f"{measure}_late")}, []
+    for kind, controls in (("cohort", []), ("sd", ["variability"]), ("sd_entropy", ["variability", "entropy"])):
+        columns[kind] = (f"_{kind}_early", f"_{kind}_late")
+        specs += [(f"{measure}_{h}", [f"{x}_{h}" for x in controls], f"_{kind}_{h}") for h in ("early", "late")]
+    return linear.residuals(rows, specs, ["regime", "scope"], "cohort"), columns
+
+
 def stability(c: DataFrame, measure: str) -> DataFrame:
     """Split-half correlation of a composite: as it is, centred in cohorts, and beyond spread or entropy.
 
     All residuals are columns of one table, so the panel is read and shuffled once.
     """
     by = ["regime", "scope"]
-    rows = halves(c, [*by, "cohort", "unit"], [measure, "variability", "entropy"])
-    columns = {"raw": (f"{measure}_early", f"{measure}_late")}
-    for kind, controls in (("cohort", []), ("sd", ["variability"]), ("sd_entropy", ["variability", "entropy"])):
-        columns[kind] = (f"_{kind}_early", f"_{kind}_late")
-        for h in ("early", "late"):
-            rows = linear.residual(rows, f"{measure}_{h}", [f"{x}_{h}" for x in controls], by, "cohort", f"_{kind}_{h}")
+    rows, columns = stability_pairs(c, measure)
     known = lambda x, y: F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())
     parts = [F.struct(F.lit(k).alias("kind"), known(x, y).alias("n"), metrics.pearson_of(F.col(x), F.col(y), 5).alias("r")) for k, (x, y) in columns.items()]
     return rows.groupBy(*by).agg(F.array(*parts).alias("p")).select(*by, F.inline("p"))

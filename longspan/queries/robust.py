@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longspan.functions.hashing import draw_hash
-from longspan.functions.numeric import fisher_p
+from longspan.functions.numeric import average_rank, fisher_p
 from longspan.operators import cluster, linear, metrics, resample
 from longspan.operators.sequence import lz_entropy
 from longspan.operators.windows import Trajectory
@@ -64,11 +65,12 @@ def agg30_coverage_diagnostics(spark, d):
 @query(f"""WITH {FORECASTS}, e AS (SELECT *, abs(observed_log - reg_calendar) AS err FROM pred), n AS (SELECT *, err / greatest(avg(err) OVER (PARTITION BY regime, target), 1e-8) AS norm FROM e)
 SELECT regime, cohort, count(*) AS n_rows, round(avg(norm), 6) AS mean_normalized FROM n GROUP BY ALL""")
 def agg31_normalised_calendar_error(spark, d):
-    from pyspark.sql import Window
-
-    e = _forecasts(spark, d).withColumn("err", F.abs(F.col("observed_log") - F.col("reg_calendar")))
-    norm = F.col("err") / F.greatest(F.avg("err").over(Window.partitionBy("regime", "target")), F.lit(1e-8))
-    return e.withColumn("norm", norm).groupBy("regime", "cohort").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("norm"), "mean_normalized"))
+    """Errors over their target's mean error; sums of a cohort and target are taken first, so the means are over a small table."""
+    e = F.abs(F.col("observed_log") - F.col("reg_calendar"))
+    sums = _forecasts(spark, d).groupBy("regime", "target", "cohort").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("err"), F.count(e).alias("known"))
+    w = Window.partitionBy("regime", "target")
+    norm = F.col("err") / F.greatest(F.sum("err").over(w) / F.nullif(F.sum("known").over(w), F.lit(0)), F.lit(1e-8))
+    return sums.withColumn("norm", norm).groupBy("regime", "cohort").agg(F.sum("n").alias("n_rows"), r6(F.sum("norm") / F.nullif(F.sum("known"), F.lit(0)), "mean_normalized"))
 
 
 GAIN = """g AS (SELECT regime, target, count(*) AS n_rows, avg(abs(observed_log - reg_calendar)) AS mae_calendar, avg(abs(observed_log - reg_history)) AS mae_history FROM pred GROUP BY ALL)"""
@@ -168,9 +170,53 @@ def inf05_profile_permutation(spark, d):
     return rounded(out.withColumn("delta", F.col("same") - F.col("null_mean")))
 
 
-@query(f"""WITH {METRICS}, s AS (SELECT regime, target, half, forecastability_raw_z AS a, observed_sd_z AS b FROM m WHERE forecastability_raw_z IS NOT NULL) SELECT regime, target, half, count(*) AS n, {R.format(a='a', b='b')} AS r FROM s GROUP BY ALL""")
+RANK = "CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2e0 END"
+OVERLAP = {"forecastability": "forecastability_raw", "history_skill": "history_skill"}, {"variability": "observed_sd", "entropy": "observed_entropy"}
+
+
+def _overlap_sql(table: str, by: str, analysis: str, scope: str, suffix: str) -> str:
+    """Pearson and Spearman of each predictor with each measure of spread; ranks are of nine digits."""
+    short = {**OVERLAP[0], **OVERLAP[1]}
+    name = (lambda k: k) if suffix == "person" else (lambda k: short[k] + suffix)
+    ranks = ", ".join(f"{name(k)} AS {k}_v, {RANK.format(x=f'round({name(k)}, 9)', by=by)} AS {k}_r" for k in short)
+    pairs = " UNION ALL ".join(f"SELECT regime, {scope} AS scope, '{analysis}' AS analysis, '{p}' AS predictor, '{v}' AS measure, count({p}_v + {v}_v) AS n, {R.format(a=f'{p}_v', b=f'{v}_v')} AS pearson_r, {R.format(a=f'{p}_r', b=f'{v}_r')} AS spearman_r FROM ranked GROUP BY ALL" for p in OVERLAP[0] for v in OVERLAP[1])
+    return f"SELECT * FROM (WITH ranked AS (SELECT *, {ranks} FROM {table}) {pairs})"
+
+
+def _overlap(rows, by, analysis, scope, columns):
+    ranked = rows.select(*by, *[F.col(c).alias(k) for k, c in columns.items()], *[average_rank(F.round(c, 9), by).alias(f"{k}_r") for k, c in columns.items()])
+    col = F.col
+    parts = [
+        F.struct(F.lit(p).alias("predictor"), F.lit(v).alias("measure"), F.count(col(p) + col(v)).alias("n"), F.round(metrics.pearson_of(col(p), col(v), 5), 5).alias("pearson_r"), F.round(metrics.pearson_of(col(f"{p}_r"), col(f"{v}_r"), 5), 5).alias("spearman_r"))
+        for p in OVERLAP[0]
+        for v in OVERLAP[1]
+    ]
+    return ranked.groupBy(*by).agg(F.array(*parts).alias("p")).select("regime", scope.alias("scope"), F.lit(analysis).alias("analysis"), F.inline("p"))
+
+
+BOTH_HALVES = "averages AS (SELECT regime, scope, cohort, unit, avg(forecastability) AS forecastability, avg(history_skill) AS history_skill, avg(variability) AS variability, avg(entropy) AS entropy FROM comp GROUP BY ALL HAVING count(DISTINCT half) = 2 AND count(forecastability) = 2 AND count(history_skill) = 2 AND count(variability) = 2 AND count(entropy) = 2)"
+FOUR = ["forecastability", "history_skill", "variability", "entropy"]
+
+
+def _averages(c):
+    """A trajectory's means of both halves, where all four composites are known in both."""
+    known = F.lit(True)
+    for x in FOUR:
+        known = known & (F.col(f"n_{x}") == 2)
+    a = c.groupBy("regime", "scope", "cohort", "unit").agg(F.count_distinct("half").alias("h"), *[F.avg(x).alias(x) for x in FOUR], *[F.count(x).alias(f"n_{x}") for x in FOUR])
+    return a.where((F.col("h") == 2) & known).drop("h", *[f"n_{x}" for x in FOUR])
+
+
+@query(f"""WITH {COMPOSITES}, {BOTH_HALVES} {_overlap_sql('m', 'regime', 'raw_across_targets', "'target_half_rows'", '')}
+UNION ALL {_overlap_sql('m', 'regime', 'within_target_half_standardized', "'target_half_rows'", '_z')} UNION ALL {_overlap_sql('averages', 'regime, scope', 'person_average_composite', 'scope', 'person')}""")
 def inf13_variability_overlap(spark, d):
-    return metrics.pearson(_metrics(spark, d), "forecastability_raw_z", "observed_sd_z", ["regime", "target", "half"]).select("regime", "target", "half", "n", F.round("r", 5).alias("r"))
+    """How far forecastability and skill go with spread and entropy: raw, as z-scores, and as person averages."""
+    m = _metrics(spark, d)
+    short = {**OVERLAP[0], **OVERLAP[1]}
+    out = _overlap(m, ["regime"], "raw_across_targets", F.lit("target_half_rows"), short)
+    out = out.unionByName(_overlap(m, ["regime"], "within_target_half_standardized", F.lit("target_half_rows"), {k: f"{c}_z" for k, c in short.items()}))
+    people = _averages(robustness.composites(m, SCOPES))
+    return out.unionByName(_overlap(people, ["regime", "scope"], "person_average_composite", F.col("scope"), {k: k for k in FOUR}))
 
 
 BOOT = f"""b AS (SELECT cohort, unit, balance AS x, s_acct AS y, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n
