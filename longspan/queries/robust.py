@@ -154,15 +154,18 @@ def inf06_jn14_profile_cosine(spark, d):
     return _profiles(spark, d).select("regime", "cohort", "unit", r6(cluster.masked_cosine(F.col("early"), F.col("late")), "cosine"))
 
 
-@query(f"""WITH {METRICS}, {PROFILES}, u AS (SELECT cohort, unit, cosine FROM cosines WHERE regime = 'fixed'), f AS (SELECT p.* FROM m p SEMI JOIN u USING (cohort, unit) WHERE regime = 'fixed' AND forecastability_raw_z IS NOT NULL),
+DEALT = f"""WITH u AS (SELECT cohort, unit, cosine FROM cosines WHERE regime = 'fixed'), f AS (SELECT p.* FROM m p SEMI JOIN u USING (cohort, unit) WHERE regime = 'fixed' AND forecastability_raw_z IS NOT NULL),
 o AS (SELECT draw, cohort, unit, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM u, range(0, 500) t(draw)),
 d AS (SELECT a.draw, a.cohort, a.unit, b.unit AS other FROM o a JOIN o b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
 k AS (SELECT d.draw, d.cohort, d.unit, sum(e.forecastability_raw_z * l.forecastability_raw_z) / sqrt(sum(e.forecastability_raw_z ** 2) * sum(l.forecastability_raw_z ** 2)) AS c FROM d JOIN f e ON e.cohort = d.cohort AND e.unit = d.unit AND e.half = 'early' JOIN f l ON l.cohort = d.cohort AND l.unit = d.other AND l.half = 'late' AND l.target = e.target GROUP BY ALL HAVING count(*) >= 4),
 n AS (SELECT draw, avg(c) AS c FROM k GROUP BY ALL), s AS (SELECT avg(cosine) AS same, count(*) AS n FROM u)
-SELECT any_value(s.n) AS n, round(any_value(same), 6) AS same, round(avg(c), 6) AS null_mean, round(any_value(same) - avg(c), 6) AS delta, round((count_if(round(c, 9) >= round(same, 9)) + 1) / (count(c) + 1e0), 6) AS p FROM n, s""")
-def inf05_profile_permutation(spark, d):
-    """Mean cosine, its null by dealing late profiles within cohorts, the difference and p."""
-    p = written(_profiles(spark, d).where("regime = 'fixed'").select("cohort", "unit", "early", "late"), "profiles")
+SELECT any_value(s.n) AS n, round(any_value(same), 6) AS same, round(avg(c), 6) AS null_mean, round(any_value(same) - avg(c), 6) AS delta, round((count_if(round(c, 9) >= round(same, 9)) + 1) / (count(c) + 1e0), 6) AS p FROM n, s"""
+
+
+def _dealt(m):
+    """Mean cosine of fixed-regime profiles, its null by dealing late profiles within cohorts, the difference and p."""
+    profiles = robustness.profiles(m, "forecastability_raw_z", panels.TARGETS, 4)
+    p = written(profiles.where("regime = 'fixed'").select("cohort", "unit", "early", "late"), "profiles")
     same = p.agg(F.avg(cluster.masked_cosine(F.col("early"), F.col("late"))).alias("same"), F.count(F.lit(1)).alias("n"))
     null = resample.permuted_profiles(p, 500)
     hits = F.count_if(F.round("mean_cosine", 9) >= F.round("same", 9))  # dealing may give a cohort its own order back
@@ -170,6 +173,11 @@ def inf05_profile_permutation(spark, d):
     return rounded(out.withColumn("delta", F.col("same") - F.col("null_mean")))
 
 
+@query(f"WITH {METRICS}, {PROFILES} SELECT * FROM ({DEALT})")
+def inf05_profile_permutation(spark, d):
+    return _dealt(_metrics(spark, d))
+
+
 RANK = "CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2e0 END"
 OVERLAP = {"forecastability": "forecastability_raw", "history_skill": "history_skill"}, {"variability": "observed_sd", "entropy": "observed_entropy"}
 
@@ -348,15 +356,113 @@ def seq01_lz_entropy(spark, d):
     return seq.select("cohort", "unit", lz_entropy(F.transform("q", lambda x: x["state"])).alias("lz_entropy"))
 
 
-GATES = f"""WITH {COMPOSITES}, {HALVES}, r AS (SELECT regime, scope, covar_pop(fe, fl) / nullif(sqrt(var_pop(fe) * var_pop(fl)), 0) AS r FROM wide GROUP BY ALL)
-SELECT regime, bool_and(r >= 3e-1) AS h1_passes, count_if(r > 0) AS n_positive FROM r GROUP BY regime"""
+TRAITS = ["returned_qty", "open_share", "mean_tax"]
+CONTROLS = {"cohort": [], "variability": ["variability", "entropy"]}
+GRID = [(s, t, c) for s in CONTROLS for t in TRAITS for c in FOUR[:2]]
+
+
+def _person_sql(by: str, src: str = "persons") -> str:
+    """Every trait and construct less cohort means, and beyond spread and entropy by closed form within ``by``."""
+    factor, names = f"(PARTITION BY {by}, cohort)", [*TRAITS, *FOUR]
+    centred = ", ".join(f"{c} - avg({c}) OVER {factor} AS c_{c}" for c in names)
+    g = f"(PARTITION BY {by})"
+    products = ", ".join(f"sum(c_{c} * c_variability) OVER {g} AS u_{c}, sum(c_{c} * c_entropy) OVER {g} AS v_{c}" for c in names)
+    beyond = lambda c: f"c_{c} - (v_entropy * u_{c} - u_entropy * v_{c}) / nullif(u_variability * v_entropy - u_entropy ** 2, 0) * c_variability - (u_variability * v_{c} - u_entropy * u_{c}) / nullif(u_variability * v_entropy - u_entropy ** 2, 0) * c_entropy AS variability_{c}"
+    kept = [*TRAITS, *FOUR[:2]]
+    return f"SELECT cohort, unit, {', '.join(f'c_{c} AS cohort_{c}' for c in kept)}, {', '.join(map(beyond, kept))} FROM (SELECT *, {products} FROM (SELECT *, {centred} FROM {src}))"
+
+
+PERSONS = f"""{BOTH_HALVES}, traits AS (SELECT cohort, unit, {', '.join(f'avg({t}) AS {t}' for t in TRAITS)} FROM weeks GROUP BY ALL),
+persons AS (SELECT 1 AS one, cohort, unit, {', '.join([*TRAITS, *FOUR])} FROM averages JOIN traits USING (cohort, unit) WHERE regime = 'fixed' AND scope = 'core' AND {' AND '.join(f'{t} IS NOT NULL' for t in TRAITS)})"""
+
+
+def _grid_sql(table: str, group: str, least: int) -> str:
+    r = "covar_pop({a}, {b}) / nullif(sqrt(var_pop({a}) * var_pop({b})), 0)"
+    return " UNION ALL ".join(f"SELECT '{s}' AS control_set, '{t}' AS trait, '{c}' AS construct, {group} AS part, count(*) AS n, {r.format(a=f'{s}_{t}', b=f'{s}_{c}')} AS r FROM {table} GROUP BY ALL HAVING count(*) >= {least}" for s, t, c in GRID)
+
+
+def _persons(spark, d, m):
+    """Traits, constructs and controls of each trajectory with both halves, written once."""
+    means = panels.supplier_weeks(spark, d).groupBy("cohort", "unit").agg(*[F.avg(t).alias(t) for t in TRAITS]).dropna()
+    averages = _averages(robustness.composites(m, {"core": SCOPES["core"]})).where("regime = 'fixed'")
+    return written(averages.join(means, ["cohort", "unit"]).select("cohort", "unit", *TRAITS, *FOUR), "persons")
 
 
-@query(GATES)
-def gat05_gat06_stability_gate(spark, d):
-    pairs = robustness.halves(_composites(spark, d), ["regime", "scope", "cohort", "unit"], ["forecastability"])
-    r = metrics.pearson(pairs, "forecastability_early", "forecastability_late", ["regime", "scope"])
-    return r.groupBy("regime").agg(F.bool_and(F.col("r") >= 0.3).alias("h1_passes"), F.count_if(F.col("r") > 0).alias("n_positive"))
+def _person_residuals(persons, by, factor):
+    specs = [(x, controls, f"{s}_{x}") for s, controls in CONTROLS.items() for x in [*TRAITS, *FOUR[:2]]]
+    return linear.residuals(persons, specs, by, factor).select("cohort", "unit", *[name for _, _, name in specs])
+
+
+def _grid(rows, by, part, least):
+    of = lambda s, t, c: F.struct(F.lit(s).alias("control_set"), F.lit(t).alias("trait"), F.lit(c).alias("construct"), metrics.pearson_of(F.col(f"{s}_{t}"), F.col(f"{s}_{c}"), 5).alias("r"))
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[of(*x) for x in GRID]).alias("g")).where(F.col("n") >= least)
+    return g.select(part.alias("part"), "n", F.inline("g"))
+
+
+@query(f"""WITH {COMPOSITES}, {PERSONS}, pooled AS ({_person_sql('one')}), own AS ({_person_sql('cohort')}) SELECT control_set, trait, construct, part, n, round(r, 5) AS r FROM ({_grid_sql('pooled', "'pooled'", 5)} UNION ALL {_grid_sql('own', 'cohort::VARCHAR', 6)})""")
+def inf09_inf10_partial_grid(spark, d):
+    """Partial correlations of traits and constructs under two control sets, pooled (within cohorts) and of each cohort."""
+    p = _persons(spark, d, _metrics(spark, d))
+    pooled = _grid(_person_residuals(p, [], "cohort"), [], F.lit("pooled"), 5)
+    own = _grid(_person_residuals(p, ["cohort"], None), ["cohort"], F.col("cohort").cast("string"), 6)
+    return pooled.unionByName(own).withColumn("r", F.round("r", 5))
+
+
+def _boot_sql(src: str, x: str, y: str) -> str:
+    """regime, r, low of a correlation over the rows of ``src``, 100 draws of rows."""
+    r = "covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0)"
+    return f"""SELECT * FROM (WITH b AS (SELECT regime, {x} AS x, {y} AS y, row_number() OVER (PARTITION BY regime ORDER BY cohort, unit) - 1 AS i, count(*) OVER (PARTITION BY regime) AS n FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+    slots AS (SELECT regime, draw, {H.format(a='draw', b='i')} % n AS i FROM b, range(0, 100) t(draw)), draws AS (SELECT regime, draw, CASE WHEN count(*) >= 10 THEN {r} END AS r FROM slots JOIN b USING (regime, i) GROUP BY ALL),
+    low AS (SELECT regime, quantile_cont(r, 0.025) AS low FROM draws GROUP BY ALL) SELECT regime, {r} AS r, any_value(low) AS low FROM b JOIN low USING (regime) GROUP BY ALL)"""
+
+
+def _boot(rows, x, y):
+    ci = resample.bootstrap_correlation(rows.select("regime", "cohort", "unit", x, y), x, y, 100, ["regime"], ["cohort", "unit"])
+    return metrics.pearson(rows, x, y, ["regime"]).join(ci.select("regime", "low"), "regime")
+
+
+H3 = f"""h3r AS ({_person_sql('one')}), h3d AS (SELECT draw, h3r.*, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM h3r, range(0, 200) t(draw)),
+h3x AS (SELECT a.draw, {', '.join(f'a.variability_{c}' for c in FOUR[:2])}, {', '.join(f'b.variability_{t}' for t in TRAITS)} FROM h3d a JOIN h3d b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
+h3n AS (SELECT draw, round(greatest({', '.join(ABS_R.format(a=f'variability_{t}', b=f'variability_{c}') for t in TRAITS for c in FOUR[:2])}), 9) AS r FROM h3x GROUP BY ALL),
+h3o AS (SELECT construct, trait, round(abs(r), 9) AS r FROM ({_grid_sql('h3r', "'pooled'", 5)}) WHERE control_set = 'variability'),
+h3 AS (SELECT count_if(r >= 1e-1 AND p < 5e-2) AS h3_tests FROM (SELECT o.construct, o.trait, o.r, (count_if(n.r >= o.r) + 1) / (count(*) + 1e0) AS p FROM h3o o, h3n n GROUP BY ALL))"""
+
+
+@query(f"""WITH {COMPOSITES}, {HALVES}, {PROFILES}, {PERSONS}, h1 AS ({_boot_sql("(SELECT * FROM wide WHERE scope = 'core' AND regime = 'fixed')", 'fe', 'fl')}), h2 AS ({DEALT}), {H3},
+g AS (SELECT coalesce(r >= 3e-1 AND low > 0, false) AS h1_passes, coalesce(delta >= 1e-1 AND p < 5e-2, false) AS h2_passes, h3_tests FROM h1, h2, h3)
+SELECT *, CASE WHEN h1_passes AND h2_passes THEN 'stable phenotype' WHEN h1_passes THEN 'stable degree only' ELSE 'not supported' END AS decision FROM g""")
+def gat05_phenotype_gate(spark, d):
+    """H1: degree is stable (r and its interval); H2: profiles are one's own (difference and p); H3: number of traits that go with it."""
+    m = _metrics(spark, d)
+    pairs = robustness.halves(robustness.composites(m, {"core": SCOPES["core"]}).where("regime = 'fixed'"), ["regime", "cohort", "unit"], ["forecastability"])
+    h1 = _boot(pairs, "forecastability_early", "forecastability_late").select(F.coalesce((F.col("r") >= 0.3) & (F.col("low") > 0), F.lit(False)).alias("h1_passes"))
+    h2 = _dealt(m).select(F.coalesce((F.col("delta") >= 0.1) & (F.col("p") < 0.05), F.lit(False)).alias("h2_passes"))
+    rows = written(_person_residuals(_persons(spark, d, m), [], "cohort"), "person-residuals")
+    traits = [f"variability_{t}" for t in TRAITS]
+    r = lambda t, c: F.abs(metrics.pearson_of(F.col(t), F.col(f"variability_{c}"), 5))
+    null = resample.permuted(rows.select("cohort", "unit", *traits, *[f"variability_{c}" for c in FOUR[:2]]), traits, 200, "cohort", "unit")
+    null = null.groupBy("draw").agg(F.round(F.greatest(*[r(t, c) for t in traits for c in FOUR[:2]]), 9).alias("largest"))
+    seen = _grid(rows, [], F.lit("pooled"), 5).where("control_set = 'variability'").select("trait", "construct", F.round(F.abs("r"), 9).alias("r"))
+    tests = null.join(F.broadcast(seen), F.lit(True)).groupBy("trait", "construct", "r").agg(((F.count_if(F.col("largest") >= F.col("r")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p"))
+    h3 = tests.agg(F.count_if((F.col("r") >= 0.1) & (F.col("p") < 0.05)).alias("h3_tests"))
+    g = h1.join(F.broadcast(h2), F.lit(True)).join(F.broadcast(h3), F.lit(True))
+    return g.withColumn("decision", F.when(F.col("h1_passes") & F.col("h2_passes"), "stable phenotype").when(F.col("h1_passes"), "stable degree only").otherwise("not supported"))
+
+
+SKILL_HALVES = "skills_wide AS (SELECT regime, scope, cohort, unit, max(history_skill) FILTER (half = 'early') AS fe, max(history_skill) FILTER (half = 'late') AS fl, max(variability) FILTER (half = 'early') AS ve, max(variability) FILTER (half = 'late') AS vl, max(entropy) FILTER (half = 'early') AS ee, max(entropy) FILTER (half = 'late') AS el FROM comp WHERE scope = 'core' GROUP BY ALL HAVING count(DISTINCT half) = 2)"
+
+
+@query(f"""WITH {COMPOSITES}, {SKILL_HALVES}, {_resid('fe', ['ve', 'ee'], 'skills_wide', 'regime', 're')}, {_resid('fl', ['vl', 'el'], 'skills_wide', 'regime', 'rl')}, both_resid AS (SELECT re.regime, re.cohort, re.unit, re.resid AS x, rl.resid AS y FROM re JOIN rl USING (regime, cohort, unit)),
+raw AS ({_boot_sql('skills_wide', 'fe', 'fl')}), beyond AS ({_boot_sql('both_resid', 'x', 'y')})
+SELECT coalesce(bool_and(raw.r >= 3e-1 AND raw.low > 0), false) AS degree_passes, coalesce(bool_and(beyond.r >= 3e-1 AND beyond.low > 0), false) AS residual_degree_passes, count(*) AS n_regimes FROM raw JOIN beyond USING (regime)""")
+def gat06_residual_gates(spark, d):
+    """Skill must be stable with its interval in all regimes, as it is and beyond cohort, spread and entropy."""
+    c = robustness.composites(_metrics(spark, d), {"core": SCOPES["core"]})
+    rows, columns = robustness.stability_pairs(c, "history_skill")
+    rows = written(rows, "skill-residuals")
+    passes = lambda kind, name: _boot(rows, *columns[kind]).select("regime", ((F.col("r") >= 0.3) & (F.col("low") > 0)).alias(name))
+    every = lambda name: F.coalesce(F.bool_and(name), F.lit(False)).alias(name)
+    return passes("raw", "degree_passes").join(passes("sd_entropy", "residual_degree_passes"), "regime").agg(every("degree_passes"), every("residual_degree_passes"), F.count(F.lit(1)).alias("n_regimes"))
 
 
 @query(f"WITH {PEOPLE}, {BOOT}, i AS (SELECT cohort, quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM draws GROUP BY ALL) SELECT cohort, CASE WHEN low > 0 THEN 'gain' WHEN high < 0 THEN 'loss' ELSE 'undecided' END AS verdict FROM i")
