@@ -168,6 +168,15 @@ def test_window_cutting_keeps_every_byte():
     assert b"".join(w[:u].tobytes() for w, u in zip(windows, used)) == data.tobytes()
 
 
+def test_threshold_weighs_rows_back_to_the_table():
+    y = np.arange(400) < 200
+    marked = np.flatnonzero(np.arange(400) < 210)  # all with the category, and ten without
+    row, feature = np.concatenate([np.arange(400), marked]), np.concatenate([np.full(400, 5), np.full(210, 7)])
+    fit = lambda w: toxicity.fit_chain(["a"], row, feature, y[:, None], np.arange(400), w).threshold
+    assert fit(None) < 1 and fit(np.ones(400)) == fit(None)  # 200 of 210 are right
+    assert fit(np.where(y, 1.0, 20.0)) > 1  # 200 of 400 are
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(8)
     from tests.llm.fixtures import text
