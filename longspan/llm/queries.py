@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, line_dedup, lm_score, mixing, near_dedup, toxicity, url_filter, webp
+from . import bpe, conversations, exact_dedup, langid, line_dedup, lm_score, mixing, near_dedup, token_counts, toxicity, url_filter, vector_codes, webp
 from .shared import table
 
 
@@ -50,10 +50,22 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op5_lm_score, op6_media_webp, op7_line_dedup, op8_toxicity, op9_near_dedup, op10_exact_dedup)
+    ops = (op1_language_id, op2_mix_sources, op3_url_filter, op4_byte_bpe, op5_lm_score, op6_media_webp, op7_line_dedup, op8_toxicity, op9_near_dedup, op10_exact_dedup, op11_vector_codes, op12_token_counts, op13_conversation_repair)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_vector_codes": vector_codes.ORACLE}

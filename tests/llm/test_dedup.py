@@ -1,5 +1,6 @@
 """Near-dedup, line dedup and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -256,8 +257,13 @@ def test_pipeline_stages(spark, sf_dir):
             assert all(texts[d] == t or len(t) < len(texts[d]) for d, t in rows)
         docs = out
     tokens = corpus_pipeline.run(spark, sf_dir)
-    assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert sorted(r["doc_id"] for r in tokens.collect()) == sorted(r["doc_id"] for r in docs.collect())
+    assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    rows = tokens.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+    final = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(final[r["doc_id"]].encode()).hexdigest()
 
 
 def test_pipeline_odd_cases(spark, sf_dir):
