@@ -5,7 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Draws by arithmetic are whole numbers below this prime, so products stay within 64 bits.
+PRIME = 2147483647
+#: Multipliers of the two steps (known multiplicative generators for this prime).
+FIRST, SECOND = 48271, 69621
+
 
 def draw_hash(*parts: Column) -> Column:
     """A 48-bit integer from the md5 of the parts joined with ``|``."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long")
+
+
+def scrambled(x, key):
+    """A number below PRIME from a nonnegative one and a key below PRIME: two keyed steps, each squared.
+
+    Plain arithmetic, so it is the same for long columns, for numpy's int64 arrays and, by ``scrambled_sql``, in SQL.
+    """
+    t = (x % PRIME * FIRST + key) % PRIME
+    t = (t * t % PRIME * SECOND + key) % PRIME
+    return t * t % PRIME
+
+
+def scrambled_sql(x: str, key: str) -> str:
+    inner = f"list_transform([(({x}) % {PRIME} * {FIRST} + ({key})) % {PRIME}], lambda t: (t * t % {PRIME} * {SECOND} + ({key})) % {PRIME})[1]"
+    return f"list_transform([{inner}], lambda t: t * t % {PRIME})[1]"
+
+
+#: Rounds of the bijection, and the least width of its places: halves of one or two bits would mix badly.
+ROUNDS, LEAST_BITS = 6, 6
+
+
+def partners(i, n: int, draws, seed: int):
+    """For each draw (rows) the places 0 .. n - 1 that ``i`` (columns) are sent to: a keyed bijection of 0 .. n - 1.
+
+    A Feistel network mixes the upper with the lower bits of a place; a result
+    beyond n - 1 is sent on (it walks its cycle) until it is one of the n.
+    """
+    import numpy as np
+
+    i, draws = np.asarray(i, np.int64)[None, :], np.asarray(draws, np.int64)[:, None]
+    width = max((n - 1).bit_length(), LEAST_BITS)
+    low = (width + 1) // 2
+    masks = ((1 << (width - low)) - 1, (1 << low) - 1)
+    keys = [scrambled(draws * ROUNDS + r + 1, seed) for r in range(ROUNDS)]
+    row = np.broadcast_to(np.arange(draws.shape[0])[:, None], (draws.shape[0], i.shape[1])).ravel()
+    out = np.broadcast_to(i, (draws.shape[0], i.shape[1])).ravel().copy()
+    open_ = np.arange(len(out))
+    while len(open_):
+        x, own = out[open_], row[open_]
+        half = [x >> low, x & masks[1]]
+        for r in range(ROUNDS):
+            half[r % 2] = half[r % 2] ^ (scrambled(half[1 - r % 2], keys[r][own, 0]) & masks[r % 2])
+        x = (half[0] << low) | half[1]
+        out[open_] = x
+        open_ = open_[x >= n]
+    return out.reshape(draws.shape[0], i.shape[1])
+
+
+def partners_sql(rows: str, draws: int, by: str) -> str:
+    """CTEs ``walk`` and ``partner`` (draw, ``by``, i, j) over ``rows`` (``by``, i, n, seed): the same bijection; needs WITH RECURSIVE."""
+    x = "x"
+    width = f"greatest(length(ltrim(bin(n - 1), '0')), {LEAST_BITS})"
+    steps = f"low AS (SELECT draw, {by}, i, n, seed, ({width} + 1) // 2 AS low, {width} - ({width} + 1) // 2 AS high FROM {rows}, range(0, {draws}) t(draw)),\n"
+    step = "x0 AS (SELECT *, x >> low AS a, x & ((1::BIGINT << low) - 1) AS b FROM w)"
+    for r in range(ROUNDS):
+        mix = scrambled_sql("b" if r % 2 == 0 else "a", scrambled_sql(f"draw * {ROUNDS} + {r + 1}", "seed"))
+        new = f"xor(a, {mix} & ((1::BIGINT << high) - 1)) AS a" if r % 2 == 0 else f"xor(b, {mix} & ((1::BIGINT << low) - 1)) AS b"
+        step += f", x{r + 1} AS (SELECT * REPLACE ({new}) FROM x{r})"
+    one = f"SELECT draw, {by}, i, n, seed, low, high, (a << low) | b AS {x} FROM (WITH {step.replace('FROM w)', 'FROM {src})')} SELECT * FROM x{ROUNDS})"
+    first = one.replace("{src}", "(SELECT *, i::BIGINT AS x FROM low)")
+    more = one.replace("{src}", "(SELECT * FROM walk WHERE x >= n)")
+    return f"{steps}walk AS ({first} UNION ALL {more}), partner AS (SELECT draw, {by}, i, x AS j FROM walk WHERE x < n)"
