@@ -8,11 +8,10 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.functions.hashing import draw_hash
-from longspan.functions.numeric import probit
+from longspan.functions.numeric import EPS, probit
+from longspan.sources.workspace import written
 
-from .cluster import masked_cosine
-from .metrics import pearson_of
+from . import draws
 
 
 def interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -20,76 +19,10 @@ def interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n_draws"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``i`` (from 0) and ``n`` within groups.
-
-    Without groups the order is that of a 12-bit digest of ``order`` and then
-    ``order`` itself: rows are numbered within digests, and only the table of at
-    most 4096 digest sizes is summed in one place.
-    """
-    if by:
-        w = Window.partitionBy(*by)
-        return df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    rows = df.withColumn("_digest", F.shiftright(draw_hash(*[F.col(c) for c in order]), 36))
-    sizes = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_digest")) - F.col("_size")
-    starts = sizes.select("_digest", before.alias("_start"), F.sum("_size").over(Window.partitionBy()).alias("n"))
-    nth = F.row_number().over(Window.partitionBy("_digest").orderBy(*order)) - 1
-    return rows.join(F.broadcast(starts), "_digest").withColumn("i", F.col("_start") + nth).drop("_digest", "_start")
-
-
-def bootstrap_rows(df: DataFrame, draws: int, by: list[str], order: list[str]) -> DataFrame:
-    """Rows drawn with replacement, ``n`` of each group, for every ``draw``."""
-    rows = numbered(df, by, order)
-    slots = rows.select(*by, "i", "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    slots = slots.select(*by, "draw", F.pmod(draw_hash(F.col("draw"), F.col("i")), F.col("n")).cast("int").alias("i"))
-    return slots.join(rows.drop("n"), [*by, "i"])
-
-
-def bootstrap_correlation(df: DataFrame, x: str, y: str, draws: int, by: list[str], order: list[str], least: int = 10) -> DataFrame:
-    rows = bootstrap_rows(df.dropna(subset=[x, y]), draws, by, order)
-    each = rows.groupBy(*by, "draw").agg(F.count(F.lit(1)).alias("size"), pearson_of(F.col(x), F.col(y), 2).alias("r")).where(F.col("size") >= least)
-    return interval(each, "r", by)
-
-
-def permuted(df: DataFrame, values: list[str], draws: int, stratum: str, unit: str) -> DataFrame:
-    """For every draw, ``values`` dealt anew among the rows of each stratum."""
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = Window.partitionBy("draw", stratum)
-    shuffled = rows.select("draw", stratum, F.row_number().over(w.orderBy(draw_hash(F.col("draw"), F.col(unit)), unit)).alias("i"), *values)
-    return rows.drop(*values).withColumn("i", F.row_number().over(w.orderBy(unit))).join(shuffled, ["draw", stratum, "i"])
-
-
 def permutation_p(null: DataFrame, statistic: str, observed: Column) -> DataFrame:
     return null.agg(((F.count_if(F.col(statistic) >= observed) + 1) / (F.count(statistic) + F.lit(1.0))).alias("p"))
 
 
-def cluster_weights(clusters: DataFrame, cluster: list[str], draws: int) -> DataFrame:
-    """How often each cluster is drawn, for every draw of as many clusters as there are."""
-    rows = numbered(clusters, [], cluster)
-    slots = rows.select("i", "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.select("draw", F.pmod(draw_hash(F.col("draw"), F.col("i")), F.col("n")).alias("i"))
-    return picked.join(rows.select("i", *cluster), "i").groupBy("draw", *cluster).agg(F.count(F.lit(1)).alias("w"))
-
-
-def cluster_bootstrap_difference(df: DataFrame, cluster: list[str], y: str, score_a: str, score_b: str, draws: int) -> DataFrame:
-    """draw, auroc_a, auroc_b, difference: both areas over the same drawn clusters.
-
-    Clusters carry their weights to the counts of each distinct score, whose running
-    sums give the wins (ties half); positives never meet negatives in a join.
-    """
-    both = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("score")) for k, c in (("a", score_a), ("b", score_b))]))
-    of = lambda v: F.sum((F.col(y) == v).cast("long"))
-    cells = df.select(*cluster, y, both.alias("s")).select(*cluster, y, "s.*").groupBy(*cluster, "kind", "score").agg(of(1).alias("p"), of(0).alias("n"))
-    rows = cells.join(cluster_weights(df.select(*cluster).distinct(), cluster, draws), cluster)
-    rows = rows.groupBy("draw", "kind", "score").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("draw", "kind").orderBy("score"))
-    sums = rows.withColumn("wins", F.col("p") * (upto - F.col("n") / 2)).groupBy("draw", "kind").agg(F.sum("wins").alias("wins"), (F.sum("p") * F.sum("n")).alias("pairs"))
-    area = F.col("wins") / F.nullif(F.col("pairs"), F.lit(0))
-    at = lambda k: F.max(F.when(F.col("kind") == k, area)).alias(f"auroc_{k}")
-    return sums.groupBy("draw").agg(at("a"), at("b")).withColumn("difference", F.col("auroc_a") - F.col("auroc_b"))
-
-
 def detectable_r(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     """Smallest correlation that ``n`` pairs detect, by Fisher's transform."""
     return F.when(n > 3, F.tanh((probit(F.lit(1 - alpha / 2)) + probit(F.lit(power))) / F.sqrt(n - 3)))
@@ -124,7 +57,23 @@ def simulate_power(designs: DataFrame, areas: list[float], simulations: int) ->
     return units.groupBy("true_auc", "simulation").agg(F.avg("auc").alias("mean_auc"))
 
 
-def permuted_profiles(pairs: DataFrame, draws: int) -> DataFrame:
+def permuted_profiles(pairs: DataFrame, n_draws: int, least: int = 4) -> DataFrame:
     """draw, mean_cosine: late profiles dealt anew within cohorts, against the early ones (cohort, unit, early, late)."""
-    dealt = permuted(pairs, ["late"], draws, "cohort", "unit")
-    return dealt.groupBy("draw").agg(F.avg(masked_cosine(F.col("early"), F.col("late"))).alias("mean_cosine"))
+    sums = draws.permutation_sums(pairs, "cohort", ["unit"], F.col("early"), F.col("late"), n_draws, draws.masked_cosines(least), ["total", "n"])
+    return sums.select("draw", (F.col("total") / F.nullif(F.col("n"), F.lit(0.0))).alias("mean_cosine"))
+
+
+def permuted_correlations(df: DataFrame, x: list[str], y: list[str], n_draws: int, stratum: str, order: list[str]) -> DataFrame:
+    """draw and a column ``x|y`` for each pair: correlations over complete rows with ``y`` dealt anew within strata.
+
+    Means and spreads do not change by dealing, so only the sums of products are made
+    for each draw, of standardised columns; null where a column does not vary.
+    """
+    rows = written(df.dropna(subset=[*x, *y]).select(stratum, *order, *x, *y), "complete")
+    moments = rows.agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{k}_{c}") for c in (*x, *y) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: F.when(F.col(f"_s_{c}") > EPS, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
+    pairs = [f"{a}|{b}" for a in x for b in y]
+    sums = draws.permutation_sums(rows.join(F.broadcast(moments), F.lit(True)), stratum, order, F.array(*map(z, x)), F.array(*map(z, y)), n_draws, draws.cross_products, pairs)
+    varies = moments.select("_n", *[(F.col(f"_s_{c}") > EPS).alias(f"_v_{c}") for c in (*x, *y)])
+    out = sums.join(F.broadcast(varies), F.lit(True))
+    return out.select("draw", *[F.when(F.col(f"_v_{a}") & F.col(f"_v_{b}"), F.col(f"{a}|{b}") / F.col("_n")).alias(f"{a}|{b}") for a in x for b in y])

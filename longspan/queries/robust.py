@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from longspan.functions.hashing import draw_hash
-from longspan.functions.numeric import average_rank, fisher_p
-from longspan.operators import cluster, linear, metrics, resample
+from longspan.functions.hashing import PRIME, draw_hash, partners_sql, scrambled_sql
+from longspan.functions.numeric import fisher_p
+from longspan.operators import cluster, draws, linear, metrics, ranking, resample
 from longspan.operators.sequence import lz_entropy
 from longspan.operators.windows import Trajectory
 from longspan.plans import panels, robustness
@@ -16,7 +16,11 @@ from longspan.sources.workspace import written
 from .base import COMPOSITES, FORECASTS, LABELS, METRICS, PEOPLE, WEEKS, query, r6, rounded
 
 T = Trajectory()
-H = "('0x' || substr(md5({a} || '|' || {b}), 1, 12))::BIGINT"
+#: The slot that draw ``draw`` puts at place ``i``, and a stratum's key of the bijection.
+SLOT = scrambled_sql("i", scrambled_sql("draw", str(draws.SEED)))
+STRATUM = "(('0x' || substr(md5(cohort::VARCHAR), 1, 12))::BIGINT % {p}) AS seed".format(p=PRIME)
+#: Draws of intervals and nulls: those of a table of many, and those of a headline number.
+DRAWS, HEADLINE_DRAWS = 1_000, 10_000
 SCOPES = {"core": (["line_count", "qty_sum", "mean_discount", "mean_tax"], 3), "rich": (panels.TARGETS, 5)}
 KEY = ["regime", "cohort", "unit", "target", "half"]
 
@@ -154,22 +158,22 @@ def inf06_jn14_profile_cosine(spark, d):
     return _profiles(spark, d).select("regime", "cohort", "unit", r6(cluster.masked_cosine(F.col("early"), F.col("late")), "cosine"))
 
 
-DEALT = f"""WITH u AS (SELECT cohort, unit, cosine FROM cosines WHERE regime = 'fixed'), f AS (SELECT p.* FROM m p SEMI JOIN u USING (cohort, unit) WHERE regime = 'fixed' AND forecastability_raw_z IS NOT NULL),
-o AS (SELECT draw, cohort, unit, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM u, range(0, 500) t(draw)),
-d AS (SELECT a.draw, a.cohort, a.unit, b.unit AS other FROM o a JOIN o b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
-k AS (SELECT d.draw, d.cohort, d.unit, sum(e.forecastability_raw_z * l.forecastability_raw_z) / sqrt(sum(e.forecastability_raw_z ** 2) * sum(l.forecastability_raw_z ** 2)) AS c FROM d JOIN f e ON e.cohort = d.cohort AND e.unit = d.unit AND e.half = 'early' JOIN f l ON l.cohort = d.cohort AND l.unit = d.other AND l.half = 'late' AND l.target = e.target GROUP BY ALL HAVING count(*) >= 4),
-n AS (SELECT draw, avg(c) AS c FROM k GROUP BY ALL), s AS (SELECT avg(cosine) AS same, count(*) AS n FROM u)
-SELECT any_value(s.n) AS n, round(any_value(same), 6) AS same, round(avg(c), 6) AS null_mean, round(any_value(same) - avg(c), 6) AS delta, round((count_if(round(c, 9) >= round(same, 9)) + 1) / (count(c) + 1e0), 6) AS p FROM n, s"""
+DEALT = f"""WITH RECURSIVE u AS (SELECT cohort, unit, cosine FROM cosines WHERE regime = 'fixed'), f AS (SELECT p.* FROM m p SEMI JOIN u USING (cohort, unit) WHERE regime = 'fixed' AND forecastability_raw_z IS NOT NULL),
+o AS (SELECT cohort, unit, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n, {STRATUM} FROM u), {partners_sql('o', HEADLINE_DRAWS, 'cohort')},
+d AS (SELECT p.draw, p.cohort, a.unit, b.unit AS other FROM partner p JOIN o a ON a.cohort = p.cohort AND a.i = p.i JOIN o b ON b.cohort = p.cohort AND b.i = p.j),
+c AS (SELECT e.cohort, e.unit, l.unit AS other, sum(e.forecastability_raw_z * l.forecastability_raw_z) / sqrt(sum(e.forecastability_raw_z ** 2) * sum(l.forecastability_raw_z ** 2)) AS c FROM f e JOIN f l ON l.cohort = e.cohort AND l.target = e.target WHERE e.half = 'early' AND l.half = 'late' GROUP BY ALL HAVING count(*) >= 4),
+n AS (SELECT draw, avg(c) AS c FROM d JOIN c USING (cohort, unit, other) GROUP BY ALL), s AS (SELECT avg(cosine) AS same, count(*) AS n FROM u)
+SELECT any_value(s.n) AS n, round(any_value(same), 6) AS same, round(avg(c), 6) AS null_mean, round(any_value(same) - avg(c), 6) AS delta, count(c) AS n_draws, round((count_if(round(c, 9) >= round(same, 9)) + 1) / (count(c) + 1e0), 6) AS p FROM n, s"""
 
 
-def _dealt(m):
+def _dealt(m, n_draws=HEADLINE_DRAWS):
     """Mean cosine of fixed-regime profiles, its null by dealing late profiles within cohorts, the difference and p."""
     profiles = robustness.profiles(m, "forecastability_raw_z", panels.TARGETS, 4)
     p = written(profiles.where("regime = 'fixed'").select("cohort", "unit", "early", "late"), "profiles")
     same = p.agg(F.avg(cluster.masked_cosine(F.col("early"), F.col("late"))).alias("same"), F.count(F.lit(1)).alias("n"))
-    null = resample.permuted_profiles(p, 500)
+    null = resample.permuted_profiles(p, n_draws)
     hits = F.count_if(F.round("mean_cosine", 9) >= F.round("same", 9))  # dealing may give a cohort its own order back
-    out = null.join(F.broadcast(same), F.lit(True)).groupBy("same", "n").agg(F.avg("mean_cosine").alias("null_mean"), ((hits + 1) / (F.count("mean_cosine") + F.lit(1.0))).alias("p"))
+    out = null.join(F.broadcast(same), F.lit(True)).groupBy("same", "n").agg(F.avg("mean_cosine").alias("null_mean"), F.count("mean_cosine").alias("n_draws"), ((hits + 1) / (F.count("mean_cosine") + F.lit(1.0))).alias("p"))
     return rounded(out.withColumn("delta", F.col("same") - F.col("null_mean")))
 
 
@@ -192,7 +196,7 @@ def _overlap_sql(table: str, by: str, analysis: str, scope: str, suffix: str) ->
 
 
 def _overlap(rows, by, analysis, scope, columns):
-    ranked = rows.select(*by, *[F.col(c).alias(k) for k, c in columns.items()], *[average_rank(F.round(c, 9), by).alias(f"{k}_r") for k, c in columns.items()])
+    ranked = ranking.average_ranks(rows.select(*by, *[F.col(c).alias(k) for k, c in columns.items()]), {f"{k}_r": F.round(k, 9) for k in columns}, by)
     col = F.col
     parts = [
         F.struct(F.lit(p).alias("predictor"), F.lit(v).alias("measure"), F.count(col(p) + col(v)).alias("n"), F.round(metrics.pearson_of(col(p), col(v), 5), 5).alias("pearson_r"), F.round(metrics.pearson_of(col(f"{p}_r"), col(f"{v}_r"), 5), 5).alias("spearman_r"))
@@ -229,56 +233,104 @@ def inf13_variability_overlap(spark, d):
 
 BOOT = f"""b AS (SELECT cohort, unit, balance AS x, s_acct AS y, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n
    FROM (SELECT cohort, unit, balance, spent AS s_acct FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL)),
-slots AS (SELECT cohort, draw, {H.format(a='draw', b='i')} % n AS i FROM b, range(0, 100) t(draw)),
-draws AS (SELECT s.cohort, draw, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS r FROM slots s JOIN b ON b.cohort = s.cohort AND b.i = s.i GROUP BY ALL)"""
+   slots AS (SELECT cohort, draw, {SLOT} % n AS i FROM b, range(0, {DRAWS}) t(draw)),
+   draws AS (SELECT s.cohort, draw, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS r FROM slots s JOIN b ON b.cohort = s.cohort AND b.i = s.i GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+def _people_draws(spark, d):
+    p = panels.people(spark, d).select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
+    return resample.interval(draws.bootstrap_correlations(p, "x", "y", DRAWS, ["cohort"], ["unit"]), "r", ["cohort"])
 
 
 @query(f"WITH {PEOPLE}, {BOOT} SELECT cohort, count(r) AS n_draws, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM draws GROUP BY ALL")
 def inf01_bootstrap_correlation(spark, d):
-    p = panels.people(spark, d).select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
-    return rounded(resample.bootstrap_correlation(p, "x", "y", 100, ["cohort"], ["unit"]))
+    return rounded(_people_draws(spark, d))
+
+
+def _cluster_sql(n_draws):
+    return f"""t AS (SELECT cohort, unit, row_number() OVER (ORDER BY cohort, unit) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cohort, unit FROM labelled)),
+w AS (SELECT draw, j AS i, count(*) AS w FROM (SELECT draw, {SLOT} % n AS j FROM t, range(0, {n_draws}) r(draw)) GROUP BY ALL), k AS (SELECT i, label, kind, dense_rank() OVER (PARTITION BY kind ORDER BY score) AS score FROM (SELECT cohort, unit, label, 'a' AS kind, qty_sum AS score FROM labelled UNION ALL SELECT cohort, unit, label, 'b', mean_tax FROM labelled) JOIN t USING (cohort, unit)),
+c AS (SELECT draw, kind, score, sum(w * label)::DOUBLE AS p, sum(w * (1 - label))::DOUBLE AS n FROM k JOIN w USING (i) GROUP BY ALL),
+v AS (SELECT draw, kind, p, n, p * (sum(n) OVER (PARTITION BY draw, kind ORDER BY score) - n / 2e0) AS wins FROM c), a AS (SELECT draw, kind, sum(wins) / nullif(sum(p) * sum(n), 0) AS auroc FROM v GROUP BY ALL),
+pairs AS (SELECT draw::INT AS draw, max(auroc) FILTER (kind = 'a') AS auroc_a, max(auroc) FILTER (kind = 'b') AS auroc_b FROM a GROUP BY ALL)"""
 
 
-@query(f"""WITH {LABELS}, t AS (SELECT cohort, unit, row_number() OVER (ORDER BY substr(md5(cohort || '|' || unit), 1, 3), cohort, unit) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cohort, unit FROM labelled)),
-slots AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM t, range(0, 50) r(draw)), w AS (SELECT draw, cohort, unit, count(*) AS w FROM slots JOIN t USING (i) GROUP BY ALL),
-k AS (SELECT cohort, unit, label, 'a' AS kind, qty_sum AS score FROM labelled UNION ALL SELECT cohort, unit, label, 'b', mean_tax FROM labelled),
-c AS (SELECT draw, kind, score, sum(w * label)::DOUBLE AS p, sum(w * (1 - label))::DOUBLE AS n FROM k JOIN w USING (cohort, unit) GROUP BY ALL),
-v AS (SELECT draw, kind, p, n, p * (sum(n) OVER (PARTITION BY draw, kind ORDER BY score) - n / 2e0) AS wins FROM c), a AS (SELECT draw, kind, sum(wins) / nullif(sum(p) * sum(n), 0) AS auroc FROM v GROUP BY ALL)
-SELECT draw::INT AS draw, round(max(auroc) FILTER (kind = 'a'), 6) AS auroc_a, round(max(auroc) FILTER (kind = 'b'), 6) AS auroc_b, round(max(auroc) FILTER (kind = 'a') - max(auroc) FILTER (kind = 'b'), 6) AS difference FROM a GROUP BY ALL""")
+def _cluster_draws(spark, d, n_draws):
+    """The labelled weeks, and the areas of two scores over the same drawn trajectories."""
+    w = written(panels.labelled_weeks(spark, d).select("cohort", "unit", "label", "qty_sum", "mean_tax"), "labelled")
+    each = draws.cluster_areas(w, ["cohort", "unit"], "label", {"a": "qty_sum", "b": "mean_tax"}, n_draws)
+    at = lambda k: F.max(F.when(F.col("kind") == k, F.col("auroc"))).alias(f"auroc_{k}")
+    return w, each.groupBy("draw").agg(at("a"), at("b")).withColumn("difference", F.col("auroc_a") - F.col("auroc_b"))
+
+
+@query(f"WITH {LABELS}, {_cluster_sql(200)} SELECT draw, round(auroc_a, 6) AS auroc_a, round(auroc_b, 6) AS auroc_b, round(auroc_a - auroc_b, 6) AS difference FROM pairs")
 def inf02_jn22_cluster_bootstrap(spark, d):
     """Areas of two scores and their paired difference over all labelled weeks; trajectories are drawn."""
-    w = panels.labelled_weeks(spark, d).select("cohort", "unit", "label", "qty_sum", "mean_tax")
-    return rounded(resample.cluster_bootstrap_difference(w, ["cohort", "unit"], "label", "qty_sum", "mean_tax", 50))
+    return rounded(_cluster_draws(spark, d, 200)[1])
+
+
+AUC = "(SELECT (sum(p * (upto - n / 2e0)) / (sum(p) * sum(n))) FROM (SELECT p, n, sum(n) OVER (ORDER BY score) AS upto FROM (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM k WHERE kind = '{kind}' GROUP BY score)))"
+
+
+@query(f"""WITH {LABELS}, {_cluster_sql(HEADLINE_DRAWS)}, q AS (SELECT count(*) AS n_draws, quantile_cont(auroc_a - auroc_b, 0.025) AS low, quantile_cont(auroc_a - auroc_b, 0.975) AS high, avg((auroc_a > auroc_b)::INT) AS share_positive FROM pairs)
+SELECT (SELECT count(*) FROM labelled) AS n_rows, (SELECT count(*) FROM t) AS n_clusters, n_draws, round({AUC.format(kind='a')}, 6) AS auroc_a, round({AUC.format(kind='b')}, 6) AS auroc_b, round({AUC.format(kind='a')} - {AUC.format(kind='b')}, 6) AS difference,
+round(low, 6) AS low, round(high, 6) AS high, round(share_positive, 6) AS share_positive, CASE WHEN low > 0 THEN 'detectable_positive_increment' WHEN high < 0 THEN 'detectable_negative_difference' ELSE 'no_detectable_increment' END AS decision FROM q""")
+def inf02_gat01_paired_increment(spark, d):
+    """The difference of two areas with its interval over 10,000 draws of trajectories, and what it decides."""
+    w, each = _cluster_draws(spark, d, HEADLINE_DRAWS)
+    whole = lambda score: ranking.areas(w, "label", score, []).select("auroc")
+    sizes = w.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cohort", "unit").alias("n_clusters"))
+    q = each.agg(F.count("difference").alias("n_draws"), F.percentile("difference", F.lit(0.025)).alias("low"), F.percentile("difference", F.lit(0.975)).alias("high"), F.avg((F.col("difference") > 0).cast("double")).alias("share_positive"))
+    for row in (sizes, whole("qty_sum").withColumnRenamed("auroc", "auroc_a"), whole("mean_tax").withColumnRenamed("auroc", "auroc_b")):
+        q = q.join(F.broadcast(row), F.lit(True))
+    decision = F.when(F.col("low") > 0, "detectable_positive_increment").when(F.col("high") < 0, "detectable_negative_difference").otherwise("no_detectable_increment")
+    return rounded(q.withColumn("difference", F.col("auroc_a") - F.col("auroc_b")).withColumn("decision", decision))
 
 
 OUTCOMES, CONSTRUCTS = ["balance", "spent"], ["n_orders", "n_closed"]
 TESTS = [(o, c) for o in OUTCOMES for c in CONSTRUCTS]
 ABS_R = "abs(covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})))"
-PERM = f"""known AS (SELECT cohort, unit, balance, spent, n_orders, n_closed FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL),
-r AS (SELECT draw, known.*, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM known, range(0, 40) t(draw)),
-dealt AS (SELECT a.draw, a.n_orders, a.n_closed, b.balance, b.spent FROM r a JOIN r b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
+PERM = f"""known AS (SELECT cohort, unit, balance, spent, n_orders, n_closed, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n, {STRATUM} FROM people WHERE spent IS NOT NULL AND balance IS NOT NULL),
+{partners_sql('known', DRAWS, 'cohort')}, dealt AS (SELECT p.draw, a.n_orders, a.n_closed, b.balance, b.spent FROM partner p JOIN known a ON a.cohort = p.cohort AND a.i = p.i JOIN known b ON b.cohort = p.cohort AND b.i = p.j),
 null_r AS (SELECT draw, greatest({', '.join(ABS_R.format(a=o, b=c) for o, c in TESTS)}) AS r FROM dealt GROUP BY ALL),
 obs AS ({' UNION ALL '.join(f"SELECT '{o}' AS outcome, '{c}' AS construct, {ABS_R.format(a=o, b=c)} AS observed FROM known" for o, c in TESTS)})"""
 
 
-@query(f"WITH {PEOPLE}, {PERM} SELECT outcome, construct, round(any_value(observed), 6) AS observed, round(max(r), 6) AS largest_null, round((count_if(r >= observed) + 1) / (count(*) + 1e0), 6) AS p FROM null_r, obs GROUP BY outcome, construct")
-def inf04_max_statistic_permutation(spark, d):
-    """Outcomes dealt anew within cohorts; every test's p is by the largest absolute correlation of all tests."""
-    p = panels.people(spark, d).select("cohort", "unit", *OUTCOMES, *CONSTRUCTS).dropna(subset=OUTCOMES)
-    r = lambda o, c: F.abs(metrics.pearson_of(F.col(o), F.col(c), 5))
-    null = resample.permuted(p, OUTCOMES, 40, "cohort", "unit").groupBy("draw").agg(F.greatest(*[r(o, c) for o, c in TESTS]).alias("r"))
+def _largest_null(rows, n_draws, outcomes, constructs):
+    """draw, r: the largest absolute correlation of all tests when the outcomes are dealt anew within cohorts."""
+    r = resample.permuted_correlations(rows, constructs, outcomes, n_draws, "cohort", ["unit"])
+    return r.select("draw", F.round(F.greatest(*[F.abs(c) for c in r.columns if c != "draw"]), 9).alias("r"))
+
+
+def _max_statistic(spark, d, n_draws):
+    p = written(panels.people(spark, d).select("cohort", "unit", *OUTCOMES, *CONSTRUCTS).dropna(subset=OUTCOMES), "people")
+    r = lambda o, c: F.round(F.abs(metrics.pearson_of(F.col(o), F.col(c), 5)), 9)
+    null = _largest_null(p, n_draws, OUTCOMES, CONSTRUCTS)
     seen = p.agg(F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(c).alias("construct"), r(o, c).alias("observed")) for o, c in TESTS]).alias("t")).select(F.inline("t"))
     b = null.join(F.broadcast(seen), F.lit(True)).groupBy("outcome", "construct", "observed")
-    return rounded(b.agg(F.max("r").alias("largest_null"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p")))
+    return rounded(b.agg(F.count(F.lit(1)).alias("n_draws"), F.max("r").alias("largest_null"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p")))
+
+
+@query(f"WITH RECURSIVE {PEOPLE}, {PERM} SELECT outcome, construct, count(*) AS n_draws, round(any_value(observed), 6) AS observed, round(max(r), 6) AS largest_null, round((count_if(round(r, 9) >= round(observed, 9)) + 1) / (count(*) + 1e0), 6) AS p FROM null_r, obs GROUP BY outcome, construct")
+def inf04_max_statistic_permutation(spark, d):
+    """Outcomes dealt anew within cohorts; every test's p is by the largest absolute correlation of all tests."""
+    return _max_statistic(spark, d, DRAWS)
+
+
+@query()
+def inf04_max_statistic_full_draws(spark, d):
+    """The same with 10,000 draws, as a headline p needs; its SQL is that of 1,000 draws."""
+    return _max_statistic(spark, d, HEADLINE_DRAWS)
 
 
 @query(f"""WITH {LABELS}, k AS (SELECT *, rank() OVER (PARTITION BY cohort, unit ORDER BY mean_tax) + (count(*) OVER (PARTITION BY cohort, unit, mean_tax) - 1) / 2e0 AS rk FROM labelled),
 a AS (SELECT cohort, unit, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(rk * label) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) END AS auroc FROM k GROUP BY cohort, unit),
-u AS (SELECT unit, auroc, row_number() OVER (ORDER BY substr(md5(unit::VARCHAR), 1, 3), unit) - 1 AS i, count(*) OVER () AS n FROM a WHERE auroc IS NOT NULL), s AS (SELECT draw, {H.format(a='draw', b='i')} % n AS i FROM u, range(0, 100) t(draw)), m AS (SELECT draw, avg(auroc) AS mean_auroc FROM s JOIN u USING (i) GROUP BY ALL)
+u AS (SELECT unit, auroc, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM a WHERE auroc IS NOT NULL), s AS (SELECT draw, {SLOT} % n AS i FROM u, range(0, {HEADLINE_DRAWS}) t(draw)), m AS (SELECT draw, avg(auroc) AS mean_auroc FROM s JOIN u USING (i) GROUP BY ALL)
 SELECT count(*) AS n_draws, round(quantile_cont(mean_auroc, 0.025), 6) AS low, round(quantile_cont(mean_auroc, 0.975), 6) AS high, quantile_cont(mean_auroc, 0.025) > 5e-1 AND (SELECT avg(auroc) FROM u) >= 55e-2 AS passes FROM m""")
 def inf03_gat02_within_unit_auroc(spark, d):
     u = metrics.auroc(panels.labelled_weeks(spark, d), "label", "mean_tax", ["cohort", "unit"]).where("auroc IS NOT NULL").select("unit", "auroc")
-    m = resample.bootstrap_rows(u, 100, [], ["unit"]).groupBy("draw").agg(F.avg("auroc").alias("m"))
+    u = written(u, "unit-areas")
+    m = draws.bootstrap_sums(u, {"total": F.col("auroc")}, HEADLINE_DRAWS, [], ["unit"]).select((F.col("total") / F.col("n")).alias("m"))
     ci = resample.interval(m, "m", [])
     return ci.join(F.broadcast(u.agg(F.avg("auroc").alias("macro"))), F.lit(True)).select("n_draws", r6("low", "low"), r6("high", "high"), ((F.col("low") > 0.5) & (F.col("macro") >= 0.55)).alias("passes"))
 
@@ -409,21 +461,21 @@ def inf09_inf10_partial_grid(spark, d):
 
 
 def _boot_sql(src: str, x: str, y: str) -> str:
-    """regime, r, low of a correlation over the rows of ``src``, 100 draws of rows."""
+    """regime, r, low of a correlation over the rows of ``src``, draws of rows."""
     r = "covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0)"
     return f"""SELECT * FROM (WITH b AS (SELECT regime, {x} AS x, {y} AS y, row_number() OVER (PARTITION BY regime ORDER BY cohort, unit) - 1 AS i, count(*) OVER (PARTITION BY regime) AS n FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
-    slots AS (SELECT regime, draw, {H.format(a='draw', b='i')} % n AS i FROM b, range(0, 100) t(draw)), draws AS (SELECT regime, draw, CASE WHEN count(*) >= 10 THEN {r} END AS r FROM slots JOIN b USING (regime, i) GROUP BY ALL),
-    low AS (SELECT regime, quantile_cont(r, 0.025) AS low FROM draws GROUP BY ALL) SELECT regime, {r} AS r, any_value(low) AS low FROM b JOIN low USING (regime) GROUP BY ALL)"""
+    slots AS (SELECT regime, draw, {SLOT} % n AS i FROM b, range(0, {DRAWS}) t(draw)), draws AS (SELECT regime, draw, CASE WHEN count(*) >= 10 THEN {r} END AS r FROM slots JOIN b USING (regime, i) GROUP BY ALL),
+    low AS (SELECT regime, quantile_cont(r, 0.025) AS low FROM draws GROUP BY ALL) SELECT regime, {r} AS r, any_value(low) AS low FROM b LEFT JOIN low USING (regime) GROUP BY ALL)"""
 
 
 def _boot(rows, x, y):
-    ci = resample.bootstrap_correlation(rows.select("regime", "cohort", "unit", x, y), x, y, 100, ["regime"], ["cohort", "unit"])
-    return metrics.pearson(rows, x, y, ["regime"]).join(ci.select("regime", "low"), "regime")
+    ci = resample.interval(draws.bootstrap_correlations(rows.select("regime", "cohort", "unit", x, y), x, y, DRAWS, ["regime"], ["cohort", "unit"]), "r", ["regime"])
+    return metrics.pearson(rows, x, y, ["regime"]).join(ci.select("regime", "low"), "regime", "left")
 
 
-H3 = f"""h3r AS ({_person_sql('one')}), h3d AS (SELECT draw, h3r.*, row_number() OVER (PARTITION BY draw, cohort ORDER BY unit) AS i, row_number() OVER (PARTITION BY draw, cohort ORDER BY {H.format(a='draw', b='unit')}, unit) AS j FROM h3r, range(0, 200) t(draw)),
-h3x AS (SELECT a.draw, {', '.join(f'a.variability_{c}' for c in FOUR[:2])}, {', '.join(f'b.variability_{t}' for t in TRAITS)} FROM h3d a JOIN h3d b ON a.draw = b.draw AND a.cohort = b.cohort AND a.i = b.j),
-h3n AS (SELECT draw, round(greatest({', '.join(ABS_R.format(a=f'variability_{t}', b=f'variability_{c}') for t in TRAITS for c in FOUR[:2])}), 9) AS r FROM h3x GROUP BY ALL),
+H3 = f"""h3r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n, {STRATUM} FROM ({_person_sql('one')})),
+h3n AS (SELECT * FROM (WITH RECURSIVE {partners_sql('h3r', DRAWS, 'cohort')}, h3x AS (SELECT p.draw, {', '.join(f'a.variability_{c}' for c in FOUR[:2])}, {', '.join(f'b.variability_{t}' for t in TRAITS)} FROM partner p JOIN h3r a ON a.cohort = p.cohort AND a.i = p.i JOIN h3r b ON b.cohort = p.cohort AND b.i = p.j)
+SELECT draw, round(greatest({', '.join(ABS_R.format(a=f'variability_{t}', b=f'variability_{c}') for t in TRAITS for c in FOUR[:2])}), 9) AS r FROM h3x GROUP BY ALL)),
 h3o AS (SELECT construct, trait, round(abs(r), 9) AS r FROM ({_grid_sql('h3r', "'pooled'", 5)}) WHERE control_set = 'variability'),
 h3 AS (SELECT count_if(r >= 1e-1 AND p < 5e-2) AS h3_tests FROM (SELECT o.construct, o.trait, o.r, (count_if(n.r >= o.r) + 1) / (count(*) + 1e0) AS p FROM h3o o, h3n n GROUP BY ALL))"""
 
@@ -439,9 +491,7 @@ def gat05_phenotype_gate(spark, d):
     h2 = _dealt(m).select(F.coalesce((F.col("delta") >= 0.1) & (F.col("p") < 0.05), F.lit(False)).alias("h2_passes"))
     rows = written(_person_residuals(_persons(spark, d, m), [], "cohort"), "person-residuals")
     traits = [f"variability_{t}" for t in TRAITS]
-    r = lambda t, c: F.abs(metrics.pearson_of(F.col(t), F.col(f"variability_{c}"), 5))
-    null = resample.permuted(rows.select("cohort", "unit", *traits, *[f"variability_{c}" for c in FOUR[:2]]), traits, 200, "cohort", "unit")
-    null = null.groupBy("draw").agg(F.round(F.greatest(*[r(t, c) for t in traits for c in FOUR[:2]]), 9).alias("largest"))
+    null = _largest_null(rows, DRAWS, traits, [f"variability_{c}" for c in FOUR[:2]]).withColumnRenamed("r", "largest")
     seen = _grid(rows, [], F.lit("pooled"), 5).where("control_set = 'variability'").select("trait", "construct", F.round(F.abs("r"), 9).alias("r"))
     tests = null.join(F.broadcast(seen), F.lit(True)).groupBy("trait", "construct", "r").agg(((F.count_if(F.col("largest") >= F.col("r")) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p"))
     h3 = tests.agg(F.count_if((F.col("r") >= 0.1) & (F.col("p") < 0.05)).alias("h3_tests"))
@@ -467,9 +517,7 @@ def gat06_residual_gates(spark, d):
 
 @query(f"WITH {PEOPLE}, {BOOT}, i AS (SELECT cohort, quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM draws GROUP BY ALL) SELECT cohort, CASE WHEN low > 0 THEN 'gain' WHEN high < 0 THEN 'loss' ELSE 'undecided' END AS verdict FROM i")
 def gat01_interval_gate(spark, d):
-    p = panels.people(spark, d).select("cohort", "unit", F.col("balance").alias("x"), F.col("spent").alias("y"))
-    ci = resample.bootstrap_correlation(p, "x", "y", 100, ["cohort"], ["unit"])
-    return ci.select("cohort", F.when(F.col("low") > 0, "gain").when(F.col("high") < 0, "loss").otherwise("undecided").alias("verdict"))
+    return _people_draws(spark, d).select("cohort", F.when(F.col("low") > 0, "gain").when(F.col("high") < 0, "loss").otherwise("undecided").alias("verdict"))
 
 
 @query("""WITH l AS (SELECT event_type AS target, 'tomorrow' AS horizon, avg(value) / 1e2 - 48e-2 AS lift FROM events GROUP BY ALL) SELECT horizon, bool_or(lift >= 2e-2) AS passes, count_if(lift >= 2e-2) AS n_targets FROM l GROUP BY ALL""")
