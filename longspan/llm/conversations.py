@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, in_batches, materialize
+from .shared import broadcast_if_small, in_bounded_batches, materialize
 
 #: Rows of a signature at most, as a power of two.
 CHUNK_BITS = 8
@@ -227,7 +227,7 @@ def repair(conversations: DataFrame) -> DataFrame:
         "conv_id", "part", "chunk", "start", "signature", F.substring(roles, 1, 1).alias("first"), F.substring(roles, -1, 1).alias("last"), meets.cast("long").alias("illegal")
     )
     chunks = materialize(chunks, "chunks")
-    answers = materialize(solved(in_batches(chunks.select("signature").distinct())), "solved")
+    answers = materialize(solved(in_bounded_batches(chunks.select("signature").distinct())), "solved")
     size = answers.agg(F.sum(F.length("signature"))).first()[0] or 0
     if size <= 1 << 20:  # a signature's 16 ways take some thirty times its length
         answers = F.broadcast(answers)
@@ -291,7 +291,7 @@ def repair(conversations: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([state.hexdigest()], pa.string())], ["c", "repaired_sha256"])
 
-    ordered = in_batches(lines.select("conv_id", "place", "lines")).repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    ordered = in_bounded_batches(lines.select("conv_id", "place", "lines")).repartition("conv_id").sortWithinPartitions("conv_id", "place")
     digests = ordered.mapInArrow(run, f"c {key}, repaired_sha256 string")
 
     # conversation by conversation

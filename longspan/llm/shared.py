@@ -20,11 +20,19 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
 BATCH_ROWS = 1000
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of BATCH_ROWS rows at most from now on in its session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 #: Bytes of an Arrow batch, where rows are long; a single longer row is a batch of its own.
 BATCH_BYTES = 64 << 20
 
 
-def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+def in_bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """``df``, with Arrow batches of ``rows`` rows and BATCH_BYTES bytes at most from now on in its session."""
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):

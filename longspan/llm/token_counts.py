@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_batches
+from .shared import in_bounded_batches
 
 #: Bytes of texts that are counted together, and of new words in one call of the library.
 BLOCK_BYTES, CALL_BYTES = 1 << 20, 1 << 16
@@ -152,5 +152,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(total, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    counted = in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = in_bounded_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

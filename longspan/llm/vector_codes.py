@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, in_batches, materialize
+from .shared import broadcast_if_small, in_bounded_batches, materialize
 
 PARTS = 16
 ENTRIES = 64
@@ -178,7 +178,7 @@ def compress(embeddings: DataFrame, vector: str = "embedding", parts: int = PART
     vectors = materialize(whole_numbers(embeddings, vector), "vectors")
     first = vectors.orderBy(F.col("vec_id").asc_nulls_last(), "v").select(F.size("v").alias("width")).first()
     width = first["width"] if first else parts
-    vectors = in_batches(vectors.where(F.size("v") == width), 8192)
+    vectors = in_bounded_batches(vectors.where(F.size("v") == width), 8192)
     books = fit(vectors, width, parts, entries, rounds)
     rows = materialize(encode(vectors, books, width), "codes")
     sums = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
