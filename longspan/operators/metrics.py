@@ -1,8 +1,8 @@
 """Aggregates: agreement, ranking, errors, entropies, reliability, agreement of partitions.
 
 Everything here is a grouped aggregate or a window over groups, with partial
-aggregation before each shuffle; nothing gathers a group in one place but exact
-percentiles, which Spark computes from counts of distinct values.
+aggregation before each shuffle; ranks and exact quantiles of groups beyond
+``ranking.GROUP_ROWS`` rows are made by ranges and by refinement.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.functions.numeric import EPS, average_rank
+from longspan.functions.numeric import EPS
+from longspan.sources.workspace import written
+
+from . import ranking
 
 
 def finite(c: str) -> Column:
@@ -38,17 +41,14 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> Dat
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
     """Pearson of average ranks, taken over all values of a column before pairs are masked."""
-    ranked = df.withColumn("_rx", average_rank(F.col(x), by)).withColumn("_ry", average_rank(F.col(y), by))
+    rows = written(df.select(*by, x, y), "pairs")
+    ranked = ranking.average_ranks(rows, {"_rx": F.col(x), "_ry": F.col(y)}, by)
     return ranked.groupBy(*by).agg(F.count(F.when(F.col("_rx").isNotNull() & F.col("_ry").isNotNull(), 1)).alias("n"), pearson_of(F.col("_rx"), F.col("_ry"), least).alias("rho"))
 
 
 def auroc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve with ties counting half, by average ranks; null for one class."""
-    ranked = df.where(F.col(y).isNotNull() & finite(score)).withColumn("_rank", average_rank(F.col(score), by))
-    pos = F.sum(F.col(y).cast("long"))
-    neg = F.count(F.lit(1)) - pos
-    wins = F.sum(F.col("_rank") * F.col(y)) - pos * (pos + 1) / F.lit(2.0)
-    return ranked.groupBy(*by).agg(pos.alias("n_positive"), neg.alias("n_negative"), F.when((pos > 0) & (neg > 0), wins / F.nullif(pos * neg, F.lit(0)).cast("double")).alias("auroc"))
+    """Area under the ROC curve with ties counting half; null for one class."""
+    return ranking.areas(df.where(F.col(y).isNotNull() & finite(score)), y, score, by)
 
 
 def classification(df: DataFrame, y: str, score: str, by: list[str], threshold: float = 0.5) -> DataFrame:
@@ -78,17 +78,6 @@ def regression(df: DataFrame, y: str, fit: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(a - b)).alias("mae"), r_squared(a, b).alias("r2"), pearson_of(a, b, 2).alias("r"))
 
 
-def quantile_higher(c: Column, p: float) -> Column:
-    """The value at rank ceil(p * (n - 1)) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(c))
-    return F.get(ordered, F.ceil(F.lit(p) * (F.size(ordered) - 1)).cast("int"))
-
-
-def quantile_edges(c: Column, parts: int = 5) -> Column:
-    """Distinct edges of equal shares, ascending."""
-    return F.array_sort(F.array_distinct(F.percentile(c, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))))
-
-
 def bin_of(c: Column, edges: Column) -> Column:
     """Number of inner edges below the value: bins are closed on the right."""
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
@@ -104,8 +93,8 @@ def entropy_of(df: DataFrame, state: str, by: list[str], divisor: Column) -> Dat
 
 def binned_entropy(df: DataFrame, value: str, by: list[str], edges_by: list[str], parts: int = 5) -> DataFrame:
     """Entropy over bins whose edges come from a wider group; 0 where there are at most two edges."""
-    edges = df.groupBy(*edges_by).agg(quantile_edges(F.col(value), parts).alias("_edges"))
-    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(edges), edges_by).withColumn("_k", F.size("_edges") - 1)
+    edges = ranking.edges(df, value, edges_by, parts).withColumnRenamed("edges", "_edges")
+    rows = ranking.join_on(df.where(F.col(value).isNotNull()), edges, edges_by).withColumn("_k", F.size("_edges") - 1)
     rows = rows.withColumn("_state", F.when(F.col("_k") > 1, bin_of(F.col(value), F.col("_edges"))).otherwise(0))
     return entropy_of(rows, "_state", by, F.when(F.col("_k") > 1, F.log(F.col("_k"))).otherwise(F.lit(1.0)))
 
@@ -121,10 +110,12 @@ def conditional_entropy(df: DataFrame, state: str, context: str, by: list[str],
 
 def robust_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """max(IQR, 1.4826 * MAD) and whether it is too small beside the median."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("median"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"))
-    away = df.join(middle, by).groupBy(*by).agg(F.first("median").alias("median"), F.first("iqr").alias("iqr"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    rows = written(df.select(*by, F.col(value).alias("_x")), "values")
+    q = written(ranking.shares_of(rows, "_x", by, [0.25, 0.5, 0.75]).select(*by, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")), "quartiles")
+    away = ranking.join_on(rows, q, by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_away"))
+    out = ranking.join_on(q, ranking.shares_of(away, "_away", by, [0.5]).select(*by, F.col("q")[0].alias("mad")), by)
     scale = F.greatest(F.col("iqr"), F.lit(1.4826) * F.col("mad"))
-    return away.withColumn("scale", scale).withColumn("degenerate", F.coalesce(scale <= 1e-6 * F.greatest(F.lit(1.0), F.abs("median")), F.lit(True)))
+    return out.withColumn("scale", scale).withColumn("degenerate", F.coalesce(scale <= 1e-6 * F.greatest(F.lit(1.0), F.abs("median")), F.lit(True)))
 
 
 def cronbach_alpha(df: DataFrame, items: list[str], by: list[str]) -> DataFrame:

@@ -95,7 +95,7 @@ def average_ranks(df: DataFrame, columns: dict[str, Column], by: list[str], limi
 
 def areas(df: DataFrame, y: str, score: str, by: list[str], limit: int = GROUP_ROWS) -> DataFrame:
     """n_positive, n_negative and the area under the ROC curve from counts of distinct scores; null for one class."""
-    counts = cells(df, score, by, {"_p": F.col(y).cast("long"), "_n": 1 - F.col(y).cast("long")})
+    counts = written(cells(df, score, by, {"_p": F.col(y).cast("long"), "_n": 1 - F.col(y).cast("long")}), "score-counts")
     if largest(counts, by) <= limit:
         w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -167,3 +167,17 @@ def quantiles(df: DataFrame, value: str, by: list[str], shares: list[float], int
     at = F.col("share") * (F.col("_n") - 1)
     low, high = F.col("_m")[F.floor(at)], F.col("_m")[F.ceil(at)]
     return out.select(*by, "share", (low + (high - low) * (at - F.floor(at)) if interpolate else high).alias("quantile"))
+
+
+def shares_of(df: DataFrame, value: str, by: list[str], shares: list[float], interpolate: bool = True, limit: int = GROUP_ROWS) -> DataFrame:
+    """by, q: the exact quantiles at ``shares``, in their order; a buffer of distinct values for small groups, else refinement."""
+    if largest(df, by) <= limit and interpolate:
+        return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias("q")).where("q IS NOT NULL")
+    found = quantiles(df, value, by, shares, interpolate).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("share", "quantile"))).alias("m"))
+    return found.select(*by, F.array(*[F.col("m")[F.lit(float(s))] for s in shares]).alias("q"))
+
+
+def edges(df: DataFrame, value: str, by: list[str], parts: int = 5, limit: int = GROUP_ROWS) -> DataFrame:
+    """by, edges: distinct edges of equal shares, ascending; one row, of no edges, where there is no value at all."""
+    q = shares_of(df, value, by, [i / parts for i in range(parts + 1)], True, limit)
+    return q.select(*by, F.array_sort(F.array_distinct("q")).alias("edges"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longspan.functions import numeric
-from longspan.operators import metrics
+from longspan.operators import metrics, ranking
 from longspan.operators.windows import Trajectory
 from longspan.plans import panels
+from longspan.sources.workspace import written
 
 from .base import DAYS, LABELS, LONG, PEOPLE, WEEKS, query, r6, rounded
 
@@ -47,17 +48,28 @@ def agg04_agg05_trajectory_coverage(spark, d):
 @query(f"""WITH {WEEKS} SELECT cohort, round(stddev_pop(qty_sum), 6) AS sd_pop, round(stddev_samp(qty_sum), 6) AS sd_sample, median(qty_sum) AS median, quantile_cont(qty_sum, 0.25) AS q25, quantile_cont(qty_sum, 0.75) AS q75,
  list_sort(list(qty_sum))[ceil(9e-1 * (count(*) - 1))::INT + 1] AS q90_higher FROM weeks GROUP BY ALL""")
 def agg06_to_09_spread_and_quantiles(spark, d):
-    x = F.col("qty_sum")
-    return panels.supplier_weeks(spark, d).groupBy("cohort").agg(
-        r6(F.stddev_pop(x), "sd_pop"), r6(F.stddev_samp(x), "sd_sample"), F.median(x).alias("median"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"), metrics.quantile_higher(x, 0.9).alias("q90_higher")
-    )
+    w = written(panels.supplier_weeks(spark, d).select("cohort", "qty_sum"), "quantities")
+    spread = w.groupBy("cohort").agg(r6(F.stddev_pop("qty_sum"), "sd_pop"), r6(F.stddev_samp("qty_sum"), "sd_sample"))
+    q = ranking.shares_of(w, "qty_sum", ["cohort"], [0.5, 0.25, 0.75]).select("cohort", *[F.col("q")[i].alias(c) for i, c in enumerate(("median", "q25", "q75"))])
+    higher = ranking.shares_of(w, "qty_sum", ["cohort"], [0.9], interpolate=False).select("cohort", F.col("q")[0].alias("q90_higher"))
+    return spread.join(q, "cohort").join(higher, "cohort")
+
+
+SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+@query(f"""WITH {WEEKS} SELECT cohort, target, unnest({SHARES})::DOUBLE AS share, round(unnest(quantile_cont(value, {SHARES})), 6) AS quantile FROM (UNPIVOT (SELECT cohort, qty_sum, mean_tax, open_share FROM weeks) ON qty_sum, mean_tax, open_share INTO NAME target VALUE value) GROUP BY cohort, target""")
+def agg08_agg10_quantiles_by_refinement(spark, d):
+    """Seven exact quantiles of every cohort and measure in four passes over the bits of the values, whatever a cohort's size."""
+    w = panels.supplier_weeks(spark, d).unpivot(["cohort"], ["qty_sum", "mean_tax", "open_share"], "target", "value")
+    return rounded(ranking.quantiles(w, "value", ["cohort", "target"], SHARES))
 
 
 @query(f"""WITH {WEEKS}, e AS (SELECT list_sort(list_distinct(quantile_cont(qty_sum, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS ed FROM weeks)
 SELECT cohort, len(list_filter(ed[2:len(ed) - 1], lambda x: x < qty_sum))::INT AS bin, count(*) AS n, round(sum(ed[1] + ed[len(ed)]), 6) AS checks FROM weeks, e GROUP BY ALL""")
 def agg10_agg11_quintile_bins(spark, d):
     w = panels.supplier_weeks(spark, d)
-    e = w.agg(metrics.quantile_edges(F.col("qty_sum")).alias("ed"))
+    e = ranking.edges(w, "qty_sum", []).withColumnRenamed("edges", "ed")
     b = w.join(F.broadcast(e), F.lit(True)).withColumn("bin", metrics.bin_of(F.col("qty_sum"), F.col("ed")))
     return b.groupBy("cohort", "bin").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.get("ed", F.lit(0)) + F.element_at("ed", -1)), "checks"))
 
@@ -77,7 +89,7 @@ p AS (SELECT *, -(c / sum(c) OVER (PARTITION BY cohort, unit, target)) * ln(c /
 SELECT cohort, unit, target, round(abs(sum(part)) / ln(5e0), 6) AS conditional_entropy FROM p GROUP BY cohort, unit, target""")
 def agg13_conditional_entropy(spark, d):
     u = panels.user_days(spark, d)
-    e = u.groupBy("target").agg(metrics.quantile_edges(F.col("n_events")).alias("ed"))
+    e = ranking.edges(u, "n_events", ["target"]).withColumnRenamed("edges", "ed")
     s = u.join(F.broadcast(e), "target").withColumn("state", metrics.bin_of(F.col("n_events"), F.col("ed"))).withColumn("weekday", F.weekday("date"))
     return rounded(metrics.conditional_entropy(s, "state", "weekday", ["cohort", "unit", "target"]))
 

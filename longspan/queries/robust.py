@@ -390,7 +390,7 @@ t AS (SELECT cohort, unit, prev, state, count(*)::DOUBLE AS c FROM s WHERE gap =
 n AS (SELECT cohort, unit, count(*) AS n_days, count_if(gap = 7) AS n_transitions FROM s GROUP BY ALL) SELECT cohort, unit, n_days, n_transitions, round(first_order, 6) AS first_order_entropy FROM n JOIN e USING (cohort, unit)""")
 def inf21_inf17_sequence_metrics(spark, d):
     w = panels.supplier_weeks(spark, d)
-    mid = w.agg(F.bround(F.percentile("qty_sum", F.lit(0.5)), 3).alias("c"))
+    mid = ranking.shares_of(w, "qty_sum", [], [0.5]).select(F.bround(F.col("q")[0], 3).alias("c"))
     s = w.join(F.broadcast(mid), F.lit(True)).withColumn("state", (F.col("qty_sum") > F.col("c")).cast("int"))
     moves = T.transitions(s, "state", 7)
     e = metrics.conditional_entropy(moves, "to_state", "from_state", ["cohort", "unit"]).select("cohort", "unit", r6("conditional_entropy", "first_order_entropy"))
@@ -402,7 +402,7 @@ def inf21_inf17_sequence_metrics(spark, d):
 def seq01_lz_entropy(spark, d):
     """Match-length entropy of each unit's weekly states."""
     w = panels.supplier_weeks(spark, d)
-    e = w.agg(metrics.quantile_edges(F.col("qty_sum")).alias("ed"))
+    e = ranking.edges(w, "qty_sum", []).withColumnRenamed("edges", "ed")
     s = w.join(F.broadcast(e), F.lit(True)).withColumn("state", metrics.bin_of(F.col("qty_sum"), F.col("ed")))
     seq = s.groupBy("cohort", "unit").agg(F.array_sort(F.collect_list(F.struct("date", "state"))).alias("q"))
     return seq.select("cohort", "unit", lz_entropy(F.transform("q", lambda x: x["state"])).alias("lz_entropy"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longspan.functions import numeric
-from longspan.operators import splits
-from longspan.operators.windows import Trajectory, benjamini_hochberg, bonferroni, calendar, first_crossing, tomorrow
+from longspan.operators import ranking, splits
+from longspan.operators.windows import Trajectory, calendar, first_crossing, tomorrow
 from longspan.plans import panels
+from longspan.sources.workspace import written
 
 from .base import DAYS, LABELS, PEOPLE, WEEKS, query, r6, rounded
 
@@ -134,7 +135,17 @@ def win15_transitions(spark, d):
 @query(f"""WITH {WEEKS} SELECT cohort, unit, date, CASE WHEN returned_qty IS NOT NULL THEN
  rank() OVER (PARTITION BY cohort, returned_qty IS NULL ORDER BY returned_qty) + (count(*) OVER (PARTITION BY cohort, returned_qty) - 1) / 2e0 END AS average_rank FROM weeks""")
 def win16_average_rank(spark, d):
-    return panels.supplier_weeks(spark, d).select("cohort", "unit", "date", numeric.average_rank(F.col("returned_qty"), ["cohort"]).alias("average_rank"))
+    w = written(panels.supplier_weeks(spark, d).select("cohort", "unit", "date", "returned_qty"), "returns")
+    return ranking.average_ranks(w, {"average_rank": F.col("returned_qty")}, ["cohort"]).drop("returned_qty")
+
+
+@query(f"""WITH {WEEKS} SELECT cohort, unit, date, row_number() OVER (PARTITION BY cohort ORDER BY qty_sum, unit, date) - 1 AS place, count(*) OVER (PARTITION BY cohort) AS n,
+ rank() OVER (PARTITION BY cohort ORDER BY mean_tax) + (count(*) OVER (PARTITION BY cohort, mean_tax) - 1) / 2e0 AS average_rank FROM weeks""")
+def win16_ranks_by_ranges(spark, d):
+    """Places and average ranks within cohorts by two levels, ranges of values and places in a range; no window holds a cohort."""
+    w = written(panels.supplier_weeks(spark, d).select("cohort", "unit", "date", "qty_sum", "mean_tax"), "weeks")
+    ranked = ranking.average_ranks(w, {"average_rank": F.col("mean_tax")}, ["cohort"], limit=0)
+    return ranking.numbered(ranked, ["cohort"], ["qty_sum", "unit", "date"]).select("cohort", "unit", "date", F.col("i").alias("place"), "n", "average_rank")
 
 
 P_SQL = """p AS (SELECT s_nationkey AS family, s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE ((s_suppkey * 7919) % 1000 + 1) / 1001e0 END AS p FROM supplier)"""
@@ -149,8 +160,10 @@ def _p_values(spark, d):
 SELECT family, id, round(p, 9) AS p, round(CASE WHEN p IS NOT NULL THEN least(min(raw) OVER (PARTITION BY family, p IS NULL ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e0) END, 9) AS q,
  round(CASE WHEN p IS NOT NULL THEN least(p * count(p) OVER (PARTITION BY family), 1e0) END, 9) AS bonferroni FROM r""")
 def win17_win18_adjusted_p(spark, d):
-    out = benjamini_hochberg(_p_values(spark, d), "p", ["family"]).withColumn("bonferroni", F.when(F.col("p").isNotNull(), bonferroni(F.col("p"), ["family"])))
-    return rounded(out, 9)
+    out = ranking.adjusted_p(_p_values(spark, d), "p", ["family"])
+    n = out.groupBy("family").agg(F.count("p").alias("n"))
+    out = ranking.join_on(out, n, ["family"]).withColumn("bonferroni", F.when(F.col("p").isNotNull(), F.least(F.col("p") * F.col("n"), F.lit(1.0))))
+    return rounded(out.drop("n"), 9)
 
 
 @query(f"""WITH {WEEKS}, g AS (SELECT cohort, date, sum(qty_sum) AS total FROM weeks GROUP BY ALL), c AS (SELECT cohort, date, sum(total) OVER (PARTITION BY cohort ORDER BY date) AS reached_sum, lag(date) OVER (PARTITION BY cohort ORDER BY date) AS below FROM g)
@@ -208,7 +221,7 @@ def prj06_09_11_12_15_projections(spark, d):
 SELECT cohort, unit, date, (qty_sum > threshold)::INT AS target_high FROM f, t""")
 def prj10_median_binarised(spark, d):
     w = splits.floor_split(panels.supplier_weeks(spark, d), T, 0.65, 1)
-    level = w.where("role = 'train'").agg(F.median("qty_sum").alias("threshold"))
+    level = ranking.shares_of(w.where("role = 'train'"), "qty_sum", [], [0.5]).select(F.col("q")[0].alias("threshold"))
     return w.join(F.broadcast(level), F.lit(True)).select("cohort", "unit", "date", (F.col("qty_sum") > F.col("threshold")).cast("int").alias("target_high"))
 
 
@@ -225,7 +238,7 @@ def prj13_prj16_categories(spark, d):
 SELECT unit, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS spent_scaled FROM f""")
 def prj17_imputed_scaled(spark, d):
     p = panels.people(spark, d)
-    p = p.fillna({"spent": p.agg(F.median("spent")).first()[0]})
+    p = p.fillna({"spent": ranking.shares_of(p, "spent", [], [0.5]).first()["q"][0]})
     s = p.agg(F.avg("spent").alias("m"), F.stddev_pop("spent").alias("s"))
     return p.join(F.broadcast(s), F.lit(True)).select("unit", r6((F.col("spent") - F.col("m")) / F.col("s"), "spent_scaled"))
 

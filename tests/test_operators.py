@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from longspan.functions import numeric
-from longspan.operators import cluster, linear, metrics, resample, splits
+from longspan.operators import cluster, linear, metrics, ranking, resample, splits
 from longspan.operators.sequence import lz_rate, novel_lengths
 from longspan.operators.windows import Trajectory, benjamini_hochberg, tomorrow
 from longspan.sources import validate
@@ -83,7 +83,7 @@ def test_auroc_with_ties_and_symmetry(spark):
 
 def test_bins_are_closed_on_the_right(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
-    e = df.agg(metrics.quantile_edges(F.col("x"), 2).alias("e"))
+    e = ranking.edges(df, "x", [], 2).withColumnRenamed("edges", "e")
     b = df.join(e, F.lit(True)).withColumn("b", metrics.bin_of(F.lit(5.5), F.col("e"))).first()["b"]
     assert b == 0
     two = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, g int")
