@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.functions.numeric import EPS, with_aggregates
+from longspan.sources.workspace import written
+
+from . import ranking
 
 
 def _filled(df: DataFrame, features: list[str], by: list[str], train: Column) -> DataFrame:
     """Median and population scale of each feature in the training rows, then the filled and scaled columns."""
-    medians = df.where(train).groupBy(*by).agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"_m_{f}") for f in features])
+    medians = ranking.medians(df.where(train), features, by).select(*by, *[F.coalesce(f, F.lit(0.0)).alias(f"_m_{f}") for f in features])
     out = df.join(F.broadcast(medians), by) if by else df.join(F.broadcast(medians), F.lit(True))
     for f in features:
         out = out.withColumn(f, F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")))
@@ -52,6 +55,50 @@ def ridge(df: DataFrame, features: list[str], target: str, by: list[str], role:
     return scored.withColumn("prediction", dot).drop("_mean", "_beta")
 
 
+def ridge_models(df: DataFrame, models: dict[str, tuple[list[str], float]], target: str, by: list[str], role: str = "role") -> DataFrame:
+    """Adds a column with the predictions of each model (features, penalty), fitted on each group's training rows.
+
+    The rows are written once.  One pass gathers the cross-products of all features,
+    which are the sufficient statistics of every model: a model's system is a
+    sub-block of them.  Features are as in ``ridge``; products are taken about the
+    training medians, so large offsets do not cancel.
+    """
+    rows = written(df, "samples")
+    names = list(dict.fromkeys(f for features, _ in models.values() for f in features))
+    train = (F.col(role) == "train") & F.col(target).isNotNull()
+    middle = written(ranking.medians(rows.where(train), names, by).select(*by, *[F.coalesce(f, F.lit(0.0)).alias(f"_m_{f}") for f in names]), "medians")
+    rows = ranking.join_on(rows, middle, by) if by else rows.join(F.broadcast(middle), F.lit(True))
+    d = {f: F.coalesce(F.col(f).cast("double") - F.col(f"_m_{f}"), F.lit(0.0)) for f in names}
+    y = F.col(target).cast("double")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.where(train).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), *[F.sum(d[f]).alias(f"s_{i}") for i, f in enumerate(names)],
+        *[F.sum(d[names[i]] * d[names[j]]).alias(f"g_{i}_{j}") for i, j in pairs], *[F.sum(d[f] * y).alias(f"c_{i}") for i, f in enumerate(names)],
+    )
+    out = []
+    for r in sums.collect():  # one row of sums a group, however many rows it has
+        k, n = len(names), r["n"]
+        mean = np.array([r[f"s_{i}"] for i in range(k)], float) / n
+        gram = np.array([[r[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) - n * np.outer(mean, mean)
+        right = np.array([r[f"c_{i}"] for i in range(k)], float) - n * mean * r["mean"]
+        scale = np.sqrt(np.maximum(np.diag(gram) / n, 0))
+        scale = np.where(scale > EPS, scale, 1.0)
+        gram, right = gram / np.outer(scale, scale), right / scale
+        solved = []
+        for features, alpha in models.values():
+            at = [names.index(f) for f in features]
+            block, rhs, beta = gram[np.ix_(at, at)], right[at], np.zeros(k)
+            beta[at] = np.linalg.lstsq(block, rhs, rcond=None)[0] if alpha == 0 else np.linalg.solve(block + alpha * np.eye(len(at)), rhs)
+            beta = beta / scale
+            solved.append([float(r["mean"] - beta @ mean), *map(float, beta)])
+        out.append((*[r[b] for b in by], solved))
+    schema = ", ".join([f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by] + ["_models array<array<double>>"])
+    table = df.sparkSession.createDataFrame(out, schema)
+    scored = ranking.join_on(rows, table, by) if by else rows.join(F.broadcast(table), F.lit(True))
+    fit = lambda m: sum((d[f] * F.col("_models")[m][i + 1] for i, f in enumerate(names)), F.col("_models")[m][0])
+    return scored.withColumns({name: fit(m) for m, name in enumerate(models)}).drop("_models", *[f"_m_{f}" for f in names])
+
+
 def residuals(df: DataFrame, specs: list[tuple[str, list[str], str]], by: list[str], factor: str | None) -> DataFrame:
     """For each (y, controls, out) adds what a least-squares fit on a factor's levels and up to two controls leaves of y.
 
@@ -156,7 +203,7 @@ def forest(df: DataFrame, features: list[str], target: str, role: str = "role",
     from pyspark.ml.functions import vector_to_array
 
     train = (F.col(role) == "train") & F.col(target).isNotNull()
-    medians = df.where(train).agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f) for f in features]).first().asDict()
+    medians = ranking.medians(df.where(train), features, []).select(*[F.coalesce(f, F.lit(0.0)).alias(f) for f in features]).first().asDict()
     rows = df.fillna(medians).withColumn("_label", F.col(target).cast("double"))
     share = rows.where(train).agg(F.avg("_label")).first()[0] or 0.5
     rows = rows.withColumn("_weight", F.when(F.col("_label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))

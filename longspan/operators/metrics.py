@@ -84,6 +84,13 @@ def bin_of(c: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e < c))
 
 
+def regressions(df: DataFrame, y: str, fits: list[str], by: list[str]) -> DataFrame:
+    """by, model, n, mae, r2, r of several predictions, from one pass."""
+    a = F.col(y)
+    of = lambda m: (lambda v, b: F.struct(F.lit(m).alias("model"), F.count(b).alias("n"), F.avg(F.abs(v - b)).alias("mae"), r_squared(v, b).alias("r2"), pearson_of(v, b, 2).alias("r")))(*[F.when(finite(y) & finite(m), x) for x in (a, F.col(m))])
+    return df.groupBy(*by).agg(F.array(*map(of, fits)).alias("_r")).select(*by, F.inline("_r"))
+
+
 def entropy_of(df: DataFrame, state: str, by: list[str], divisor: Column) -> DataFrame:
     """Entropy of the states' shares in natural logs over ``divisor``, which is constant within a group."""
     counts = df.groupBy(*by, state).agg(F.count(F.lit(1)).alias("_n"), F.first(divisor).alias("_d"))

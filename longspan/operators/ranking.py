@@ -181,3 +181,12 @@ def edges(df: DataFrame, value: str, by: list[str], parts: int = 5, limit: int =
     """by, edges: distinct edges of equal shares, ascending; one row, of no edges, where there is no value at all."""
     q = shares_of(df, value, by, [i / parts for i in range(parts + 1)], True, limit)
     return q.select(*by, F.array_sort(F.array_distinct("q")).alias("edges"))
+
+
+def medians(df: DataFrame, columns: list[str], by: list[str], limit: int = GROUP_ROWS) -> DataFrame:
+    """by and the exact median of each column (null where it has no value)."""
+    if largest(df, by) <= limit:
+        return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns])
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "_column", "_value")
+    found = quantiles(long, "_value", [*by, "_column"], [0.5])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_column") == c, F.col("quantile"))).alias(c) for c in columns])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.operators import cluster, linear, metrics, splits
+from longspan.operators import cluster, linear, metrics, splits, typology
 from longspan.operators.windows import Trajectory
 from longspan.plans import panels
+from longspan.sources.workspace import written
 
 from .base import LABELS, PEOPLE, WEEKS, query, rounded
 
@@ -31,13 +32,58 @@ def mdl01_mdl03_ridge_one_feature(spark, d):
 
 @query()
 def mdl04_mdl14_ridge_models(spark, d):
-    """Held-out errors of three feature sets, one model a cohort each."""
-    s, out = _samples(spark, d), None
-    for name, features, alpha in (("calendar", ["position"], 1.0), ("history", ["recent", "spread"], 1.0), ("full", ["position", "recent", "spread", "mean_tax"], 10.0)):
-        fit = linear.ridge(s, features, "y", ["cohort"], alpha=alpha).where("role = 'test'")
-        r = metrics.regression(fit, "y", "prediction", ["cohort"]).withColumn("model", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Held-out errors of three feature sets, one model a cohort each, from one table of cross-products."""
+    models = {"calendar": (["position"], 1.0), "history": (["recent", "spread"], 1.0), "full": (["position", "recent", "spread", "mean_tax"], 10.0)}
+    return metrics.regressions(linear.ridge_models(_samples(spark, d), models, "y", ["cohort"]).where("role = 'test'"), "y", list(models), ["cohort"])
+
+
+BLOCKS = f"""WITH {WEEKS}, f AS (SELECT cohort, unit, date, ln(1 + qty_sum) AS y FROM weeks), g AS (SELECT *, CASE WHEN count(y) OVER w >= 7 THEN avg(y) OVER w END AS x, CASE WHEN count(y) OVER v >= 7 THEN stddev_samp(y) OVER v END AS z FROM f
+ WINDOW w AS (PARTITION BY cohort, unit ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY cohort, unit ORDER BY date ROWS BETWEEN 42 PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cohort, unit ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY cohort, unit) AS n FROM g WHERE x IS NOT NULL), s AS (SELECT *, pos >= least(greatest(1, floor(n * (1 - 35e-2))::BIGINT), n - 1) AS test FROM r WHERE n >= 5),
+m AS (SELECT cohort, avg(pos) AS mp, stddev_pop(pos) AS sp, avg(x) AS mx, stddev_pop(x) AS sx, avg(z) AS mz, stddev_pop(z) AS sz, avg(y) AS my FROM s WHERE NOT test GROUP BY ALL),
+k AS (SELECT s.cohort, test, y, my, (pos - mp) / sp AS p, (x - mx) / sx AS x, (z - mz) / sz AS z FROM s JOIN m USING (cohort)),
+b AS (SELECT cohort, sum(p * (y - my)) / (sum(p * p) + 1) AS bp, sum(x * x) + 1 AS xx, sum(z * z) + 1 AS zz, sum(x * z) AS xz, sum(x * (y - my)) AS xy, sum(z * (y - my)) AS zy FROM k WHERE NOT test GROUP BY ALL),
+e AS (SELECT cohort, y, my + bp * p AS calendar, my + (zz * xy - xz * zy) / (xx * zz - xz * xz) * x + (xx * zy - xz * xy) / (xx * zz - xz * xz) * z AS history FROM k JOIN b USING (cohort) WHERE test)"""
+
+
+@query(BLOCKS + " ".join(f" {u} SELECT cohort, '{m}' AS model, count(*) AS n, round(avg(abs(y - {m})), 5) AS mae, round(1 - sum((y - {m}) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(covar_pop(y, {m}) / sqrt(var_pop(y) * var_pop({m})), 5) AS r FROM e GROUP BY ALL" for u, m in (("", "calendar"), ("UNION ALL", "history"))))
+def mdl04_ridge_blocks(spark, d):
+    """The blocks of one and of two features out of the same cross-products, beside a larger model."""
+    models = {"calendar": (["position"], 1.0), "history": (["recent", "spread"], 1.0), "full": (["position", "recent", "spread", "mean_tax"], 10.0)}
+    fit = linear.ridge_models(_samples(spark, d), models, "y", ["cohort"]).where("role = 'test'")
+    return rounded(metrics.regressions(fit, "y", ["calendar", "history"], ["cohort"]), 5)
+
+
+def _increment(spark, d, alpha=10.0):
+    """regime, cohort, unit, target, half: errors of a target's own history and of all targets' histories, per half of each trajectory.
+
+    The cross-products of all six histories are gathered once for each (regime, half, target);
+    a target's own model is a sub-block.  The table has a row for each target of a week.
+    """
+    w = panels.supplier_weeks(spark, d)
+    logs = {t: F.log1p(F.greatest(F.col(t), F.lit(0.0))) for t in panels.TARGETS}
+    w = w.withColumns({f"log_{t}": c for t, c in logs.items()}).withColumns({f"recent_{t}": T.trailing_mean(F.col(f"log_{t}"), 7, 7) for t in panels.TARGETS})
+    rows = splits.with_regimes(w.where("recent_line_count IS NOT NULL"), T)
+    recents = [f"recent_{t}" for t in panels.TARGETS]
+    out = None
+    rows = written(rows.select("cohort", "unit", "date", "regime", "half", "role", *[f"log_{t}" for t in panels.TARGETS], *recents), "histories")
+    for t in panels.TARGETS:
+        fit = linear.ridge_models(rows, {"own": ([f"recent_{t}"], alpha), "all_targets": (recents, alpha)}, f"log_{t}", ["regime", "half"]).where("role = 'test'")
+        err = lambda m: F.avg(F.abs(F.col(f"log_{t}") - F.col(m))).alias(f"mae_{m}")  # noqa: B023, E731
+        part = fit.where(F.col(f"log_{t}").isNotNull()).groupBy("regime", "cohort", "unit", "half").agg(F.lit(t).alias("target"), F.count(F.lit(1)).alias("n_obs"), err("own"), err("all_targets"))
+        out = part if out is None else out.unionByName(part)
+    return out.where("n_obs >= 10").withColumn("increment", 1 - F.col("mae_all_targets") / F.greatest("mae_own", F.lit(1e-8)))
+
+
+@query()
+def inf24_cross_domain_increment(spark, d):
+    """What the histories of all targets add to a target's own, and whether persons keep it from half to half in every regime."""
+    inc = written(_increment(spark, d), "increments")
+    person = inc.groupBy("regime", "cohort", "unit", "half").agg(F.avg("increment").alias("increment"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    wide = person.groupBy("regime", "cohort", "unit").agg(*[F.max(F.when(F.col("half") == h, F.col("increment"))).alias(h) for h in ("early", "late")])
+    kept = metrics.pearson(wide, "early", "late", ["regime"]).withColumnRenamed("r", "stability")
+    mean = inc.groupBy("regime").agg(F.count(F.lit(1)).alias("n_target_halves"), F.avg("increment").alias("mean_increment"), F.avg((F.col("increment") > 0).cast("double")).alias("share_positive"))
+    return kept.join(F.broadcast(mean), "regime").withColumn("adds", (F.col("mean_increment") > 0) & (F.col("stability") >= 0.3))
 
 
 @query()
@@ -97,24 +143,41 @@ def mdl13_exact_silhouette(spark, d):
     return rounded(cluster.exact_silhouette(e, "v", "vec_id", "label"))
 
 
-@query()
-def inf17_inf18_gat08_typology(spark, d):
-    """Clusters learned from other cohorts' early profiles: do early and late assignments of a cohort agree?"""
+REGIMES = ["fixed", "disjoint"]
+
+
+def _profiles(spark, d):
+    """Early and late profiles of what skill keeps beyond spread and entropy, in two regimes, with gaps at zero; written once."""
     from longspan.plans import robustness
 
     from .robust import _metrics
 
-    p = robustness.profiles(_metrics(spark, d).where("regime = 'fixed'"), "history_skill_z", panels.TARGETS, 4)
+    m = robustness.residual_z(_metrics(spark, d), "history_skill_z", ["observed_sd_z", "observed_entropy_z"], "residual_z")
+    p = robustness.profiles(m.where(F.col("regime").isin(REGIMES)), "residual_z", panels.TARGETS, 4)
     fill = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0))).alias(c)
-    p = p.select("cohort", "unit", fill("early"), fill("late")).coalesce(4).persist()
-    out = None
-    for held in [r["cohort"] for r in p.select("cohort").distinct().orderBy("cohort").collect()]:
-        centroids = cluster.spherical_kmeans(p.where(F.col("cohort") != held), "early", 2, restarts=2, iterations=10)
-        a = cluster.assign(cluster.assign(p.where(F.col("cohort") == held), "early", centroids, "e"), "late", centroids, "l")
-        fold = a.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("e") == F.col("l")).cast("double")).alias("accuracy"), F.least(F.avg((F.col("e") == 0).cast("double")), F.avg((F.col("e") == 1).cast("double"))).alias("least_share"))
-        fold = fold.join(F.broadcast(metrics.adjusted_rand(a, "e", "l", [])), F.lit(True)).withColumn("held_out", F.lit(held)).withColumn("succeeds", (F.col("ari") > 0.2) & (F.col("least_share") >= 0.1))
-        out = fold if out is None else out.unionByName(fold)
-    return out
+    return written(p.select("regime", "cohort", "unit", fill("early"), fill("late")), "typology-profiles")
+
+
+def _typology(spark, d, restarts=30, all_restarts=0):
+    p = _profiles(spark, d)
+    cohorts = [r["cohort"] for r in p.select("cohort").distinct().orderBy("cohort").collect()]
+    return p, typology.fit(p, typology.grid(REGIMES, cohorts, range(2, 6), restarts, all_restarts))
+
+
+@query()
+def inf17_inf18_typology_folds(spark, d):
+    """Two to five clusters learned from other cohorts' early profiles: do a left-out cohort's early and late assignments agree?"""
+    return typology.validated(*_typology(spark, d))
+
+
+@query()
+def inf17_inf18_gat08_typology(spark, d):
+    """Which number of clusters is supported in both regimes, with the domains that stand out in each cluster of all rows."""
+    p, found = _typology(spark, d, all_restarts=100)
+    out = typology.summarised(typology.validated(p, found), REGIMES)
+    tops = [(r, k, [panels.TARGETS[i] for i in c.argmax(1)], [panels.TARGETS[i] for i in c.argmin(1)]) for (r, held, k), c in found.items() if held is None]
+    tops = spark.createDataFrame(tops, "regime string, k int, top_positive array<string>, top_negative array<string>")
+    return out.join(F.broadcast(tops), ["regime", "k"], "left")  # a row for each model of all rows
 
 
 @query(f"""WITH {LABELS}, p AS (SELECT *, last_value(returned_qty IGNORE NULLS) OVER w AS prior, row_number() OVER (PARTITION BY cohort, unit ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY cohort, unit) AS n FROM labelled WINDOW w AS (PARTITION BY cohort, unit ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -377,11 +377,9 @@ def inf11_inf12_repeated_holdout(spark, d):
 
     p = panels.people(spark, d).dropna(subset=["spent"]).select("cohort", "unit", "spent", "balance", "n_orders", "n_closed")
     h = splits.stratified_holdouts(p, "cohort", "unit", 5)
-    out = None
-    for name, features in (("base", ["n_closed"]), ("augmented", ["n_closed", "n_orders"]), ("wide", ["n_closed", "n_orders", "balance"])):
-        fit = linear.ridge(h, features, "spent", ["rep"], alpha=0.0).where("role = 'test'")
-        r = metrics.regression(fit, "spent", "prediction", ["rep"]).select("rep", F.col("r2").alias(name))
-        out = r if out is None else out.join(r, "rep")
+    models = {"base": (["n_closed"], 0.0), "augmented": (["n_closed", "n_orders"], 0.0), "wide": (["n_closed", "n_orders", "balance"], 0.0)}
+    fit = metrics.regressions(linear.ridge_models(h, models, "spent", ["rep"]).where("role = 'test'"), "spent", list(models), ["rep"])
+    out = fit.groupBy("rep").agg(*[F.max(F.when(F.col("model") == m, F.col("r2"))).alias(m) for m in models])
     return out.withColumn("delta_r2", F.col("augmented") - F.col("base"))
 
 
