@@ -69,7 +69,7 @@ def weights(sizes: DataFrame, by: list[str], draws: int) -> DataFrame:
     return rows.repartition(*by, "draw").mapInPandas(run, f"{names}{', ' * bool(by)}draw int, block int, w binary")
 
 
-def _summed(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+def summed(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Parts of draws (by, draw of the first, sums: draws x names in a row) added up."""
     rows = df.select(*by, "draw", F.posexplode("sums").alias("at", "v"))
     rows = rows.select(*by, (F.col("draw") + F.floor(F.col("at") / len(names))).cast("int").alias("draw"), (F.col("at") % len(names)).alias("k"), "v")
@@ -98,7 +98,7 @@ def bootstrap_sums(df: DataFrame, columns: dict[str, Column], draws: int, by: li
             columns = [part.column(c) for c in (*by, "draw")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], [*by, "draw", "sums"])
 
-    sums = _summed(pairs.mapInArrow(run, f"{names}, sums array<double>"), by, list(columns))
+    sums = summed(pairs.mapInArrow(run, f"{names}, sums array<double>"), by, list(columns))
     return join_on(sums, sizes, by) if by else sums.join(F.broadcast(sizes), F.lit(True))
 
 
@@ -226,7 +226,7 @@ def cluster_areas(df: DataFrame, cluster: list[str], y: str, scores: dict[str, s
     n_draws = written(n_draws, "batches")
     schema = "kind string, draw int, sums array<double>"
     parts = join_on(pairs, n_draws, ["draw"]).mapInArrow(products, schema).unionByName(join_on(w.join(counts, "block"), n_draws, ["draw"]).select("kind", "draw", "n_draws", "w", "l").mapInArrow(sizes, schema))
-    s = _summed(parts, ["kind"], ["wins", "p", "n"])
+    s = summed(parts, ["kind"], ["wins", "p", "n"])
     return s.select("draw", "kind", (F.col("wins") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auroc"))
 
 
@@ -290,4 +290,4 @@ def permutation_sums(df: DataFrame, stratum: str, order: list[str], x: Column, y
             out.append(statistic(x, y[np.where((j >= 0) & (j < len(y) - 1), j, len(y) - 1)]).ravel())
         return pd.DataFrame({"draw": [begin], "sums": [np.concatenate(out)]})
 
-    return _summed(both.groupBy("_s", "a", "b", "draw").applyInPandas(run, "draw int, sums array<double>"), [], names)
+    return summed(both.groupBy("_s", "a", "b", "draw").applyInPandas(run, "draw int, sums array<double>"), [], names)

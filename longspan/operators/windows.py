@@ -101,6 +101,22 @@ class Trajectory:
         return df.withColumn("from_state", F.when(near, F.lag(state).over(self.ordered))).where("from_state IS NOT NULL").withColumnRenamed(state, "to_state")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], date: str = "date") -> DataFrame:
+    """``left`` with the last known ``values`` of another stream (keys, date, values) on earlier days, and the days since.
+
+    Adds ``prior_x`` and ``days_since_x`` for each value.  Both streams are put in one
+    order, in which rows of a day stand before the other stream's rows of that day, so
+    nothing of the same day is seen; no row of one stream is joined to rows of the other.
+    """
+    kept = [c for c in left.columns if c not in keys and c != date]
+    a = left.select(*keys, date, F.struct(*kept).alias("_left"), F.lit(0).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_v_{v}") for v in values])
+    b = right.select(*keys, date, F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.lit(1).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    w = Window.partitionBy(*keys).orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = {v: F.last(F.when(F.col(f"_v_{v}").isNotNull(), F.struct(F.col(f"_v_{v}").alias("v"), F.col(date).alias("d"))), ignorenulls=True).over(w) for v in values}
+    rows = a.unionByName(b).withColumns({f"_k_{v}": c for v, c in known.items()}).where("_side = 0")
+    return rows.select(*keys, date, "_left.*", *[x for v in values for x in (F.col(f"_k_{v}")["v"].alias(f"prior_{v}"), F.datediff(date, F.col(f"_k_{v}")["d"]).alias(f"days_since_{v}"))])
+
+
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     """weekday (Monday 0) and is_weekend."""
     return df.withColumn("weekday", F.weekday(date)).withColumn("is_weekend", F.weekday(date).isin(5, 6))

@@ -107,6 +107,14 @@ def agg15_agg16_pearson(spark, d):
     return rounded(metrics.pearson(panels.supplier_weeks(spark, d), "qty_sum", "returned_qty", ["cohort", "unit"], 10))
 
 
+@query(f"WITH {WEEKS} SELECT cohort, count(*) AS n_rows, count_if(returned_qty IS NOT NULL AND NOT isnan(ln(mean_tax + 1e-3) / mean_tax) AND mean_tax > 0) AS n_pairs FROM weeks GROUP BY ALL")
+def flt06_finite_pairs(spark, d):
+    """Pairs of which both are numbers; a NaN counts as none."""
+    x = F.when(F.col("mean_tax") > 0, F.log(F.col("mean_tax") + 0.001) / F.nullif(F.col("mean_tax"), F.lit(0.0))).otherwise(F.lit(float("nan")))
+    w = panels.supplier_weeks(spark, d).withColumn("x", x)
+    return w.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(metrics.finite("returned_qty") & metrics.finite("x")).alias("n_pairs"))
+
+
 @query(f"""WITH {WEEKS}, k AS (SELECT cohort, CASE WHEN returned_qty IS NOT NULL THEN rank() OVER (PARTITION BY cohort, returned_qty IS NULL ORDER BY returned_qty) + (count(*) OVER (PARTITION BY cohort, returned_qty) - 1) / 2e0 END AS a,
  rank() OVER (PARTITION BY cohort ORDER BY mean_tax) + (count(*) OVER (PARTITION BY cohort, mean_tax) - 1) / 2e0 AS b FROM weeks)
 SELECT cohort, count(*) AS n, round(covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)), 6) AS rho FROM k WHERE a IS NOT NULL GROUP BY ALL""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.operators import cluster, linear, metrics, splits, typology
-from longspan.operators.windows import Trajectory
+from longspan.operators.windows import Trajectory, as_of
 from longspan.plans import panels
 from longspan.sources.workspace import written
 
@@ -190,3 +190,44 @@ def inf19_prior_model(spark, d):
     fit = linear.ridge(s, ["prior"], "returned_qty", ["cohort"], alpha=10.0).where("role = 'test'")
     return metrics.regression(fit, "returned_qty", "prediction", ["cohort"]).select("cohort", "n", F.round("r2", 5).alias("r2"))
 
+
+def _priors(spark, d):
+    """Every fourth week's returns with their own last value and the last discount of another stream of weeks, split by time."""
+    w = written(panels.supplier_weeks(spark, d).select("cohort", "unit", "date", "returned_qty", "mean_discount", F.pmod(F.floor(F.unix_date("date") / 7), F.lit(4)).alias("phase")), "weeks")
+    own = w.where("phase = 0").select("cohort", "unit", "date", "returned_qty")
+    other = w.where("phase IN (0, 2)").select("cohort", "unit", "date", "mean_discount")
+    rows = as_of(own, own.withColumnRenamed("returned_qty", "own"), ["cohort", "unit"], ["own"])
+    rows = as_of(rows, other.withColumnRenamed("mean_discount", "other"), ["cohort", "unit"], ["other"])
+    rows = splits.floor_split(rows.where("returned_qty IS NOT NULL AND prior_own IS NOT NULL"), T).withColumn("all", F.lit(1))
+    train = F.when(F.col("role") == "train", F.col("returned_qty"))
+    m = rows.agg(F.avg(train).alias("m"), F.stddev_pop(train).alias("s"))
+    return rows.join(F.broadcast(m), F.lit(True)).withColumn("y", (F.col("returned_qty") - F.col("m")) / F.col("s")).drop("m", "s")
+
+
+PRIORS = f"""WITH {WEEKS}, w AS (SELECT *, floor((date - DATE '1970-01-01') / 7e0)::BIGINT % 4 AS phase FROM weeks), o AS (SELECT cohort, unit, date, returned_qty FROM w WHERE phase = 0),
+p AS (SELECT o.*, (SELECT arg_max(x.returned_qty, x.date) FROM o x WHERE x.cohort = o.cohort AND x.unit = o.unit AND x.date < o.date AND x.returned_qty IS NOT NULL) AS a,
+ (SELECT arg_max(x.mean_discount, x.date) FROM w x WHERE x.phase IN (0, 2) AND x.cohort = o.cohort AND x.unit = o.unit AND x.date < o.date) AS b FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY cohort, unit ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY cohort, unit) AS n FROM p WHERE returned_qty IS NOT NULL AND a IS NOT NULL), s AS (SELECT *, pos >= least(greatest(1, floor(n * 65e-2)::BIGINT), n - 1) AS test FROM r WHERE n >= 4),
+m AS (SELECT avg(returned_qty) AS my, stddev_pop(returned_qty) AS sy, median(b) AS mb FROM s WHERE NOT test), z AS (SELECT test, (returned_qty - my) / sy AS y, a, coalesce(b, mb) AS b FROM s, m),
+t AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my FROM z WHERE NOT test), k AS (SELECT test, y, my, (a - ma) / sa AS a, (b - mb) / sb AS b FROM z, t),
+c AS (SELECT sum(a * a) + 10 AS aa, sum(b * b) + 10 AS bb, sum(a * b) AS ab, sum(a * (y - my)) AS ay, sum(b * (y - my)) AS b_y FROM k WHERE NOT test),
+e AS (SELECT y, my + ay / aa * a AS own, my + b_y / bb * b AS other, my + (bb * ay - ab * b_y) / (aa * bb - ab * ab) * a + (aa * b_y - ab * ay) / (aa * bb - ab * ab) * b AS "both" FROM k, c WHERE test)"""
+
+
+@query(PRIORS + "".join(f""" {u} SELECT '{m}' AS model, count(*) AS n, round(1 - sum((y - "{m}") ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(covar_pop(y, "{m}") / sqrt(var_pop(y) * var_pop("{m}")), 5) AS r FROM e""" for u, m in (("", "own"), ("UNION ALL", "other"), ("UNION ALL", "both"))))
+def inf19_prior_models(spark, d):
+    """A construct from its own last value, from another construct's, and from both; nothing of the same day is used."""
+    models = {"own": (["prior_own"], 10.0), "other": (["prior_other"], 10.0), "both": (["prior_own", "prior_other"], 10.0)}
+    fit = linear.ridge_models(_priors(spark, d), models, "y", ["all"]).where("role = 'test'")
+    return metrics.regressions(fit, "y", list(models), ["all"]).select("model", "n", F.round("r2", 5).alias("r2"), F.round("r", 5).alias("r"))
+
+
+@query()
+def inf19_prior_models_with_days(spark, d):
+    """The same with the days since each last value."""
+    own, other = ["prior_own", "days_since_own"], ["prior_other", "days_since_other"]
+    models = {"own_prior_only": (own, 10.0), "other_construct_priors": (other, 10.0), "own_plus_other_priors": ([*own, *other], 10.0)}
+    rows = _priors(spark, d)
+    fit = linear.ridge_models(rows, models, "y", ["all"]).where("role = 'test'")
+    users = fit.agg(F.count_distinct("cohort", "unit").alias("n_test_units"))
+    return metrics.regressions(fit, "y", list(models), ["all"]).select("model", F.col("n").alias("n_test"), "r2", "r").join(F.broadcast(users), F.lit(True))

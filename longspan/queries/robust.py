@@ -354,7 +354,18 @@ p AS (SELECT area AS true_auc, count(*) AS n, round(avg((auc > critical)::INT),
 def inf16_power_curve(spark, d):
     """Share of 20 simulated macro areas above the chance level's 97.5 % quantile, and the first true area of 80 % power."""
     n = panels.labelled_weeks(spark, d).groupBy("unit").agg(F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative"))
-    sims = written(resample.simulate_power(n, AREAS, 20).withColumn("mean_auc", F.round("mean_auc", 9)), "power")
+    return _power(resample.simulate_power(n, AREAS, 20))
+
+
+@query()
+def inf16_power_curve_full_draws(spark, d):
+    """The same curve with 20,000 simulations of every area, by exact sampling of the areas themselves."""
+    n = panels.labelled_weeks(spark, d).groupBy("unit").agg(F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative"))
+    return _power(resample.sampled_power(n, AREAS, 20_000))
+
+
+def _power(sims):
+    sims = written(sims.withColumn("mean_auc", F.round("mean_auc", 9)), "power")
     level = sims.where("true_auc = 0.5").agg(F.percentile("mean_auc", F.lit(0.975)).alias("critical"))
     power = sims.join(F.broadcast(level), F.lit(True)).groupBy("true_auc").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("mean_auc") > F.col("critical")).cast("double")), "power"))
     first = power.agg(F.min(F.when(F.col("power") >= 0.8, F.col("true_auc"))).alias("first"))

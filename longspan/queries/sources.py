@@ -8,7 +8,7 @@ from longspan.plans import panels
 from longspan.sources import ingest, validate
 from longspan.sources.workspace import folder
 
-from .base import DAYS, PEOPLE, WEEKS, query, r6
+from .base import DAYS, PEOPLE, WEEKS, query, rounded, r6
 
 
 def _cohort_files(spark, d) -> str:
@@ -71,6 +71,26 @@ def src11_src12_snk02_parquet(spark, d):
     return spark.read.parquet(path).where("o_orderstatus = 'F' AND o_totalprice > 100000").select(F.col("o_custkey").alias("unit"), F.col("o_totalprice").alias("spent"))
 
 
+@query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(round(o_totalprice * 100)::BIGINT) / 1e2, 2) AS total FROM orders GROUP BY ALL")
+def src11_content_addressed_cache(spark, d):
+    """A pruned CSV scan kept as Parquet under the digest of its files; the second read, which this is, scans no CSV."""
+    root = folder(spark)
+    panels.table(spark, d, "orders").write.option("header", True).csv(f"{root}/orders-csv")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panels.table(spark, d, "orders").schema.fields)
+    for _ in range(2):
+        orders = ingest.cached_csv(spark, f"{root}/orders-csv", ["o_orderstatus", "o_totalprice"], f"{root}/cache", schema)
+    return orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100, 2).alias("total"))
+
+
+@query("SELECT c_custkey::VARCHAR AS unit, lower(c_mktsegment) AS platform FROM customer")
+def src07_platform_file(spark, d):
+    """Each unit's platform, read from a file with several platforms a unit."""
+    path = f"{folder(spark)}/platform"
+    both = F.concat("c_mktsegment", F.lit(";other"))
+    panels.table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), both.alias("platform")).write.option("header", True).csv(path)
+    return ingest.platforms(spark, path)
+
+
 @query("SELECT s_suppkey AS unit, 1 AS wave, s_acctbal AS phq4, NULL::DOUBLE AS pss4 FROM supplier UNION ALL SELECT c_custkey, 2, NULL, c_acctbal FROM customer UNION ALL SELECT n_nationkey, 3, NULL, NULL FROM nation")
 def src13_set01_optional_columns(spark, d):
     a = panels.table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), F.lit(1).alias("wave"), F.col("s_acctbal").alias("phq4"))
@@ -162,6 +182,25 @@ def val08_release_audit(spark, d):
     return validate.release_problems(spark.createDataFrame(rows, "path string, length long, header string"), ["results/"])
 
 
+DIFF = """e AS (SELECT cohort, unit, spent, n_orders FROM people WHERE spent IS NOT NULL), a AS (SELECT cohort, unit + CASE WHEN unit % 17 = 0 THEN 1000000 ELSE 0 END AS unit,
+ CASE WHEN unit % 5 = 0 THEN spent + 5e-1 * 1e-9 WHEN unit % 7 = 0 THEN spent + 1e-6 ELSE spent END AS spent, CASE WHEN unit % 11 = 0 THEN NULL ELSE n_orders END AS n_orders FROM e),
+j AS (SELECT coalesce(e.cohort, a.cohort) AS cohort, coalesce(e.unit, a.unit) AS unit, e.unit IS NULL AS extra, a.unit IS NULL AS missing, e.spent AS es, a.spent AS s, e.n_orders AS eo, a.n_orders AS o FROM e FULL JOIN a ON e.cohort = a.cohort AND e.unit = a.unit),
+l AS (SELECT cohort, unit, extra, missing, unnest(['spent', 'n_orders']) AS "column", unnest([es, eo]) AS expected, unnest([s, o]) AS actual, unnest([1e-9, 0e0]) AS tolerance FROM j)"""
+
+
+@query(f"""WITH {PEOPLE}, {DIFF} SELECT cohort, unit, "column", round(expected, 6) AS expected, round(actual, 6) AS actual, CASE WHEN missing THEN 'missing' WHEN extra THEN 'extra' ELSE 'differs' END AS problem FROM l
+WHERE missing OR extra OR NOT (expected IS NOT DISTINCT FROM actual OR coalesce(abs(expected - actual) <= tolerance, false))""")
+def val10_tolerance_diff(spark, d):
+    """A table of results against a copy with planted changes: within and beyond the tolerance, lost values and renamed units."""
+    e = panels.people(spark, d).select("cohort", "unit", "spent", "n_orders").where("spent IS NOT NULL")
+    u = F.col("unit")
+    a = e.select(
+        "cohort", (u + F.when(u % 17 == 0, 1000000).otherwise(0)).alias("unit"),
+        F.when(u % 5 == 0, F.col("spent") + 0.5e-9).when(u % 7 == 0, F.col("spent") + 1e-6).otherwise(F.col("spent")).alias("spent"), F.when(u % 11 != 0, F.col("n_orders")).alias("n_orders"),
+    )
+    return rounded(validate.differences(e, a, ["cohort", "unit"], {"spent": 1e-9, "n_orders": 0.0}))
+
+
 @query("SELECT 'page' || r_regionkey || '.md' AS path, 'lost' || r_regionkey || '.md' AS link FROM region")
 def val09_broken_links(spark, d):
     pages = panels.table(spark, d, "region").select(F.concat(F.lit("page"), "r_regionkey", F.lit(".md")).alias("path"), F.concat(F.lit("see [a](page0.md#x), [b](lost"), "r_regionkey", F.lit(".md) and [c](https://example.org/)")).alias("text"))

@@ -55,6 +55,33 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return nan_to_null(df)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def cached_csv(spark: SparkSession, path: str, columns: list[str], cache: str, schema: str | None = None) -> DataFrame:
+    """``columns`` of the CSV files at ``path``, kept as Parquet in ``cache`` under the digest of the files and the columns.
+
+    The digests are made where the files lie; only one of 64 characters comes to the
+    driver.  A copy counts once its success marker is there, so a job that broke off
+    is made anew; a changed, added or removed file, or other columns, have another place.
+    """
+    files = file_hashes(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "length", "sha256").alias("f"))
+    parts = files.groupBy(F.pmod(F.xxhash64("f"), F.lit(1024)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), "\n"), 256).alias("h"))
+    whole = parts.agg(F.sha2(F.concat_ws("\n", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), F.lit("|".join([*sorted(columns), schema or ""]))), 256)).first()[0]
+    place = f"{cache}/{whole}"
+    if not exists(spark, f"{place}/_SUCCESS"):
+        read_csv(spark, path, schema, columns).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
+def platforms(spark: SparkSession, path: str) -> DataFrame:
+    """unit and its first platform (the part before ``;``), lower-cased, of a platform file with ``pid`` and ``platform``."""
+    first = F.lower(F.trim(F.split("platform", ";")[0]))
+    return read_csv(spark, path, "pid string, platform string").select(F.col("pid").alias("unit"), F.when(first != "", first).alias("platform"))
+
+
 def file_shapes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, n_rows, n_columns of CSV files."""
     rows = spark.read.text(paths).select(F.input_file_name().alias("path"), "value").where("value <> ''")

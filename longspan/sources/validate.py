@@ -57,12 +57,14 @@ def require_columns(df: DataFrame, columns: list[str], least: dict[str, int] | N
 
 def missing_cells(df: DataFrame, a: str, b: str) -> DataFrame:
     """Combinations of two columns' values that do not occur."""
-    grid = df.select(a).distinct().join(F.broadcast(df.select(b).distinct()), F.lit(True))
-    return grid.join(df.select(a, b).distinct(), [a, b], "left_anti")
+    pairs = df.select(a, b).distinct()
+    held = pairs.groupBy(a).agg(F.collect_set(b).alias("_held"))
+    every = df.agg(F.collect_set(b).alias("_all"))  # the values of one axis of the grid
+    return held.join(every, F.lit(True)).select(a, F.explode(F.array_except("_all", "_held")).alias(b))
 
 
 def unmapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    return df.select(column).distinct().join(F.broadcast(mapping), column, "left_anti")
+    return df.select(column).distinct().join(mapping, column, "left_anti")
 
 
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -71,6 +73,43 @@ def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:
     return state.where("length IS NULL OR length = 0").select("cohort", "file", F.when(F.col("length").isNull(), "missing").otherwise("empty").alias("problem"))
 
 
+def differences(expected: DataFrame, actual: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
+    """keys, column, expected, actual, problem of two result tables, cell by cell.
+
+    Rows are matched on ``keys``, where nulls are equal; a row of one side only is
+    ``missing`` or ``extra``, once for each column.  Numbers may differ by the column's
+    absolute tolerance (0: not at all); two nulls or two NaN are equal, one is not.
+    Keys must be unique in both tables.
+    """
+    for side in (expected, actual):
+        if not duplicate_keys(side, keys).isEmpty():
+            raise ContractError(f"keys {keys} are not unique")
+    cells = lambda df, side: df.select(*keys, F.map_from_arrays(F.array(*[F.lit(c) for c in tolerances]), F.array(*[F.col(c).cast("double") for c in tolerances])).alias(side))
+    right = cells(actual, "actual").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = cells(expected, "expected").join(right, same, "full")
+    rows = both.select(
+        *[F.when(F.col("expected").isNotNull(), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys], "expected", "actual",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(t)).alias("tolerance")) for c, t in tolerances.items()])).alias("c"),
+    )
+    e, a = F.col("expected")[F.col("c.column")], F.col("actual")[F.col("c.column")]
+    odd = lambda x: x.isNull() | F.isnan(x)
+    equal = e.eqNullSafe(a) | (~odd(e) & ~odd(a) & (F.abs(e - a) <= F.col("c.tolerance")))
+    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").when(~equal, "differs")
+    return rows.select(*keys, "c.column", e.alias("expected"), a.alias("actual"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def require_same(expected: DataFrame, actual: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
+    """``actual``, or an error that counts the problems and shows the first of them."""
+    found = differences(expected, actual, keys, tolerances)
+    first = found.orderBy(*keys, "column").limit(5).collect()
+    if first:
+        raise ContractError(f"{found.count()} cells are not as expected, first {[r.asDict() for r in first]}")
+    return actual
+
+
 #: Limits of a public release.
 MAX_BYTES = 20 * 1024 * 1024
 FORBIDDEN_SUFFIXES = (".parquet", ".pkl", ".pickle", ".feather", ".h5", ".db", ".sqlite")

@@ -203,3 +203,81 @@ def test_dealt_profiles_stay_in_their_cohort(spark):
     pairs = spark.createDataFrame([(c, u, [1.0 + 9 * c, 2.0, 3.0, 4.0], [1.0 + 9 * c, 2.0, 3.0, 4.0]) for c in (0, 1) for u in range(3)], "cohort int, unit int, early array<double>, late array<double>")
     dealt = resample.permuted_profiles(pairs, 4).collect()
     assert len(dealt) == 4 and all(abs(r["mean_cosine"] - 1.0) < 1e-12 for r in dealt)
+
+
+def test_automaton_is_linear_and_right(spark):
+    import time
+
+    from longspan.operators.sequence import lz_rate, novel_lengths
+
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 1), (30, 1), (60, 2), (80, 3), (50, 5)):
+        for _ in range(20):
+            s = rng.integers(0, k, n)
+            assert novel_lengths(s).tolist() == naive_novel(s.tolist())
+    times = []
+    for n in (25_000, 100_000):
+        start = time.process_time()
+        novel_lengths(rng.integers(0, 5, n))
+        times.append(time.process_time() - start)
+    assert times[1] < 9 * times[0] + 0.5
+    assert lz_rate([1] * 10) is None and 0 < lz_rate([1, 2] * 50) < 0.5
+
+
+def test_tolerance_diff(spark):
+    schema = "k string, i int, v double, w double"
+    e = spark.createDataFrame([("a", 1, 1.0, None), ("b", 1, 2.0, 2.0), (None, 1, 3.0, float("nan")), ("c", 1, 0.0, 5.0)], schema)
+    a = spark.createDataFrame([("a", 1, 1.0 + 1e-13, None), ("b", 1, 2.0 + 1e-11, None), (None, 1, 3.0, float("nan")), ("d", 1, 0.0, 5.0)], schema)
+    got = {(r["k"], r["column"], r["problem"]) for r in validate.differences(e, a, ["k", "i"], {"v": 1e-12, "w": 1e-12}).collect()}
+    assert got == {("b", "v", "differs"), ("b", "w", "differs"), ("c", "v", "missing"), ("c", "w", "missing"), ("d", "v", "extra"), ("d", "w", "extra")}
+    assert validate.require_same(e, e, ["k", "i"], {"v": 0.0}) is e
+    with pytest.raises(validate.ContractError):
+        validate.require_same(e, a, ["k", "i"], {"v": 1e-12})
+
+
+def test_csv_cache_follows_the_files(spark, tmp_path):
+    from longspan.sources import ingest
+
+    source, cache = tmp_path / "csv", f"file://{tmp_path}/cache"
+    source.mkdir()
+    (source / "a.csv").write_text("x,y,z\n1,2,3\n4,5,6\n")
+    first = ingest.cached_csv(spark, f"file://{source}", ["x", "y"], cache)
+    assert sorted(map(tuple, first.collect())) == [(1, 2), (4, 5)]
+    place = first.inputFiles()
+    again = ingest.cached_csv(spark, f"file://{source}", ["y", "x"], cache)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert again.inputFiles() == place and "FileScan parquet" in plan and "FileScan csv" not in plan
+    (source / "a.csv").write_text("x,y,z\n1,2,3\n4,5,7\n7,8,9\n")
+    assert ingest.cached_csv(spark, f"file://{source}", ["x", "y"], cache).count() == 3
+    assert ingest.cached_csv(spark, f"file://{source}", ["x"], cache).columns == ["x"]
+    (source / "b.csv").write_text("x,y,z\n0,0,0\n")
+    assert ingest.cached_csv(spark, f"file://{source}", ["x", "y"], cache).count() == 4
+
+
+def test_as_of_sees_no_same_day(spark):
+    left = spark.createDataFrame([("u", "2024-01-03", 1.0), ("u", "2024-01-05", 2.0), ("v", "2024-01-05", 3.0)], "k string, d string, x double").withColumn("date", F.to_date("d")).drop("d")
+    right = spark.createDataFrame([("u", "2024-01-01", 10.0), ("u", "2024-01-03", 11.0), ("u", "2024-01-04", None), ("v", "2024-01-05", 12.0)], "k string, d string, o double").withColumn("date", F.to_date("d")).drop("d")
+    from longspan.operators.windows import as_of
+
+    got = {(r["k"], r["x"]): (r["prior_o"], r["days_since_o"]) for r in as_of(left, right, ["k"], ["o"]).collect()}
+    assert got == {("u", 1.0): (10.0, 2), ("u", 2.0): (11.0, 2), ("v", 3.0): (None, None)}
+
+
+def test_sampled_areas_are_those_of_samples():
+    rng, shift = np.random.default_rng(6), resample.shift_of(0.62)
+    for p, n in ((3, 11), (9, 4)):
+        a = resample.sampled_areas(p, n, shift, (40_000,), rng)
+        pos, neg = rng.standard_normal((40_000, p)) + shift, rng.standard_normal((40_000, n))
+        b = (pos[:, :, None] > neg[:, None]).mean((1, 2))
+        assert abs(a.mean() - b.mean()) < 0.004 and abs(a.std() - b.std()) < 0.004 and all(abs(np.quantile(a, q) - np.quantile(b, q)) < 0.03 for q in (0.05, 0.5, 0.95))
+
+
+def test_ridge_models_are_the_single_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), "train" if rng.random() < 0.7 else "test", *(float(v) for v in rng.normal(1e3, 1, 3)), float(rng.normal())) for g in (0, 1) for _ in range(60)]
+    df = spark.createDataFrame([(*r[:2], None if i % 9 == 0 else r[2], *r[3:]) for i, r in enumerate(rows)], "g int, role string, a double, b double, c double, y double")
+    models = {"one": (["a"], 1.0), "two": (["a", "c"], 3.0), "plain": (["b", "c"], 0.0)}
+    got = linear.ridge_models(df, models, "y", ["g"]).toPandas()
+    for name, (features, alpha) in models.items():
+        want = linear.ridge(df, features, "y", ["g"], alpha=alpha).toPandas()
+        assert np.allclose(sorted(got[name]), sorted(want["prediction"]), atol=1e-8)
