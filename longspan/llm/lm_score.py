@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from .shared import crc_mod, in_batches, lower_table, materialize, row_blocks, SpanHash, text_bytes, unit_hash, word_spans
 
-HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
+HIDDEN, CLASSES, PER_CLASS = 20, 32, 32
 WINDOW, LANES = 64, 256
 #: Words whose counts are sent to all tasks, and slots of the table that holds them there.
 COMMON, SLOT_BITS = 130_000, 20
-#: Bound of the first, single-machine fit: texts; the second fit takes every training text whole, in windows of so many steps.
-WARM_DOCS, FIT_WINDOW, FIT_RATE = 800, 64, 0.003
+#: Bound of the first, single-machine fit: texts.
+WARM_DOCS = 800
+#: The second fit takes every training text whole, with so many texts side by side and steps an update; its rate is for a
+#: full window, less for one with fewer tokens (long texts end alone), and halves after so many updates.
+FIT_LANES, FIT_WINDOW, FIT_RATE, FIT_HALF = 128, 32, 0.03, 150
 #: Bytes of text that are cut into words at once, and tokens of whole texts that run side by side (a longer text is alone).
 BLOCK_BYTES, GROUP_TOKENS = 1 << 20, 1 << 21
 #: Groups over which the tasks' weights are summed before the driver adds them up.
@@ -310,11 +313,13 @@ def score_block(net: Gru, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out / np.log(10)
 
 
-def fit_block(net: Gru, ids: np.ndarray, first: np.ndarray, rate: float, most: int = 16, width: int = 32) -> list[float]:
+def fit_block(net: Gru, ids: np.ndarray, first: np.ndarray, rate: float, most: int = 16, width: int = 32, half: float | None = None) -> list[float]:
+    """Losses of the updates; with ``half`` the rate follows the tokens of a window and falls with the updates so far."""
     losses, state = [], None
     for p, inputs, live in windows(ids, first, most, width):
         state = np.zeros((p.shape[1], HIDDEN), np.float32) if state is None else state[: p.shape[1]]
-        state, loss = net.learn(inputs, ids[np.maximum(p, 0)], live, state, rate)
+        own = rate * min(1.0, live.sum() / (most * width)) / (1 + net.steps / half) if half else rate
+        state, loss = net.learn(inputs, ids[np.maximum(p, 0)], live, state, own)
         losses.append(loss)
     return losses
 
@@ -368,7 +373,7 @@ def spread_fit(docs: DataFrame, counts: Counts, net: Gru) -> Gru:
 
         for group in in_groups(parts()):
             ids, first = joined(group)
-            fit_block(own, ids, first, FIT_RATE, LANES, FIT_WINDOW)
+            fit_block(own, ids, first, FIT_RATE, FIT_LANES, FIT_WINDOW, FIT_HALF)
             seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()])], ["part", "seen", "weights"])
