@@ -252,25 +252,27 @@ def masked_cosines(least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]
     return statistic
 
 
-def permutation_sums(df: DataFrame, stratum: str, order: list[str], x: Column, y: Column, draws: int, statistic: Callable, names: list[str], rows_a_block: int = ROWS) -> DataFrame:
-    """draw and the sums ``names`` of ``statistic`` over all rows, where each row's ``y`` is that of its partner in the stratum.
+def permutation_sums(df: DataFrame, stratum: str, order: list[str], x: Column, y: Column, draws: int, statistic: Callable, names: list[str], rows_a_block: int = ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, draw and the sums ``names`` of ``statistic`` over all rows of a group, where each row's ``y`` is that of its partner in the stratum.
 
     ``x`` and ``y`` are arrays of numbers (null: not known).  A pair of blocks of a
     stratum, 65,536 rows each, is a group; where there are fewer groups than cores,
     each is dealt to several batches of draws.
     """
-    rows = numbered(df.select(F.col(stratum).alias("_s"), *order, x.alias("_x"), y.alias("_y")), ["_s"], order)
-    rows = written(rows.select("_s", "i", "n", "_x", "_y"), "permuted-rows")
+    by = list(by)
+    rows = numbered(df.select(*by, F.col(stratum).alias("_s"), *order, x.alias("_x"), y.alias("_y")), [*by, "_s"], order)
+    rows = written(rows.select(*by, "_s", "i", "n", "_x", "_y"), "permuted-rows")
     seeds = F.pmod(draw_hash(F.coalesce(F.col("_s").cast("string"), F.lit(""))), F.lit(PRIME))
-    size = rows.groupBy("_s").agg(F.max("n").alias("n")).agg(F.sum(F.ceil(F.col("n") / rows_a_block) * F.ceil(F.col("n") / rows_a_block))).first()[0] or 1
+    size = rows.groupBy(*by, "_s").agg(F.max("n").alias("n")).agg(F.sum(F.ceil(F.col("n") / rows_a_block) * F.ceil(F.col("n") / rows_a_block))).first()[0] or 1
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
     per = -(-draws // max(1, min(-(-draws // BATCH), -(-parallel // int(size)))))
     batch = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(per))).alias("draw")
     block, every = F.floor(F.col("i") / rows_a_block).cast("int"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / rows_a_block).cast("int")))
     rows = rows.withColumn("seed", seeds)
-    left = rows.select("_s", block.alias("a"), every.alias("b"), F.lit(0).alias("side"), "i", "n", "seed", F.col("_x").alias("v"))
-    right = rows.select("_s", every.alias("a"), block.alias("b"), F.lit(1).alias("side"), "i", "n", "seed", F.col("_y").alias("v"))
+    left = rows.select(*by, "_s", block.alias("a"), every.alias("b"), F.lit(0).alias("side"), "i", "n", "seed", F.col("_x").alias("v"))
+    right = rows.select(*by, "_s", every.alias("a"), block.alias("b"), F.lit(1).alias("side"), "i", "n", "seed", F.col("_y").alias("v"))
     both = left.unionByName(right).select("*", batch)
+    names_by = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*by).schema.fields)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
@@ -278,7 +280,7 @@ def permutation_sums(df: DataFrame, stratum: str, order: list[str], x: Column, y
         stack = lambda part: np.array([[np.nan if e is None else e for e in v] for v in part["v"]], np.float64)
         x, y, i = group[first], group[~first], group["i"].to_numpy()[first]
         if not len(x) or not len(y):
-            return pd.DataFrame({"draw": pd.Series(dtype="int32"), "sums": pd.Series(dtype=object)})
+            return pd.DataFrame({**{b: pd.Series(dtype=object) for b in by}, "draw": pd.Series(dtype="int32"), "sums": pd.Series(dtype=object)})
         low, n, seed = int(y["i"].iloc[0]), int(group["n"].iloc[0]), int(group["seed"].iloc[0])
         x, y = stack(x), stack(y)
         y = np.vstack([y, np.full(y.shape[1], np.nan)])
@@ -288,6 +290,6 @@ def permutation_sums(df: DataFrame, stratum: str, order: list[str], x: Column, y
             mine = np.arange(lo, min(draws, begin + per, lo + step))
             j = partners(i, n, mine, seed) - low
             out.append(statistic(x, y[np.where((j >= 0) & (j < len(y) - 1), j, len(y) - 1)]).ravel())
-        return pd.DataFrame({"draw": [begin], "sums": [np.concatenate(out)]})
+        return pd.DataFrame({**{b: [key[i]] for i, b in enumerate(by)}, "draw": [begin], "sums": [np.concatenate(out)]})
 
-    return summed(both.groupBy("_s", "a", "b", "draw").applyInPandas(run, "draw int, sums array<double>"), [], names)
+    return summed(both.groupBy(*by, "_s", "a", "b", "draw").applyInPandas(run, f"{names_by}draw int, sums array<double>"), by, names)

@@ -118,10 +118,10 @@ def sampled_power(designs: DataFrame, areas: list[float], simulations: int, seed
     return sums.join(F.broadcast(n), F.lit(True)).select(value.alias("true_auc"), F.col("draw").alias("simulation"), (F.col("total") / F.col("units")).alias("mean_auc"))
 
 
-def permuted_profiles(pairs: DataFrame, n_draws: int, least: int = 4) -> DataFrame:
-    """draw, mean_cosine: late profiles dealt anew within cohorts, against the early ones (cohort, unit, early, late)."""
-    sums = draws.permutation_sums(pairs, "cohort", ["unit"], F.col("early"), F.col("late"), n_draws, draws.masked_cosines(least), ["total", "n"])
-    return sums.select("draw", (F.col("total") / F.nullif(F.col("n"), F.lit(0.0))).alias("mean_cosine"))
+def permuted_profiles(pairs: DataFrame, n_draws: int, least: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, draw, mean_cosine: late profiles dealt anew within cohorts, against the early ones (cohort, unit, early, late)."""
+    sums = draws.permutation_sums(pairs, "cohort", ["unit"], F.col("early"), F.col("late"), n_draws, draws.masked_cosines(least), ["total", "n"], by=by)
+    return sums.select(*by, "draw", (F.col("total") / F.nullif(F.col("n"), F.lit(0.0))).alias("mean_cosine"))
 
 
 def permuted_correlations(df: DataFrame, x: list[str], y: list[str], n_draws: int, stratum: str, order: list[str]) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from longspan.functions.hashing import PRIME, draw_hash, partners_sql, scrambled_sql
 from longspan.functions.numeric import fisher_p
-from longspan.operators import cluster, draws, linear, metrics, ranking, resample
+from longspan.operators import cluster, draws, linear, metrics, ranking, resample, splits
 from longspan.operators.sequence import lz_entropy
-from longspan.operators.windows import Trajectory
+from longspan.operators.windows import Trajectory, tomorrow
 from longspan.plans import panels, robustness
 from longspan.sources.workspace import written
 
-from .base import COMPOSITES, FORECASTS, LABELS, METRICS, PEOPLE, WEEKS, query, r6, rounded
+from .base import COMPOSITES, FORECASTS, LABELS, LONG, METRICS, PEOPLE, WEEKS, query, r6, rounded
 
 T = Trajectory()
 #: The slot that draw ``draw`` puts at place ``i``, and a stratum's key of the bijection.
@@ -384,8 +384,6 @@ def inf09_inf10_mdl07_partial_correlation(spark, d):
 @query()
 def inf11_inf12_repeated_holdout(spark, d):
     """Out-of-sample R2 with and without one more covariate, over stratified holdouts."""
-    from longspan.operators import splits
-
     p = panels.people(spark, d).dropna(subset=["spent"]).select("cohort", "unit", "spent", "balance", "n_orders", "n_closed")
     h = splits.stratified_holdouts(p, "cohort", "unit", 5)
     models = {"base": (["n_closed"], 0.0), "augmented": (["n_closed", "n_orders"], 0.0), "wide": (["n_closed", "n_orders", "balance"], 0.0)}
@@ -529,8 +527,104 @@ def gat01_interval_gate(spark, d):
     return _people_draws(spark, d).select("cohort", F.when(F.col("low") > 0, "gain").when(F.col("high") < 0, "loss").otherwise("undecided").alias("verdict"))
 
 
+@query()
+def gat06_profile_gates(spark, d):
+    """Profiles must be one's own in every regime, for forecastability and skill beyond spread and entropy: difference of 0.1 and p below 0.05."""
+    m = _metrics(spark, d)
+    controls, rows = ["observed_sd_z", "observed_entropy_z"], None
+    for measure in ("forecastability_raw", "history_skill"):
+        part = robustness.profiles(robustness.residual_z(m, f"{measure}_z", controls, "residual_z"), "residual_z", panels.TARGETS, 4).withColumn("measure", F.lit(measure))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows, "residual-profiles")
+    by = ["regime", "measure"]
+    same = rows.groupBy(*by).agg(F.avg(cluster.masked_cosine(F.col("early"), F.col("late"))).alias("same"), F.count(F.lit(1)).alias("n"))
+    null = ranking.join_on(resample.permuted_profiles(rows, DRAWS, by=tuple(by)), written(same, "same"), by)
+    hits = F.count_if(F.round("mean_cosine", 9) >= F.round("same", 9))
+    out = null.groupBy(*by, "same", "n").agg(F.avg("mean_cosine").alias("null_mean"), F.count("mean_cosine").alias("n_draws"), ((hits + 1) / (F.count("mean_cosine") + F.lit(1.0))).alias("p"))
+    out = written(out.withColumn("delta", F.col("same") - F.col("null_mean")), "profile-tests")
+    gate = out.groupBy("measure").agg(F.bool_and((F.col("delta") >= 0.1) & (F.col("p") < 0.05)).alias("profile_gate"))
+    return rounded(out.join(F.broadcast(gate), "measure"))  # a row for each measure
+
+
+LIFT = f"""WITH {LONG}, v AS (SELECT cohort, unit, date, target, ln(1 + greatest(value, 0)) AS today, avg(ln(1 + greatest(value, 0))) OVER w AS recent, count(value) OVER w AS k FROM series WHERE value IS NOT NULL WINDOW w AS (PARTITION BY cohort, unit, target ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+j AS (SELECT a.cohort, a.unit, a.date, a.target, a.today, a.recent, b.today AS y FROM v a JOIN v b ON b.cohort = a.cohort AND b.unit = a.unit AND b.target = a.target AND b.date = a.date + 7 WHERE a.k >= 7),
+r AS (SELECT *, row_number() OVER (PARTITION BY cohort, unit, target ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY cohort, unit, target) AS n FROM j), s AS (SELECT *, pos >= least(greatest(1, floor(n * 65e-2)::BIGINT), n - 1) AS test FROM r WHERE n >= 5),
+m AS (SELECT target, avg(recent) AS ma, CASE WHEN stddev_pop(recent) > 1e-12 THEN stddev_pop(recent) ELSE 1 END AS sa, avg(today) AS mb, CASE WHEN stddev_pop(today) > 1e-12 THEN stddev_pop(today) ELSE 1 END AS sb, avg(y) AS my FROM s WHERE NOT test GROUP BY ALL),
+k AS (SELECT target, test, y, my, (recent - ma) / sa AS a, (today - mb) / sb AS b FROM s JOIN m USING (target)),
+c AS (SELECT target, sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(a * b) AS ab, sum(a * (y - my)) AS ay, sum(b * (y - my)) AS b_y FROM k WHERE NOT test GROUP BY ALL),
+e AS (SELECT target, y, my + ay / aa * a AS h, my + (bb * ay - ab * b_y) / (aa * bb - ab * ab) * a + (aa * b_y - ab * ay) / (aa * bb - ab * ab) * b AS f FROM k JOIN c USING (target) WHERE test),
+q AS (SELECT target, count(*) AS n, 1 - sum((y - h) ** 2) / (var_pop(y) * count(*)) AS r2_history, 1 - sum((y - f) ** 2) / (var_pop(y) * count(*)) AS r2_with_today FROM e GROUP BY ALL)"""
+
+
+@query(f"{LIFT} SELECT 'tomorrow' AS horizon, target, n, round(r2_history, 5) AS r2_history, round(r2_with_today, 5) AS r2_with_today, round(r2_with_today - r2_history, 5) AS lift, bool_or(round(r2_with_today - r2_history, 5) >= 2e-2) OVER () AS passes FROM q")
+def gat04_forecast_lift_gate(spark, d):
+    """What today's value adds to history in forecasts of the next week; the gate asks for a lift of 0.02 on any target."""
+    long = panels.long(panels.supplier_weeks(spark, d), panels.TARGETS).where("value IS NOT NULL").withColumn("today", F.log1p(F.greatest("value", F.lit(0.0))))
+    long = long.withColumn("recent", robustness.SERIES.trailing_mean(F.col("today"), 7, 7))
+    rows = written(long.select("cohort", "unit", "target", "date", "today", "recent"), "series")
+    rows = tomorrow(rows, "today", ["cohort", "unit", "target"], 7).where("recent IS NOT NULL").withColumnRenamed("target_value", "y").drop("target_date")
+    rows = splits.floor_split(rows, robustness.SERIES, 0.65, 5)
+    fit = linear.ridge_models(rows, {"history": (["recent"], 1.0), "with_today": (["recent", "today"], 1.0)}, "y", ["target"]).where("role = 'test'")
+    r = metrics.regressions(fit, "y", ["history", "with_today"], ["target"]).groupBy("target").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("model") == m, F.col("r2"))).alias(f"r2_{m}") for m in ("history", "with_today")])
+    lift = F.round(F.col("r2_with_today") - F.col("r2_history"), 5)
+    r = written(r.select("target", "n", F.round("r2_history", 5).alias("r2_history"), F.round("r2_with_today", 5).alias("r2_with_today"), lift.alias("lift")), "lifts")
+    gate = r.agg(F.bool_or(F.col("lift") >= 0.02).alias("passes"))
+    return r.join(F.broadcast(gate), F.lit(True)).withColumn("horizon", F.lit("tomorrow"))
+
+
+#: Components of the common score, its predictors, and the covariate that both holdout models have.
+COMPONENTS, PREDICTORS, COVARIATE, HOLDOUTS = ["spent", "n_orders"], ["balance", "n_closed"], "n_closed", 200
+_z = lambda c: f"(({c}) - avg({c}) OVER g) / nullif(stddev_samp({c}) OVER g, 0)"
+GATE9 = f"""t AS (SELECT cohort, unit, balance, n_closed, spent, n_orders, ({_z('spent')} + {_z('n_orders')}) / 2 AS common FROM people WHERE spent IS NOT NULL AND n_orders IS NOT NULL AND n_closed IS NOT NULL AND balance IS NOT NULL WINDOW g AS (PARTITION BY cohort)),
+c AS (SELECT cohort, unit, n_closed AS raw, common AS y0, balance AS x0, common - avg(common) OVER g AS y, balance - avg(balance) OVER g AS x, n_closed - avg(n_closed) OVER g AS x2, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS i, count(*) OVER g AS n, {STRATUM}, row_number() OVER (ORDER BY cohort, unit) - 1 AS ai, count(*) OVER () AS an FROM t WINDOW g AS (PARTITION BY cohort)),
+a AS (SELECT 2e0 * (1 - (var_samp(z1) + var_samp(z2)) / var_samp(z1 + z2)) AS alpha, covar_pop(z1, z2) / sqrt(var_pop(z1) * var_pop(z2)) AS component_r FROM (SELECT {_z('spent')} AS z1, {_z('n_orders')} AS z2 FROM t WINDOW g AS (PARTITION BY cohort))),
+s AS (SELECT draw, {SLOT} % an AS ai FROM (SELECT ai AS i, ai, an FROM c), range(0, {DRAWS}) u(draw)), bo AS (SELECT draw, covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) AS r FROM s JOIN c USING (ai) GROUP BY ALL),
+pn AS (SELECT * FROM (WITH RECURSIVE {partners_sql('c', DRAWS, 'cohort')} SELECT p.draw, round(greatest({', '.join(ABS_R.format(a=f'a.{x}', b='b.y') for x in ('x', 'x2'))}), 9) AS r FROM partner p JOIN c a ON a.cohort = p.cohort AND a.i = p.i JOIN c b ON b.cohort = p.cohort AND b.i = p.j GROUP BY ALL)),
+o AS (SELECT covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) AS r FROM c), co AS (SELECT count_if(r < 0) AS same FROM (SELECT cohort, covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) AS r FROM c GROUP BY ALL)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY rep, cohort ORDER BY ('0x' || substr(md5(rep || '|' || unit), 1, 12))::BIGINT, unit) <= greatest(1, floor(n * 2e-1 + 5e-1)) AS test FROM c, range(0, {HOLDOUTS}) v(rep)),
+hm AS (SELECT rep, avg(raw) AS ma, avg(x0) AS mb, avg(y0) AS my FROM hr WHERE NOT test GROUP BY ALL), hk AS (SELECT rep, test, y0 AS y, my, raw - ma AS a, x0 - mb AS b FROM hr JOIN hm USING (rep)),
+hc AS (SELECT rep, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * (y - my)) AS ay, sum(b * (y - my)) AS b_y FROM hk WHERE NOT test GROUP BY ALL),
+he AS (SELECT rep, 1 - sum((y - my - ay / aa * a) ** 2) / (var_pop(y) * count(*)) AS base, 1 - sum((y - my - (bb * ay - ab * b_y) / (aa * bb - ab * ab) * a - (aa * b_y - ab * ay) / (aa * bb - ab * ab) * b) ** 2) / (var_pop(y) * count(*)) AS more FROM hk JOIN hc USING (rep) WHERE test GROUP BY ALL),
+v AS (SELECT alpha, component_r, o.r AS partial_r, (SELECT quantile_cont(r, 0.975) FROM bo) AS high, (SELECT (count_if(pn.r >= round(abs(o.r), 9)) + 1) / (count(*) + 1e0) FROM pn, o) AS p, same, (SELECT median(more - base) FROM he) AS median_delta, (SELECT avg((round(more - base, 9) > 0)::INT) FROM he) AS positive_rate FROM a, o, co)"""
+
+
+@query(f"""WITH RECURSIVE {PEOPLE}, {GATE9}, d AS (SELECT *, alpha >= 7e-1 AND component_r >= 3e-1 AS h1, partial_r <= -1e-1 AND high < 0 AND p < 5e-2 AS h2, same >= 3 AND median_delta > 0 AND positive_rate >= 7e-1 AS h3 FROM v)
+SELECT round(alpha, 6) AS alpha, round(component_r, 6) AS component_r, round(partial_r, 6) AS partial_r, round(high, 6) AS high, round(p, 6) AS p, same AS n_same_direction, round(median_delta, 6) AS median_delta, round(positive_rate, 6) AS positive_rate, h1, h2, h3,
+CASE WHEN h1 AND h2 AND h3 THEN 'association supported' WHEN h1 AND h2 THEN 'pooled association only' ELSE 'not supported' END AS decision FROM d""")
+def gat09_common_score_gate(spark, d):
+    """H1: the components are one score; H2: it goes with the predictor beyond cohorts (interval and largest-statistic p); H3: in most cohorts and out of sample."""
+    p = panels.people(spark, d).select("cohort", "unit", *PREDICTORS, *COMPONENTS).dropna()
+    moments = p.groupBy("cohort").agg(*[f(c).alias(f"{k}_{c}") for c in COMPONENTS for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    p = ranking.join_on(p, moments, ["cohort"])
+    p = p.withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)) for c in COMPONENTS}).drop(*[f"{k}_{c}" for c in COMPONENTS for k in "ms"])
+    p = p.withColumn("common", sum((F.col(f"z_{c}") for c in COMPONENTS[1:]), F.col(f"z_{COMPONENTS[0]}")) / len(COMPONENTS))
+    specs = [(c, [], f"r_{c}") for c in ("common", *PREDICTORS)]
+    t = written(linear.residuals(p, specs, [], "cohort"), "common-scores")
+    alpha = metrics.cronbach_alpha(t, [f"z_{c}" for c in COMPONENTS], []).select("alpha")
+    component = metrics.pearson(t, "z_spent", "z_n_orders", []).select(F.col("r").alias("component_r"))
+    main = f"r_{PREDICTORS[0]}"
+    partial = metrics.pearson(t, main, "r_common", []).select(F.col("r").alias("partial_r"))
+    high = draws.bootstrap_correlations(t, main, "r_common", DRAWS, [], ["cohort", "unit"]).agg(F.percentile("r", F.lit(0.975)).alias("high"))
+    null = _largest_null(t, DRAWS, ["r_common"], [f"r_{x}" for x in PREDICTORS])
+    tests = null.join(F.broadcast(partial), F.lit(True)).agg(((F.count_if(F.col("r") >= F.round(F.abs("partial_r"), 9)) + 1) / (F.count(F.lit(1)) + F.lit(1.0))).alias("p"))
+    same = metrics.pearson(t, main, "r_common", ["cohort"], 2).agg(F.count_if(F.col("r") < 0).alias("n_same_direction"))
+    h = splits.stratified_holdouts(t, "cohort", "unit", HOLDOUTS)
+    models = {"base": ([COVARIATE], 0.0), "more": ([COVARIATE, PREDICTORS[0]], 0.0)}
+    fit = metrics.regressions(linear.ridge_models(h, models, "common", ["rep"]).where("role = 'test'"), "common", list(models), ["rep"])
+    delta = fit.groupBy("rep").agg((F.max(F.when(F.col("model") == "more", F.col("r2"))) - F.max(F.when(F.col("model") == "base", F.col("r2")))).alias("delta"))
+    delta = delta.agg(F.median("delta").alias("median_delta"), F.avg((F.round("delta", 9) > 0).cast("double")).alias("positive_rate"))
+    out = alpha
+    for row in (component, partial, high, tests, same, delta):
+        out = out.join(F.broadcast(row), F.lit(True))
+    out = out.withColumn("h1", (F.col("alpha") >= 0.7) & (F.col("component_r") >= 0.3)).withColumn("h2", (F.col("partial_r") <= -0.1) & (F.col("high") < 0) & (F.col("p") < 0.05))
+    out = out.withColumn("h3", (F.col("n_same_direction") >= 3) & (F.col("median_delta") > 0) & (F.col("positive_rate") >= 0.7))
+    decision = F.when(F.col("h1") & F.col("h2") & F.col("h3"), "association supported").when(F.col("h1") & F.col("h2"), "pooled association only").otherwise("not supported")
+    return rounded(out.withColumn("decision", decision))
+
+
 @query("""WITH l AS (SELECT event_type AS target, 'tomorrow' AS horizon, avg(value) / 1e2 - 48e-2 AS lift FROM events GROUP BY ALL) SELECT horizon, bool_or(lift >= 2e-2) AS passes, count_if(lift >= 2e-2) AS n_targets FROM l GROUP BY ALL""")
-def gat04_lift_gate(spark, d):
+def agg38_any_target_above_level(spark, d):
+    """The rule of an any-target gate over means of events."""
     lift = panels.table(spark, d, "events").groupBy("event_type").agg((F.avg("value") / 100 - 0.48).alias("lift"))
     return lift.groupBy(F.lit("tomorrow").alias("horizon")).agg(F.bool_or(F.col("lift") >= 0.02).alias("passes"), F.count_if(F.col("lift") >= 0.02).alias("n_targets"))
 
@@ -551,7 +645,8 @@ def gat10_feasibility(spark, d):
 
 @query(f"""WITH {PEOPLE}, g AS (SELECT cohort, covar_pop(balance, n_orders) / nullif(sqrt(var_pop(balance) * var_pop(n_orders)), 0) AS r, count(*) AS n FROM people WHERE balance IS NOT NULL AND n_orders IS NOT NULL GROUP BY ALL)
 SELECT bool_and(abs(r) >= 1e-1) AS every_cohort, count_if(r < 0) AS n_negative, median(r) <= 0 AND count_if(r <= 0) >= 3 AND max(r) < 1e-1 AS split_gate FROM g""")
-def gat03_gat08_gat09_cohort_gates(spark, d):
+def agg15_cohort_sign_rules(spark, d):
+    """Three rules over the signs and sizes of one correlation a cohort."""
     r = metrics.pearson(panels.people(spark, d), "balance", "n_orders", ["cohort"])
     return r.agg(F.bool_and(F.abs("r") >= 0.1).alias("every_cohort"), F.count_if(F.col("r") < 0).alias("n_negative"), ((F.median("r") <= 0) & (F.count_if(F.col("r") <= 0) >= 3) & (F.max("r") < 0.1)).alias("split_gate"))
 
