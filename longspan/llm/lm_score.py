@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import crc_mod, in_batches, lower_table, materialize, row_blocks, SpanHash, text_bytes, unit_hash, word_spans
 
-HIDDEN, CLASSES, PER_CLASS = 20, 32, 32
+HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
 WINDOW, LANES = 64, 256
 #: Words whose counts are sent to all tasks, and slots of the table that holds them there.
 COMMON, SLOT_BITS = 130_000, 20
@@ -35,7 +35,7 @@ COMMON, SLOT_BITS = 130_000, 20
 WARM_DOCS = 800
 #: The second fit takes every training text whole, with so many texts side by side and steps an update; its rate is for a
 #: full window, less for one with fewer tokens (long texts end alone), and halves after so many updates.
-FIT_LANES, FIT_WINDOW, FIT_RATE, FIT_HALF = 128, 32, 0.03, 150
+FIT_LANES, FIT_WINDOW, FIT_RATE, FIT_HALF = 256, 32, 0.03, 150
 #: Bytes of text that are cut into words at once, and tokens of whole texts that run side by side (a longer text is alone).
 BLOCK_BYTES, GROUP_TOKENS = 1 << 20, 1 << 21
 #: Groups over which the tasks' weights are summed before the driver adds them up.
