@@ -85,7 +85,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
         .select(*[F.col("mix_row")[c].alias(c) for c in kept], F.round(rate["repetition_rate"], 9).alias("repetition_rate"), "n_copies", "copy_no", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "mix_id", "copy_no")).alias("shuffle_key"))
     )
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # rows of one doc_id share their keys, so a seeded draw deals them over several tasks
+    salted = copies.withColumn("mix_salt", (F.rand(seed) * SALTS).cast("int")).repartition("shuffle_key", "mix_salt")
+    return salted.sortWithinPartitions("shuffle_key").drop("mix_salt")
 
 
 #: Equal shares for all sources, as the query uses.
