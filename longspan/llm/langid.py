@@ -128,10 +128,12 @@ def training_sample(docs: DataFrame, learn, max_docs: int = TRAIN_DOCS) -> list[
         return []
     each = max(1, max_docs // len(counts))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    rows = rows.where(unit_hash(F.lit("langid"), F.col("doc_id")) < share[F.col("lang")])
+    draw = unit_hash(F.lit("langid"), F.col("doc_id"), F.crc32("text"))  # texts of one doc_id are drawn one by one
+    rows = rows.where(draw < share[F.col("lang")])
     cut = lambda j: F.substring(F.col("text"), (F.floor(unit_hash(F.lit(f"cut{j}"), F.col("doc_id")) * F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1).cast("int"), F.lit(WINDOW))
     # spans are drawn from all over a text; prediction uses every byte
-    got = rows.select("doc_id", "lang", F.array(*[cut(j) for j in range(TRAIN_WINDOWS)]).alias("spans")).collect()
+    some = rows.orderBy(draw, "doc_id", "lang").limit(3 * max_docs)  # only copies of a text could be more
+    got = some.select("doc_id", "lang", F.array(*[cut(j) for j in range(TRAIN_WINDOWS)]).alias("spans")).collect()
     return [(r["lang"], r["spans"]) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"]))]
 
 
