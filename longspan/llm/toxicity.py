@@ -170,6 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows:
     share = F.when(F.col(last), with_share).otherwise(without_share)
     chosen = known.where(unit_hash(F.lit("toxicity"), F.col("doc_id")) < share)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # a doc_id may stand for many rows: of more than six times the sample, the first by a hash
+    rows = rows.orderBy(unit_hash(F.lit("toxicity"), F.col("doc_id"), F.crc32("text")), "doc_id", "text").limit(6 * train_rows)
     ys = [f"y{i}" for i in range(len(names))]
 
     def run(batches):

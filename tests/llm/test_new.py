@@ -190,3 +190,20 @@ def test_token_counts_odd_cases(spark):
     key = lambda t: tuple((x is not None, x) for x in t)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert token_counts.token_counts(empty_docs(spark)).count() == 0
+
+
+def test_one_doc_id_on_many_rows_is_bounded(spark):
+    """Samples that come to the driver, and the partitions of a mix, do not follow the rows of one doc_id."""
+    from longspan.llm import langid, mixing, toxicity
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 100_000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 50_000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    assert 100 < len(langid.training_sample(docs, F.lit(True), 200)) <= 600
+    labels = spark.createDataFrame([(5, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(docs, labels, train_rows=50) is not None
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in mixing.mix(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
