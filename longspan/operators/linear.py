@@ -195,6 +195,55 @@ def logistic(df: DataFrame, features: list[str], target: str, role: str = "role"
     return rows.withColumn("probability", 1 / (1 + F.exp(-z))).drop("_one")
 
 
+def logistic_grid(df: DataFrame, models: dict[str, list[str]], target: str, cells: list[str], roles: str = "roles", c: float = 1.0, steps: int = 12) -> DataFrame:
+    """cell, model, label, probability of the test rows: every model in every cell of a grid of splits, fitted together.
+
+    ``roles`` holds two bits a cell (training row, test row).  The rows are written once;
+    each step of reweighted least squares is one aggregate for all cells and models,
+    and the driver solves a system of the size of a design for each.  Missing features
+    take the cell's training median.
+    """
+    names = list(dict.fromkeys(f for features in models.values() for f in features))
+    rows = written(df.where(F.col(target).isNotNull()).select(*[F.col(f).cast("double").alias(f) for f in names], F.col(target).cast("double").alias("_y"), F.col(roles).alias("_roles")), "grid-rows")
+    inside = lambda i, test=0: F.col("_roles").bitwiseAND(F.lit((1 + test) << (2 * i))) != 0
+    grid = [(i, m) for i in range(len(cells)) for m in models]
+    middle = [ranking.medians(rows.where(inside(i)), names, []).first().asDict() for i in range(len(cells))]
+    filled = [{f: F.coalesce(F.col(f), F.lit(float(middle[i][f] or 0.0))) for f in names} for i in range(len(cells))]
+    at = lambda i, x: F.when(inside(i), x)
+    stats = rows.agg(
+        *[g(at(i, filled[i][f])).alias(f"{k}_{i}_{f}") for i in range(len(cells)) for f in names for k, g in (("a", F.avg), ("s", F.stddev_pop))],
+        *[g.alias(f"{k}_{i}") for i in range(len(cells)) for k, g in (("n", F.count_if(inside(i))), ("p", F.count_if(inside(i) & (F.col("_y") == 1))))],
+    ).first()
+    scale = lambda i, f: (stats[f"s_{i}_{f}"] or 0) if (stats[f"s_{i}_{f}"] or 0) > EPS else 1.0
+    x = {(i, f): (filled[i][f] - float(stats[f"a_{i}_{f}"] or 0)) / float(scale(i, f)) for i in range(len(cells)) for f in names}
+    design = {(i, m): [F.lit(1.0), *[x[i, f] for f in models[m]]] for i, m in grid}
+    beta = {g: np.zeros(1 + len(models[g[1]])) for g in grid}
+    fit = lambda g: 1 / (1 + F.exp(-sum((F.lit(float(b)) * v for b, v in zip(beta[g][1:], design[g][1:])), F.lit(float(beta[g][0])))))
+    open_ = list(grid)
+    for _ in range(steps):
+        p = rows.withColumns({f"_p_{i}_{m}": fit((i, m)) for i, m in open_})
+        sums = []
+        for i, m in open_:
+            n, pos = stats[f"n_{i}"], stats[f"p_{i}"]
+            w = F.when(inside(i), F.when(F.col("_y") == 1, n / (2 * max(1, pos))).otherwise(n / (2 * max(1, n - pos)))).otherwise(0.0)
+            q, v = F.col(f"_p_{i}_{m}"), design[i, m]
+            sums += [F.sum(w * q * (1 - q) * v[a] * v[b]).alias(f"h_{i}_{m}_{a}_{b}") for a in range(len(v)) for b in range(a, len(v))]
+            sums += [F.sum(w * (F.col("_y") - q) * v[a]).alias(f"g_{i}_{m}_{a}") for a in range(len(v))]
+        r, still = p.agg(*sums).first(), []
+        for i, m in open_:
+            k = len(design[i, m])
+            hess = np.array([[r[f"h_{i}_{m}_{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)], float) * c + np.eye(k)
+            move = np.linalg.solve(hess, c * np.array([r[f"g_{i}_{m}_{a}"] or 0.0 for a in range(k)], float) - beta[i, m])
+            beta[i, m] = beta[i, m] + move
+            if np.abs(move).max() >= 1e-10:
+                still.append((i, m))
+        open_ = still
+        if not open_:
+            break
+    scored = F.array(*[F.when(inside(i, 1), F.struct(F.lit(cells[i]).alias("cell"), F.lit(m).alias("model"), F.col("_y").cast("int").alias("label"), fit((i, m)).alias("probability"))) for i, m in grid])
+    return rows.select(F.inline(F.filter(scored, lambda s: s.isNotNull())))
+
+
 def forest(df: DataFrame, features: list[str], target: str, role: str = "role", trees: int = 300, leaf: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``probability`` by a class-balanced random forest."""
     from pyspark.ml import Pipeline

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longspan.functions.hashing import draw_hash
 
+from . import ranking
 from .windows import Trajectory
 
 
@@ -29,6 +30,21 @@ def within_unit(df: DataFrame, t: Trajectory, test_share: float, least: int = 4,
     return out.withColumn("role", role(F.col("position") >= F.col("n_rows") - F.col("n_test")))
 
 
+def role_bits(df: DataFrame, t: Trajectory, shares: list[float], least: int = 4, least_train: int = 2) -> DataFrame:
+    """Adds ``roles``: the roles of ``within_unit`` for every share in one number, two bits each.
+
+    Bit 2c is set for a training row of the c-th share, bit 2c + 1 for a test row, none
+    where the trajectory is too short for it; all shares need one sort.
+    """
+    out = df.withColumn("_n", t.size()).withColumn("_at", t.position())
+    bits = F.lit(0)
+    for c, share in enumerate(shares):
+        n_test = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0).cast("int"))
+        usable = (F.col("_n") >= least) & (F.col("_n") - n_test >= least_train)
+        bits = bits + F.when(usable, F.when(F.col("_at") >= F.col("_n") - n_test, 2 << (2 * c)).otherwise(1 << (2 * c))).otherwise(0)
+    return out.withColumn("roles", bits.cast("int")).where("roles > 0").drop("_n", "_at")
+
+
 def forecast(df: DataFrame, t: Trajectory, test_share: float, least: int = 5) -> DataFrame:
     """cut = max(1, floor(n * (1 - share))), with one test row at least."""
     n = t.size()
@@ -44,13 +60,14 @@ def floor_split(df: DataFrame, t: Trajectory, train_share: float = 0.65, least:
 
 
 def held_out_units(df: DataFrame, keys: list[str], test_share: float, seed: int, least: int = 4) -> DataFrame:
-    """Whole groups of ``least`` rows or more, in the order of a hash; the first ceil(share * groups) are the test."""
+    """Whole groups of ``least`` rows or more, in the order of a hash; the first ceil(share * groups) are the test.
+
+    The place of a group in the order comes from ranges of the hash, so no task holds the order of all.
+    """
     groups = df.groupBy(*keys).count().where(F.col("count") >= least).withColumn("u", draw_hash(F.lit(seed), *[F.col(k) for k in keys]))
-    # one row a group: the order over all groups is a sort of the small table, its share a count
-    total = groups.count()
-    n_test = -int(-total * test_share // 1)
-    test = groups.orderBy("u", *keys).limit(n_test).select(*keys, F.lit(True).alias("is_test"))
-    return df.join(groups.select(*keys), keys).join(test, keys, "left").withColumn("role", role(F.coalesce("is_test", F.lit(False)))).drop("is_test")
+    placed = ranking.numbered(groups.select(*keys, "u"), [], ["u", *keys])
+    is_test = F.col("i") < F.ceil(F.col("n") * F.lit(test_share))
+    return df.join(placed.select(*keys, is_test.alias("is_test")), keys).withColumn("role", role(F.col("is_test"))).drop("is_test")
 
 
 def stratified_holdouts(df: DataFrame, stratum: str, unit: str, repetitions: int, test_share: float = 0.2) -> DataFrame:

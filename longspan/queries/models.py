@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.operators import cluster, linear, metrics, splits, typology
+from longspan.operators import cluster, linear, metrics, ranking, splits, typology
 from longspan.operators.windows import Trajectory, as_of
 from longspan.plans import panels
 from longspan.sources.workspace import written
@@ -93,18 +93,59 @@ def mdl02_logistic(spark, d):
     return metrics.auroc(fit, "label", "probability", ["cohort"]).join(metrics.classification(fit, "label", "probability", ["cohort"]), "cohort")
 
 
+#: Shares of test rows and seeds of the grid of splits, and the feature sets whose areas are compared.
+SPLITS, SEEDS = [0.25, 0.35, 0.45], [11, 42, 73]
+FEATURE_SETS = {"prior": ["prior_rate"], "day_plus_prior": ["mean_tax", "line_count", "mean_discount", "prior_rate"], "history_plus_prior": ["recent_tax", "recent_lines", "spread_lines", "prior_rate"]}
+
+
+def _labelled_features(spark, d):
+    w = panels.labelled_weeks(spark, d)
+    w = w.withColumn("prior_rate", T.prior_rate(F.col("label") == 1, F.lit(None))).withColumn("recent_tax", T.trailing_mean(F.col("mean_tax"), 7, 3))
+    w = w.withColumn("recent_lines", T.trailing_mean(F.col("line_count"), 7, 3)).withColumn("spread_lines", T.trailing_sd(F.col("line_count"), 14, 3))
+    return w.select("cohort", "unit", "date", "label", *dict.fromkeys(f for fs in FEATURE_SETS.values() for f in fs))
+
+
+def _contrast_gate(areas, keys):
+    """Areas by cell and model (``keys``: what else tells cells apart) to contrasts and the rule over all cells of a kind."""
+    wide = areas.groupBy("kind", "cell", *keys).agg(*[F.max(F.when(F.col("model") == m, F.col("auroc"))).alias(m) for m in FEATURE_SETS])
+    both = F.array(*[F.struct(F.lit(m).alias("contrast"), (F.col(m) - F.col("prior")).alias("delta")) for m in FEATURE_SETS if m != "prior"])
+    d = wide.select("kind", F.inline(both)).where("delta IS NOT NULL")
+    g = d.groupBy("kind", "contrast").agg(F.count(F.lit(1)).alias("n_cells"), F.median("delta").alias("median_delta"), F.min("delta").alias("least_delta"), F.max("delta").alias("largest_delta"), F.count_if(F.col("delta") <= 0).alias("n_nonpositive"))
+    # of nine cells seven at least; the same share of as many as a kind has
+    return g.withColumn("no_material_increment", (F.col("median_delta") <= 0) & (9 * F.col("n_nonpositive") >= 7 * F.col("n_cells")) & (F.col("largest_delta") < 0.01))
+
+
+def _logistic_areas(spark, d):
+    rows = splits.role_bits(_labelled_features(spark, d), T, SPLITS)
+    p = linear.logistic_grid(rows, FEATURE_SETS, "label", [str(s) for s in SPLITS])
+    return ranking.areas(p, "label", "probability", ["cell", "model"])
+
+
+@query()
+def spl08_mdl06_logistic_grid(spark, d):
+    """Area of every feature set in every split, all nine fits from one table by one aggregate a step."""
+    return _logistic_areas(spark, d)
+
+
+@query()
+def gat03_logistic_contrasts(spark, d):
+    """What a day's or the history's features add to the prior rate of labels, over the splits; no seed enters these fits."""
+    return _contrast_gate(_logistic_areas(spark, d).withColumn("kind", F.lit("logistic")), [])
+
+
 @query()
 def mdl05_mdl06_spl08_forest_grid(spark, d):
-    """Area of both model kinds over split shares and seeds (a small grid of the full one)."""
-    w = panels.labelled_weeks(spark, d).withColumn("recent", T.trailing_mean(F.col("label").cast("double"), 7, 3)).where("recent IS NOT NULL")
-    out = None
-    for share in (0.25, 0.35):
-        s = splits.within_unit(w, T, share)
-        for seed in (1, 2):
-            fit = linear.forest(s, ["recent", "mean_tax", "line_count"], "label", trees=20, seed=seed).where("role = 'test'")
-            r = metrics.auroc(fit.withColumn("all", F.lit(1)), "label", "probability", ["all"]).select(F.lit(share).alias("share"), F.lit(seed).alias("seed"), "n_positive", "n_negative", "auroc")
-            out = r if out is None else out.unionByName(r)
-    return out
+    """The same contrasts by forests of 300 trees in all nine cells of splits and seeds, beside the logistic ones."""
+    rows = written(_labelled_features(spark, d), "labelled-features")
+    out = _logistic_areas(spark, d).select(F.lit("logistic").alias("kind"), "cell", "model", F.lit(0).alias("seed"), "auroc")
+    for share in SPLITS:
+        s = written(splits.within_unit(rows, T, share), "split")
+        for seed in SEEDS:
+            for name, features in FEATURE_SETS.items():
+                fit = written(linear.forest(s, features, "label", seed=seed).where("role = 'test'").select("label", "probability"), "forest-scores")
+                area = ranking.areas(fit, "label", "probability", [])
+                out = out.unionByName(area.select(F.lit("forest").alias("kind"), F.lit(str(share)).alias("cell"), F.lit(name).alias("model"), F.lit(seed).alias("seed"), "auroc"))
+    return _contrast_gate(written(out, "grid-areas"), ["seed"])
 
 
 @query(f"""WITH {PEOPLE}, p AS (SELECT unit, spent AS y, n_orders AS x FROM people WHERE spent IS NOT NULL AND n_orders IS NOT NULL)

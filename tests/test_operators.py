@@ -281,3 +281,17 @@ def test_ridge_models_are_the_single_ones(spark):
     for name, (features, alpha) in models.items():
         want = linear.ridge(df, features, "y", ["g"], alpha=alpha).toPandas()
         assert np.allclose(sorted(got[name]), sorted(want["prediction"]), atol=1e-8)
+
+
+def test_logistic_grid_is_the_single_fits(spark):
+    rng = np.random.default_rng(12)
+    rows = [("c", u, f"2024-01-{1 + t:02d}", int(rng.random() < 0.4), float(rng.normal()), None if rng.random() < 0.1 else float(rng.normal())) for u in range(12) for t in range(int(rng.integers(3, 20)))]
+    df = spark.createDataFrame(rows, "cohort string, unit int, d string, label int, a double, b double").withColumn("date", F.to_date("d")).cache()
+    t = Trajectory()
+    shares, sets = [0.25, 0.45], {"one": ["a"], "two": ["a", "b"]}
+    grid = linear.logistic_grid(splits.role_bits(df, t, shares), sets, "label", ["x", "y"]).toPandas()
+    for cell, share in zip("xy", shares):
+        for name, features in sets.items():
+            want = linear.logistic(splits.within_unit(df, t, share), features, "label").where("role = 'test'").toPandas()
+            got = grid[(grid["cell"] == cell) & (grid["model"] == name)]
+            assert len(got) == len(want) and np.allclose(sorted(got["probability"]), sorted(want["probability"]), atol=1e-6)
