@@ -112,7 +112,7 @@ def person_days(families: dict[str, DataFrame], weekly: DataFrame, platforms: Da
         df = prefixed(df, name, keys)
         out = df if out is None else out.join(df, list(keys), "full")
     features = [c for c in out.columns if c not in keys]
-    out = out.join(weekly, list(keys), "left").join(F.broadcast(platforms), [k for k in keys if k != "date"], "left")
+    out = out.join(weekly, list(keys), "left").join(platforms, [k for k in keys if k != "date"], "left")
     return out.withColumn("feature_coverage", coverage(features)).withColumn("label_available", F.coalesce("label_available", F.lit(False)))
 
 
