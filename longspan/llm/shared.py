@@ -48,9 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only on one machine where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -58,10 +60,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage; the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -692,18 +692,43 @@ def encode_pixels(pixels: np.ndarray, transforms: tuple[int, ...] = (), tile: in
 # ---------------------------------------------------------------- columns
 
 
-def payload_width(n: int) -> int:
-    """The narrowest multiple of ROW that keeps the height within the format."""
-    return ROW * -(-n // (ROW * MAX_SIDE))
+#: Bytes of one image; a longer payload is several images in a row.
+IMAGE = ROW * MAX_SIDE
+
+
+def pack(payload: np.ndarray) -> bytes:
+    """The payload padded with 255 to whole rows of ROW samples, as WebP files one after the other."""
+    rows = max(1, -(-len(payload) // ROW))
+    payload = np.append(payload, np.full(rows * ROW - len(payload), 255, np.uint8))
+    return b"".join(encode_samples(payload[at : at + IMAGE], ROW) for at in range(0, len(payload), IMAGE))
+
+
+def unpack(media: bytes) -> tuple[np.ndarray, int, int]:
+    """Samples, width and height in all of the files in ``media``, which must be of one width."""
+    parts, widths, height, at = [], set(), 0, 0
+    while at < len(media) or not parts:
+        if len(media) - at < 8:
+            raise FormatError("no lossless WebP file")
+        past = at + 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
+        if past > len(media):
+            raise FormatError("the file ends early")
+        pixels = decode(media[at:past])
+        parts.append((pixels >> 8 & 255).astype(np.uint8).reshape(-1))
+        height += pixels.shape[0]
+        widths.add(pixels.shape[1])
+        at = past
+    if len(widths) > 1:
+        raise FormatError("images of several widths")
+    return (np.concatenate(parts) if len(parts) > 1 else parts[0]), widths.pop(), height
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each whole text's bytes, padded with 255, as a WebP file.
+    """doc_id, n_bytes, media: each whole text's bytes, padded with 255, as WebP files of ROW samples a row.
 
     A null text counts as empty, which still fills one row of samples.  Equal
-    texts get equal files.  Texts may have up to 264 million bytes; longer ones
-    raise an error.  An empty table gives an empty result; further columns are
-    ignored.
+    texts get equal files.  Texts of more than IMAGE bytes are several files in
+    a row, each encoded by itself.  An empty table gives an empty result; further
+    columns are ignored.
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -712,12 +737,7 @@ def store(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in row_blocks(offsets, 1 << 21):
-                media = []
-                for i in range(lo, hi):
-                    part = data[offsets[i] : offsets[i + 1]]
-                    width = payload_width(max(1, len(part)))
-                    fill = max(width, len(part) + -len(part) % width) - len(part)
-                    media.append(encode_samples(np.append(part, np.full(fill, 255, np.uint8)), width))
+                media = [pack(data[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -736,7 +756,8 @@ def describe(samples: np.ndarray, width: int, height: int) -> str:
 def read(media: DataFrame) -> DataFrame:
     """All columns of ``media`` with width, height, samples (the green channel's bytes) and feature.
 
-    A null or damaged file gives nulls; columns of these four names are replaced.
+    Files one after the other give their samples in that order.  A null or damaged
+    file gives nulls; columns of these four names are replaced.
     """
     media = media.drop("width", "height", "samples", "feature")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
@@ -749,9 +770,7 @@ def read(media: DataFrame) -> DataFrame:
                 out, size, first = [], 0, at
                 while at < batch.num_rows and size < 1 << 22:
                     try:
-                        pixels = decode(column[at].as_py() or b"")
-                        samples = (pixels >> 8 & 255).astype(np.uint8).reshape(-1)
-                        height, width = pixels.shape
+                        samples, width, height = unpack(column[at].as_py() or b"")
                         out.append((width, height, samples.tobytes(), describe(samples, width, height)))
                         size += len(samples)
                     except FormatError:
@@ -764,7 +783,12 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, derived from the stored files and the samples read back."""
+    """The contract's columns, derived from the stored files and the samples read back: one row per input row.
+
+    Null and empty texts are one row of padding; texts of any length are taken whole;
+    repeated rows and equal texts get equal values; an empty table gives an empty
+    result; further columns are ignored.
+    """
     r = read(store(docs))
     return r.select(
         "doc_id",

@@ -142,6 +142,28 @@ def test_media_of_odd_rows(spark):
     assert (webp.decode(bytes(files[0]["media"])) >> 8 & 255).astype(np.uint8).tobytes().startswith(odd_rows()[0][1].encode())
 
 
+def test_long_payload_is_several_images(spark):
+    """One byte beyond an image needs one more row of the next one, not wider rows."""
+    rng = np.random.default_rng(5)
+    raw = rng.choice(np.frombuffer(b"abc ", np.uint8), webp.IMAGE + 1).tobytes()
+    r = webp.digest(spark.createDataFrame([(1, raw.decode())], "doc_id long, text string")).first()
+    padded = raw + b"\xff" * 575
+    assert (r["n_bytes"], r["payload_bytes"]) == (9_437_185, 9_437_760) and r["feature"].startswith("576x16385 ")
+    assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+
+
+@pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 1151, 1152, 1153, 1728, 3000])
+def test_payloads_around_the_limit_of_an_image(monkeypatch, size):
+    monkeypatch.setattr(webp, "IMAGE", 2 * webp.ROW)
+    raw = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    samples, width, height = webp.unpack(webp.pack(raw))
+    rows = max(1, -(-size // 576))
+    assert (width, height) == (576, rows) and samples.tobytes() == raw.tobytes() + b"\xff" * (rows * 576 - size)
+    for broken in (webp.pack(raw)[:-1], webp.pack(raw) + b"RIFF", webp.pack(raw) + webp.encode_samples(samples[:64], 32)):
+        with pytest.raises(webp.FormatError):
+            webp.unpack(broken)
+
+
 def test_damaged_media_is_null(spark):
     df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     assert [r["feature"] for r in webp.read(df).collect()] == [None, None]
@@ -161,6 +183,35 @@ def test_language_accuracy_and_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(odd_docs(spark).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")).collect()} == {"und"}
 
 
+def brute_language(net, raw):
+    """Likeliest language and its probability: every filter at every place of every window, one at a time."""
+    total = np.zeros(len(net.classes))
+    for at in range(0, len(raw), langid.WINDOW):
+        part = raw[at : at + langid.WINDOW]
+        window = part + bytes(langid.WINDOW - len(part))
+        hidden = []
+        for table in net.tables:
+            w = len(table)
+            sums = [sum(table[k, window[p + k]].astype(float) for k in range(w)) for p in range(langid.WINDOW - w + 1)]
+            hidden += np.maximum(np.max(sums, axis=0), 0).tolist()
+        z = np.array(hidden) @ net.weights.astype(float) + net.bias
+        p = np.exp(z - z.max())
+        total += p / p.sum() * len(part) / len(raw)
+    best = int(total.argmax())
+    return net.classes[best], float(total[best])
+
+
+def test_language_equals_brute_force(spark):
+    docs = odd_docs(spark)
+    net = langid.fit(langid.training_sample(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2))
+    texts = dict((d, t) for d, t, *_ in odd_rows() if d is not None and d != 13)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).where("doc_id IS NOT NULL AND doc_id <> 13").collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        lang, score = brute_language(net, t.encode()) if re.search(r"[^\W\d_]", t or "") else ("und", 0.0)
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-4, d
+
+
 def test_window_cutting_keeps_every_byte():
     data, offsets = batch(["", "a" * 256, "b" * 600, "ü"])
     windows, row, used = langid.windows_of(data, offsets)
@@ -202,6 +253,43 @@ def test_toxic_words_are_found(spark):
     assert not any(r["rejected"] for r in toxicity.toxicity(docs, lab.limit(0)).collect())
 
 
+def brute_chain(chain, text):
+    """Probabilities of the chain's categories, feature by feature from a pattern's runs."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+
+    def hashed(token, kind):
+        data = np.frombuffer(token, np.uint8)
+        return int(SpanHash(data)(np.array([0]), np.array([len(token)]), kind)[0] >> np.uint64(64 - toxicity.BITS))
+
+    found = set()
+    for run in re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff \t\n\x0b\x0c\r]+", raw):
+        found.add(hashed(run, 1))
+        found |= {hashed(run[:n], 2) for n in toxicity.PREFIXES if len(run) > n}
+    out = []
+    for model in chain.models:
+        z = sum(w for f, w in zip(model.chosen.tolist(), model.weights) if f in found) + float(np.dot(out, model.earlier)) + model.bias
+        out.append(1 / (1 + math.exp(-min(40, max(-40, z)))))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(18)
+    from tests.llm.fixtures import text
+
+    rows = [(i, text(rng, 5) + (" Idiot! scum??" if i % 3 == 0 else "") + (" kaban12 @@" if i % 5 == 0 else "")) for i in range(1000, 1240)]
+    rows += [(d, t) for d, t, *_ in odd_rows() if d is not None and d != 13]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 3 == 0)) for i in range(1000, 1200)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.learn(docs, labels)
+    assert len(chain.models) == 2 and all(len(m.chosen) for m in chain.models) and chain.threshold < 1
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    for d, t in rows:
+        want = brute_chain(chain, t)
+        assert all(abs(got[d][f"p_{c}"] - p) < 1e-5 for c, p in zip(("low_quality", "toxic"), want)), d
+        assert got[d]["rejected"] == (bool(t) and want[-1] >= chain.threshold), d
+    assert sum(r["rejected"] for r in got.values()) == 80
+
+
 def test_later_models_see_earlier_probabilities():
     rng = np.random.default_rng(0)
     y0 = rng.random(300) < 0.5
