@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.functions.hashing import draw_hash
@@ -71,12 +71,14 @@ def held_out_units(df: DataFrame, keys: list[str], test_share: float, seed: int,
 
 
 def stratified_holdouts(df: DataFrame, stratum: str, unit: str, repetitions: int, test_share: float = 0.2) -> DataFrame:
-    """``rep`` and role: in every stratum the first round(share * n) units in a hash order are the test."""
+    """``rep`` and role: in every stratum the first round(share * n) units in a hash order are the test.
+
+    Places in the order come from ranges of the hash, so no task holds a stratum.
+    """
     reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    w = Window.partitionBy("rep", stratum)
-    order = F.row_number().over(w.orderBy(draw_hash(F.col("rep"), F.col(unit)), unit))
-    n = F.count(F.lit(1)).over(w)
-    return reps.withColumn("role", role(order <= F.greatest(F.lit(1), F.floor(n * F.lit(test_share) + F.lit(0.5)))))
+    drawn = reps.withColumn("_draw", draw_hash(F.col("rep"), F.col(unit)))
+    placed = ranking.numbered(drawn, ["rep", stratum], ["_draw", unit])
+    return placed.withColumn("role", role(F.col("i") < F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(test_share) + F.lit(0.5))))).drop("_draw", "i", "n")
 
 
 def leave_one_out(df: DataFrame, cohorts: list, cohort: str = "cohort") -> DataFrame:
