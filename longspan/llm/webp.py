@@ -11,7 +11,6 @@ chain from one symbol to the next is walked.
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 from itertools import repeat
 
@@ -119,6 +118,10 @@ class BitReader:
         return out
 
 
+#: Repeated code lengths: the value (None: the one before), bits of the count, least count.
+REPEATS = {16: (None, 2, 3), 17: (0, 3, 3), 18: (0, 7, 11)}
+
+
 def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):
         two = bits.read(1)
@@ -134,21 +137,31 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
         small[LENGTH_ORDER[i]] = bits.read(3)
     code = PrefixCode(small)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, previous = 0, 8
+    at, previous, out = 0, 8, [0] * alphabet
+    symbols, sizes = (code.symbol.tolist(), code.bits.tolist()) if code.width else ([code.only], [0])
+    mask, data, place, end = len(symbols) - 1, bits.data, bits.at, 8 * len(bits.data)
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if place >= end:
+            raise FormatError("file ends early")
+        ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        s, n = symbols[ahead & mask], sizes[ahead & mask]
+        place += n
         if s < 16:
-            lengths[at] = s
+            out[at] = s
             at += 1
             previous = s or previous
             continue
-        value, n = {16: (previous, 2), 17: (0, 3), 18: (0, 7)}[s]
-        n = bits.read(n) + (11 if s == 18 else 3)
+        value, more, least = REPEATS[s]
+        n = (ahead >> n & ((1 << more) - 1)) + least
+        place += more
         if at + n > alphabet:
             raise FormatError("too many code lengths")
-        lengths[at : at + n] = value
+        if value is None:
+            out[at : at + n] = [previous] * n
         at += n
+    bits.at = place
+    lengths[:] = out
     return PrefixCode(lengths)
 
 
@@ -173,21 +186,42 @@ def walk_green(bits: BitReader, codes: list[PrefixCode], width: int, n: int) ->
     start = bits.at >> 3
     raw = np.frombuffer(bits.data, np.uint8)[start:]
     usable = len(raw) - 3
-    words = raw[:usable].astype(np.uint32) | raw[1 : usable + 1].astype(np.uint32) << 8 | raw[2 : usable + 2].astype(np.uint32) << 16
-    peeks = (words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.width) - 1)
+    words = raw[:usable].astype(np.int64)
+    words |= raw[1 : usable + 1].astype(np.int64) << 8
+    words |= raw[2 : usable + 2].astype(np.int64) << 16
+    peeks = words[:, None] >> np.arange(8)
+    peeks &= (1 << green.width) - 1
     peeks = peeks.reshape(-1)
-    step = green.bits[peeks].tobytes()
+    step = green.bits.take(peeks)
+    # four symbols at once where all of them begin in the file
+    place = np.arange(max(0, len(step) - 3 * green.width))
+    two = step[: max(0, len(step) - green.width)].copy()
+    two += step.take(np.arange(len(two)) + two)
+    four = two[: len(place)] + two.take(place + two[: len(place)]) if len(place) else two[:0]
+    one_step, four_steps = step.tobytes(), four.tobytes()
     out, have, at = np.empty(n, np.uint8), 0, bits.at - 8 * start
     while have < n:
-        chain = []
-        add = chain.append
+        fours, ones = [], []
+        add = fours.append
         try:
-            for _ in repeat(None, n - have):
+            for _ in repeat(None, (n - have) // 4):
                 add(at)
-                at += step[at]
+                at += four_steps[at]
         except IndexError:  # also where a copy stands for most of the rest
-            chain.pop()
-        symbols = green.symbol[peeks[chain]]
+            at = fours.pop()
+        add = ones.append
+        try:
+            for _ in repeat(None, n - have - 4 * len(fours)):
+                add(at)
+                at += one_step[at]
+        except IndexError:
+            ones.pop()
+        chain = np.empty((len(fours), 4), np.int64)
+        chain[:, 0] = fours
+        for k in range(3):
+            chain[:, k + 1] = chain[:, k] + step.take(chain[:, k])
+        chain = np.append(chain.reshape(-1), np.array(ones, np.int64))
+        symbols = green.symbol.take(peeks.take(chain))
         copy = np.flatnonzero(symbols >= 256)
         literals = int(copy[0]) if len(copy) else len(symbols)
         out[have : have + literals] = symbols[:literals]
@@ -196,7 +230,7 @@ def walk_green(bits: BitReader, codes: list[PrefixCode], width: int, n: int) ->
             break
         if not len(copy):
             raise FormatError("file ends early")
-        bits.at = chain[literals] + 8 * start
+        bits.at = int(chain[literals]) + 8 * start
         length, distance = read_copy(bits, codes, green.read(bits), width, have)
         length = min(length, n - have)
         if distance == 1:
@@ -417,21 +451,30 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    least = 1
+    weights, least = counts[used].tolist(), 1
     while True:
-        heap = [(max(int(counts[s]), least), i) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used)), len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heappush(heap, (a[0] + b[0], n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        order = sorted(range(len(used)), key=lambda i: max(weights[i], least))
+        leaves, joint = [max(weights[i], least) for i in order], []
+        n = len(leaves)
+        parent, i, j = [0] * (2 * n - 1), 0, 0
+        for node in range(n, 2 * n - 1):  # both rows are ascending; of equals the leaf comes first
+            both = 0
+            for _ in (0, 1):
+                if i < n and (j == len(joint) or leaves[i] <= joint[j]):
+                    both += leaves[i]
+                    parent[i] = node
+                    i += 1
+                else:
+                    both += joint[j]
+                    parent[n + j] = node
+                    j += 1
+            joint.append(both)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(used)]) <= most:
-            lengths[used] = depth[: len(used)]
+        if max(depth[:n]) <= most:
+            for i, d in zip(order, depth):
+                lengths[used[i]] = d
             return lengths
         least = least * 2 + 1
 
@@ -576,9 +619,11 @@ def put_pixels(bits: BitWriter, pixels: np.ndarray, main: bool, copies: list[tup
     green = green[at]
     plain = not cache_bits and bool(((pixels ^ pixels[0]) & np.uint32(0xFFFF00FF) == 0).all())
     channel = lambda rows: [(pixels[rows] >> k & 255).astype(np.int64) for k in (16, 0, 24)]
-    begin, lengths, far = np.array(copies, np.int64).reshape(-1, 3).T
-    length_symbol, length_extra, length_bits = prefix_symbol(lengths)
-    far_symbol, far_extra, far_bits = prefix_symbol(far)
+    begin = length_symbol = far_symbol = np.zeros(0, np.int64)
+    if len(copies):
+        begin, lengths, far = np.array(copies, np.int64).T
+        length_symbol, length_extra, length_bits = prefix_symbol(lengths)
+        far_symbol, far_extra, far_bits = prefix_symbol(far)
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     drawn = [np.concatenate([green, 256 + length_symbol]), *channel(at[:1] if plain else full), far_symbol]
     tables = []
