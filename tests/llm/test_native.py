@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
+from itertools import combinations
 
 import pytest
 from longspan.llm import exact_dedup, mixing, queries, url_filter
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 from tests.llm.fixtures import clashing, empty_docs, ids, odd_docs, odd_rows
@@ -115,9 +118,52 @@ def test_mined_rules_block(spark):
     assert got[1000][0] == "block" and got[1001][0] == "block" and got[1002] == ("allow", None)
     assert all((got[i][0] == "block") == (i % 4 == 0) for i in range(400))
     # every match has all tokens of its rule, as a plain search over the rules finds
-    index = [(set(r["items"]), r["confidence"]) for r in url_filter.mine(url_filter.labelled(pages, lab), min_support=0.01).collect()]
-    from pyspark.sql import functions as F
-
+    index = [(r["classes"], r["confidence"]) for r in url_filter.mine(url_filter.labelled(pages, lab), min_support=0.01).collect()]
     for r in pages.select("page_id", url_filter.tokens(F.col("url")).alias("t")).collect():
-        hits = [c for items, c in index if items <= set(r["t"])]
+        hits = [c for classes, c in index if all(set(r["t"]) & set(tokens) for tokens in classes)]
         assert (got[r["page_id"]][1] is None) == (not hits) and (not hits or abs(max(hits) - got[r["page_id"]][1]) < 1e-6)
+
+
+def token_sets(spark, pages):
+    return {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_filter.tokens(F.col("url")).alias("t")).collect()}
+
+
+def test_classes_match_as_single_tokens_do(spark):
+    rng = random.Random(3)
+    words = ["casino", "poker", "news", "sport", "deep", "wide", "odds"]
+    rows = [(i, f"http://{rng.choice(['win.bet', 'a.site', 'b.site', 'c.page'])}.net/{'/'.join(rng.sample(words, rng.randint(1, 4)))}/{i}") for i in range(240)]
+    labels = [(i, 0 if "casino" in u and ("odds" in u or "bet" in u) or i % 17 == 0 else 1, 0) for i, u in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r["confidence"] for r in url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    sets, bad = token_sets(spark, pages), {i for i, q, _ in labels if q == 0}
+    # every set of tokens, counted by plain search
+    found = {}
+    for size in range(1, 8):
+        for combination in {frozenset(c) for i in bad for c in combinations(sorted(sets[i]), size)}:
+            on = [i for i in sets if combination <= sets[i]]
+            k, m = sum(i in bad for i in on), len(on)
+            share, z = k / m, 3.5
+            low = (share + z * z / (2 * m) - z * math.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if k >= 5 and share >= 0.5 and share >= 1.5 * len(bad) / 240 and low > len(bad) / 240:
+                found[combination] = share
+    assert found
+    for i, tokens in sets.items():
+        best = max((c for items, c in found.items() if items <= tokens), default=None)
+        assert (got[i] is None) == (best is None) and (best is None or abs(got[i] - best) < 1e-6), rows[i]
+
+
+def test_deep_url_on_a_thousand_pages(spark):
+    deep = "/".join("".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7)) for i in range(1, 31))
+    rows = [(i, f"http://bad.net/{deep}/{i % 500}") for i in range(1000)] + [(2000 + i, f"http://good{i % 9}.net/x/{2000 + i}") for i in range(1500)]
+    labels = [(i, 0, 0) for i in range(500)] + [(2000 + i, 1, 0) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["page_id"] for r in got.collect() if r["verdict"] == "block"} == set(range(1000))
+
+
+def test_rules_are_labels(spark):
+    rows = [(i, f"http://{'x' if i % 2 else 'y'}.example.com/{'de' if i % 3 == 0 else 'fr'}/{i}") for i in range(300)]
+    rows += [(1000 + i, f"http://z.example.com/old/de/{i}") for i in range(3)] + [(2000, "http://z.example.com/old/it/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[1000 + i]["verdict"] == "block" and got[1000 + i]["rule"] is None for i in range(3)) and got[2000]["verdict"] == "allow"
