@@ -127,7 +127,7 @@ def transactions(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return merged.groupBy("token_key", "bad", "n").agg(F.collect_set("item").alias("items")).groupBy(F.array_sort("items").alias("items")).agg(F.sum("n").alias("n"))
 
 
-def mine(train: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.5, min_lift: float = 1.5, min_pages: int = 5, z: float = 3.5) -> DataFrame | None:
+def mine(train: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.9, min_lift: float = 1.5, min_pages: int = 5, z: float = 3.5) -> DataFrame | None:
     """Rules (items, classes, anchor, confidence, support) that conclude ``block``; None where nothing can be mined.
 
     A rule holds on at least ``min_pages`` blocked pages and ``min_support`` of all

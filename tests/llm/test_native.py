@@ -134,7 +134,7 @@ def test_classes_match_as_single_tokens_do(spark):
     rows = [(i, f"http://{rng.choice(['win.bet', 'a.site', 'b.site', 'c.page'])}.net/{'/'.join(rng.sample(words, rng.randint(1, 4)))}/{i}") for i in range(240)]
     labels = [(i, 0 if "casino" in u and ("odds" in u or "bet" in u) or i % 17 == 0 else 1, 0) for i, u in rows]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r["page_id"]: r["confidence"] for r in url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    got = {r["page_id"]: r["confidence"] for r in url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), min_confidence=0.5).collect()}
     sets, bad = token_sets(spark, pages), {i for i, q, _ in labels if q == 0}
     # every set of tokens, counted by plain search
     found = {}
