@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from longspan.functions.hashing import PRIME, draw_hash, partners
 from longspan.operators import draws, ranking
+from longspan.sources.workspace import written
 from pyspark.sql import functions as F
 
 
@@ -99,6 +100,30 @@ def test_slot_counts_are_draws_with_replacement():
     assert abs(np.corrcoef(w[:, 3], w[:, 7])[0, 1]) < 0.06
 
 
+@pytest.mark.parametrize("cells", [64, 1 << 21])
+def test_part_sums_over_stretches(monkeypatch, cells):
+    """Scores longer than a stretch of cells tie with themselves only, whatever the stretches."""
+    monkeypatch.setattr(draws, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    place, cluster = np.repeat([0, 1, 2], [5, 30, 9]), rng.integers(0, 12, 44)
+    p, n, w = rng.integers(0, 3, 44).astype(float), rng.integers(0, 3, 44).astype(float), rng.integers(0, 4, (12, 6)).astype(float)
+    got = draws.part_sums(cluster, place, p, n, w)
+    twice = 2 * (place[:, None] > place[None]) + (place[:, None] == place[None])
+    for d in range(6):
+        a, b = w[cluster, d] * p, w[cluster, d] * n
+        assert got[d].tolist() == [a @ twice @ b, a.sum(), b.sum()]
+
+
+def test_cluster_areas_keep_nothing_of_the_square_of_clusters(spark, monkeypatch):
+    """Tables that are written have a row for each cell at most, so their bytes do not grow with pairs of clusters."""
+    kept = []
+    monkeypatch.setattr(draws, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    df = spark.range(6000).select((F.col("id") % 3000).alias("c"), (F.col("id") % 2).cast("int").alias("y"), F.sin("id").alias("a"))
+    assert draws.cluster_areas(df, ["c"], "y", {"a": "a"}, 8).count() == 8
+    size = lambda t: F.sum(sum((F.length(f.name) for f in t.schema.fields if f.dataType.typeName() == "binary"), F.lit(0)))
+    assert max(t.count() for t in kept) <= 6000 and sum(t.agg(size(t)).first()[0] for t in kept) <= 16 * 6000
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_cluster_areas_equal_drawn_rows(spark, monkeypatch, block):
     monkeypatch.setattr(draws, "BLOCK", block)
