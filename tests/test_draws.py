@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from longspan.functions.hashing import PRIME, draw_hash, partners
+from longspan.functions.hashing import PRIME, draw_hash, partners, round_tables, scrambled
 from longspan.operators import draws, ranking
 from longspan.sources.workspace import written
 from pyspark.sql import functions as F
@@ -177,3 +177,20 @@ def test_permutation_sums(spark, block):
                     total, count = total + u[k] @ v[k] / np.sqrt((u[k] @ u[k]) * (v[k] @ v[k])), count + 1
         assert abs(got[d]["ac"] - want[0]) < 1e-9 and abs(got[d]["ab"] - want[1]) < 1e-9
         assert abs(cosines[d]["sum"] - total) < 1e-9 and cosines[d]["n"] == count
+
+
+def test_partners_by_tables_are_those_of_the_rounds():
+    """Every place of an uneven size, sent on round by round."""
+    n, seed = 1000, 12345
+    tables = round_tables(n, np.arange(3), seed)
+    assert max(t.shape[1] for t in tables) == 32
+    got = partners(np.arange(n), n, np.arange(3), seed, tables)
+    for d in range(3):
+        x, todo = np.arange(n), np.arange(n)
+        while len(todo):
+            half = [x[todo] >> 5, x[todo] & 31]
+            for r in range(6):
+                half[r % 2] = half[r % 2] ^ (scrambled(half[1 - r % 2], scrambled(np.int64(d * 6 + r + 1), seed)) & 31)
+            x[todo] = (half[0] << 5) | half[1]
+            todo = np.flatnonzero(x >= n)
+        assert (got[d] == x).all()
