@@ -80,6 +80,15 @@ def test_quantiles_by_refinement(spark, rows, panel):
     assert ranking.quantiles(odd.limit(0), "v", [], [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_weighted_shares(rows, panel, limit):
+    """Counts of distinct values have the quantiles of the rows that they count."""
+    counts = rows.where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("times"))
+    got = {r["g"]: r["q"] for r in ranking.shares_of(counts, "v", ["g"], [0.1, 0.5, 0.8], limit=limit, weight="times").collect()}
+    for k, x in groups(panel).items():
+        assert np.allclose(got[k], np.quantile(x["v"].dropna(), [0.1, 0.5, 0.8]))
+
+
 def test_bootstrap_sums_are_weighted_sums(rows, panel, monkeypatch):
     monkeypatch.setattr(draws, "BLOCK", 128)
     monkeypatch.setattr(draws, "BATCH", 16)
