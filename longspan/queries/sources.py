@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from longspan.plans import panels
 from longspan.sources import ingest, validate
-from longspan.sources.workspace import folder
+from longspan.sources.workspace import folder, written
 
 from .base import DAYS, PEOPLE, WEEKS, query, rounded, r6
 
 
 def _cohort_files(spark, d) -> str:
-    """Cohort folders with one CSV of weekly values each, and a platform file."""
+    """Cohort folders with a CSV of weekly values each, in as many files as tasks wrote, so no task holds a cohort."""
     root = folder(spark)
     w = panels.supplier_weeks(spark, d).select("cohort", F.col("unit").alias("pid"), "date", "qty_sum", "returned_qty", F.lit(1).alias("Unnamed: 0"))
+    w = written(w.withColumnRenamed("Unnamed: 0", "one"), "cohort-weeks").withColumnRenamed("one", "Unnamed: 0")
     for c in range(5):
-        w.where(F.col("cohort") == c).drop("cohort").coalesce(1).write.option("header", True).csv(f"{root}/INS-W_{c + 1}/FeatureData/steps.csv")
+        w.where(F.col("cohort") == c).drop("cohort").write.option("header", True).csv(f"{root}/INS-W_{c + 1}/FeatureData/steps.csv")
     return root
 
 
@@ -43,7 +44,7 @@ def src03_src05_src10_pruned_csv(spark, d):
 @query(f"WITH {WEEKS} SELECT 'INS-W_' || (cohort + 1) AS cohort, count(*) AS n_rows, 5 AS n_columns FROM weeks GROUP BY ALL")
 def src04_file_shapes(spark, d):
     s = ingest.file_shapes(spark, [f"{_cohort_files(spark, d)}/*/FeatureData/steps.csv"])
-    return s.select(ingest.path_part(F.col("path"), 4).alias("cohort"), "n_rows", "n_columns")
+    return s.groupBy(ingest.path_part(F.col("path"), 4).alias("cohort")).agg(F.sum("n_rows").alias("n_rows"), F.max("n_columns").cast("int").alias("n_columns"))
 
 
 @query(f"WITH {WEEKS} SELECT unit, date, returned_qty, returned_qty IS NOT NULL AS label_available FROM weeks")
