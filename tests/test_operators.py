@@ -295,3 +295,20 @@ def test_logistic_grid_is_the_single_fits(spark):
             want = linear.logistic(splits.within_unit(df, t, share), features, "label").where("role = 'test'").toPandas()
             got = grid[(grid["cell"] == cell) & (grid["model"] == name)]
             assert len(got) == len(want) and np.allclose(sorted(got["probability"]), sorted(want["probability"]), atol=1e-6)
+
+
+def test_cohort_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    """No task reads or writes all rows of a cohort's CSV."""
+    from longspan.queries import sources
+
+    monkeypatch.setattr(sources, "written", lambda df, name: df.repartition(3))
+    root = sources._cohort_files(spark, sf_dir)
+    files = sources.ingest.listing(spark, root, "*.csv").groupBy(sources.ingest.path_part(F.col("path"), 4).alias("c")).count().collect()
+    assert len(files) == 5 and all(r["count"] > 1 for r in files)
+
+
+def test_simulated_power_has_no_shuffle_of_drawn_scores(spark):
+    """Designs are dealt by unit, and means come together by area and simulation; scores stay where they are drawn."""
+    designs = spark.range(40).select(F.col("id").alias("unit"), F.lit(3).cast("long").alias("n_positive"), (F.col("id") % 4).alias("n_negative"))
+    plan = resample.simulate_power(designs, [0.5, 0.7], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and plan.count("Exchange hashpartitioning") == 2
