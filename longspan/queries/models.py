@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from longspan.operators import cluster, linear, metrics, ranking, splits, typology
@@ -57,22 +58,41 @@ def mdl04_ridge_blocks(spark, d):
 def _increment(spark, d, alpha=10.0):
     """regime, cohort, unit, target, half: errors of a target's own history and of all targets' histories, per half of each trajectory.
 
-    The cross-products of all six histories are gathered once for each (regime, half, target);
-    a target's own model is a sub-block.  The table has a row for each target of a week.
+    Rows are written once, with their places.  The cross-products of all targets and histories are
+    summed once for every block of places; a target's own model is a sub-block.  Only test rows
+    are dealt to regimes.
     """
     w = panels.supplier_weeks(spark, d)
-    logs = {t: F.log1p(F.greatest(F.col(t), F.lit(0.0))) for t in panels.TARGETS}
-    w = w.withColumns({f"log_{t}": c for t, c in logs.items()}).withColumns({f"recent_{t}": T.trailing_mean(F.col(f"log_{t}"), 7, 7) for t in panels.TARGETS})
-    rows = splits.with_regimes(w.where("recent_line_count IS NOT NULL"), T)
-    recents = [f"recent_{t}" for t in panels.TARGETS]
-    out = None
-    rows = written(rows.select("cohort", "unit", "date", "regime", "half", "role", *[f"log_{t}" for t in panels.TARGETS], *recents), "histories")
-    for t in panels.TARGETS:
-        fit = linear.ridge_models(rows, {"own": ([f"recent_{t}"], alpha), "all_targets": (recents, alpha)}, f"log_{t}", ["regime", "half"]).where("role = 'test'")
-        err = lambda m: F.avg(F.abs(F.col(f"log_{t}") - F.col(m))).alias(f"mae_{m}")  # noqa: B023, E731
-        part = fit.where(F.col(f"log_{t}").isNotNull()).groupBy("regime", "cohort", "unit", "half").agg(F.lit(t).alias("target"), F.count(F.lit(1)).alias("n_obs"), err("own"), err("all_targets"))
-        out = part if out is None else out.unionByName(part)
-    return out.where("n_obs >= 10").withColumn("increment", 1 - F.col("mae_all_targets") / F.greatest("mae_own", F.lit(1e-8)))
+    own, recents = [f"log_{t}" for t in panels.TARGETS], [f"recent_{t}" for t in panels.TARGETS]
+    w = w.withColumns({f"log_{t}": F.log1p(F.greatest(F.col(t), F.lit(0.0))) for t in panels.TARGETS})  # 0 where a target is null
+    w = w.withColumns({f"recent_{t}": T.trailing_mean(F.col(f"log_{t}"), 7, 7) for t in panels.TARGETS}).where("recent_line_count IS NOT NULL")
+    rows = w.withColumn("position", T.position()).withColumn("n_rows", T.size()).select("cohort", "unit", "position", "n_rows", *own, *recents)
+    rows = written(rows, "histories")
+    place, n = F.col("position"), F.col("n_rows")
+    trained = [(regime, half, (place >= low) & (place < high)) for regime, half, role, low, high in splits.blocks(n) if role == "train"]
+    models = {f"{m}_{t}": (features, alpha, f"log_{t}") for t in panels.TARGETS for m, features in (("own", [f"recent_{t}"]), ("all_targets", recents))}
+    fits = linear.ridge_blocks(rows, [inside for _, _, inside in trained], models, own + recents)
+    fits = {(regime, half): fit for (regime, half, _), fit in zip(trained, fits) if fit}
+    test = rows.withColumn("block", F.explode(splits.regimes(place, n, "test"))).select("block.regime", "block.half", "cohort", "unit", *own, *recents)
+
+    def errors(parts):
+        for part in parts:
+            y, x = part[own].to_numpy(float), part[own + recents].to_numpy(float)
+            out = part[["regime", "half", "cohort", "unit"]].copy()
+            away, fitted = np.zeros((len(part), len(models))), np.zeros(len(part), bool)
+            for (regime, half), fit in fits.items():
+                at = ((part["regime"] == regime) & (part["half"] == half)).to_numpy()
+                fitted |= at
+                intercepts, weights = np.array([a for a, _ in fit.values()]), np.column_stack([b for _, b in fit.values()])
+                away[at] = np.abs(np.repeat(y[at], 2, axis=1) - intercepts - x[at] @ weights)
+            yield out.assign(**{m: away[:, i] for i, m in enumerate(models)})[fitted]
+
+    kinds = ", ".join(f"{c} {test.schema[c].dataType.simpleString()}" for c in ("regime", "half", "cohort", "unit"))
+    e = test.mapInPandas(errors, f"{kinds}, {', '.join(f'{m} double' for m in models)}").groupBy("regime", "cohort", "unit", "half")
+    e = e.agg(F.count(F.lit(1)).alias("n_obs"), *[F.avg(m).alias(m) for m in models]).where("n_obs >= 10")
+    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col("n_obs"), F.col(f"own_{t}").alias("mae_own"), F.col(f"all_targets_{t}").alias("mae_all_targets")) for t in panels.TARGETS])
+    out = e.select("regime", "cohort", "unit", "half", F.inline(each))
+    return out.withColumn("increment", 1 - F.col("mae_all_targets") / F.greatest("mae_own", F.lit(1e-8)))
 
 
 @query()
