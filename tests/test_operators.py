@@ -365,3 +365,49 @@ def test_ridge_of_overlapping_blocks_is_the_ridge_of_each(spark):
             assert np.allclose(intercept + want[["a", "b", "c", "y", "z"]].to_numpy() @ weights, want["m"], rtol=0, atol=1e-6)
     with pytest.raises(ValueError):
         linear.ridge_blocks(df.withColumn("a", F.nullif("a", F.lit(rows.first()["a"]))), inside, models, ["a", "b", "c", "y", "z"])
+
+
+def test_forecasts_shuffle_and_sort_weeks_not_target_rows(spark, monkeypatch):
+    """Weeks are ordered before they are one row a target; a target's places go over its known rows only."""
+    from longspan.plans import robustness
+
+    kept = {}
+    monkeypatch.setattr(robustness, "written", lambda df, name: kept.setdefault(name, df))
+    days = [DAY + dt.timedelta(days=7 * i) for i in range(30)]
+    weeks = spark.createDataFrame([(0, u, d, float(i + u), float(i) if i % 3 else None) for u in range(3) for i, d in enumerate(days)], "cohort int, unit int, date date, a double, b double")
+    robustness.forecasts(weeks, ["a", "b"])
+    plan = kept["history"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "target" not in "".join(x for x in plan.splitlines() if "Sort [" in x or "Window [" in x)
+    rows = kept["history"].where("unit = 1").orderBy("date").collect()
+    assert [r["date"] for r in rows if r["target"] == "a"] == days[7:]
+    known = [i for i in range(30) if i % 3]
+    assert [r["date"] for r in rows if r["target"] == "b"] == [days[i] for i in known[7:]]
+    first = next(r for r in rows if r["target"] == "b")
+    assert abs(first["reg_history"] - sum(math.log1p(i) for i in known[:7]) / 7) < 1e-12
+
+
+def test_block_bits_are_the_regimes(spark):
+    at, n = F.col("id") % 23, F.lit(23)
+    rows = spark.range(23).select(splits.block_bits(at, n).alias("bits"), F.size(splits.regimes(at, n)).alias("n")).collect()
+    assert all(bin(r["bits"]).count("1") == r["n"] for r in rows) and len({r["bits"] for r in rows}) > 4
+
+
+def test_composites_are_one_aggregate(spark):
+    from longspan.plans import robustness
+
+    z = ["forecastability_raw_z", "history_skill_z", "observed_sd_z", "observed_entropy_z"]
+    rows = [("fixed", 0, 1, "early", t, float(i), None if i else 2.0, 1.0, 0.0) for i, t in enumerate("xxy")] + [("fixed", 0, 2, "early", "z", 5.0, 1.0, 1.0, 1.0)]
+    m = spark.createDataFrame(rows, "regime string, cohort int, unit int, half string, target string, " + ", ".join(f"{c} double" for c in z))
+    out = robustness.composites(m, {"two": (["x", "y"], 2), "all": (["x", "y", "z"], 1)})
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["scope"], r["unit"]): (r["n_targets"], r["forecastability"], r["history_skill"]) for r in out.collect()}
+    assert got == {("two", 1): (2, 1.0, 2.0), ("all", 1): (2, 1.0, 2.0), ("all", 2): (1, 5.0, 1.0)}
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    from longspan.plans import panels
+
+    values = [0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, 12.345, -7.004999, 0.1, 0.29, 1e15, 4503599627370497.5, 0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(panels.whole("v", 1).alias("a"), F.round("v").cast("long").alias("b"), panels.whole("v").alias("c"), F.round(F.col("v") * 100).cast("long").alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got)
