@@ -411,3 +411,16 @@ def test_whole_numbers_are_those_of_round(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.select(panels.whole("v", 1).alias("a"), F.round("v").cast("long").alias("b"), panels.whole("v").alias("c"), F.round(F.col("v") * 100).cast("long").alias("d")).collect()
     assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got)
+
+
+def test_coverage_medians_need_no_buffer_of_all_rows(spark, sf_dir, monkeypatch):
+    """Refinement, which large groups take, gives the medians of the buffer."""
+    from longspan.queries import robust
+
+    m = spark.range(40).select(F.lit("fixed").alias("regime"), F.when(F.col("id") < 25, "early").otherwise("late").alias("half"), (10 + F.col("id") % 7).alias("n_obs"), (F.col("id") * 37 % 41 / 3.0).alias("observed_sd"), F.lit(0.5).alias("observed_entropy"))
+    monkeypatch.setattr(robust, "_metrics", lambda spark, d: m)
+    want = {r["half"]: r for r in m.groupBy("half").agg(F.count(F.lit(1)).alias("n_target_halves"), F.median("n_obs").alias("median_obs"), F.round(F.median("observed_sd"), 6).alias("median_sd")).collect()}
+    for limit in (robust.MEDIAN_VALUES, 3):
+        monkeypatch.setattr(robust, "MEDIAN_VALUES", limit)
+        got = {r["half"]: r for r in robust.agg30_coverage_diagnostics(spark, sf_dir).collect()}
+        assert all(got[h][c] == want[h][c] for h in want for c in ("n_target_halves", "median_obs", "median_sd"))
