@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from longspan.operators import cluster, linear, metrics, ranking, splits, typology
+from longspan.operators import cluster, forest, linear, metrics, ranking, splits, typology
 from longspan.operators.windows import Trajectory, as_of
 from longspan.plans import panels
 from longspan.sources.workspace import written
@@ -156,16 +156,12 @@ def gat03_logistic_contrasts(spark, d):
 @query()
 def mdl05_mdl06_spl08_forest_grid(spark, d):
     """The same contrasts by forests of 300 trees in all nine cells of splits and seeds, beside the logistic ones."""
-    rows = written(_labelled_features(spark, d), "labelled-features")
-    out = _logistic_areas(spark, d).select(F.lit("logistic").alias("kind"), "cell", "model", F.lit(0).alias("seed"), "auroc")
-    for share in SPLITS:
-        s = written(splits.within_unit(rows, T, share), "split")
-        for seed in SEEDS:
-            for name, features in FEATURE_SETS.items():
-                fit = written(linear.forest(s, features, "label", seed=seed).where("role = 'test'").select("label", "probability"), "forest-scores")
-                area = ranking.areas(fit, "label", "probability", [])
-                out = out.unionByName(area.select(F.lit("forest").alias("kind"), F.lit(str(share)).alias("cell"), F.lit(name).alias("model"), F.lit(seed).alias("seed"), "auroc"))
-    return _contrast_gate(written(out, "grid-areas"), ["seed"])
+    rows = written(splits.role_bits(_labelled_features(spark, d), T, SPLITS), "labelled-features")
+    cells = [str(s) for s in SPLITS]
+    logistic = ranking.areas(linear.logistic_grid(rows, FEATURE_SETS, "label", cells), "label", "probability", ["cell", "model"])
+    out = logistic.select(F.lit("logistic").alias("kind"), "cell", "model", F.lit(0).alias("seed"), "auroc")
+    grown = forest.areas(rows, FEATURE_SETS, "label", cells, SEEDS).select(F.lit("forest").alias("kind"), "cell", "model", "seed", "auroc")
+    return _contrast_gate(written(out.unionByName(grown), "grid-areas"), ["seed"])
 
 
 @query(f"""WITH {PEOPLE}, p AS (SELECT unit, spent AS y, n_orders AS x FROM people WHERE spent IS NOT NULL AND n_orders IS NOT NULL)
