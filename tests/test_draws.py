@@ -203,3 +203,9 @@ def test_partners_by_tables_are_those_of_the_rounds():
             x[todo] = (half[0] << 5) | half[1]
             todo = np.flatnonzero(x >= n)
         assert (got[d] == x).all()
+
+
+def test_draws_are_dealt_to_more_tasks_than_one(spark):
+    sizes = spark.createDataFrame([(600_000,)], "n long")
+    used = draws.weights(sizes, [], 24).withColumn("task", F.spark_partition_id()).select("draw", "task").distinct().collect()
+    assert len({r.draw for r in used}) == 8 and len({r.task for r in used}) > 1  # before, all batches were one task's

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from longspan.functions import numeric
 from longspan.operators import cluster, linear, metrics, ranking, resample, splits
@@ -424,3 +425,28 @@ def test_coverage_medians_need_no_buffer_of_all_rows(spark, sf_dir, monkeypatch)
         monkeypatch.setattr(robust, "MEDIAN_VALUES", limit)
         got = {r["half"]: r for r in robust.agg30_coverage_diagnostics(spark, sf_dir).collect()}
         assert all(got[h][c] == want[h][c] for h in want for c in ("n_target_halves", "median_obs", "median_sd"))
+
+
+def test_holdout_sums_equal_ordered_holdouts(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    p = pd.DataFrame({"cohort": np.where(np.arange(n) < 7, 2, np.arange(n) % 2), "unit": np.arange(n), "a": rng.random(n), "b": rng.random(n) * 1e4 + 1e6})
+    p["y"] = p["a"] + p["b"] / 1e4 + rng.random(n)
+    df = spark.createDataFrame(p).withColumn("y", F.when(F.col("unit") % 11 != 0, F.col("y")))
+    h = splits.stratified_holdouts(df, "cohort", "unit", 4)
+    sums = {"n": F.count(F.lit(1)), "u": F.sum("unit")}
+    want = {(r.rep, r.n, r.u) for r in h.where("role = 'test'").groupBy("rep").agg(*[c.alias(k) for k, c in sums.items()]).collect()}
+    for deviations in (8.0, 0.0, float("inf")):  # 0: the band misses places, so all is put in order
+        assert {(r.rep, r.n, r.u) for r in splits.holdout_sums(df, "cohort", "unit", sums, 4, deviations=deviations).collect()} == want
+    fit = linear.ridge_models(h, {"one": (["a"], 0.0), "two": (["a", "b"], 0.0)}, "y", ["rep"]).where("role = 'test'")
+    want = {(r.rep, r.model): r.r2 for r in metrics.regressions(fit, "y", ["one", "two"], ["rep"]).collect()}
+    got = {(r.rep, m): r[m] for r in linear.holdout_fits(df, {"one": ["a"], "two": ["a", "b"]}, "y", "cohort", "unit", 4).collect() for m in ("one", "two")}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_holdout_fits_write_no_row_a_holdout(spark, monkeypatch):
+    sizes, real = {}, splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: (lambda out: (sizes.__setitem__(name, out.count()), out)[1])(real(df, name)))
+    df = spark.range(20000).selectExpr("id % 2 AS cohort", "id AS unit", "(id * 7919 % 1000) * 1e0 AS a", "(id * 104729 % 997) * 1e0 AS y")
+    assert linear.holdout_fits(df, {"one": ["a"]}, "y", "cohort", "unit", 5).count() == 5
+    assert sizes["near-the-last"] < 5 * 20000 / 10  # before, all 100,000 rows were put in order
