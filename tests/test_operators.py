@@ -450,3 +450,20 @@ def test_holdout_fits_write_no_row_a_holdout(spark, monkeypatch):
     df = spark.range(20000).selectExpr("id % 2 AS cohort", "id AS unit", "(id * 7919 % 1000) * 1e0 AS a", "(id * 104729 % 997) * 1e0 AS y")
     assert linear.holdout_fits(df, {"one": ["a"]}, "y", "cohort", "unit", 5).count() == 5
     assert sizes["near-the-last"] < 5 * 20000 / 10  # before, all 100,000 rows were put in order
+
+
+def test_cohort_files_are_written_by_as_many_tasks_as_hold_rows(spark, sf_dir):
+    from pathlib import Path
+
+    from longspan.queries import sources
+
+    small = {"spark.sql.adaptive.enabled": "false", "spark.sql.files.openCostInBytes": "1"}  # else a small table is one task's
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        root = sources._cohort_files(spark, sf_dir).removeprefix("file://")
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    files = [len(list(Path(root).glob(f"INS-W_{c}/FeatureData/steps.csv/part-*"))) for c in range(1, 6)]
+    assert min(files) > 1  # one task wrote, and so read, all of a cohort before
