@@ -2,6 +2,7 @@
 
 import pytest
 from longspan import catalog
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 
@@ -30,3 +31,19 @@ def test_entry_module(spark):
 
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_adjusted_p_of_repeated_p_is_one_that_the_sql_allows(spark, sf_dir, tmp_path):
+    """The SQL leaves the order of equal p open; with its second window taking them in the reverse of the first, it gives Spark's rows."""
+    import duckdb
+
+    path, name = str(tmp_path / "supplier.parquet"), "win17_win18_adjusted_p"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (s_suppkey + 1000 * k AS s_suppkey, (s_suppkey % 2)::INT AS s_nationkey) FROM '{sf_dir}/supplier.parquet', range(30) t(k)) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{path}'")
+    ordered = SQL[name].replace("ORDER BY p)", "ORDER BY p, id)").replace("ORDER BY p DESC ROWS", "ORDER BY p DESC, id DESC ROWS")
+    assert ordered.count(", id)") == 1 and ordered.count(", id DESC ROWS") == 1
+    df = QUERIES[name](spark, str(tmp_path))
+    each = df.where("p IS NOT NULL").groupBy("family", "p").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("q").alias("q")).collect()
+    assert {r["q"] for r in each} == {1} and {r["rows"] for r in each} != {1}
+    assert_same(df, con, ordered)
