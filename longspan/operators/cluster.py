@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -10,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspan.sources.workspace import written
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -19,9 +23,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``c``, which is computed once a row; a lambda computes an expression from outside anew for every element."""
+    return F.transform(F.array(c), then)[0]
+
+
 def unit(v: Column) -> Column:
-    size = norm(v)
-    return F.transform(v, lambda x: x / F.when(size > 1e-12, size).otherwise(1.0))
+    return bound(norm(v), lambda size: F.transform(v, lambda x: x / F.when(size > 1e-12, size).otherwise(1.0)))
+
+
+def directions(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """``df`` with directions for vectors, dealt by ``key``, so that one large file is not one task, and written once for the scans of a fit."""
+    dealt = df.repartition(key).sortWithinPartitions(key)  # in order, so that a fit's draws do not depend on which rows come first
+    return written(dealt.withColumn(vector, unit(F.col(vector))), "directions")
 
 
 def masked_cosine(a: Column, b: Column, least: int = 4) -> Column:
@@ -33,10 +47,12 @@ def masked_cosine(a: Column, b: Column, least: int = 4) -> Column:
 
 
 def spherical_kmeans(df: DataFrame, vector: str, k: int, restarts: int = 30, iterations: int = 100, seed: int = 1) -> list[list[float]]:
-    """Centroids of the best of several runs of k-means on directions."""
-    rows = df.where(norm(F.col(vector)) > 1e-12).select(array_to_vector(unit(F.col(vector))).alias("_x")).cache()
+    """Centroids of the best of several runs of k-means on ``directions``, which are read once a run.
+
+    They are not cached here: of rows that are, a run keeps no vectors but decodes them at every step.
+    """
+    rows = df.where(norm(F.col(vector)) > 1e-12).select(array_to_vector(unit(F.col(vector))).alias("_x"))
     models = [KMeans(featuresCol="_x", k=k, distanceMeasure="cosine", maxIter=iterations, seed=seed + i).fit(rows) for i in range(restarts)]
-    rows.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     return sorted([[float(x) for x in c / max(np.linalg.norm(c), 1e-12)] for c in best.clusterCenters()])
 
@@ -44,8 +60,8 @@ def spherical_kmeans(df: DataFrame, vector: str, k: int, restarts: int = 30, ite
 def assign(df: DataFrame, vector: str, centroids: list[list[float]], out: str = "cluster") -> DataFrame:
     """The centroid with the largest cosine, the first of equals; a constant table of k vectors."""
     table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centroids])
-    cos = F.transform(table, lambda c: dot(unit(F.col(vector)), c))
-    return df.withColumn(out, F.array_position(cos, F.array_max(cos)) - 1)
+    cos = bound(unit(F.col(vector)), lambda u: F.transform(table, lambda c: dot(u, c)))
+    return df.withColumn(out, bound(cos, lambda x: F.array_position(x, F.array_max(x)) - 1))
 
 
 def silhouette(df: DataFrame, vector: str, label: str) -> float:
@@ -63,11 +79,13 @@ def exact_silhouette(df: DataFrame, vector: str, key: str, label: str) -> DataFr
     rows = df.select(key, F.col(label).alias("c"), unit(F.col(vector)).alias("u"))
     flat = rows.select("c", F.posexplode("u").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("s"))
     sums = flat.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("v")).select("c", F.transform("v", lambda p: p["s"]).alias("total"))
-    sums = sums.join(rows.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c").withColumnRenamed("c", "other")
-    d = rows.join(F.broadcast(sums), F.lit(True)).withColumn("same", F.col("c") == F.col("other"))  # clusters are few
-    own = F.when(F.col("same") & (F.col("m") > 1), (F.col("m") - dot(F.col("u"), F.col("total"))) / F.nullif(F.col("m") - 1, F.lit(0)))
-    away = F.when(~F.col("same"), 1 - dot(F.col("u"), F.col("total")) / F.col("m"))
-    s = d.groupBy(key).agg(F.max(own).alias("a"), F.min(away).alias("b"))
+    sums = sums.join(rows.groupBy("c").agg(F.count("u").alias("m")), "c")
+    clusters = sums.agg(F.collect_list(F.struct("c", "total", "m")).alias("clusters"))  # clusters are few
+    d = rows.join(F.broadcast(clusters), F.lit(True))
+    same = F.get(F.filter("clusters", lambda k: k["c"] == F.col("c")), F.lit(0))  # null without a label
+    own = bound(same, lambda k: F.when(k["m"] > 1, (k["m"] - dot(F.col("u"), k["total"])) / F.nullif(k["m"] - 1, F.lit(0))))
+    away = F.array_min(F.transform(F.filter("clusters", lambda k: k["c"] != F.col("c")), lambda k: 1 - dot(F.col("u"), k["total"]) / k["m"]))
+    s = d.select(key, own.alias("a"), away.alias("b")).groupBy(key).agg(F.max("a").alias("a"), F.min("b").alias("b"))
     return s.select(key, F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
 
 

@@ -188,7 +188,8 @@ def mdl12_assign_by_cosine(spark, d):
 def mdl11_mdl13_agg39_spherical_kmeans(spark, d):
     """Clusters of the embeddings against their labels, with the mean silhouette."""
     e = panels.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    a = cluster.assign(e, "v", cluster.spherical_kmeans(e, "v", 10, restarts=3))
+    e = cluster.directions(e, "v", "vec_id")
+    a = written(cluster.assign(e, "v", cluster.spherical_kmeans(e, "v", 10, restarts=3)), "clusters")
     s = cluster.exact_silhouette(a, "v", "vec_id", "cluster").agg(F.avg("silhouette").alias("silhouette"))
     return metrics.adjusted_rand(a, "cluster", "label", []).join(F.broadcast(s), F.lit(True))
 

@@ -467,3 +467,27 @@ def test_cohort_files_are_written_by_as_many_tasks_as_hold_rows(spark, sf_dir):
             spark.conf.unset(k)
     files = [len(list(Path(root).glob(f"INS-W_{c}/FeatureData/steps.csv/part-*"))) for c in range(1, 6)]
     assert min(files) > 1  # one task wrote, and so read, all of a cohort before
+
+
+def test_a_length_is_computed_once_a_row(spark):
+    """Not for every element of the vector, nor for every centroid."""
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    loops = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    u = v.select(cluster.unit(F.col("v")).alias("u"))
+    a = cluster.assign(v, "v", [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]).select("cluster")
+    assert [r["u"] for r in u.collect()] == [[0.6, 0.8], [0.0, 0.0], None] and [r["cluster"] for r in a.collect()] == [2, 0, None]
+    assert loops(u) == 1 and loops(a) == 2  # a sum of squares; and a dot product
+
+
+def test_directions_do_not_depend_on_how_rows_come(spark):
+    rng = np.random.default_rng(5)
+    centers = np.eye(4)[:3] * 5
+    x = centers[np.arange(90) % 3] + rng.normal(0, 0.5, (90, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, [0.0] * 4), (91, None)]
+    tables = [spark.createDataFrame([rows[i] for i in order], "id long, v array<double>").repartition(parts) for order, parts in ((range(92), 1), (rng.permutation(92), 7))]
+    found = [cluster.directions(t, "v", "id") for t in tables]
+    assert [r["id"] for r in found[0].collect()] == [r["id"] for r in found[1].collect()]
+    centroids = [cluster.spherical_kmeans(f, "v", 3, restarts=3) for f in found]
+    assert np.allclose(centroids[0], centroids[1], atol=1e-12)
+    labels = {r["id"]: r["cluster"] for r in cluster.assign(found[0], "v", centroids[0]).collect()}
+    assert all(len({labels[i] for i in range(c, 90, 3)}) == 1 for c in range(3)) and len({labels[i] for i in range(3)}) == 3 and labels[91] is None

@@ -47,3 +47,15 @@ def test_adjusted_p_of_repeated_p_is_one_that_the_sql_allows(spark, sf_dir, tmp_
     each = df.where("p IS NOT NULL").groupBy("family", "p").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("q").alias("q")).collect()
     assert {r["q"] for r in each} == {1} and {r["rows"] for r in each} != {1}
     assert_same(df, con, ordered)
+
+
+def test_silhouette_without_vectors_or_labels(spark, tmp_path):
+    """A missing vector is in nobody's mean distance; a missing label and a label of one row have 0."""
+    import duckdb
+
+    path, name = str(tmp_path / "embeddings.parquet"), "mdl13_exact_silhouette"
+    rows = [(0, [1.0, 0.2], 0), (1, [0.9, 0.1], 0), (2, None, 0), (3, [0.1, 1.0], 1), (4, [0.2, 0.7], 1), (5, [-1.0, 0.1], 2), (6, [0.5, 0.5], None), (7, None, 3), (8, [0.4, -1.0], 4), (9, None, 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    assert_same(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
